@@ -40,9 +40,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     whole = Window.partitionBy()
     cut = limits.withColumn("capped", F.coalesce(F.sum("cap").over(order), F.lit(0.0))).withColumn("weight_before", F.coalesce(F.sum("weight").over(order), F.lit(0.0)))
     level = (F.sum("source_size").over(whole) - F.col("capped")) / (F.sum("weight").over(whole) - F.col("weight_before"))
-    fits = cut.withColumn("level", level).withColumn("fits", F.col("level") <= F.col("cap") / F.col("weight"))
-    found = F.min(F.when(F.col("fits"), F.col("level"))).over(whole)
-    return fits.withColumn("target", F.least("cap", F.col("weight") * F.coalesce(found, F.lit(0.0)))).select("source", "source_size", "target")
+    # the level rises over sources that stay above it when cut, and falls behind the first that does not
+    found = F.max("level").over(whole)
+    return cut.withColumn("level", level).withColumn("target", F.least("cap", F.col("weight") * found)).select("source", "source_size", "target")
 
 
 def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:

@@ -93,9 +93,9 @@ cut as (
     sum(source_size) over () as everything, sum(weight) over () as weights
   from limits window w as (order by cap / weight, place rows between unbounded preceding and 1 preceding)),
 levels as (select *, (everything - capped) / (weights - weight_before) as level from cut),
-found as (select *, min(case when level <= cap / weight then level end) over () as best from levels),
+found as (select *, max(level) over () as best from levels),
 rated as (
-  select source, source_size, least(cap, weight * coalesce(best, 0)) as target,
+  select source, source_size, least(cap, weight * best) as target,
     ('0x' || substr(md5('mix:' || coalesce(source, '') || case when source is null then '?' else '!' end), 1, 8))::ubigint / 4294967296.0::double as shift
   from found),
 placed as (
