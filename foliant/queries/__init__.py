@@ -1,3 +1,5 @@
 """Registered queries over the driver's tables, each module with QUERIES and ORACLE."""
 
-MODULES: list = []
+from foliant.queries import documents
+
+MODULES: list = [documents]
