@@ -78,15 +78,16 @@ def arm_breakdown(rows: DataFrame) -> DataFrame:
 
 def regression_delta(rows: DataFrame, before: str, after: str) -> DataFrame:
     """Accuracy of both arms per split and OVERALL, and the difference."""
-    by = rows.rollup("split").pivot("arm", [before, after]).agg(F.count_if("correct").alias("c"), F.count("*").alias("n"))
-    share = lambda a: F.try_divide(f"{a}_c", f"{a}_n")
+    counts = [f(F.when(F.col("arm") == a, c)) for a in (before, after) for f, c in ((F.count_if, F.col("correct")), (F.count, F.lit(1)))]
+    by = rows.rollup("split").agg(F.grouping("split").alias("g"), *[c.alias(n) for c, n in zip(counts, ("bc", "bn", "ac", "an"), strict=True)])
+    first, second = F.try_divide("bc", "bn"), F.try_divide("ac", "an")
     return by.select(
-        F.coalesce("split", F.lit("OVERALL")).alias("split"),
-        F.col(f"{before}_c").alias("before_correct"),
-        F.col(f"{after}_c").alias("after_correct"),
-        F.round(share(before), 6).alias("before_accuracy"),
-        F.round(share(after), 6).alias("after_accuracy"),
-        F.round(share(after) - share(before), 6).alias("delta"),
+        F.when(F.col("g") == 1, "OVERALL").otherwise(F.col("split")).alias("split"),
+        F.col("bc").alias("before_correct"),
+        F.col("ac").alias("after_correct"),
+        F.round(first, 6).alias("before_accuracy"),
+        F.round(second, 6).alias("after_accuracy"),
+        F.round(second - first, 6).alias("delta"),
     )
 
 

@@ -28,7 +28,7 @@ def first_figure(text: Column) -> Column:
 
 def topic(sentence: Column, figure: Column) -> Column:
     """What a figure measures: the last content words before it, as a phrase of 10 to 70 characters; else null."""
-    before = F.substring_index(sentence, figure, 1)
+    before = F.split_part(sentence, figure, F.lit(1))
     words = F.regexp_extract_all(before, F.lit(r"[A-Za-z][A-Za-z\-']{2,}"), 0)
     last = F.when(F.size(words) > 9, F.slice(words, -9, 9)).otherwise(words)
     kept = F.filter(last, lambda w: ~F.lower(w).isin(TOPIC_STOP))
@@ -126,7 +126,12 @@ def gram_pairs(left: DataFrame, right: DataFrame | None = None, n: int = 5) -> D
 
     Grams meet by an equi-join, so only rows that share one are paired.
     """
-    sets = lambda d: d.select("id", grams(gram_tokens(F.col("text")), n).alias("g")).select("id", F.size("g").alias("n"), F.explode("g").alias("gram"))
+
+    def sets(rows: DataFrame) -> DataFrame:
+        # tokens are made once a row; explode_outer, as the filter that Spark derives from explode would make them once a gram
+        tokens = rows.select("id", gram_tokens(F.col("text")).alias("t"))
+        return tokens.select("id", grams(F.col("t"), n).alias("g")).select("id", F.size("g").alias("n"), F.explode_outer("g").alias("gram"))
+
     a = sets(left).select(F.col("id").alias("a"), F.col("n").alias("na"), "gram")
     b = (sets(left) if right is None else sets(right)).select(F.col("id").alias("b"), F.col("n").alias("nb"), "gram")
     met = a.join(b, "gram")

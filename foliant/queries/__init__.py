@@ -1,5 +1,5 @@
 """Registered queries over the driver's tables, each module with QUERIES and ORACLE."""
 
-from foliant.queries import documents
+from foliant.queries import answers, documents, evaluation
 
-MODULES: list = [documents]
+MODULES: list = [documents, answers, evaluation]
