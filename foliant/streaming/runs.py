@@ -10,11 +10,16 @@ def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
+def timed(rows: DataFrame, time: str) -> DataFrame:
+    """Event time with a zone, which watermarks need."""
+    return rows.withColumn(time, F.col(time).cast("timestamp"))
+
+
 def once(rows: DataFrame, key: str, time: str, late: str = "1 hour") -> DataFrame:
     """Each key once, within the watermark; state is bounded by it."""
-    return rows.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+    return timed(rows, time).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
 def rates(rows: DataFrame, time: str, width: str = "1 day", late: str = "1 hour", key: str = "event_type") -> DataFrame:
     """Rows and mean value per key and window, final once the watermark has passed."""
-    return rows.withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    return timed(rows, time).withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
