@@ -8,8 +8,10 @@ next to nothing while the work stays in proportion to the input, whatever the si
 
 from __future__ import annotations
 
+import contextlib
 import re
 import zlib
+from array import array
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,13 +20,17 @@ from pyspark.sql import functions as F
 from foliant.llm.common import chunks, id_in, id_out, with_row_id, written
 
 CAPACITY = 2048
-#: Pieces a task packs at a time, and exchanges it tries at most to empty bins beyond the lower bound.
-BLOCK, EXCHANGES = 8192, 4000
-#: Distinct words whose ids a worker keeps.
-CACHE = 400_000
+#: Pieces a task packs at a time, and bins it searches at most for an exchange once best fit has left more than the lower bound.
+BLOCK, EXCHANGES = 8192, 1000
+#: Distinct words, and parts of words, of a generation whose ids a worker keeps.
+CACHE = 250_000
 #: White space to Python's str.split but perhaps not to the tokenizer.
 ODD = re.compile("[\x1c-\x1f]")
 VOCABULARY = "word_bpe_49k.json"
+# The pre-tokenizer's pattern, and the signs that stand for the 256 bytes in the vocabulary.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
 
 
 def vocabulary_path(name: str) -> str:
@@ -33,33 +39,68 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Cache:
+    """Values by key in two generations: what was not asked for while a generation filled up goes."""
+
+    def __init__(self, make):
+        self.make, self.young, self.old = make, {}, {}
+
+    def all(self, keys: list[str]) -> list[bytes]:
+        out = list(map(self.young.get, keys))
+        if None in out:
+            for i, value in enumerate(out):
+                if value is None:
+                    key = keys[i]
+                    value = self.young.get(key) or self.old.get(key)
+                    out[i] = self.young[key] = self.make(key) if value is None else value
+            if len(self.young) > CACHE:
+                self.old, self.young = self.young, {}
+        return out
+
+
 class WordIds:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     The vocabulary's pre-tokenizer drops white space and never matches across it, so a text's ids are those of its
-    words in turn; words come from a cache, and only new ones reach the tokenizer.
+    words in turn, and a word's those of its parts by the pre-tokenizer's pattern. Words and parts come from caches, and
+    only new parts reach the vocabulary's merges. Where normalisation could do more than lower-case letters (words
+    beyond Latin-1, white space on which Python differs), the tokenizer takes the word or text itself.
     """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [b"".join([i.to_bytes(4, "little") for i in e.ids]) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.pattern = regex.compile(PARTS)
+        self.words = Cache(self._word)
+        self.parts = Cache(self._part)
+
+    def _encoded(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        tokens = self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(BYTE_SIGNS))
+        return array("I", [t.id for t in tokens]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        try:
+            word.encode("latin-1")
+        except UnicodeEncodeError:
+            return self._encoded(word)
+        return b"".join(self.parts.all(self.pattern.findall(word.lower())))
+
+    def _text(self, text: str) -> bytes:
+        if ODD.search(text):
+            return self._encoded(text)
+        with contextlib.suppress(UnicodeEncodeError):
+            text.encode("latin-1")
+            text = text.lower()
+        return b"".join(self.words.all(text.split()))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if t and ODD.search(t) else (t or "").split() for t in texts]
-        known = self.known
-        new = list({w for s in split if s for w in s if w not in known})
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list({w for s in split if s for w in s})
-        for i in range(0, len(new), 20_000):
-            known.update(zip(part := new[i : i + 20_000], self._encoded(part), strict=True))
-        return [self._encoded([t])[0] if s is None else b"".join([known[w] for w in s]) for t, s in zip(texts, split, strict=True)]
+        return [self._text(t) if t else b"" for t in texts]
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -112,26 +153,31 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def local_search(sizes: list[int], bins: list[list[int]], capacity: int, tries: int = EXCHANGES) -> list[list[int]]:
-    """Empties the least filled bin again and again by steps that raise the sum of squared fills."""
+    """Exchanges items between underfull bins, the least filled first, until bins are empty or no exchange helps.
+
+    Each exchange moves weight from a bin to one at least as full, which raises the sum of squared fills.
+    """
     fill = [sum(sizes[i] for i in b) for b in bins]
     least = -(-sum(fill) // capacity)
-    while len(bins) > least and tries > 0:
-        d = min(range(len(bins)), key=fill.__getitem__)
-        while bins[d] and tries > 0:
+    while len(bins) > least:
+        for d in sorted(range(len(bins)), key=fill.__getitem__):
             tries -= 1
-            step = _step(sizes, bins, fill, d, capacity)
-            if step is None:
+            if tries < 0:
                 return bins
-            give, b, take = step
-            for i in give:
-                bins[d].remove(i)
-            for i in take:
-                bins[b].remove(i)
-            bins[d] += take
-            bins[b] += give
-            gain = sum(sizes[i] for i in give) - sum(sizes[i] for i in take)
-            fill[d] -= gain
-            fill[b] += gain
+            if fill[d] < capacity and (step := _step(sizes, bins, fill, d, capacity)):
+                break
+        else:
+            return bins
+        give, b, take = step
+        for i in give:
+            bins[d].remove(i)
+        for i in take:
+            bins[b].remove(i)
+        bins[d] += take
+        bins[b] += give
+        gain = sum(sizes[i] for i in give) - sum(sizes[i] for i in take)
+        fill[d] -= gain
+        fill[b] += gain
         if not bins[d]:
             del bins[d], fill[d]
     return bins
