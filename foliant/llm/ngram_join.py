@@ -13,6 +13,9 @@ chosen by cost: any `needed` of its segments suffice, and those whose signatures
 Segments that nobody shares cost nothing, so a set with `needed` of those has no partner and drops out.
 Rows that share a signature are not paired with each other: each is first checked against one hub, and only sets that
 are still in different components after that, and after a few drawn comparisons, are all compared. Each comparison is on the whole sets.
+
+Links are counted once the components are known, as no link leaves one: the sets of a component are dealt into blocks,
+every two blocks meet in one group, and a group compares all its sets at once by products of membership matrices.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ SEGMENT, SPARE = 2.8, 1.3
 OFTEN = 8
 #: Rounds against drawn members of each signature's largest component, members drawn a signature, and checks a set.
 ROUNDS, DRAWN, CHECKS = 2, 6, 8
+#: Sets of a component that a block holds, and shingles that a membership matrix holds at a time.
+SIDE, COLUMNS = 512, 4096
 #: Shingles up to which a set's sketch has two bytes each; four beyond.
 NARROW = 2000
 _U = np.uint64
@@ -260,15 +265,105 @@ def _drawn(mixed: DataFrame, turn: int) -> DataFrame:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= CHECKS).select(F.expr("least(node, hub) as a"), F.expr("greatest(node, hub) as b")).distinct()
 
 
-def similarity_components(docs: DataFrame) -> DataFrame:
+def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Elements that each set of `a` has in common with each of `b`; the sets are sorted and without repeats."""
+    both = np.zeros((len(a), len(b)), dtype=np.int64)
+    universe = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    x, y = _members(a, universe), _members(b, universe)
+    for low in range(0, len(universe), COLUMNS):
+        width = min(COLUMNS, len(universe) - low)
+        both += (_matrix(*x, len(a), low, width) @ _matrix(*y, len(b), low, width).T).astype(np.int64)
+    return both
+
+
+def _members(sets: list[np.ndarray], universe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set, column) of each element that is in the universe, by column."""
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    if not len(universe):
+        return owner[:0], owner[:0]
+    column = np.minimum(np.searchsorted(universe, values), len(universe) - 1)
+    hit = universe[column] == values
+    owner, column = owner[hit], column[hit]
+    order = np.argsort(column, kind="stable")
+    return owner[order], column[order]
+
+
+def _matrix(owner: np.ndarray, column: np.ndarray, n: int, low: int, width: int) -> np.ndarray:
+    a, b = np.searchsorted(column, (low, low + width))
+    out = np.zeros((n, width), dtype=np.float32)
+    out[owner[a:b], column[a:b] - low] = 1
+    return out
+
+
+def _partners(percent: int):
+    """Rows (comp, lo, hi, node, own, copies, values), those of a group in succession, to the partners each node has there."""
+
+    def group(rows: pd.DataFrame) -> pd.DataFrame:
+        left = (rows["own"] == rows["lo"]).to_numpy()
+        within = rows["lo"].iloc[0] == rows["hi"].iloc[0]
+        sides = [rows[left], rows[left if within else ~left]]
+        sets = [[np.frombuffer(v, np.uint64) for v in side["values"]] for side in sides]
+        if not (sets[0] and sets[1]):
+            return pd.DataFrame({"node": [], "links": []}).astype(np.int64)
+        both, sizes = common(*sets), [np.array([len(s) for s in x], dtype=np.int64) for x in sets]
+        linked = 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+        if within:
+            np.fill_diagonal(linked, False)
+        counts = [np.where(linked, sides[1]["copies"].to_numpy()[None, :], 0).sum(axis=1)]
+        if not within:
+            counts.append(np.where(linked, sides[0]["copies"].to_numpy()[:, None], 0).sum(axis=0))
+        return pd.concat([pd.DataFrame({"node": s["node"].to_numpy(), "links": c}) for s, c in zip(sides, counts, strict=False)])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            key = rows[["comp", "lo", "hi"]].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                yield group(rows.iloc[a:b])
+            rest = rows.iloc[starts[-1] :]
+        if rest is not None:
+            yield group(rest)
+
+    return run
+
+
+def _links(keys: DataFrame, sets: DataFrame, comps: DataFrame, side: int) -> DataFrame:
+    """(node, links) of all nodes: the other rows whose sets link with the node's, rows with the same set among them."""
+    copies = keys.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"))
+    blocks = comps.groupBy("comp").agg(F.ceil(F.count("*") / side).cast("int").alias("blocks")).where("blocks > 1")
+    members = comps.join(blocks, "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    members = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = members.join(copies, "node").join(sets.select("node", "values"), "node")
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "own", "copies", "values"
+    )
+    dealt = dealt.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
+    found = dealt.mapInPandas(_partners(80), "node long, links long").groupBy("node").agg(F.sum("links").alias("others"))
+    links = copies.join(found, "node", "left")
+    return links.select("node", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"))
+
+
+def similarity_components(docs: DataFrame, side: int = SIDE) -> DataFrame:
     """Components of documents (doc_id, text) whose shingle sets have a Jaccard similarity of 0.8 or more.
 
-    Returns row, doc_id, n_shingles, component_id and links. `row` numbers the rows of the stored table `docs`;
+    Returns row, doc_id, n_shingles, component_id, links and comp. `row` numbers the rows of the stored table `docs`;
     component_id is the smallest doc_id reachable, null ids aside (null where the component has no other).
     Null and empty texts have no shingles and stay alone; equal sets, repeated rows among them, share a component, and
-    an empty table gives an empty table. `links` counts the checked links of a row's set, a lower bound of its partners.
-    Sets and shingles are told apart by 64-bit hashes. Other columns of docs are ignored.
+    an empty table gives an empty table. `links` counts the other rows that a row links with, those with an equal set
+    among them. Sets and shingles are told apart by 64-bit hashes. Other columns of docs are ignored.
     """
+    keys, sets, comps = _joined(docs)
+    return _placed(keys, comps).join(written(_links(keys, sets, comps, side), "links"), F.col("own") == F.col("node"), "left").select(
+        "row", "doc_id", "n_shingles", "component_id", F.coalesce("links", F.lit(0)).alias("links"), "comp"
+    )
+
+
+def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their nodes, the sets of the nodes that share a signature, and the component of each node with a link."""
     spark = docs.sparkSession
     docs = with_row_id(docs.select(id_in(), "text"), "row")
     keys = written(docs.mapInPandas(_keys, "row long, doc_id long, n long, node long").withColumn("doc_id", id_out()), "keys")
@@ -322,24 +417,25 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     )
     more = _checked(near, sets)
     every = links.unionByName(more)
-    comps = written(connected_components(every), "comps")
-    degree = every.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    return keys, sets, written(connected_components(every), "comps")
+
 
+def _placed(keys: DataFrame, comps: DataFrame) -> DataFrame:
+    """Each row with its node as `own`, its component and that component's smallest doc_id."""
     placed = (
         keys.join(comps, "node", "left")
-        .join(degree, "node", "left")
         .withColumn("comp", F.coalesce("comp", "node"))
-        .select("row", "doc_id", F.col("n").alias("n_shingles"), "comp", F.coalesce("links", F.lit(0)).alias("links"))
+        .select("row", "doc_id", F.col("n").alias("n_shingles"), "comp", F.col("node").alias("own"))
     )
     placed = written(placed, "placed")
-    least = placed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min("row").alias("first"))
+    least = placed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return placed.join(least, "comp", "left").select(
         "row",
         "doc_id",
         "n_shingles",
         F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        "links",
         "comp",
+        "own",
     )
 
 
@@ -348,7 +444,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows with that doc_id the first stays; rows without words stay all. Columns and their names are those of docs.
     """
-    rows = similarity_components(docs)
+    keys, _, comps = _joined(docs)
+    rows = _placed(keys, comps)
     firsts = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
     keep = rows.where("comp is null").select("row").unionByName(firsts.select("first.row"))
     name = "__nj_row"

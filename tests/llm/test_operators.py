@@ -94,6 +94,23 @@ def test_ngram_join(docs, rows):
     assert kept.count() == len({find(i) for i in range(n) if sets[i]}) + sum(not s for s in sets)
 
 
+def test_ngram_join_counts_every_link(spark, docs, rows, tmp_path):
+    def want(texts):
+        sets = [sets_of(t) for t in texts]
+        both = lambda x, y: len(x & y)
+        return [sum(i != j and bool(x) and 100 * both(x, y) >= 80 * (len(x) + len(y) - both(x, y)) for j, y in enumerate(sets)) for i, x in enumerate(sets)]
+
+    count = Counter(zip((r[0] for r in rows), want([r[1] for r in rows]), strict=True))
+    assert Counter((r["doc_id"], r["links"]) for r in ngram_join.similarity_components(docs).collect()) == count
+    draw = random.Random(8)
+    base = [str(draw.random()) for _ in range(90)]
+    texts = [" ".join(draw.choice("xyz") + w if draw.random() < 0.015 else w for w in base) for _ in range(150)]
+    path = str(tmp_path / "near")
+    spark.createDataFrame(list(enumerate([*texts, *texts[:20]])), "doc_id long, text string").repartition(3).write.parquet(path)
+    got = {r["doc_id"]: r["links"] for r in ngram_join.similarity_components(spark.read.parquet(path), side=7).collect()}
+    assert [got[i] for i in range(170)] == want([*texts, *texts[:20]]) and len(set(got.values())) > 5
+
+
 def test_segments_hold_for_every_size():
     for n in [*range(15, 400), 1000, 5000, 70_000]:
         band = int(np.searchsorted(ngram_join.EDGES, n, side="right")) - 1
