@@ -13,6 +13,7 @@ import re
 import zlib
 from array import array
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from foliant.llm.common import chunks, id_in, id_out, with_row_id, written
 
 CAPACITY = 2048
-#: Pieces a task packs at a time, and bins it searches at most for an exchange once best fit has left more than the lower bound.
-BLOCK, EXCHANGES = 8192, 1000
+#: Pieces a task packs at a time.
+BLOCK = 8192
 #: Distinct words, and parts of words, of a generation whose ids a worker keeps.
 CACHE = 250_000
 #: White space to Python's str.split but perhaps not to the tokenizer.
@@ -152,57 +153,69 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(sizes: list[int], bins: list[list[int]], capacity: int, tries: int = EXCHANGES) -> list[list[int]]:
-    """Exchanges items between underfull bins, the least filled first, until bins are empty or no exchange helps.
+def local_search(sizes: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
+    """Exchanges items between underfull bins, the least filled first, until as few bins as fit are left or no exchange helps.
 
-    Each exchange moves weight from a bin to one at least as full, which raises the sum of squared fills.
+    Each exchange moves weight from a bin to one at least as full, which raises the sum of squared fills, so the search
+    ends. A bin that found no step waits; once all wait, each looks at the bins that have changed since, and the search
+    is over when none finds one.
     """
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    while len(bins) > least:
-        for d in sorted(range(len(bins)), key=fill.__getitem__):
-            tries -= 1
-            if tries < 0:
-                return bins
-            if fill[d] < capacity and (step := _step(sizes, bins, fill, d, capacity)):
+    size, bins = np.array(sizes, dtype=np.int64), [list(b) for b in bins]
+    at = np.zeros(len(size), dtype=np.int64)
+    for b, items in enumerate(bins):
+        at[items] = b
+    fill = np.bincount(at, weights=size, minlength=len(bins)).astype(np.int64)
+    least, live, clock, again = -(-int(fill.sum()) // capacity), len(bins), 0, False
+    waits, changed, checked = fill >= capacity, np.zeros(len(bins), dtype=np.int64), np.full(len(bins), -1)
+    while live > least:
+        if waits.all():
+            if not again:
                 break
-        else:
-            return bins
+            waits, again = (fill >= capacity) | (fill == 0), False
+            continue
+        d = int(np.where(waits, capacity, fill).argmin())
+        step = _step(size, at, fill, bins[d], d, capacity, changed > checked[d])
+        if not step:
+            waits[d], checked[d] = True, clock
+            continue
         give, b, take = step
-        for i in give:
-            bins[d].remove(i)
-        for i in take:
-            bins[b].remove(i)
-        bins[d] += take
-        bins[b] += give
-        gain = sum(sizes[i] for i in give) - sum(sizes[i] for i in take)
+        clock, again = clock + 1, True
+        bins[d] = [i for i in bins[d] if i not in give] + take
+        bins[b] = [i for i in bins[b] if i not in take] + give
+        at[give], at[take] = b, d
+        gain = int(size[give].sum() - size[take].sum())
         fill[d] -= gain
         fill[b] += gain
-        if not bins[d]:
-            del bins[d], fill[d]
-    return bins
+        for x in (d, b):
+            changed[x], checked[x], waits[x] = clock, -1, not 0 < fill[x] < capacity
+        live -= not bins[d]
+    return [b for b in bins if b]
 
 
-def _step(sizes, bins, fill, d, capacity):
-    """(items that leave bin d, another bin, items that come back): the step that takes most out of d, else None."""
-    best, found = 0, None
-    own = sorted(bins[d], key=lambda i: -sizes[i])
-    pairs = [(i, j) for n, i in enumerate(own[:8]) for j in own[n + 1 : 8]]
-    for b, items in enumerate(bins):
-        room = capacity - fill[b]
-        if b == d or room <= best or fill[b] < fill[d]:
-            continue
-        for i in own:
-            if best < sizes[i] <= room:
-                best, found = sizes[i], ([i], b, [])
-            for t in items:
-                if best < sizes[i] - sizes[t] <= room:
-                    best, found = sizes[i] - sizes[t], ([i], b, [t])
-        for i, j in pairs:
-            for t in items:
-                if best < sizes[i] + sizes[j] - sizes[t] <= room:
-                    best, found = sizes[i] + sizes[j] - sizes[t], ([i, j], b, [t])
-    return found
+def _step(size, at, fill, own, d, capacity, fresh):
+    """(items that leave bin d, another bin, items that come back): the step that takes most out of d, else None.
+
+    One item or two leave, and none or one comes back; `fresh` says which bins to look at.
+    """
+    open_ = fresh & (fill >= fill[d]) & (fill < capacity)
+    open_[d] = False
+    there = np.flatnonzero(open_)
+    if not len(there):
+        return None
+    mine = size[own]
+    i, j = np.triu_indices(len(own), 1)
+    sums, first = np.unique(np.concatenate([mine, mine[i] + mine[j]]), return_index=True)
+    back = np.flatnonzero(open_[at])
+    take = np.concatenate([np.zeros(len(there), dtype=np.int64), size[back]])
+    bins = np.concatenate([there, at[back]])
+    most = np.searchsorted(sums, take + capacity - fill[bins], side="right") - 1
+    gain = np.where(most >= 0, sums[most] - take, 0)
+    k = int(gain.argmax())
+    if gain[k] <= 0:
+        return None
+    g = int(first[most[k]])
+    give = [own[g]] if g < len(own) else [own[i[g - len(own)]], own[j[g - len(own)]]]
+    return give, int(bins[k]), [] if k < len(there) else [int(back[k - len(there)])]
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:

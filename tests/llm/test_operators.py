@@ -312,6 +312,21 @@ def test_local_search_empties_a_bin():
     assert all(sum(sizes[i] for i in b) <= 10 for b in found)
 
 
+def test_local_search_ends_where_no_exchange_helps():
+    draw = random.Random(1)
+    sizes = [draw.randint(500, 1000) for _ in range(1500)]
+    found = packing.local_search(sizes, packing.best_fit(sizes, 2048), 2048)
+    assert sorted(i for b in found for i in b) == list(range(1500))
+    fills = [sum(sizes[i] for i in b) for b in found]
+    assert max(fills) <= 2048
+    for d, own in enumerate(found):
+        mine = [sizes[i] for i in own]
+        gives = {*mine, *(x + y for n, x in enumerate(mine) for y in mine[:n])}
+        for b, items in enumerate(found):
+            if b != d and fills[d] <= fills[b] < 2048 and fills[d] < 2048:
+                assert not any(0 < g - t <= 2048 - fills[b] for g in gives for t in (0, *(sizes[i] for i in items)))
+
+
 def test_licenses(spark, docs):
     texts = ["A line.\nReleased under the MIT License.", "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0.\nThis work is licensed under the GNU General Public License, version 3.", "Her driving license was renewed.", "nothing here", None]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
