@@ -1,10 +1,11 @@
 """Licence scan: a trained paragraph classifier, with DataFrame operations alone on the scanning path.
 
-A multinomial logistic regression over word n-grams (orders 1 to ORDERS that hold an anchor word) is fitted on the
-driver to variants of the notices below and to paragraphs that use the same words otherwise; a temperature fitted on
-other variants calibrates it. A paragraph is of a family when that family's probability is at least SURE, and unknown
-otherwise. The notice nearest to it by shared word pairs then confirms the family or does not. A paragraph without an
-anchor word has none of the n-grams, which makes it no licence for certain; such paragraphs leave the plan early.
+A multinomial logistic regression over word n-grams (orders 1 to ORDERS) is fitted on the driver to variants of the
+notices below and to paragraphs that use the same words otherwise; a temperature fitted on other variants calibrates it.
+A paragraph is a run of lines without a blank one; it is judged whole, for notices that are wrapped, and line by line.
+What is judged is of a family when that family's probability is at least SURE, and unknown otherwise. The notice nearest
+to it by shared word pairs then confirms the family or does not. Only what holds neither a licence word nor any of the
+words that `needed_words` derives from the weights leaves early: without one of those no family can come out on top.
 """
 
 from __future__ import annotations
@@ -36,24 +37,28 @@ NOTICES = {
         "Licensed under the MIT License.",
         "This software is distributed under the terms of the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "Licensed under the GNU General Public License v3.0 or later.",
+        "Distributed under the terms of the GPLv3.", "Released under the GPL, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
     ],
     "LGPL-2.1": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "Released under the LGPL, version 2.1.", "Distributed under the terms of the LGPLv2.1.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
     ],
     "BSD-3-Clause": [
         "Released under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties are disclaimed.",
     ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "Licensed under the Mozilla Public License, version 2.0.",
+        "Licensed under the Mozilla Public License, version 2.0.", "Released under the MPL 2.0.", "MPL 2.0",
     ],
     "CC-BY-NC-4.0": [
         "Licensed under CC BY-NC 4.0.",
@@ -68,10 +73,11 @@ NOTICES = {
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ],
 }
-# Words one of which every licence notice has, and paragraphs that use them otherwise.
+# Words that make a paragraph without a family count as unknown, and paragraphs that use them otherwise.
 ANCHORS = [
     "licence", "licences", "licensed", "license", "licenses", "redistribute", "redistribution", "permission", "copyright",
     "apache", "mit", "gnu", "gpl", "bsd", "mozilla", "cc", "commons",
+    "gplv2", "gplv3", "lgpl", "lgplv2", "lgplv2.1", "lgplv3", "agpl", "agplv3", "mpl", "cc0", "warranty",
 ]
 OTHERWISE = [
     "Her driving license was renewed in May.", "All rights reserved. Copyright by the authors.", "He asked for permission to leave the room.",
@@ -80,9 +86,12 @@ OTHERWISE = [
     "Released under an open source license of the company.", "This work is licensed to the buyer only.", "Licensed under the Artistic License 2.0.",
     "Wealth redistribution was the theme of the debate.", "Please send a cc to the office.", "This license may be revoked without notice.",
     "The program is free for members of the club.", "Mozilla released a new browser version.", "Version 2.0 of the license server is available.",
+    "Released under GPLv2 or later.", "Licensed under the AGPLv3.", "Dedicated to the public domain (CC0).", "The warranty of the machine ends after two years.",
+    "Distributed under the terms of the GPLv2.", "Released under the GPL, version 2.", "The house is sold as is.",
 ]
+#: Words of any English text, which `needed_words` tries to do without first.
+COMMON = "the of and to in a is it for that with be by as not or this are any may can at on from have".split()
 WORDS = r"[0-9a-z]+(?:\.[0-9]+)?"
-ANCHOR = rf"(?i)\b(?:{'|'.join(ANCHORS)})\b"
 
 
 def words(text: str) -> list[str]:
@@ -90,8 +99,7 @@ def words(text: str) -> list[str]:
 
 
 def ngrams(tokens: list[str]) -> set[str]:
-    anchors = set(ANCHORS)
-    return {" ".join(g) for n in range(1, ORDERS + 1) for i in range(len(tokens) - n + 1) if anchors & set(g := tokens[i : i + n])}
+    return {" ".join(tokens[i : i + n]) for n in range(1, ORDERS + 1) for i in range(len(tokens) - n + 1)}
 
 
 def pairs(tokens: list[str]) -> set[str]:
@@ -123,12 +131,13 @@ def fit(seed: int = SEED) -> dict:
     """Weights by n-gram and class, biases, and the calibrated temperature already divided out."""
     rows = _variants(random.Random(seed))
     classes = [*NOTICES, UNKNOWN]
-    vocabulary = sorted({g for t, _ in rows for g in ngrams(t)})
+    # n-grams across a notice and the words drawn around it mean nothing
+    vocabulary = sorted({g for t in [*sum(NOTICES.values(), []), *OTHERWISE] for g in ngrams(words(t))})
     index = {g: i for i, g in enumerate(vocabulary)}
     x = np.zeros((len(rows), len(vocabulary) + 1))
     x[:, -1] = 1
     for r, (tokens, _) in enumerate(rows):
-        x[r, [index[g] for g in ngrams(tokens)]] = 1
+        x[r, [index[g] for g in ngrams(tokens) if g in index]] = 1
     y = np.eye(len(classes))[[classes.index(f) for _, f in rows]]
     held = np.arange(len(rows)) % HELD == 0
     w = np.zeros((x.shape[1], len(classes)))
@@ -145,6 +154,30 @@ def fit(seed: int = SEED) -> dict:
     return {"classes": classes, "bias": w[-1].tolist(), "weights": {g: w[i].tolist() for g, i in index.items()}}
 
 
+def needed_words(model: dict) -> list[str]:
+    """Words one of which a text must hold for the model to put any family above unknown.
+
+    For each family, all n-grams without such a word together weigh less than unknown's lead without any n-gram.
+    """
+    k = model["classes"].index(UNKNOWN)
+    bias, grams = np.array(model["bias"]), list(model["weights"])
+    over = np.array([model["weights"][g] for g in grams])
+    over = np.maximum(np.delete(over - over[:, [k]], k, axis=1), 0)
+    lead = np.delete(bias[k] - bias, k)
+    if (lead <= 0).any():
+        raise ValueError("the model names a family where no n-gram speaks for it")
+    held: dict[str, list[int]] = {}
+    for i, g in enumerate(grams):
+        for w in set(g.split(" ")):
+            held.setdefault(w, []).append(i)
+    needed = set(held)
+    for w in sorted(held, key=lambda w: (w not in COMMON, over[held[w]].sum(axis=0).max(), w)):
+        rest = needed - {w}
+        if (sum((over[i] for i, g in enumerate(grams) if not rest & set(g.split(" "))), np.zeros(len(lead))) < 0.999 * lead).all():
+            needed = rest
+    return sorted(needed)
+
+
 def _softmax(z):
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -156,35 +189,42 @@ def _grams(tokens: Column, n: int) -> Column:
 
 
 def paragraphs(docs: DataFrame, model: dict | None = None) -> DataFrame:
-    """Paragraphs (lines) of the stored table `docs` (doc_id, text) that hold an anchor word, with their family.
+    """What is judged of the stored table `docs` (doc_id, text) and is of a family or holds a licence word.
 
-    Returns row, doc_id, paragraph (from 0), family, probability, notice_similarity, confirmed. Whole texts of any
-    length are read; null texts have no paragraphs; other columns are ignored.
+    Returns row, doc_id, paragraph (from 0), line (from 1; 0 for a paragraph of several lines as a whole), family,
+    probability, notice_similarity, confirmed. Whole texts of any length are read; null texts have no paragraphs; other
+    columns are ignored.
     """
     model = model or fit()
     spark = docs.sparkSession
     classes = model["classes"]
     rows = with_row_id(docs.select("doc_id", "text"), "row")
+    some = "(?i)(?<![0-9a-z])(?:" + "|".join(re.escape(w) for w in sorted({*needed_words(model), *ANCHORS})) + ")(?![0-9a-z])"
+    inside = F.split("block", "\n")
     lines = (
-        rows.where(F.col("text").rlike(ANCHOR))
-        .select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-        .where(F.col("line").rlike(ANCHOR))
-        .withColumn("tokens", F.regexp_extract_all(F.lower("line"), F.lit(WORDS), 0))
-        .select("row", "doc_id", "paragraph", "tokens")
+        rows.where(F.col("text").rlike(some))
+        .select("row", "doc_id", F.posexplode(F.split("text", r"\n(?:[ \t\r\f\x0B]*\n)+")).alias("paragraph", "block"))
+        .where(F.col("block").rlike(some))
+        .select("row", "doc_id", "paragraph", F.posexplode(F.concat(F.array(F.when(F.size(inside) > 1, F.col("block"))), inside)).alias("line", "part"))
+        .where(F.col("part").rlike(some))
+        .withColumn("tokens", F.regexp_extract_all(F.lower("part"), F.lit(WORDS), 0))
+        .select("row", "doc_id", "paragraph", "line", "tokens")
     )
     # the model's tables hold one row per n-gram or word pair of the fixed notices, whatever the input
     weights = spark.createDataFrame([(g, w) for g, w in model["weights"].items()], "gram string, w array<double>")
     notices = [(f, i, p, len(pairs(words(t)))) for f, ts in NOTICES.items() for i, t in enumerate(ts) for p in sorted(pairs(words(t)))]
     known = spark.createDataFrame(notices, "family string, notice int, gram string, notice_size int")
-    key = ["row", "doc_id", "paragraph"]
+    key = ["row", "doc_id", "paragraph", "line"]
     every = F.array_distinct(F.concat(*[_grams(F.col("tokens"), n) for n in range(1, ORDERS + 1)]))
-    found = lines.select(*key, F.explode(every).alias("gram")).join(F.broadcast(weights), "gram", "left")
-    z = found.groupBy(*key).agg(*[(F.coalesce(F.sum(F.col("w")[k]), F.lit(0.0)) + model["bias"][k]).alias(f"z{k}") for k in range(len(classes))])
+    cue = F.arrays_overlap("tokens", F.array(*[F.lit(w) for w in ANCHORS])).alias("cue")
+    found = lines.select(*key, cue, F.explode(every).alias("gram")).join(F.broadcast(weights), "gram", "left")
+    z = found.groupBy(*key).agg(F.first("cue").alias("cue"), *[(F.coalesce(F.sum(F.col("w")[k]), F.lit(0.0)) + model["bias"][k]).alias(f"z{k}") for k in range(len(classes))])
     top = F.greatest(*[F.col(f"z{k}") for k in range(len(classes))])
     z = z.withColumn("top", top).withColumn("sum", sum((F.exp(F.col(f"z{k}") - F.col("top")) for k in range(len(classes))), F.lit(0.0)))
     family = F.coalesce(*[F.when(F.col(f"z{k}") == F.col("top"), F.lit(c)) for k, c in enumerate(classes)])
-    judged = z.select(*key, (1 / F.col("sum")).alias("probability"), family.alias("guess"))
+    judged = z.select(*key, "cue", (1 / F.col("sum")).alias("probability"), family.alias("guess"))
     judged = judged.withColumn("family", F.when((F.col("guess") != UNKNOWN) & (F.col("probability") >= SURE), F.col("guess")).otherwise(F.lit(UNKNOWN)))
+    judged = judged.where(F.col("cue") | (F.col("family") != UNKNOWN))
     mine = lines.select(*key, F.explode(F.array_distinct(_grams(F.col("tokens"), 2))).alias("gram"))
     # share of the notice's word pairs that the paragraph has: words around a notice do not count against it
     near = mine.join(F.broadcast(known), "gram").groupBy(*key, "family", "notice").agg((F.count("*") / F.max("notice_size")).alias("similarity"))
@@ -197,16 +237,27 @@ def scan(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """One row per row of the stored table `docs`: doc_id, license, probability, similarity, confirmed, families, unknown.
 
     `license` is the surest confirmed family of the document's paragraphs, else the surest unconfirmed one, `unknown`
-    where only unknown paragraphs hold an anchor word, and null where none does. `families` lists all, in order;
-    `unknown` counts unknown paragraphs. Repeated rows are scanned alike; null ids stay null; an empty table gives an
+    where only unknown paragraphs hold a licence word, and null where none does. `families` lists all, in order;
+    `unknown` counts unknown lines, but not those of a paragraph that as a whole is of a family none of its lines is.
+    Repeated rows are scanned alike; null ids stay null; an empty table gives an
     empty table.
     """
     found = paragraphs(docs, model)
     named = F.col("family") != UNKNOWN
-    per_row = found.groupBy("row").agg(
-        F.max(F.struct((named & F.col("confirmed")).alias("sure"), named.alias("named"), "probability", "family", "notice_similarity")).alias("best"),
-        F.array_sort(F.collect_set(F.when(named, F.col("family")))).alias("families"),
-        F.sum(F.when(named, 0).otherwise(1)).alias("unknown"),
+    single = F.col("line") > 0
+    best = F.max(F.struct((named & F.col("confirmed")).alias("sure"), named.alias("named"), "probability", "family", "notice_similarity"))
+    per_paragraph = found.groupBy("row", "paragraph").agg(
+        best.alias("best"),
+        F.collect_set(F.when(named, F.col("family"))).alias("families"),
+        F.collect_set(F.when(named & single, F.col("family"))).alias("by_line"),
+        F.max(F.when(named & ~single, F.col("family"))).alias("whole"),
+        F.sum(F.when(~named & single, 1).otherwise(0)).alias("unknown"),
+    )
+    wrapped = F.col("whole").isNotNull() & ~F.array_contains("by_line", F.col("whole"))
+    per_row = per_paragraph.groupBy("row").agg(
+        F.max("best").alias("best"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("families")))).alias("families"),
+        F.sum(F.when(wrapped, 0).otherwise(F.col("unknown"))).alias("unknown"),
     )
     rows = with_row_id(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "row")
     return rows.join(per_row, "row", "left").select(

@@ -336,6 +336,25 @@ def test_licenses(spark, docs):
     assert license_scan.scan(docs).count() == docs.count()
 
 
+def test_licenses_by_short_names_and_wrapped(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify it\nunder the terms of the GNU General Public License as published\nby the Free Software Foundation, either version 3 of the License,\nor any later version."
+    mit = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,\nEXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
+    texts = ["It is distributed under the terms of the GPLv3.", "Released under GPLv2 or later.", "Used under the LGPL, version 2.1", "MPL 2.0", "AGPLv3", "public domain (CC0)", f"A story.\n\n{gpl}\n \nThe end.", mit, "The cat sat on the mat and in the house of the town."]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(rows.coalesce(1)).collect()}
+    assert [got[i]["license"] for i in range(9)] == ["GPL-3.0", "unknown", "LGPL-2.1", "MPL-2.0", "unknown", "unknown", "GPL-3.0", "MIT", None]
+    assert got[6]["confirmed"] and got[7]["confirmed"]
+
+
+def test_no_family_without_a_needed_word():
+    model = license_scan.fit()
+    needed, k = set(license_scan.needed_words(model)), model["classes"].index(license_scan.UNKNOWN)
+    rest = [w for g, w in model["weights"].items() if not needed & set(g.split(" "))]
+    for c in range(len(model["classes"])):
+        if c != k:
+            assert model["bias"][c] + sum(max(w[c] - w[k], 0) for w in rest) < model["bias"][k]
+
+
 def test_empty_tables(spark, empty):
     assert ngram_join.similarity_components(empty).count() == 0
     assert exact_dedup.groups(empty).count() == 0
