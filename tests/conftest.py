@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -10,4 +11,5 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from foliant.session import local_session
 
-    return local_session("tests", cpus=int(os.environ.get("TEST_CPUS", "4")))
+    with tempfile.TemporaryDirectory(prefix="checkpoints-") as shared:
+        yield local_session("tests", cpus=int(os.environ.get("TEST_CPUS", "4")), **{"spark.checkpoint.dir": shared})
