@@ -1,48 +1,72 @@
-"""Shared pieces of the training-data operators: shared storage, row ids and bounded batches."""
+"""Shared pieces of the training-data operators: shared storage, names of rows that hold across scans, bounded batches."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import uuid
+import re
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.session import stored as written  # noqa: F401
+
 #: A word is a maximal run of characters outside ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Columns that together name a row of a numbered table.
+ROW = ["row_file", "row_at"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+def numbered(df: DataFrame, names: list[str] = ROW) -> DataFrame:
+    """`df` with two columns that name each row: a hash of its file's path, and its place in that file.
+
+    These come from the stored file and not from how a scan is split, so they hold however often, and with however many
+    executors, the table is read. What is no scan of Parquet files is written to the shared folder first.
+    """
+    if _is_scan(df):
+        try:
+            return _named(df, names)
+        except AnalysisException:  # stored in another format
+            pass
+    return _named(written(df, "numbered"), names)
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether the plan takes rows of one stored table as they are, each once: columns are chosen and rows filtered."""
+    steps = [line.lstrip(" :+-") for line in df._jdf.queryExecution().analyzed().toString().splitlines()]
+    return all(re.match(r"(Project|Filter|Relation|SubqueryAlias)\b", s) for s in steps if s)
 
 
-def written(df: DataFrame, what: str, *partition_by: str) -> DataFrame:
-    """`df` written to the shared folder and read back: cuts the lineage, and a lost executor loses nothing of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _named(df: DataFrame, names: list[str]) -> DataFrame:
+    taken = {c.lower() for c in df.columns}
+    if taken & {n.lower() for n in names}:
+        raise ValueError(f"the table has columns named {names}")
+    return df.select("*", F.xxhash64("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1]))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that `df` does not have, whatever the case of its own."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        out.append(stem)
+    return out
+
+
+def quoted(df: DataFrame) -> list[Column]:
+    """The columns of `df` by name, whatever signs the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
 #: Stands for a null id on the way through pandas, which has no null among its integers.
@@ -66,12 +90,19 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """Numbers the rows of a stored table; two scans of one table under one session number them alike."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+def released(run):
+    """The batch function `run`, after whose last batch the worker gives its free memory back to the system."""
+
+    def through(batches):
+        yield from run(batches)
+        gc.collect()
+        if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return through
 
 
-def chunks(batches: Iterable, text: str = "text", most: int = 1 << 21) -> Iterator:
+def chunks(batches: Iterable, text: str = "text", most: int = 1 << 20) -> Iterator:
     """Splits pandas batches so that each part has about `most` characters, or one row that alone has more."""
     for batch in batches:
         if not len(batch):

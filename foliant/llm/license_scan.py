@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import with_row_id
+from foliant.llm.common import ROW, numbered
 
 ORDERS, SURE, CONFIRM = 3, 0.5, 0.5
 #: Variants of each notice to learn from, share of them kept for calibration, passes and penalty of the fit.
@@ -189,32 +189,35 @@ def _grams(tokens: Column, n: int) -> Column:
 
 
 def paragraphs(docs: DataFrame, model: dict | None = None) -> DataFrame:
-    """What is judged of the stored table `docs` (doc_id, text) and is of a family or holds a licence word.
+    """What is judged of `docs` (doc_id, text) and is of a family or holds a licence word.
 
-    Returns row, doc_id, paragraph (from 0), line (from 1; 0 for a paragraph of several lines as a whole), family,
+    Returns the names of the row, doc_id, paragraph (from 0), line (from 1; 0 for a paragraph of several lines as a whole), family,
     probability, notice_similarity, confirmed. Whole texts of any length are read; null texts have no paragraphs; other
     columns are ignored.
     """
+    return _judged(numbered(docs.select("doc_id", "text")), model)
+
+
+def _judged(rows: DataFrame, model: dict | None) -> DataFrame:
     model = model or fit()
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     classes = model["classes"]
-    rows = with_row_id(docs.select("doc_id", "text"), "row")
     some = "(?i)(?<![0-9a-z])(?:" + "|".join(re.escape(w) for w in sorted({*needed_words(model), *ANCHORS})) + ")(?![0-9a-z])"
     inside = F.split("block", "\n")
     lines = (
         rows.where(F.col("text").rlike(some))
-        .select("row", "doc_id", F.posexplode(F.split("text", r"\n(?:[ \t\r\f\x0B]*\n)+")).alias("paragraph", "block"))
+        .select(*ROW, "doc_id", F.posexplode(F.split("text", r"\n(?:[ \t\r\f\x0B]*\n)+")).alias("paragraph", "block"))
         .where(F.col("block").rlike(some))
-        .select("row", "doc_id", "paragraph", F.posexplode(F.concat(F.array(F.when(F.size(inside) > 1, F.col("block"))), inside)).alias("line", "part"))
+        .select(*ROW, "doc_id", "paragraph", F.posexplode(F.concat(F.array(F.when(F.size(inside) > 1, F.col("block"))), inside)).alias("line", "part"))
         .where(F.col("part").rlike(some))
         .withColumn("tokens", F.regexp_extract_all(F.lower("part"), F.lit(WORDS), 0))
-        .select("row", "doc_id", "paragraph", "line", "tokens")
+        .select(*ROW, "doc_id", "paragraph", "line", "tokens")
     )
     # the model's tables hold one row per n-gram or word pair of the fixed notices, whatever the input
     weights = spark.createDataFrame([(g, w) for g, w in model["weights"].items()], "gram string, w array<double>")
     notices = [(f, i, p, len(pairs(words(t)))) for f, ts in NOTICES.items() for i, t in enumerate(ts) for p in sorted(pairs(words(t)))]
     known = spark.createDataFrame(notices, "family string, notice int, gram string, notice_size int")
-    key = ["row", "doc_id", "paragraph", "line"]
+    key = [*ROW, "doc_id", "paragraph", "line"]
     every = F.array_distinct(F.concat(*[_grams(F.col("tokens"), n) for n in range(1, ORDERS + 1)]))
     cue = F.arrays_overlap("tokens", F.array(*[F.lit(w) for w in ANCHORS])).alias("cue")
     found = lines.select(*key, cue, F.explode(every).alias("gram")).join(F.broadcast(weights), "gram", "left")
@@ -234,7 +237,7 @@ def paragraphs(docs: DataFrame, model: dict | None = None) -> DataFrame:
 
 
 def scan(docs: DataFrame, model: dict | None = None) -> DataFrame:
-    """One row per row of the stored table `docs`: doc_id, license, probability, similarity, confirmed, families, unknown.
+    """One row per row of `docs`: doc_id, license, probability, similarity, confirmed, families, unknown.
 
     `license` is the surest confirmed family of the document's paragraphs, else the surest unconfirmed one, `unknown`
     where only unknown paragraphs hold a licence word, and null where none does. `families` lists all, in order;
@@ -242,11 +245,12 @@ def scan(docs: DataFrame, model: dict | None = None) -> DataFrame:
     Repeated rows are scanned alike; null ids stay null; an empty table gives an
     empty table.
     """
-    found = paragraphs(docs, model)
+    docs = numbered(docs.select("doc_id", "text"))
+    found = _judged(docs, model)
     named = F.col("family") != UNKNOWN
     single = F.col("line") > 0
     best = F.max(F.struct((named & F.col("confirmed")).alias("sure"), named.alias("named"), "probability", "family", "notice_similarity"))
-    per_paragraph = found.groupBy("row", "paragraph").agg(
+    per_paragraph = found.groupBy(*ROW, "paragraph").agg(
         best.alias("best"),
         F.collect_set(F.when(named, F.col("family"))).alias("families"),
         F.collect_set(F.when(named & single, F.col("family"))).alias("by_line"),
@@ -254,13 +258,13 @@ def scan(docs: DataFrame, model: dict | None = None) -> DataFrame:
         F.sum(F.when(~named & single, 1).otherwise(0)).alias("unknown"),
     )
     wrapped = F.col("whole").isNotNull() & ~F.array_contains("by_line", F.col("whole"))
-    per_row = per_paragraph.groupBy("row").agg(
+    per_row = per_paragraph.groupBy(*ROW).agg(
         F.max("best").alias("best"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("families")))).alias("families"),
         F.sum(F.when(wrapped, 0).otherwise(F.col("unknown"))).alias("unknown"),
     )
-    rows = with_row_id(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "row")
-    return rows.join(per_row, "row", "left").select(
+    rows = docs.select(*ROW, F.col("doc_id").cast("long").alias("doc_id"))
+    return rows.join(per_row, ROW, "left").select(
         "doc_id",
         F.col("best.family").alias("license"),
         F.col("best.probability").alias("probability"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import WORD, with_row_id, written
+from foliant.llm.common import ROW, WORD, fresh, numbered, written
 
 #: Weights of the sources in code point order, repeating; most copies of a document; seed of the offsets.
 WEIGHTS, MOST, SEED = (1, 2, 3), 3, "mix"
@@ -46,13 +46,19 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """How often the mix takes each row of the stored table `docs` (doc_id, text, source).
+    """How often the mix takes each row of `docs` (doc_id, text, source).
 
-    Returns row, doc_id, size, source_size, target, copies. A null text has size 0, a null source is a source of its
-    own behind the others, a null id stands first in its size. Rows alike in source, size and id may stand in either
-    order, which leaves the result the same. Other columns are ignored; an empty table gives an empty table.
+    Returns doc_id, size, source_size, target, copies and the names of the row. A null text has size 0, a null source is
+    a source of its own behind the others, a null id stands first in its size. Rows alike in source, size and id may
+    stand in either order, which leaves the result the same. Other columns are ignored; an empty table gives an empty
+    table.
     """
-    slim = with_row_id(docs.select("doc_id", "source", "text"), "row").select("row", "doc_id", "source", word_count(F.col("text")).alias("size"))
+    return _taken(numbered(docs.select("doc_id", "source", "text")), weights, most)
+
+
+def _taken(docs: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    # words are counted once: what follows, the sample for the ranges too, reads their numbers
+    slim = written(docs.select(*ROW, "doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     # ranges of (source, size, id): their number follows the data, and one source may fill many of them
     ranged = slim.repartitionByRange("source", "size", "doc_id").sortWithinPartitions("source", "size", "doc_id")
     place = F.monotonically_increasing_id()
@@ -68,13 +74,14 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rank = F.col("before") + F.col("__place") - F.col("least")
     taken = F.floor(F.least(F.lit(float(most)), rate) * (rank + 1) + F.col("offset")) - F.floor(F.least(F.lit(float(most)), rate) * rank + F.col("offset"))
-    return joined.select("row", "doc_id", "size", "source_size", "target", taken.cast("long").alias("copies"))
+    return joined.select(*ROW, "doc_id", "size", "source_size", "target", taken.cast("long").alias("copies"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """The mix itself: the rows of the stored table `docs`, each as often as it is taken, with the columns of docs."""
-    name = "__mx_row"
-    taken = copies(docs, weights, most).where("copies > 0").select(F.col("row").alias(name), F.col("copies").alias("__mx_copies"))
-    joined = with_row_id(docs, name).join(taken, name)
-    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mx_copies")))
-    return joined.withColumn("__mx_copy", times).drop(name, "__mx_copies", "__mx_copy")
+    """The mix itself: the rows of `docs`, each as often as it is taken, with the columns of docs whatever their names."""
+    names = fresh(docs, *ROW)
+    times, copy = fresh(docs, "mix_times", "mix_copy")
+    stored = numbered(docs, names)
+    taken = _taken(stored.select(*[F.col(a).alias(b) for a, b in zip(names, ROW, strict=True)], "doc_id", "source", "text"), weights, most)
+    taken = taken.where("copies > 0").select(*[F.col(a).alias(b) for a, b in zip(ROW, names, strict=True)], F.col("copies").alias(times))
+    return stored.join(taken, names).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).drop(*names, times, copy)
