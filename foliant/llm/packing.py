@@ -1,16 +1,16 @@
 """Best-fit packing of token pieces into sequences, improved by a swap-based local search.
 
-Pieces are dealt at random into blocks of about BLOCK pieces, and each block is packed by one task: best fit in
-descending size first, then a local search that empties the least filled bin by moves, one-for-one and two-for-one
-exchanges, each of which raises the sum of squared fills. A block wastes less than about one sequence, so blocks cost
-next to nothing while the work stays in proportion to the input, whatever the sizes or ids have in common.
+Pieces are dealt at random into blocks of about BLOCK pieces, and each block is packed by one task. Pieces first go, in
+the order they come, where they leave the least room; the local search then empties the least filled bins by moves,
+one-for-one and two-for-one exchanges between underfull bins, each of which raises the sum of squared fills. Where it
+ends above the volume bound, all short pieces are locked in full bins: the underfull bins and some full ones are filled
+anew, largest first, and searched again, with more and more full bins until the bound is met or all took part.
 """
 
 from __future__ import annotations
 
 import contextlib
 import re
-import zlib
 from array import array
 
 import numpy as np
@@ -18,13 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import chunks, id_in, id_out, with_row_id, written
+from foliant.llm.common import ROW, chunks, fresh, id_in, id_out, numbered, quoted, released, written
 
 CAPACITY = 2048
-#: Pieces a task packs at a time.
-BLOCK = 8192
+#: Pieces a task packs at a time, and full bins that are first filled anew with the underfull ones.
+BLOCK, ANEW = 8192, 64
 #: Distinct words, and parts of words, of a generation whose ids a worker keeps.
-CACHE = 250_000
+CACHE = 200_000
 #: White space to Python's str.split but perhaps not to the tokenizer.
 ODD = re.compile("[\x1c-\x1f]")
 VOCABULARY = "word_bpe_49k.json"
@@ -73,7 +73,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)", re.IGNORECASE)
         self.pattern = regex.compile(PARTS)
         self.words = Cache(self._word)
         self.parts = Cache(self._part)
@@ -93,7 +94,7 @@ class WordIds:
         return b"".join(self.parts.all(self.pattern.findall(word.lower())))
 
     def _text(self, text: str) -> bytes:
-        if ODD.search(text):
+        if ODD.search(text) or self.special.search(text):
             return self._encoded(text)
         with contextlib.suppress(UnicodeEncodeError):
             text.encode("latin-1")
@@ -105,36 +106,35 @@ class WordIds:
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece of each document (doc_id, text): doc_id, piece, start, length, ids_crc32.
+    """One row per piece of each document (doc_id, text): doc_id, piece, start, length, ids (4 bytes each, little-endian).
 
     A document is the ids of its whole text, then id 0; null counts as empty. Only documents of more than `capacity`
     ids are cut, into pieces of `capacity` of which the last may be shorter.
     """
     path = path or vocabulary_path(VOCABULARY)
-    ids: list[WordIds] = []
+    made: list[WordIds] = []
 
     def run(batches):
-        if not ids:
-            ids.append(WordIds(path))
+        if not made:
+            made.append(WordIds(path))
         for part in chunks(batches, most=1 << 20):
             rows = []
-            for doc_id, data in zip(part["doc_id"], ids[0](part["text"].tolist()), strict=True):
+            for doc_id, data in zip(part["doc_id"], made[0](part["text"].tolist()), strict=True):
                 data += b"\0\0\0\0"
                 for i, at in enumerate(range(0, len(data), 4 * capacity)):
                     piece = data[at : at + 4 * capacity]
-                    rows.append((doc_id, i, at // 4, len(piece) // 4, zlib.crc32(piece)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append((doc_id, i, at // 4, len(piece) // 4, piece))
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return docs.select(id_in(), "text").mapInPandas(run, schema)
+    return docs.select(id_in(), "text").mapInPandas(released(run), "doc_id long, piece int, start long, length long, ids binary")
 
 
-def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Bins of item numbers: each item, largest first, goes where it leaves the least room."""
+def best_fit(sizes: list[int], order: list[int], capacity: int) -> list[list[int]]:
+    """Bins of item numbers: each item, in the given order, goes where it leaves the least room."""
     bins: list[list[int]] = []
     by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
     rooms = 0  # bit r: some bin has room r
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+    for i in order:
         size = sizes[i]
         fit = rooms >> size
         if fit:
@@ -153,6 +153,26 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def packed(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Bins of item numbers: a fill in the order of arrival, the local search, and new fills where it is stuck."""
+    bins = local_search(sizes, best_fit(sizes, list(range(len(sizes))), capacity), capacity)
+    least, anew = -(-sum(sizes) // capacity), ANEW
+    while len(bins) > least:
+        fills = [sum(sizes[i] for i in b) for b in bins]
+        # underfull bins first, then full ones by their mean item
+        order = sorted(range(len(bins)), key=lambda b: (fills[b] == capacity, fills[b] / len(bins[b])))
+        some = [bins[b] for b in order[: sum(f < capacity for f in fills) + anew]]
+        items = [i for b in some for i in b]
+        own = [sizes[i] for i in items]
+        again = local_search(own, best_fit(own, sorted(range(len(own)), key=lambda i: -own[i]), capacity), capacity)
+        if len(again) < len(some):
+            bins = [bins[b] for b in order[len(some) :]] + [[items[i] for i in b] for b in again]
+        if len(some) == len(order):
+            break
+        anew *= 8
+    return bins
+
+
 def local_search(sizes: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Exchanges items between underfull bins, the least filled first, until as few bins as fit are left or no exchange helps.
 
@@ -222,28 +242,30 @@ def pack(items: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Data
     """Adds sequence_id and offset to the stored table `items`, whose `length` is 1 to `capacity`.
 
     All columns of items stay (its own `sequence_id` and `offset` would be replaced). Repeated rows are packed as often
-    as they come; ties go by their number in the table, so reruns agree. An empty table gives an empty table.
+    as they come, and lie in different blocks. An empty table gives an empty table.
     """
     kept = items.drop("sequence_id", "offset")
+    names = fresh(kept, *ROW)
+    order, place = fresh(kept, "pack_order", "pack_block")
     blocks = max(1, -(-kept.count() // block))
-    dealt = with_row_id(kept, "__pk_row").withColumn("__pk_block", F.pmod(F.xxhash64("__pk_row"), F.lit(blocks)))
-    names = kept.columns
+    stored = numbered(kept, names)
+    dealt = stored.withColumn(order, F.xxhash64(names[1], *quoted(kept))).withColumn(place, F.pmod(order, F.lit(blocks)))
+    columns = kept.columns
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("__pk_row", ignore_index=True)
+        group = group.sort_values([order, *names], ignore_index=True)
         sizes = group["length"].tolist()
-        bins = local_search(sizes, best_fit(sizes, capacity), capacity)
         sequence, offset = [0] * len(sizes), [0] * len(sizes)
-        base = int(group["__pk_block"].iloc[0]) << 32
-        for b, members in enumerate(bins):
+        base = int(group[place].iloc[0]) << 32
+        for b, members in enumerate(packed(sizes, capacity)):
             at = 0
             for i in members:
                 sequence[i], offset[i] = base + b, at
                 at += sizes[i]
-        return group[names].assign(sequence_id=sequence, offset=offset)
+        return group[columns].assign(sequence_id=sequence, offset=offset)
 
     schema = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes) + ", sequence_id long, offset long"
-    return dealt.groupBy("__pk_block").applyInPandas(run, schema)
+    return dealt.groupBy(place).applyInPandas(run, schema)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -252,6 +274,19 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     Null and empty texts are one piece of one id. Null ids stay null; repeated rows are packed as often as they come;
     other columns are ignored.
     """
-    return pack(written(pieces(docs, path, capacity), "pieces"), capacity).withColumn("doc_id", id_out())
+    found = pieces(docs, path, capacity).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return pack(written(found, "pieces"), capacity).withColumn("doc_id", id_out())
 
 
+def sequences(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """The packed sequences of documents (doc_id, text) themselves: sequence_id, ids and doc_ids, a row per sequence.
+
+    `ids` are its token ids, four bytes each, and `doc_ids` the documents of its pieces in order; nulls and repeated rows
+    as in `pack_documents`. The pieces are written once, and only their lengths are packed.
+    """
+    stored = numbered(written(pieces(docs, path, capacity), "pieces"))
+    placed = pack(written(stored.select(*[F.col(c).alias(f"of_{c}") for c in ROW], "length"), "lengths"), capacity)
+    rows = stored.join(placed.drop("length"), [F.col(c) == F.col(f"of_{c}") for c in ROW])
+    one = F.sort_array(F.collect_list(F.struct("offset", id_out(), "ids"))).alias("parts")
+    parts = rows.groupBy("sequence_id").agg(one)
+    return parts.select("sequence_id", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["ids"])), "")).alias("ids"), F.col("parts.doc_id").alias("doc_ids"))
