@@ -4,19 +4,19 @@ The vocabulary's own scores order the pieces and give the first probabilities; e
 word of the training texts, weighted by its count, then fit them. A word's probability is the sum over all ways to
 write it as pieces (forward recursion in log space); pieces never cross words, so a text's is the product of its words'
 and of one end. Beside it stands a smoothed word unigram whose counts cover the whole training part of the corpus:
-the most frequent words reach the scoring tasks as a table of at most HEAD entries, all others by a join.
+the most frequent words reach the scoring tasks as a table of at most HEAD entries, all others by a join on 64 bits.
 """
 
 from __future__ import annotations
 
-import re
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import chunks, id_in, remainder, with_row_id, written
+from foliant.llm.common import ROW, chunks, id_in, id_out, numbered, released, remainder, written
 from foliant.llm.kernels import FOLD, joined, span_hashes, word_spans
 from foliant.llm.packing import vocabulary_path
 
@@ -24,9 +24,13 @@ VOCABULARY = "piece_bpe_32k.model"
 #: Entries of the broadcast table of frequent words, whatever the corpus: 16 bytes each.
 HEAD = 1 << 17
 #: Expectation steps, mass given to the first probabilities in each, and words whose score a worker keeps.
-STEPS, PRIOR, CACHE = 2, 0.01, 400_000
-#: Words up to this many bytes go through the array recursion, longer ones one by one.
-LONG = 64
+STEPS, PRIOR, CACHE = 3, 0.01, 400_000
+#: Words up to this many bytes go through the recursion together, longer ones alone, so many bytes at a time.
+LONG, SLICE = 64, 1 << 14
+#: Words that go through the recursion together.
+TOGETHER = 50_000
+#: Levels of a doubling by which counts are sorted to find the most frequent words.
+LEVELS = 16
 _U = np.uint64
 
 
@@ -85,9 +89,16 @@ class Lattice:
         return self._run(words, None)
 
     def expect(self, words: list[bytes], count: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece when each word comes `count` times."""
+        """Expected uses of each piece when each word comes `count` times; longer words count as stretches of LONG bytes."""
         uses = np.zeros(len(self.pieces))
-        self._run(words, (count, uses))
+        long = [i for i, w in enumerate(words) if len(w) >= LONG]
+        if long:
+            parts = [(words[i][at : at + LONG - 1], count[i]) for i in long for at in range(0, len(words[i]), LONG - 1)]
+            kept = np.setdiff1d(np.arange(len(words)), long)
+            words = [words[i] for i in kept] + [w for w, _ in parts]
+            count = np.concatenate([count[kept], [c for _, c in parts]])
+        for at in range(0, len(words), TOGETHER):
+            self._run(words[at : at + TOGETHER], (count[at : at + TOGETHER], uses))
         return uses
 
     def _run(self, words, wanted):
@@ -96,7 +107,7 @@ class Lattice:
         short = np.flatnonzero(size <= LONG)
         short = short[np.argsort(-size[short], kind="stable")]
         for i in np.flatnonzero(size > LONG):
-            out[i] = self._one(b" " + words[i], None if wanted is None else (float(wanted[0][i]), wanted[1]))
+            out[i] = self._alone(b" " + words[i])
         if not len(short):
             return out
         data = np.frombuffer(b"".join(b" " + words[i] for i in short), dtype=np.uint8)
@@ -125,19 +136,31 @@ class Lattice:
             uses += np.bincount(np.concatenate(ids), np.concatenate(amount), minlength=len(uses))
         return out
 
-    def _one(self, word: bytes, wanted):
-        n = len(word)
-        alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
-        alpha[0] = beta[n] = 0.0
-        arcs = [[(int(d), p) for d in self.lengths if d <= j and (p := self.by_text.get(word[j - int(d) : j])) is not None] for j in range(n + 1)]
-        for j in range(1, n + 1):
-            alpha[j] = np.logaddexp.reduce([alpha[j - d] + self.log[p] for d, p in arcs[j]])
-        if wanted is not None:
-            for j in range(n, 0, -1):
-                for d, p in arcs[j]:
-                    wanted[1][p] += wanted[0] * np.exp(alpha[j - d] + self.log[p] + beta[j] - alpha[n])
-                    beta[j - d] = np.logaddexp(beta[j - d], self.log[p] + beta[j])
-        return alpha[n]
+    def _alone(self, word: bytes) -> float:
+        """Log probability of one word of any length: its matches are found a slice at a time, and few sums are kept."""
+        data, most = np.frombuffer(word, dtype=np.uint8), int(self.lengths[-1])
+        sums = [0.0]  # of the last places, the latest at the end
+        for low in range(0, len(word), SLICE):
+            stop = np.arange(low + 1, min(low + SLICE, len(word)) + 1)
+            ends, back, log = [], [], []
+            for d in self.lengths:
+                end = stop[stop >= d]
+                key = _keys(data, end - d, int(d))
+                at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+                hit = np.flatnonzero(self.key[at] == key)
+                ends.append(end[hit])
+                back.append(np.full(len(hit), d))
+                log.append(self.log[self.id[at[hit]]])
+            ends = np.concatenate(ends)
+            order = np.argsort(ends, kind="stable")
+            bounds = np.searchsorted(ends[order], np.append(stop, stop[-1] + 1)).tolist()
+            back, log = np.concatenate(back)[order].tolist(), np.concatenate(log)[order].tolist()
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                terms = [sums[-back[k]] + log[k] for k in range(a, b)]
+                top = max(terms)
+                sums.append(top + math.log(sum([math.exp(t - top) for t in terms])))
+            del sums[:-most]
+        return sums[-1]
 
 
 def _keys(data: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
@@ -174,8 +197,7 @@ def _expectation(lattice: Lattice):
         uses = np.zeros(len(lattice.pieces))
         for batch in batches:
             words, count = batch["word"].tolist(), batch["c"].to_numpy(dtype=float)
-            for i in range(0, len(words), 50_000):
-                uses += lattice.expect(words[i : i + 50_000], count[i : i + 50_000])
+            uses += lattice.expect(words, count)
         used = np.flatnonzero(uses)
         yield pd.DataFrame({"piece": used, "uses": uses[used]})
 
@@ -196,7 +218,7 @@ def fit(vocab: DataFrame, texts: int, path: str) -> tuple[list[bytes], np.ndarra
     pieces, first = read_pieces(path)
     probability = first
     for _ in range(STEPS):
-        rows = vocab.mapInPandas(_expectation(Lattice(pieces, probability)), "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
+        rows = vocab.mapInPandas(released(_expectation(Lattice(pieces, probability))), "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
         uses = np.zeros(len(pieces))
         for r in sorted(rows, key=lambda r: r["piece"]):
             uses[r["piece"]] = r["uses"]
@@ -218,8 +240,8 @@ def _score(lattice: Lattice, head_key: np.ndarray, head_count: np.ndarray, total
         out = np.empty(len(key))
         if len(known["key"]):
             out[:] = known["log"][at]
-        for i in range(0, len(new), 50_000):
-            out[new[i : i + 50_000]] = lattice.forward(words_of(new[i : i + 50_000]))
+        for i in range(0, len(new), TOGETHER):
+            out[new[i : i + TOGETHER]] = lattice.forward(words_of(new[i : i + TOGETHER]))
         if len(new):
             if len(known["key"]) + len(new) > CACHE:
                 known.update(key=np.empty(0, dtype=np.uint64), log=np.empty(0))
@@ -231,7 +253,7 @@ def _score(lattice: Lattice, head_key: np.ndarray, head_count: np.ndarray, total
     def run(batches):
         for part in chunks(batches, most=1 << 23):
             data, a, b, doc, key, first, inverse = _distinct(part["text"].tolist())
-            row = part["row"].to_numpy()
+            row = part[ROW].to_numpy()
             raw = data.tobytes()
             log = scores(key, lambda at, a=a, b=b, first=first, raw=raw: [raw[i:j] for i, j in zip(a[first[at]], b[first[at]], strict=True)]) / np.log(10)
             n = np.bincount(doc, minlength=len(row))
@@ -241,7 +263,8 @@ def _score(lattice: Lattice, head_key: np.ndarray, head_count: np.ndarray, total
             value = np.where(in_head, np.log10((head_count[at] if len(head_count) else 0) + 0.1) - base, 0.0)
             yield pd.DataFrame(
                 {
-                    "row": row,
+                    **dict(zip(ROW, row.T, strict=True)),
+                    "doc_id": part["doc_id"].to_numpy(),
                     "key": pd.array([None] * len(row), dtype="Int64"),
                     "n": n + 1,
                     "known": np.bincount(doc, in_head[inverse], minlength=len(row)).astype(np.int64) + (ends > 0),
@@ -250,11 +273,13 @@ def _score(lattice: Lattice, head_key: np.ndarray, head_count: np.ndarray, total
                 }
             )
             rest = np.flatnonzero(~in_head[inverse])
-            pair, times = np.unique(doc[rest] * len(key) + inverse[rest], return_counts=True)
+            pair, times = np.unique(doc[rest] * max(1, len(key)) + inverse[rest], return_counts=True)
+            at, word = np.divmod(pair.astype(np.int64), max(1, len(key)))
             yield pd.DataFrame(
                 {
-                    "row": row[pair // len(key)] if len(pair) else np.empty(0, dtype=np.int64),
-                    "key": pd.array(key.view(np.int64)[pair % len(key)] if len(pair) else [], dtype="Int64"),
+                    **dict(zip(ROW, row[at].T, strict=True)),
+                    "doc_id": part["doc_id"].to_numpy()[at],
+                    "key": pd.array(key.view(np.int64)[word], dtype="Int64"),
                     "n": times,
                     "known": 0,
                     "base": 0.0,
@@ -265,6 +290,18 @@ def _score(lattice: Lattice, head_key: np.ndarray, head_count: np.ndarray, total
     return run
 
 
+def _head(counts: DataFrame) -> list:
+    """The most frequent words, at most HEAD: all from the least level of counts on that leaves no more than that."""
+    level = F.floor(F.log2("c") * LEVELS)
+    found, least = 0, None
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
+        found += r["n"]
+        if found > HEAD:
+            break
+        least = r["level"]
+    return [] if least is None else counts.where(level >= least).collect()
+
+
 def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Scores all documents (doc_id, text), learning from those whose crc32(doc_id) modulo 10 is not 0.
 
@@ -277,13 +314,13 @@ def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     train = remainder(F.col("doc_id"), 10) != 0
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     learned = docs.where(train)
-    vocab = written(learned.select("text").mapInPandas(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "vocab")
+    vocab = written(learned.select("text").mapInPandas(released(_count), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "vocab")
     ends = learned.count()
     sums = vocab.agg(F.sum("c").alias("c"), F.count("*").alias("v")).first()
     total, distinct = (sums["c"] or 0) + ends, sums["v"] + (ends > 0)
     pieces, probability = fit(vocab, ends, path)
-    counts = written(vocab.mapInPandas(_hashed, "key long, c long"), "counts")
-    head = counts.orderBy(F.desc("c"), "key").limit(HEAD).collect()
+    counts = written(vocab.mapInPandas(released(_hashed), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "counts")
+    head = _head(counts)
     head_key = np.array([r["key"] for r in head], dtype=np.int64).view(np.uint64)
     order = np.argsort(head_key)
     head_count = np.array([r["c"] for r in head], dtype=np.int64)[order]
@@ -297,36 +334,32 @@ def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
             made.append(_score(Lattice(p, q), k, c, total, distinct, ends))
         yield from made[0](batches)
 
-    rows = with_row_id(docs.select(id_in(), "text"), "row")
-    scored = rows.select("row", "text").mapInPandas(run, "row long, key long, n long, known long, base double, score double")
+    rows = numbered(docs).select(*ROW, id_in(), "text")
+    scored = rows.mapInPandas(released(run), "row_file long, row_at long, doc_id long, key long, n long, known long, base double, score double")
     # rows of whole documents have no key: they get one of their own each, so that they spread over the join's tasks
-    scored = scored.withColumn("own", F.col("key").isNull()).withColumn("key", F.coalesce("key", F.xxhash64("row")))
+    scored = scored.withColumn("own", F.col("key").isNull()).withColumn("key", F.coalesce("key", F.xxhash64(*ROW)))
     c = F.coalesce(F.col("c"), F.lit(0))
     full = float(np.log10(total + 0.1 * (distinct + 1)))
     per_row = (
         scored.join(counts, "key", "left")
         .select(
-            "row",
+            *ROW,
+            "doc_id",
             F.when(F.col("own"), F.col("n")).alias("n"),
             F.when(F.col("own"), F.col("known")).when(c > 0, F.col("n")).otherwise(0).alias("known"),
             F.when(F.col("own"), F.col("base")).otherwise(F.col("n") * (F.log10(c + 0.1) - full)).alias("base"),
             "score",
         )
-        .groupBy("row")
+        .groupBy(*ROW, "doc_id")
         .agg(*[F.sum(x).alias(x) for x in ("n", "known", "base", "score")])
+        .withColumn("doc_id", id_out())
     )
-    return (
-        with_row_id(docs.select("doc_id"), "row")
-        .join(per_row, "row")
-        .select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            (remainder(F.col("doc_id"), 10) == 0).alias("held_out"),
-            F.col("n").alias("n_tokens"),
-            F.col("known").alias("n_known"),
-            F.lit(total).cast("long").alias("train_tokens"),
-            F.col("base").alias("base_score"),
-            "score",
-        )
+    return per_row.select(
+        "doc_id",
+        (remainder(F.col("doc_id"), 10) == 0).alias("held_out"),
+        F.col("n").alias("n_tokens"),
+        F.col("known").alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"),
+        "score",
     )
-
-
