@@ -24,6 +24,8 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         last, mark = mark, _mark(links)
         if mark == last:
             break
+    else:
+        raise RuntimeError(f"links still change after {rounds} rounds")
     return links.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("node"), "comp").unionByName(
         links.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
     )

@@ -11,11 +11,11 @@ of shingles into as many segments as the size band of the smaller set asks for,
 A set is indexed in its own band and, as a possible larger partner, in the band below. Which segments a set looks up is
 chosen by cost: any `needed` of its segments suffice, and those whose signatures fewest other sets have are taken.
 Segments that nobody shares cost nothing, so a set with `needed` of those has no partner and drops out.
-Rows that share a signature are not paired with each other: each is first checked against one hub, and only sets that
-are still in different components after that, and after a few drawn comparisons, are all compared. Each comparison is on the whole sets.
+Entries of the index travel packed by ranges of signatures, and a range is sorted as arrays.
 
-Links are counted once the components are known, as no link leaves one: the sets of a component are dealt into blocks,
-every two blocks meet in one group, and a group compares all its sets at once by products of membership matrices.
+Rows that share a signature are not paired with each other. Signatures that the same sets share fall into one cluster,
+whose sets are dealt into blocks; every two blocks meet in one group, and a group compares all its whole sets at once by
+products of membership matrices. It returns how many links each set has there, and links enough to join what is linked.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import chunks, id_in, id_out, release, with_row_id, written
+from foliant.llm.common import ROW, chunks, fresh, id_in, id_out, numbered, released, written
 from foliant.llm.components import connected_components
 from foliant.llm.kernels import mix, shingle_sets
 
@@ -36,14 +36,18 @@ from foliant.llm.kernels import mix, shingle_sets
 TINY, PLAIN = 14, 128
 #: Of a segment's mean size in the largest set of a plain band, and of spare segments over those needed.
 SEGMENT, SPARE = 2.8, 1.3
-#: Rows of one signature and part that meet those of other parts; further rows of it need not, and are dealt elsewhere.
+#: Entries of one signature and part that meet those of other parts; further ones need not, and are dealt elsewhere.
 OFTEN = 8
-#: Rounds against drawn members of each signature's largest component, members drawn a signature, and checks a set.
-ROUNDS, DRAWN, CHECKS = 2, 6, 8
-#: Sets of a component that a block holds, and shingles that a membership matrix holds at a time.
-SIDE, COLUMNS = 512, 4096
-#: Shingles up to which a set's sketch has two bytes each; four beyond.
-NARROW = 2000
+#: Shingles of the corpus for each bucket of signatures, tasks that buckets are dealt to, and entries packed at a time.
+BUCKET, MOST_PARTS, FLUSH = 1 << 22, 100_000, 1 << 21
+#: Sets, and shingles, that a block of a cluster holds in the mean at most, and columns of a membership matrix.
+SIDE, LOAD, COLUMNS = 2048, 1 << 21, 2048
+#: Pairs from which an element is counted by matrices, and pairs counted one by one at a time.
+DENSE, PAIRS = 1 << 13, 1 << 21
+#: Rows of sets dealt to groups at a time.
+DEALT = 1024
+#: Sets that may share 64 bits with another one: at 1e11 sets some hundred are expected.
+TWINS = 100_000
 _U = np.uint64
 
 
@@ -133,159 +137,217 @@ def _banded(values: np.ndarray, token: np.ndarray, band: int) -> tuple[np.ndarra
     return sig, seg[at]
 
 
-def node_of(values: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True)
+def node_of(values: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two numbers."""
+    digest = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def _keys(batches):
-    """Row id and id to the node (hash of the set) and its size; node is null for texts without words."""
-    for part in chunks(batches):
-        values, bounds = shingle_sets(part["text"].tolist())
-        sizes = np.diff(bounds)
-        node = [node_of(values[a:b]) if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        yield pd.DataFrame({"row": part["row"].to_numpy(), "doc_id": part["doc_id"].to_numpy(), "n": sizes, "node": pd.array(node, dtype="Int64")})
+def name_of(values: np.ndarray, bits: int, twins: dict) -> tuple[int, int]:
+    """The node of a set, `bits` long, and its other 64 bits; of sets that share a node all but one go by the other."""
+    node, other = node_of(values)
+    node &= (1 << bits) - 1 if bits < 64 else -1
+    return twins.get((node, other), node), other
 
 
-def _index(batches):
-    """Signature rows of each set once a task: copies in one task are met by the first."""
-    seen: set[int] = set()
-    for part in chunks(batches):
-        values, bounds = shingle_sets(part["text"].tolist())
-        rows: list[tuple] = []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if a == b or (node := node_of(values[a:b])) in seen:
-                continue
-            seen.add(node)
-            n = int(b - a)
-            for k, (sig, seg) in enumerate(signatures(values[a:b])):
-                rows.append((sig, seg if k == 0 else np.full(len(sig), -1), node, n, len(np.unique(seg))))
-        if rows:
-            count = [len(r[0]) for r in rows]
-            sig = np.concatenate([r[0] for r in rows]).view(np.int64)
+def _own_segments(values: np.ndarray) -> int:
+    """How many segments a set indexes in its own band."""
+    n = len(values)
+    if n <= TINY:
+        return min(n, 1)
+    band = int(np.searchsorted(EDGES, n, side="right")) - 1
+    limit = used(n, band)
+    if EDGES[band] < PLAIN:
+        return limit
+    place = (values >> _U(32)) * _U(segments(band)) >> _U(32)
+    place = place[: int(np.searchsorted(place, limit))]
+    return int(np.count_nonzero(place[1:] != place[:-1])) + bool(len(place))
+
+
+def _keys(bits: int):
+    """Rows to the node of their set, its other bits and its size; node is null for texts without words."""
+
+    def run(batches):
+        for part in chunks(batches):
+            values, bounds = shingle_sets(part["text"].tolist())
+            rows = []
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                rows.append((*name_of(values[a:b], bits, {}), _own_segments(values[a:b])) if b > a else (None, None, 0))
+            node, other, segs = zip(*rows, strict=True)
             yield pd.DataFrame(
                 {
-                    "sig": sig,
-                    "node": np.repeat([r[2] for r in rows], count),
-                    "seg": np.concatenate([r[1] for r in rows]).astype(np.int32),
-                    "n": np.repeat([r[3] for r in rows], count).astype(np.int32),
-                    "segs": np.repeat([r[4] for r in rows], count).astype(np.int32),
-                    "salt": _salts(sig),
+                    **{c: part[c].to_numpy() for c in (*ROW, "doc_id")},
+                    "n": np.diff(bounds),
+                    "segs": segs,
+                    "node": pd.array(node, dtype="Int64"),
+                    "other": pd.array(other, dtype="Int64"),
                 }
             )
 
+    return run
 
-def _salts(sig: np.ndarray) -> np.ndarray:
-    """0 for the first OFTEN rows of a signature in this part, other numbers for the rest: those are shared for certain."""
-    order = np.argsort(sig, kind="stable")
-    ordered = sig[order]
-    first = np.flatnonzero(np.diff(ordered, prepend=ordered[0] - 1) != 0)
-    rank = np.arange(len(sig)) - np.repeat(first, np.diff(np.append(first, len(sig))))
-    salt = np.zeros(len(sig), dtype=np.int32)
-    salt[order] = np.where(rank < OFTEN, 0, 1 + rank)
-    return salt
-
-
-def _sets(batches):
-    for part in chunks(batches):
-        values, bounds = shingle_sets(part["text"].tolist())
-        sets = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        yield pd.DataFrame({"node": part["node"].to_numpy(), "size": [len(s) for s in sets], "sketch": [sketch(s) for s in sets], "values": [s.tobytes() for s in sets]})
-
-
-def sketch(values: np.ndarray) -> bytes:
-    """Distinct leading bytes of a sorted set, sorted: a width byte, then the numbers."""
-    kind = np.uint16 if len(values) <= NARROW else np.uint32
-    width = np.dtype(kind).itemsize
-    return bytes([width]) + np.unique((values >> _U(64 - 8 * width)).astype(kind)).tobytes()
-
-
-def may_link(x: bytes, size_x: int, y: bytes, size_y: int, percent: int) -> bool:
-    """False only where two sets surely do not link: elements whose leading bytes meet are taken for equal."""
-    if x[0] != y[0]:
-        return True
-    a, b = (np.frombuffer(s, np.uint16 if s[0] == 2 else np.uint32, offset=1) for s in (x, y))
-    both = len(np.intersect1d(a, b, assume_unique=True)) + min(size_x - len(a), size_y - len(b))
-    return 100 * both >= percent * (size_x + size_y - both)
 
+def _index(bits: int, twins: dict, buckets: int):
+    """Signatures of each set (once a task), packed by bucket: nodes, entries of each, low signature bits, segments.
 
-def _verify(percent: int):
-    def run(batches):
-        for batch in batches:
-            keep = np.zeros(len(batch), dtype=bool)
-            for i, (x, y) in enumerate(zip(batch["va"], batch["vb"], strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield batch.loc[keep, ["a", "b"]]
-
-    return run
+    A bucket is a range of signatures. Of a signature that comes more than OFTEN times in a part, the further entries
+    go anywhere with their whole signatures: that it is shared is certain.
+    """
 
+    def packed(entries: list[tuple]):
+        sig = np.concatenate([e[0] for e in entries])
+        seg = np.concatenate([e[1] for e in entries]).astype(np.int32)
+        node = np.repeat(np.array([e[2] for e in entries], dtype=np.int64), [len(e[0]) for e in entries])
+        ordered = np.sort(sig)
+        hot = np.unique(ordered[OFTEN:][ordered[OFTEN:] == ordered[:-OFTEN]])
+        rows = []
+        if len(hot):
+            at = np.flatnonzero(np.isin(sig, hot))
+            at = at[np.argsort(sig[at], kind="stable")]
+            first = np.flatnonzero(np.concatenate([[True], sig[at[1:]] != sig[at[:-1]]]))
+            rank = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+            sure = at[rank >= OFTEN]
+            for i in range(0, len(sure), FLUSH >> 4):
+                some = sure[i : i + (FLUSH >> 4)]
+                rows.append((int(mix(node[some[:1]].view(np.uint64))[0] % _U(buckets)), node[some].tobytes(), b"", sig[some].tobytes(), seg[some].tobytes()))
+            keep = np.ones(len(sig), dtype=bool)
+            keep[sure] = False
+            sig, seg, node = sig[keep], seg[keep], node[keep]
+        bucket = (sig >> _U(32)) * _U(buckets) >> _U(32)
+        order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+        bucket, sig, seg, node = bucket[order], sig[order].astype(np.uint32), seg[order], node[order]
+        start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        for a, b in zip(start, np.append(start[1:], len(bucket)), strict=True):
+            turn = np.flatnonzero(np.concatenate([[True], node[a + 1 : b] != node[a : b - 1]]))
+            count = np.diff(np.append(turn, b - a)).astype(np.uint32)
+            kind = np.int8 if (most := seg[a:b].max()) < 1 << 7 else np.int16 if most < 1 << 15 else np.int32
+            rows.append((int(bucket[a]), node[a:b][turn].tobytes(), count.tobytes(), sig[a:b].tobytes(), seg[a:b].astype(kind).tobytes()))
+        return pd.DataFrame(rows, columns=["bucket", "nodes", "counts", "sigs", "segs"])
 
-def _plausible(percent: int):
     def run(batches):
-        for batch in batches:
-            keep = [may_link(*r, percent) for r in zip(batch["xa"], batch["na"], batch["xb"], batch["nb"], strict=True)]
-            yield batch.loc[keep, ["a", "b"]]
+        seen: set[int] = set()
+        entries, size = [], 0
+        for part in chunks(batches):
+            values, bounds = shingle_sets(part["text"].tolist())
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                if a == b or (node := name_of(values[a:b], bits, twins)[0]) in seen:
+                    continue
+                seen.add(node)
+                for k, (sig, seg) in enumerate(signatures(values[a:b])):
+                    entries.append((sig, seg if k == 0 else np.full(len(sig), -1), node))
+                    size += len(sig)
+                if size >= FLUSH:
+                    yield packed(entries)
+                    entries, size = [], 0
+        if size:
+            yield packed(entries)
 
     return run
 
 
-def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that link: sketches travel with every pair, whole sets only with pairs that may link."""
-
-    def of(side: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("node").alias(side), *[F.col(c).alias(n + side) for c, n in zip(columns[::2], columns[1::2], strict=True)])
-
-    seen = pairs.join(of("a", "sketch", "x", "size", "n"), "a").join(of("b", "sketch", "x", "size", "n"), "b")
-    left = written(seen.select("a", "b", "xa", "na", "xb", "nb").mapInPandas(_plausible(80), "a long, b long"), "plausible")
-    whole = left.join(of("a", "values", "v"), "a").join(of("b", "values", "v"), "b")
-    return written(whole.select("a", "b", "va", "vb").mapInPandas(_verify(80), "a long, b long"), "checked")
-
-
-def _mixed(alive: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows of the signatures that sets of several components have, with the largest of these as `bulk`."""
-    labelled = alive.join(connected_components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    bulk = (
-        labelled.groupBy("sig", "comp")
-        .agg(F.count("*").alias("size"))
-        .groupBy("sig")
-        .agg(F.max(F.struct("size", "comp"))["comp"].alias("bulk"), F.count("*").alias("comps"))
-        .where("comps > 1")
-        .select("sig", "bulk")
-    )
-    return written(labelled.join(bulk, "sig"), "mixed")
+def _met(batches):
+    """Entries whose signature several nodes have, of the buckets whose rows come in succession."""
+
+    def shared(bucket: int, rows: list[tuple]) -> pd.DataFrame:
+        node, low, seg = [], [], []
+        for nodes, counts, sigs, segs in rows:
+            count = np.frombuffer(counts, np.uint32)
+            node.append(np.repeat(np.frombuffer(nodes, np.int64), count))
+            low.append(np.frombuffer(sigs, np.uint32))
+            seg.append(np.frombuffer(segs, f"i{len(segs) // len(low[-1])}").astype(np.int32))
+        node, low, seg = np.concatenate(node), np.concatenate(low), np.concatenate(seg)
+        order = np.argsort(low)
+        same = low[order[1:]] == low[order[:-1]]
+        order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        node, low, seg = node[order], low[order], seg[order]
+        order = np.lexsort((node, low))
+        node, low, seg = node[order], low[order], seg[order]
+        new = np.ones(len(low), dtype=bool)  # copies of a set in different parts are one entry
+        new[1:] = (low[1:] != low[:-1]) | (node[1:] != node[:-1])
+        node, low, seg = node[new], low[new], seg[new]
+        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.empty(0, dtype=np.int64)
+        uses = np.repeat(size := np.diff(np.append(first, len(low))), size)
+        some = uses > 1
+        sig = (np.uint64(bucket) << _U(32) | low[some].astype(np.uint64)).view(np.int64)
+        return pd.DataFrame({"sig": sig, "node": node[some], "seg": seg[some], "uses": uses[some].astype(np.int32)})
+
+    now, rows = -1, []
+    for batch in batches:
+        for bucket, nodes, counts, sigs, segs in zip(*(batch[c] for c in ("bucket", "nodes", "counts", "sigs", "segs")), strict=True):
+            if not len(counts):
+                sig, buckets = np.frombuffer(sigs, np.uint64), _U(batch["buckets"].iloc[0])
+                low = sig & _U(0xFFFFFFFF) | ((sig >> _U(32)) * buckets >> _U(32)) << _U(32)
+                yield pd.DataFrame({"sig": low.view(np.int64), "node": np.frombuffer(nodes, np.int64), "seg": np.frombuffer(segs, np.int32), "uses": np.int32(2 * OFTEN)})
+                continue
+            if bucket != now:
+                if rows:
+                    yield shared(now, rows)
+                now, rows = bucket, []
+            rows.append((nodes, counts, sigs, segs))
+    if rows:
+        yield shared(now, rows)
 
 
-def _drawn(mixed: DataFrame, turn: int) -> DataFrame:
-    """A few pairs for each set outside a signature's largest component, with members drawn from that component."""
-    slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(DRAWN))
-    hubs = mixed.where("comp = bulk").groupBy("sig", slot.alias("slot")).agg(F.min("node").alias("hub"))
-    pairs = mixed.where("comp <> bulk").select("sig", "node").join(hubs, "sig").select("node", "hub").distinct()
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("hub", F.lit(turn))))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= CHECKS).select(F.expr("least(node, hub) as a"), F.expr("greatest(node, hub) as b")).distinct()
+def _sets(batches):
+    """Each set once for every group it is dealt to; `deals` holds cluster, lo, hi and own of each in succession."""
+    for part in chunks(batches):
+        values, bounds = shingle_sets(part["text"].tolist())
+        deals = [np.asarray(d).reshape(-1, 4) for d in part["deals"]]
+        at = np.repeat(np.arange(len(part)), [len(d) for d in deals])
+        sets = [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        for i in range(0, len(at), DEALT):
+            some = at[i : i + DEALT]
+            out = part.iloc[some][["node", "copies", "clusters"]].reset_index(drop=True)
+            deal = np.concatenate(deals)[i : i + DEALT]
+            yield out.assign(**{c: deal[:, k] for k, c in enumerate(("cluster", "lo", "hi", "own"))}, values=[sets[j] for j in some])
 
 
 def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Elements that each set of `a` has in common with each of `b`; the sets are sorted and without repeats."""
-    both = np.zeros((len(a), len(b)), dtype=np.int64)
-    universe = np.intersect1d(np.concatenate(a), np.concatenate(b))
-    x, y = _members(a, universe), _members(b, universe)
-    for low in range(0, len(universe), COLUMNS):
-        width = min(COLUMNS, len(universe) - low)
-        both += (_matrix(*x, len(a), low, width) @ _matrix(*y, len(b), low, width).T).astype(np.int64)
+    """Elements that each set of `a` has in common with each of `b`; the sets are sorted and without repeats.
+
+    Elements that many sets have are counted by products of membership matrices, others pair by pair.
+    """
+    rows, columns = _entries(a), _entries(b)
+    universe = np.intersect1d(rows[1][rows[2]], columns[1][columns[2]], assume_unique=True)
+    (x, i, count_x), (y, j, count_y) = _within(rows, universe), _within(columns, universe)
+    dense = count_x * count_y >= DENSE
+    pair = (x[~dense[i]], i[~dense[i]]), (y[~dense[j]], j[~dense[j]])
+    both = np.zeros(len(a) * len(b), dtype=np.int64)
+    each, first = count_y[pair[0][1]], (np.cumsum(np.where(dense, 0, count_y)) - np.where(dense, 0, count_y))[pair[0][1]]
+    stop = np.cumsum(each)
+    low = 0
+    while low < len(each):
+        high = max(low + 1, int(np.searchsorted(stop, stop[low] + PAIRS)))
+        n = each[low:high]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[low:high], n)
+        both += np.bincount(np.repeat(pair[0][0][low:high], n) * len(b) + pair[1][0][at], minlength=len(both))
+        low = high
+    both = both.reshape(len(a), len(b))
+    place = np.cumsum(dense) - 1
+    x, i, y, j = x[dense[i]], place[i[dense[i]]], y[dense[j]], place[j[dense[j]]]
+    for low in range(0, int(dense.sum()), COLUMNS):
+        width = min(COLUMNS, int(dense.sum()) - low)
+        both += (_matrix(x, i, len(a), low, width) @ _matrix(y, j, len(b), low, width).T).astype(np.int64)
     return both
 
 
-def _members(sets: list[np.ndarray], universe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(set, column) of each element that is in the universe, by column."""
+def _entries(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sets and elements of all entries by element, and where each element's entries begin."""
     values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    return owner[order], values, np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, dtype=np.int64)
+
+
+def _within(entries: tuple, universe: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sets and columns of the entries whose elements are in the universe, by column, and entries of each column."""
+    owner, values, start = entries
     if not len(universe):
-        return owner[:0], owner[:0]
-    column = np.minimum(np.searchsorted(universe, values), len(universe) - 1)
-    hit = universe[column] == values
-    owner, column = owner[hit], column[hit]
-    order = np.argsort(column, kind="stable")
-    return owner[order], column[order]
+        return owner[:0], owner[:0], np.zeros(0, dtype=np.int64)
+    size = np.diff(np.append(start, len(values)))
+    column = np.minimum(np.searchsorted(universe, values[start]), len(universe) - 1)
+    hit = universe[column] == values[start]
+    return owner[np.repeat(hit, size)], np.repeat(np.arange(len(universe)), size[hit]), size[hit]
 
 
 def _matrix(owner: np.ndarray, column: np.ndarray, n: int, low: int, width: int) -> np.ndarray:
@@ -295,24 +357,70 @@ def _matrix(owner: np.ndarray, column: np.ndarray, n: int, low: int, width: int)
     return out
 
 
-def _partners(percent: int):
-    """Rows (comp, lo, hi, node, own, copies, values), those of a group in succession, to the partners each node has there."""
+def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of entries of a boolean matrix that join all rows and columns which its true entries join."""
+    free_row, free_column = linked.any(axis=1), np.ones(linked.shape[1], dtype=bool)
+    rows, columns = [], []
+    for start in range(len(linked)):
+        if not free_row[start]:
+            continue
+        free_row[start] = False
+        front = np.array([start])
+        while len(front):
+            some = np.flatnonzero(free_column)
+            part = linked[np.ix_(front, some)]
+            hit = part.any(axis=0)
+            reached = some[hit]
+            rows.append(front[part[:, hit].argmax(axis=0)])
+            columns.append(reached)
+            free_column[reached] = False
+            some = np.flatnonzero(free_row)
+            part = linked[np.ix_(some, reached)]
+            hit = part.any(axis=1)
+            front = some[hit]
+            rows.append(front)
+            columns.append(reached[part[hit].argmax(axis=1)] if len(reached) else front)
+            free_row[front] = False
+    if not rows:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    return np.concatenate(rows), np.concatenate(columns)
+
+
+def _compared(percent: int):
+    """Groups of two blocks of a cluster, the rows of a group in succession, to link counts and links that join the linked.
+
+    Rows out: (node, null, links) and (node, node, 0). A pair that meets in several clusters counts in the first.
+    """
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
+        cluster = rows["cluster"].iloc[0]
         left = (rows["own"] == rows["lo"]).to_numpy()
         within = rows["lo"].iloc[0] == rows["hi"].iloc[0]
         sides = [rows[left], rows[left if within else ~left]]
+        none = pd.DataFrame({"a": np.empty(0, dtype=np.int64), "b": pd.array([], dtype="Int64"), "links": np.empty(0, dtype=np.int64)})
+        if not (len(sides[0]) and len(sides[1])):
+            return none
         sets = [[np.frombuffer(v, np.uint64) for v in side["values"]] for side in sides]
-        if not (sets[0] and sets[1]):
-            return pd.DataFrame({"node": [], "links": []}).astype(np.int64)
         both, sizes = common(*sets), [np.array([len(s) for s in x], dtype=np.int64) for x in sets]
         linked = 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
         if within:
             np.fill_diagonal(linked, False)
-        counts = [np.where(linked, sides[1]["copies"].to_numpy()[None, :], 0).sum(axis=1)]
+        if not linked.any():
+            return none
+        before = [[np.unique(c[c < cluster]) for c in side["clusters"]] for side in sides]
+        counted = linked & (common(*before) == 0) if any(map(len, before[0])) and any(map(len, before[1])) else linked
+        nodes, copies = [side["node"].to_numpy() for side in sides], [side["copies"].to_numpy() for side in sides]
+        counts = [(nodes[0], counted @ copies[1])]
         if not within:
-            counts.append(np.where(linked, sides[0]["copies"].to_numpy()[:, None], 0).sum(axis=0))
-        return pd.concat([pd.DataFrame({"node": s["node"].to_numpy(), "links": c}) for s, c in zip(sides, counts, strict=False)])
+            counts.append((nodes[1], copies[0] @ counted))
+        i, j = forest(linked)
+        node, links = (np.concatenate(x) for x in zip(*counts, strict=True))
+        return pd.concat(
+            [
+                pd.DataFrame({"a": node, "b": pd.array([None] * len(node), dtype="Int64"), "links": links})[links > 0],
+                pd.DataFrame({"a": nodes[0][i], "b": pd.array(nodes[1][j], dtype="Int64"), "links": 0}),
+            ]
+        )
 
     def run(batches):
         rest = None
@@ -320,7 +428,7 @@ def _partners(percent: int):
             if not len(batch):
                 continue
             rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            key = rows[["comp", "lo", "hi"]].to_numpy()
+            key = rows[["cluster", "lo", "hi"]].to_numpy()
             starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 yield group(rows.iloc[a:b])
@@ -331,122 +439,116 @@ def _partners(percent: int):
     return run
 
 
-def _links(keys: DataFrame, sets: DataFrame, comps: DataFrame, side: int) -> DataFrame:
-    """(node, links) of all nodes: the other rows whose sets link with the node's, rows with the same set among them."""
-    copies = keys.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"))
-    blocks = comps.groupBy("comp").agg(F.ceil(F.count("*") / side).cast("int").alias("blocks")).where("blocks > 1")
-    members = comps.join(blocks, "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    members = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = members.join(copies, "node").join(sets.select("node", "values"), "node")
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "own", "copies", "values"
+def _twins(keys: DataFrame) -> dict:
+    """New nodes of sets that differ from another set of their node: all but one of a node go by their other bits."""
+    shared = written(keys.groupBy("node").agg(F.min("other").alias("one"), F.max("other").alias("two")).where("one <> two").select("node", "one"), "twins")
+    if shared.isEmpty():
+        return {}
+    if shared.count() > TWINS:
+        raise ValueError("more sets share a hash than chance allows")
+    rows = keys.join(F.broadcast(shared), "node").where("other <> one").select("node", "other").distinct().collect()
+    return {(r["node"], r["other"]): r["other"] for r in rows}
+
+
+def _nodes(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame, dict]:
+    """Rows with their nodes; nodes with size, segments, copies, smallest id and first row; and nodes given a new name."""
+    found = docs.mapInPandas(released(_keys(bits)), "row_file long, row_at long, doc_id long, n long, segs int, node long, other long")
+    keys = written(found.withColumn("doc_id", id_out()), "keys")
+    twins = _twins(keys)
+    if twins:
+        new = docs.sparkSession.createDataFrame([(a, b, c) for (a, b), c in twins.items()], "node long, other long, name long")
+        keys = written(keys.join(F.broadcast(new), ["node", "other"], "left").withColumn("node", F.coalesce("name", "node")).drop("name"), "keys")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *ROW)).alias("first")
+    nodes = keys.where("node is not null").groupBy("node").agg(
+        F.max("n").alias("n"), F.max("segs").alias("segs"), F.count("*").alias("copies"), F.min("doc_id").alias("least"), first
     )
-    dealt = dealt.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
-    found = dealt.mapInPandas(_partners(80), "node long, links long").groupBy("node").agg(F.sum("links").alias("others"))
-    links = copies.join(found, "node", "left")
-    return links.select("node", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    return keys, written(nodes, "nodes"), twins
 
 
-def similarity_components(docs: DataFrame, side: int = SIDE) -> DataFrame:
-    """Components of documents (doc_id, text) whose shingle sets have a Jaccard similarity of 0.8 or more.
+def _clusters(docs: DataFrame, nodes: DataFrame, bits: int, twins: dict) -> DataFrame:
+    """(node, cluster): any two nodes that link are in one cluster together.
 
-    Returns row, doc_id, n_shingles, component_id, links and comp. `row` numbers the rows of the stored table `docs`;
-    component_id is the smallest doc_id reachable, null ids aside (null where the component has no other).
-    Null and empty texts have no shingles and stay alone; equal sets, repeated rows among them, share a component, and
-    an empty table gives an empty table. `links` counts the other rows that a row links with, those with an equal set
-    among them. Sets and shingles are told apart by 64-bit hashes. Other columns of docs are ignored.
+    A cluster is what nodes reach over their signatures in two steps from the smallest node. Every signature that some
+    set looks up belongs to one cluster, with all sets that have it.
     """
-    keys, sets, comps = _joined(docs)
-    return _placed(keys, comps).join(written(_links(keys, sets, comps, side), "links"), F.col("own") == F.col("node"), "left").select(
-        "row", "doc_id", "n_shingles", "component_id", F.coalesce("links", F.lit(0)).alias("links"), "comp"
-    )
-
-
-def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with their nodes, the sets of the nodes that share a signature, and the component of each node with a link."""
-    spark = docs.sparkSession
-    docs = with_row_id(docs.select(id_in(), "text"), "row")
-    keys = written(docs.mapInPandas(_keys, "row long, doc_id long, n long, node long").withColumn("doc_id", id_out()), "keys")
-
-    signed = docs.select("text").mapInPandas(_index, "sig long, node long, seg int, n int, segs int, salt int")
-    in_sig = Window.partitionBy("sig", "salt")
-    shared = written(
-        signed.withColumn("uses", F.count("*").over(in_sig))
-        .withColumn("least", F.min("node").over(in_sig))
-        .withColumn("most", F.max("node").over(in_sig))
-        .where("least <> most or salt > 0")
-        .select("sig", "node", "seg", "n", "segs", F.when(F.col("salt") > 0, F.col("salt")).otherwise(F.col("uses").cast("int")).alias("uses")),
-        "shared",
-    )
-    del signed
-    release(spark)
+    shingles = nodes.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, -(-shingles // BUCKET))
+    signed = docs.select("text").mapInPandas(released(_index(bits, twins, buckets)), "bucket long, nodes binary, counts binary, sigs binary, segs binary")
+    dealt = signed.repartition(min(buckets, MOST_PARTS), "bucket").sortWithinPartitions("bucket").withColumn("buckets", F.lit(buckets).cast("long"))
+    shared = written(dealt.mapInPandas(released(_met), "sig long, node long, seg int, uses int"), "shared")
 
     need = F.when(F.col("n") <= TINY, 1).when(F.col("n") < PLAIN, F.expr("n div 8 + 1")).otherwise(F.expr("n div 4 + 1"))
-    by_cost = (
-        shared.where("seg >= 0")
-        .groupBy("node", "seg")
-        .agg(F.sum(F.col("uses") - 1).alias("cost"), F.max("n").alias("n"), F.max("segs").alias("segs"))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("cost", "seg")))
-        .withColumn("with", F.count("*").over(Window.partitionBy("node")))
-        .where(F.col("rank") <= need - (F.col("segs") - F.col("with")))
-        .select("node", "seg", F.lit(True).alias("kept"))
-    )
-    marked = written(
-        shared.join(by_cost, ["node", "seg"], "left")
-        .groupBy("sig", "node")
-        .agg(F.max("n").alias("n"), F.max(F.coalesce("kept", F.lit(False))).alias("kept")),
-        "marked",
-    )
+    own = F.col("seg") >= 0
+    cost = F.when(own, F.sum(F.col("uses") - 1).over(Window.partitionBy("node", "seg")))
+    by_node = shared.repartition("node").withColumn("cost", cost)
+    by_node = by_node.withColumn("rank", F.dense_rank().over(Window.partitionBy("node").orderBy(F.col("cost").asc_nulls_last(), "seg")))
+    by_node = by_node.withColumn("with", F.coalesce(F.max(F.when(own, F.col("rank"))).over(Window.partitionBy("node")), F.lit(0)))
+    marked = by_node.join(nodes.select("node", "n", "segs"), "node").select("sig", "node", (own & (F.col("rank") <= need - (F.col("segs") - F.col("with")))).alias("kept"))
+    marked = written(marked, "marked")
     hubs = marked.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("most"), F.max("kept").alias("any"))
-    alive = written(marked.join(hubs.where("any and hub <> most").select("sig", "hub"), "sig"), "alive")
-    rows = keys.join(alive.select("node").distinct(), "node").groupBy("node").agg(F.min("row").alias("row"))
-    sets = written(docs.select("row", "text").join(rows, "row").select("node", "text").mapInPandas(_sets, "node long, size int, sketch binary, values binary"), "sets")
-    release(spark)
-
-    star = alive.where("node <> hub").groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
-    links = _checked(star, sets)
-    alive = alive.drop("hub")
-    for turn in range(ROUNDS):
-        links = written(links.unionByName(_checked(_drawn(_mixed(alive, links), turn), sets)).distinct(), "links")
-    mixed = _mixed(alive, links)
-    x, y = mixed.where("comp <> bulk").alias("x"), mixed.alias("y")
-    near = (
-        x.join(y, F.expr("x.sig = y.sig and x.comp <> y.comp and (x.kept or y.kept) and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"))
-        .select(F.expr("least(x.node, y.node) as a"), F.expr("greatest(x.node, y.node) as b"))
-        .distinct()
-    )
-    more = _checked(near, sets)
-    every = links.unionByName(more)
-    return keys, sets, written(connected_components(every), "comps")
-
+    alive = written(marked.join(hubs.where("any and hub <> most").select("sig", "hub"), "sig").select("sig", "node", "hub"), "alive")
+    near = alive.groupBy("node").agg(F.min("hub").alias("near"))
+    of_sig = alive.join(near, "node").groupBy("sig").agg(F.min("near").alias("cluster"))
+    return written(alive.select("sig", "node").join(of_sig, "sig").select("node", "cluster").distinct(), "clusters")
+
+
+def _linked(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, side: int) -> DataFrame:
+    """Link counts of nodes, and links that join all nodes which links join: (a, null, links) and (a, b, 0)."""
+    sized = clusters.join(nodes.select("node", "n"), "node")
+    blocks = F.greatest(F.ceil(F.count("*") / side), F.ceil(F.sum("n") / LOAD))
+    large = sized.groupBy("cluster").agg(blocks.alias("blocks")).where("blocks > 1")
+    many = clusters.join(large, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    many = many.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    deals = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.array(F.col("cluster"), F.least("own", b), F.greatest("own", b), F.col("own")))
+    dealt = many.groupBy("node").agg(F.flatten(F.flatten(F.collect_list(deals))).alias("deals"), F.collect_list("cluster").alias("clusters"))
+    dealt = dealt.join(nodes.select("node", "copies", *[f"first.{c}" for c in ROW]), "node")
+    sets = docs.select(*ROW, "text").join(dealt, ROW).select("node", "copies", "clusters", "deals", "text")
+    schema = "node long, copies long, clusters array<long>, cluster long, lo long, hi long, own long, values binary"
+    grouped = sets.mapInPandas(released(_sets), schema).repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
+    return written(grouped.mapInPandas(released(_compared(80)), "a long, b long, links long"), "linked")
+
+
+def _joined(docs: DataFrame, bits: int = 64, side: int = SIDE) -> tuple[DataFrame, DataFrame]:
+    """For numbered docs: rows with their nodes, and nodes with their component, its smallest id and first row, and their links."""
+    docs = docs.select(*ROW, id_in(), "text")
+    keys, nodes, twins = _nodes(docs, bits)
+    linked = _linked(docs, nodes, _clusters(docs, nodes, bits, twins), side)
+    comps = connected_components(linked.where("b is not null").select("a", "b"))
+    others = linked.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("others"))
+    known = nodes.join(comps, "node", "left").join(others, "node", "left")
+    known = known.select("node", "least", "first", F.coalesce("comp", "node").alias("comp"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    known = written(known, "known")
+    heads = known.groupBy("comp").agg(F.min("least").alias("component_id"), F.min("first").alias("head"))
+    return keys, written(known.join(heads, "comp").select("node", "comp", "component_id", "head", "links"), "placed")
+
+
+def similarity_components(docs: DataFrame, side: int = SIDE, bits: int = 64) -> DataFrame:
+    """Components of documents (doc_id, text) whose shingle sets have a Jaccard similarity of 0.8 or more.
 
-def _placed(keys: DataFrame, comps: DataFrame) -> DataFrame:
-    """Each row with its node as `own`, its component and that component's smallest doc_id."""
-    placed = (
-        keys.join(comps, "node", "left")
-        .withColumn("comp", F.coalesce("comp", "node"))
-        .select("row", "doc_id", F.col("n").alias("n_shingles"), "comp", F.col("node").alias("own"))
-    )
-    placed = written(placed, "placed")
-    least = placed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "comp", "left").select(
-        "row",
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        "comp",
-        "own",
-    )
+    Returns doc_id, n_shingles, component_id, links and comp, a row per row of docs. component_id is the smallest doc_id
+    reachable, null ids aside (null where the component has no other). Null and empty texts have no shingles and stay
+    alone, with null comp; equal sets, repeated rows among them, share a component, and an empty table gives an empty
+    table. Texts of any length are whole. `links` counts the other rows that a row links with, those with an equal set
+    among them. Sets are told apart by 128 bits (`bits` of them, 64 by default, in most places), shingles by 64. Other
+    columns of docs are ignored.
+    """
+    keys, nodes = _joined(numbered(docs.select("doc_id", "text")), bits, side)
+    nothing = F.lit(None).cast("long")
+    alone = keys.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("links"), nothing.alias("comp"))
+    rows = keys.where("node is not null").join(nodes, "node")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "links", "comp").unionByName(alone)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of the stored table `docs` without near copies: of each component the row with the smallest doc_id stays.
+    """The rows of `docs` without near copies: of each component the row with the smallest doc_id stays.
 
-    Of rows with that doc_id the first stays; rows without words stay all. Columns and their names are those of docs.
+    Null ids come last; of rows with that doc_id the first stored one stays; rows without words stay all. Columns and
+    their names are those of docs.
     """
-    keys, _, comps = _joined(docs)
-    rows = _placed(keys, comps)
-    firsts = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
-    keep = rows.where("comp is null").select("row").unionByName(firsts.select("first.row"))
-    name = "__nj_row"
-    return with_row_id(docs, name).join(keep.withColumnRenamed("row", name), name, "left_semi").drop(name)
+    names = fresh(docs, *ROW)
+    stored = numbered(docs, names)
+    rows = stored.select(*[F.col(a).alias(b) for a, b in zip(names, ROW, strict=True)], "doc_id", "text")
+    keys, nodes = _joined(rows)
+    gone = keys.where("node is not null").join(nodes.select("node", "head"), "node").where(" or ".join(f"{c} <> head.{c}" for c in ROW))
+    gone = written(gone.select(*[F.col(a).alias(b) for a, b in zip(ROW, names, strict=True)]), "gone")
+    return stored.join(gone, names, "left_anti").drop(*names)

@@ -40,7 +40,7 @@ def rows(rng):
             for _ in range(edits):
                 v[rng.randrange(len(v))] = rng.choice(vocab)
             texts.append(" ".join(v).upper() if edits == 0 else " ".join(v))
-    texts += [None, "", " \t\n", "!!! 123", "x" * 5000, "\x1c odd\x85text ÉÑ", base[5], base[5], "日本語 テキスト 日本語", "word " * 3000]
+    texts += [None, "", " \t\n", "!!! 123", "x" * 5000, "\x1c odd\x85text ÉÑ", base[5], base[5], "日本語 テキスト 日本語", "word " * 3000, "a <|endoftext|> b<|startoftext|>", "<|EndOfText|>"]
     out = [(i * 3 if i != 7 else None, t, ["en", "fr", None][i % 3], ["a", "b", None, "é"][i % 4], len(t or ""), 5, "r", 1, 2) for i, t in enumerate(texts)]
     return out + [out[3], out[20], out[20]]
 
@@ -87,8 +87,9 @@ def test_ngram_join(docs, rows):
         if r[0] is not None:
             least[find(i)] = min(least.get(find(i), 1 << 60), r[0])
     want = Counter((r[0], len(sets[i]), least.get(find(i)) if sets[i] else r[0]) for i, r in enumerate(rows))
-    got = ngram_join.similarity_components(docs)
-    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == want
+    for bits in (64, 3):  # with three bits, sets that differ share nodes
+        got = ngram_join.similarity_components(docs, bits=bits)
+        assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == want
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
     assert kept.count() == len({find(i) for i in range(n) if sets[i]}) + sum(not s for s in sets)
@@ -119,15 +120,32 @@ def test_segments_hold_for_every_size():
         assert ngram_join.used(n, band) <= ngram_join.used(n + 1, band)
 
 
-def test_sketches_never_lose_a_link():
+def test_common_counts_shared_elements(monkeypatch):
     rng = np.random.default_rng(1)
-    for n in (20, 500, 3000):
-        for _ in range(40):
-            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
-            b = np.unique(np.concatenate([a[: int(n * rng.uniform(0.7, 1))], rng.integers(0, 1 << 63, n // 10).astype(np.uint64)]))
-            both = len(np.intersect1d(a, b))
-            if 100 * both >= 80 * (len(a) + len(b) - both):
-                assert ngram_join.may_link(ngram_join.sketch(a), len(a), ngram_join.sketch(b), len(b), 80)
+    sets = lambda: [np.unique(rng.integers(0, 30, rng.integers(0, 12)).astype(np.uint64)) for _ in range(rng.integers(1, 9))]
+    for _ in range(60):
+        monkeypatch.setattr(ngram_join, "DENSE", int(rng.choice([1, 5, 50, 10**9])))
+        monkeypatch.setattr(ngram_join, "PAIRS", int(rng.choice([1, 7, 100])))
+        a, b = sets(), sets()
+        assert ngram_join.common(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+
+
+def test_forest_joins_what_is_linked():
+    rng = np.random.default_rng(2)
+
+    def parts(n, edges):
+        name = list(range(n))
+        for _ in range(n):
+            for a, b in edges:
+                name[a] = name[b] = min(name[a], name[b])
+        return name
+
+    for _ in range(60):
+        linked = rng.random((rng.integers(1, 9), rng.integers(1, 9))) < 0.2
+        rows, columns = ngram_join.forest(linked)
+        assert linked[rows, columns].all()
+        n, m = linked.shape
+        assert parts(n + m, [(i, n + j) for i, j in zip(*np.nonzero(linked), strict=True)]) == parts(n + m, [(i, n + j) for i, j in zip(rows, columns, strict=True)])
 
 
 def test_exact_dedup(docs, rows):
@@ -144,10 +162,57 @@ def test_exact_dedup(docs, rows):
     assert kept.columns == docs.columns and kept.count() == len(groups)
 
 
-def test_directory_doubles_only_where_overfull():
-    assert exact_dedup.directory([3, 3, 1, 1], 10) == (0, [0])
-    assert exact_dedup.directory([9, 9, 1, 1], 10) == (2, [0, 1, 2, 2])
-    assert exact_dedup.directory([50, 0, 0, 0], 10) == (2, [0, 1, 2, 2])
+def test_directory_doubles_only_where_overfull(spark):
+    def slots(cells, capacity):
+        depth = len(cells).bit_length() - 1
+        rows = exact_dedup.directory(spark.createDataFrame(list(enumerate(cells)), "slot long, n long"), depth, capacity).collect()
+        return [r["bucket"] for r in sorted(rows)]
+
+    assert slots([3, 3, 1, 1], 10) == [0, 0, 0, 0]
+    assert slots([9, 9, 1, 1], 10) == [0, 1, 2, 2]
+    assert slots([50, 0, 0, 0], 10) == [0, 1, 2, 2]
+
+
+def test_dedup_compares_bytes_where_hashes_agree(docs, rows):
+    from pyspark.sql import functions as F
+
+    weak = (lambda t: F.length(t).cast("long") % 3, lambda t: F.substring(t, 1, 1))
+    count = Counter(lower(r[1]) for r in rows)
+    got = exact_dedup.groups(docs, capacity=5, hashes=weak).collect()
+    assert Counter(r["group_size"] for r in got) == Counter(count[lower(r[1])] for r in rows)
+    assert sum(r["kept"] for r in got) == len(count)
+
+
+def test_dedup_depends_on_its_index(docs, rows, monkeypatch):
+    build = exact_dedup.build_index
+    monkeypatch.setattr(exact_dedup, "build_index", lambda runs, capacity: build(runs, capacity).where("bucket = 0"))
+    assert exact_dedup.groups(docs, capacity=5).count() < len(rows)
+
+
+def test_rows_keep_their_names_when_scans_split_otherwise(spark, docs, rows, monkeypatch):
+    """As when an executor is lost between two scans of a table."""
+    want_kept = len({lower(r[1]) for r in rows})
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    for module in (exact_dedup, ngram_join, mixing):
+        real = module.written
+
+        def write(df, what, *by, real=real):
+            spark.conf.set(key, {"keys": "700"}.get(what, "3000"))
+            return real(df, what, *by)
+
+        monkeypatch.setattr(module, "written", write)
+    try:
+        spark.conf.set(key, "1500")
+        kept = exact_dedup.deduplicated(docs)
+        texts = [lower(r["text"]) for r in kept.collect()]
+        assert len(texts) == want_kept == len(set(texts))
+        spark.conf.set(key, "1500")
+        texts = Counter(r["text"] for r in ngram_join.keep_one(docs).collect())
+        spark.conf.set(key, before)
+        assert texts == Counter(r["text"] for r in ngram_join.keep_one(docs).collect())
+    finally:
+        spark.conf.set(key, before)
 
 
 def test_mixing(docs, rows):
@@ -221,6 +286,21 @@ def test_fingerprints(docs, rows):
     assert fingerprint.likeness(fingerprint.digest("a"), fingerprint.digest("a")) == 1.0
 
 
+def test_fingerprints_split_ids_that_many_share(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    draw = random.Random(3)
+    ids = [7] * 300 + [None] * 120 + [9, 3, -(1 << 63), 8, 7, 1, (1 << 62) + 1] + list(range(100, 160))
+    spark.createDataFrame([(i, " ".join(draw.choices("abcdefgh", k=draw.randint(0, 30)))) for i in ids], "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    rows = [(r[0], r[1]) for r in docs.withColumn("h", F.xxhash64("text")).orderBy(F.desc_nulls_last("doc_id"), "h").collect()]
+    found = fingerprint.Ranges.of(docs.select(fingerprint.id_in(), F.col("doc_id").isNull().alias("no_id"), "text"), 4, 200)
+    assert found.count > 30 and max(found.many) > 10 and found.nulls > 5
+    got = fingerprint.compare_with_next(docs, range_bytes=200).collect()
+    want = Counter((i, hashlib.sha256(fingerprint.edited(t, rows[(n + 1) % len(rows)][1]).encode()).hexdigest()) for n, (i, t) in enumerate(rows))
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
+
+
 def test_machine_equals_all_pairs():
     rng = np.random.default_rng(2)
     model = {"w0": 0.3, "w": rng.normal(size=quality.FEATURES), "v": rng.normal(size=(quality.FACTORS, quality.FEATURES))}
@@ -244,7 +324,7 @@ def test_quality(spark, docs):
 def test_lattice_sums_all_segmentations():
     pieces, probability = lm_score.read_pieces(lm_score.vocabulary_path(lm_score.VOCABULARY))
     lattice = lm_score.Lattice(pieces, probability)
-    samples = [b"the", b"tionthnd.", b"x", "éau".encode(), b"a" * 20, b"ab" * 50]
+    samples = [b"the", b"tionthnd.", b"x", "éau".encode(), b"a" * 20, b"ab" * 50, b"wordsoflanguage" * 9]
 
     def brute(word):
         word = b" " + word
@@ -254,8 +334,15 @@ def test_lattice_sums_all_segmentations():
         return math.log(p[-1])
 
     assert lattice.forward(samples) == pytest.approx([brute(w) for w in samples])
-    uses = lattice.expect(samples, np.arange(1.0, 7.0))
-    assert sum(u * len(p) for u, p in zip(uses, pieces, strict=True)) == pytest.approx(sum((i + 1) * (len(w) + 1) for i, w in enumerate(samples)))
+    uses = lattice.expect(samples, np.arange(1.0, 8.0))
+    # each stretch of a long word starts with a space of its own
+    spaces = [-(-len(w) // (lm_score.LONG - 1)) for w in samples]
+    assert sum(u * len(p) for u, p in zip(uses, pieces, strict=True)) == pytest.approx(sum((i + 1) * (len(w) + n) for i, (w, n) in enumerate(zip(samples, spaces, strict=True))))
+    huge = b"q1w2" * 60_000
+    whole = lattice.forward([huge])[0]
+    lm_score.SLICE, slice_ = 1000, lm_score.SLICE
+    assert lattice.forward([huge])[0] == pytest.approx(whole) and whole < -240_000
+    lm_score.SLICE = slice_
 
 
 def test_lm_score(docs, rows):
@@ -290,7 +377,6 @@ def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.vocabulary_path(packing.VOCABULARY))
-    tokenizer.encode_special_tokens = True
     want = Counter()
     for r in rows:
         ids = [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0]
@@ -304,6 +390,27 @@ def test_packing(docs, rows):
     assert got["sequence_id"].nunique() <= -(-got["length"].sum() // 64) + 1
 
 
+def test_packing_needs_the_search(monkeypatch):
+    draw = random.Random(5)
+    sizes = [draw.randint(300, 900) for _ in range(4000)]
+    least = -(-sum(sizes) // 2048)
+    assert len(packing.packed(sizes, 2048)) <= least + 1
+    monkeypatch.setattr(packing, "local_search", lambda sizes, bins, capacity: bins)
+    assert len(packing.packed(sizes, 2048)) > least + 10
+
+
+def test_sequences_hold_the_ids(docs, rows):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.vocabulary_path(packing.VOCABULARY))
+    got = packing.sequences(docs, capacity=64).collect()
+    assert all(0 < len(r["ids"]) <= 256 for r in got) and len(got) == packing.pack_documents(docs, capacity=64).select("sequence_id").distinct().count()
+    want = Counter(i for r in rows for i in [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0])
+    assert Counter(np.concatenate([np.frombuffer(r["ids"], "<u4") for r in got]).tolist()) == want
+    whole = tokenizer.encode(rows[40][1], add_special_tokens=False).ids + [0]
+    assert any(np.array(whole[:64], "<u4").tobytes() in r["ids"] and rows[40][0] in r["doc_ids"] for r in got)
+
+
 def test_local_search_empties_a_bin():
     sizes = [6, 2, 7, 1, 3, 1]
     start = [[0, 1], [2, 3], [4, 5]]
@@ -315,7 +422,7 @@ def test_local_search_empties_a_bin():
 def test_local_search_ends_where_no_exchange_helps():
     draw = random.Random(1)
     sizes = [draw.randint(500, 1000) for _ in range(1500)]
-    found = packing.local_search(sizes, packing.best_fit(sizes, 2048), 2048)
+    found = packing.local_search(sizes, packing.best_fit(sizes, list(range(1500)), 2048), 2048)
     assert sorted(i for b in found for i in b) == list(range(1500))
     fills = [sum(sizes[i] for i in b) for b in found]
     assert max(fills) <= 2048
