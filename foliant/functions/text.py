@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,29 +41,71 @@ def parse_cell(raw: Column) -> Column:
     Blank tokens are null. A trailing footnote mark goes only where a number is left. A per cent sign or a leading
     currency sign becomes the unit, parentheses a minus, commas go; anything else stays as the stripped text.
     """
-    text = strip(raw)
+    # each step is bound once, as the next one uses it several times
+    stripped = let(strip(raw), _unmarked)
+    blank = raw.isNull() | F.lower(strip(raw)).isin(BLANKS)
+    nothing = F.lit(None).cast("string")
+    return let(stripped, lambda c: F.struct(F.when(~blank, c["value"]).otherwise(nothing).alias("value"), F.when(~blank, c["unit"]).otherwise(nothing).alias("unit")))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _unmarked(text: Column) -> Column:
+    def chosen(bare: Column) -> Column:
+        marked = (bare != text) & (F.length(bare) > 0) & F.regexp_replace(bare, r"^[($€£¥]+", "").rlike(r"^[+-]?[0-9,]*\.?[0-9]+%?\)?$")
+        return F.when(marked, bare).otherwise(text)
+
     bare = strip(F.regexp_replace(text, r"(\s*\*+|(?<=[0-9])\s+[a-z]{1,2})$", ""))
-    marked = (bare != text) & (F.length(bare) > 0) & F.regexp_replace(bare, r"^[($€£¥]+", "").rlike(r"^[+-]?[0-9,]*\.?[0-9]+%?\)?$")
-    work = F.when(marked, bare).otherwise(text)
+    return let(let(bare, chosen), lambda work: _unsigned(text, work))
+
+
+def _unsigned(text: Column, work: Column) -> Column:
     percent = work.endswith("%")
-    work = F.when(percent, strip(F.regexp_replace(work, "%$", ""))).otherwise(work)
-    sign = F.regexp_extract(work, "^[$€£¥]", 0)
-    code = F.coalesce(*[F.when(sign == s, F.lit(name)) for s, name in CURRENCY.items()])
-    work = F.when(sign != "", strip(F.regexp_replace(work, "^[$€£¥]", ""))).otherwise(work)
+    amount_ = F.when(percent, strip(F.regexp_replace(work, "%$", ""))).otherwise(work)
+
+    def without_sign(amount_: Column) -> Column:
+        sign = F.regexp_extract(amount_, "^[$€£¥]", 0)
+        code = F.coalesce(*[F.when(sign == s, F.lit(name)) for s, name in CURRENCY.items()])
+        rest = F.when(sign != "", strip(F.regexp_replace(amount_, "^[$€£¥]", ""))).otherwise(amount_)
+        return let(rest, lambda rest: _number(text, rest, F.when(percent, F.lit("%")).otherwise(code)))
+
+    return let(amount_, without_sign)
+
+
+def _number(text: Column, work: Column, unit: Column) -> Column:
     negative = work.rlike(r"^\(.*\)$")
-    work = F.when(negative, strip(F.regexp_replace(work, r"^\(|\)$", ""))).otherwise(work)
-    clean = F.regexp_replace(work, ",", "")
-    plain = clean.rlike(r"^[+-]?[0-9]*\.?[0-9]+$")
-    size = clean.try_cast("double") * F.when(negative, -1.0).otherwise(1.0)
-    whole = size == F.floor(size)
-    shown = F.when(whole, size.cast("decimal(38,0)").cast("string")).otherwise(size.cast("string"))
-    blank = raw.isNull() | F.lower(text).isin(BLANKS)
-    value = F.when(blank, F.lit(None).cast("string")).when(plain, shown).otherwise(text)
-    unit = F.when(~blank & plain, F.when(percent, F.lit("%")).otherwise(code))
-    return F.struct(value.alias("value"), unit.alias("unit"))
-
-
-#: Start of a token that reads as a number.
+    clean = F.regexp_replace(F.when(negative, strip(F.regexp_replace(work, r"^\(|\)$", ""))).otherwise(work), ",", "")
+
+    def shown(clean: Column) -> Column:
+        plain = clean.rlike(r"^[+-]?[0-9]*\.?[0-9]+$")
+        return F.struct(F.when(plain, shown_number(clean, negative)).otherwise(text).alias("value"), F.when(plain, unit).alias("unit"))
+
+    return let(clean, shown)
+
+
+def shown_number(digits: Column, negative: Column) -> Column:
+    """Shortest text of a decimal number, made from its digits: no zeros at the ends, exponents only below 0.0001."""
+    body = F.regexp_replace(digits, "^[+-]", "")
+    whole = F.regexp_replace(F.regexp_extract(body, r"^0*([0-9]*)", 1), "^$", "0")
+    parts = F.struct(whole.alias("whole"), F.regexp_extract(body, r"\.([0-9]*?)0*$", 1).alias("part"))
+
+    def size(p: Column) -> Column:
+        tiny = let(F.regexp_replace(p["part"], "^0+", ""), lambda tail: _power(tail, F.length(p["part"]) - F.length(tail) + 1))
+        return F.when(p["part"] == "", p["whole"]).when((p["whole"] == "0") & p["part"].startswith("0000"), tiny).otherwise(F.concat(p["whole"], F.lit("."), p["part"]))
+
+    minus = negative != digits.startswith("-")
+    return let(let(parts, size), lambda s: F.when(minus & (s != "0"), F.concat(F.lit("-"), s)).otherwise(s))
+
+
+def _power(tail: Column, power: Column) -> Column:
+    rest = F.when(F.length(tail) > 1, F.concat(F.lit("."), F.substring(tail, 2, 1 << 20))).otherwise("")
+    return F.concat(F.substring(tail, 1, 1), rest, F.when(power < 10, "e-0").otherwise("e-"), power.cast("string"))
+
+
+# Fixed value: start of a token that reads as a number.
 NUMBER_PREFIX = r"^-?\$?\(?-?[0-9,]*\.?[0-9]+\)?%?"
 #: Rewrites, in order, that make a number's text canonical: signs and commas off, parentheses to a minus (which a minus
 #: inside cancels), zeros off both ends.
@@ -106,6 +150,47 @@ def terms(c: Column, stop: list[str]) -> Column:
     return F.array_distinct(F.filter(raw, lambda t: (F.length(t) > 3) & ~t.isin(stop)))
 
 
+def cell_terms(c: Column) -> Column:
+    """Distinct words and numbers of more than two characters, by which cells are ranked."""
+    raw = F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), 0)
+    return F.array_distinct(F.filter(raw, lambda t: F.length(t) > 2))
+
+
+def is_year(c: Column) -> Column:
+    """Is the whole text a year of the last or this century?"""
+    return c.rlike("^(19|20)[0-9]{2}$")
+
+
+def amount(c: Column) -> Column:
+    """Number of a text without commas, dollar signs and a per cent sign at its end; null where that is none."""
+    return number(F.regexp_replace(F.translate(strip(c), ",$", ""), "%+$", ""))
+
+
+def excerpt_body(c: Column) -> Column:
+    """An excerpt without the [label] it starts with."""
+    return F.regexp_replace(strip(c), r"^\[[^\]]*\]\s*", "")
+
+
+def excerpts(context: Column) -> Column:
+    """The excerpts of a context: parts that start with [ after a blank line."""
+    return F.split(context, r"\n\n(?=\[)")
+
+
+def rendered(value: Column, unit: Column) -> Column:
+    """A value with four significant digits and its unit; the value itself stays beside it."""
+    size = F.abs(value)
+    power = F.when(size == 0, 0).otherwise(F.floor(F.log10(size))).cast("int")
+    near = value / F.pow(F.lit(10.0), power - 3)
+    digits = F.bround(near, 0)
+    power = power + F.when(F.abs(digits) >= 10000, 1).otherwise(0)
+    digits = F.when(F.abs(digits) >= 10000, digits / 10).otherwise(digits)
+    mantissa = F.regexp_replace(F.format_string("%.3f", digits / 1000), r"\.?0+$", "")
+    scientific = F.concat(mantissa, F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    plain = F.regexp_replace(F.format_number(digits * F.pow(F.lit(10.0), power - 3), 8), r"\.?0+$", "")
+    text = F.when(value == 0, "0").when((power < -4) | (power > 3), scientific).otherwise(plain)
+    return F.concat(text, F.when(unit == "%", "%").when(unit != "", F.concat(F.lit(" "), unit)).otherwise(""))
+
+
 def overlap(wanted: Column, there: Column) -> Column:
     """Wanted terms that some term agrees with: equal, or either starts with the other's first five letters."""
 
@@ -182,6 +267,7 @@ def citation(doc: Column, page: Column, table: Column, row: Column, col: Column,
 
 def extract_choice(text: Column, labels: str = "ABCDE12345") -> Column:
     """Choice label of a free answer; the article A before a lower-case word is no choice."""
+    # fixed values: the patterns of the four tiers
     t, one = strip(text), f"[{labels}]"
     article = t.rlike(r"^A\s+[a-z]")
     first = F.when(t.rlike(f"^{one}([^0-9A-Za-z]|$)") & ~article, F.substring(t, 1, 1))

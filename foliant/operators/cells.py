@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import NUMBER_PREFIX, collapse, is_furniture, normalise_number, number, number_digits, strip
+from foliant.functions.text import NUMBER_PREFIX, cell_terms, collapse, is_furniture, is_year, normalise_number, number, number_digits, parse_cell, strip
 
 TABLE = ["doc_id", "table_id"]
 ROW = [*TABLE, "row"]
@@ -202,3 +202,98 @@ def ingest_summary(pages: DataFrame, cells: DataFrame, chunks: DataFrame, breaka
     return total.select(F.when(F.col("g") == 1, "TOTAL").otherwise(F.col("doc_id")).alias("doc_id"), *names)
 
 
+def relevant(cells: DataFrame, question: Column, most: int = SHOWN) -> DataFrame:
+    """The cells of each table with most terms of a question in their labels, at most `most`, numbered from 1."""
+    shared = F.size(F.array_intersect(cell_terms(question), cell_terms(F.concat_ws(" ", "row_label", "header", "section"))))
+    return most_relevant(cells.withColumn("relevance", shared), "relevance", most)
+
+
+def numbered_tables(cells: DataFrame) -> DataFrame:
+    """Tables of each document that have cells, numbered from 1 by table_id."""
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("table_id"))
+    return filled(cells).select(*TABLE).distinct().withColumn("table_no", rank)
+
+
+def preview_texts(cells: DataFrame, documents: DataFrame) -> DataFrame:
+    """The text a table is found by: title of its document (or the id), page, sections, row labels and headers."""
+    pages = cells.groupBy(*TABLE).agg(F.min("page").alias("page"))
+    found = with_titles(previews(cells).join(pages, TABLE), documents)
+    text = F.concat(
+        "title", F.lit(" (page "), F.col("page").cast("string"), F.lit("). Sections: "), "section", F.lit(". Rows: "), "row_label", F.lit(". Columns: "), "header"
+    )
+    return found.select(*TABLE, "page", text.alias("preview"))
+
+
+def with_titles(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """Rows (doc_id) with the title of their document, or its id where there is none."""
+    titles = documents.select("doc_id", "title")
+    return rows.join(titles, "doc_id", "left").withColumn("title", F.coalesce("title", "doc_id"))
+
+
+def blank_tables(cells: DataFrame) -> DataFrame:
+    """Raw tables without any cell that holds more than white space."""
+    has = F.bool_or(F.coalesce(strip(F.col("value")) != "", F.lit(False)))
+    return cells.groupBy(*TABLE).agg(has.alias("has")).where(~F.col("has")).select(*TABLE)
+
+
+def fallback_pages(pages: DataFrame, cells: DataFrame, least: int = 20) -> DataFrame:
+    """Pages without a stored table that read as numeric: there tables are sought by their text."""
+    return numeric_pages(pages, least).join(cells.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti")
+
+
+def zone_headers(cells: DataFrame, least: int = 3) -> DataFrame:
+    """Text of the rows above each table's first numeric row, joined column by column."""
+    above = filled(cells).join(header_zone(cells, least), TABLE).where("row < zone_end")
+    parts = F.array_sort(F.collect_list(F.struct("row", "value")))
+    return above.groupBy(*TABLE, "col").agg(collapse(F.array_join(F.transform(parts, lambda p: p["value"]), " ")).alias("header"))
+
+
+def parsed(raw: DataFrame) -> DataFrame:
+    """Raw cells (doc_id, page, table_id, row, col, raw) as cells: value and unit parsed, headers from the header zone."""
+    cells = raw.withColumn("p", parse_cell(F.col("raw"))).select("doc_id", "page", *ROW[1:], "col", "p.value", "p.unit")
+    return cells.join(zone_headers(cells), [*TABLE, "col"], "left")
+
+
+def repaired(stored_: DataFrame, rebuilt: DataFrame, least: int = 2) -> DataFrame:
+    """Cells of each table: rebuilt ones where `least` rows had no label and the rebuilt table has strictly fewer, else stored ones."""
+    count = lambda t, n: vacant_rows(t).groupBy(*TABLE).agg(F.count("*").alias(n))
+    tables = rebuilt.select(*TABLE).distinct()
+    before = count(stored_, "before").where(F.col("before") >= least)
+    chosen = before.join(tables, TABLE).join(count(rebuilt, "after"), TABLE, "left").where(F.coalesce("after", F.lit(0)) < F.col("before")).select(*TABLE)
+    return stored_.join(chosen, TABLE, "left_anti").unionByName(rebuilt.join(chosen, TABLE, "left_semi"))
+
+
+def repair_log(stored_: DataFrame, rebuilt: DataFrame, least: int = 2) -> DataFrame:
+    """Breakages of label repair: tables that were repaired, and tables that keep rows without a label."""
+    count = lambda t, n: vacant_rows(t).groupBy(*TABLE).agg(F.count("*").alias(n))
+    before = count(stored_, "before").where(F.col("before") >= least)
+    made = rebuilt.select(*TABLE).distinct().withColumn("made", F.lit(True))
+    both = before.join(made, TABLE, "left").join(count(rebuilt, "after"), TABLE, "left").withColumn("after", F.when(F.col("made"), F.coalesce("after", F.lit(0))))
+    better = F.coalesce(F.col("after") < F.col("before"), F.lit(False))
+    left = F.when(better, F.col("after")).otherwise(F.col("before"))
+    reasons = F.array_compact(
+        F.array(
+            F.when(better, F.concat(F.lit("REPAIRED: "), F.col("before").cast("string"), F.lit(" rows without a label, now "), F.col("after").cast("string"))),
+            F.when(left > 0, F.concat(F.lit("INCOMPLETE: "), left.cast("string"), F.lit(" rows without a label"))),
+        )
+    )
+    return both.select(*TABLE, F.explode(reasons).alias("reason"))
+
+
+def gold_candidates(labelled_: DataFrame, incomplete: DataFrame, least_label: int = 4, most: int = 6) -> DataFrame:
+    """Cells worth asking about, the first `most` of each table by (row, col).
+
+    Of tables that are complete and were not found by text alone: cells with a label, with a header or a section, whose
+    value is a plain number and no bare year.
+    """
+    whole = labelled_.join(incomplete.select(*TABLE).distinct(), TABLE, "left_anti").where(~F.contains("table_id", F.lit("_ft")))
+    named = (F.length("row_label") >= least_label) & ((F.col("header") != "") | (F.col("section") != ""))
+    plain = F.col("value").rlike(r"^-?[0-9]+(\.[0-9]+)?$") & ~(is_year(F.col("value")) & F.coalesce(F.col("unit") == "", F.lit(True)))
+    rank = F.row_number().over(Window.partitionBy(*TABLE).orderBy("row", "col"))
+    return whole.where(named & plain).withColumn("place", rank).where(F.col("place") <= most)
+
+
+def training_cells(labelled_: DataFrame, longer: int = 5, least: int = 4) -> DataFrame:
+    """Cells with a label of more than `longer` characters and a header or section, of tables that have `least` of them."""
+    good = labelled_.where((F.length("row_label") > longer) & ((F.col("header") != "") | (F.col("section") != "")))
+    return good.withColumn("n_good", F.count("*").over(Window.partitionBy(*TABLE))).where(F.col("n_good") >= least)

@@ -20,8 +20,8 @@ def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
 
 
 def packed(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """Paragraphs (between blank lines) packed greedily into chunks of `size`; a longer one becomes windows of its own."""
-    parts = F.filter(F.transform(F.split(text, r"\n\s*\n"), strip), lambda p: p != "")
+    """Paragraphs (between two line feeds in succession) packed greedily into chunks of `size`; a longer one becomes windows of its own."""
+    parts = F.filter(F.transform(F.split(text, "\n\n"), strip), lambda p: p != "")
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
 
     def flushed(acc: Column) -> Column:
@@ -37,8 +37,8 @@ def packed(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     return F.aggregate(parts, empty, step, flushed)
 
 
-def chunks(pages: DataFrame, paragraphs: bool = False) -> DataFrame:
-    """Chunks of pages (doc_id, page, text): they never span a page, so a chunk's page is exact."""
+def chunks(pages: DataFrame, paragraphs: bool = True) -> DataFrame:
+    """Chunks of pages (doc_id, page, text), packed or as plain windows: none spans a page, so a chunk's page is exact."""
     made = packed(F.col("text")) if paragraphs else windows(F.col("text"))
     rows = pages.where(strip(F.col("text")) != "").select("doc_id", "page", F.posexplode(made).alias("place", "text"))
     return rows.select("doc_id", "page", F.concat("doc_id", F.lit("_p"), "page", F.lit("_c"), "place").alias("chunk_id"), "text")
@@ -51,3 +51,10 @@ def html_text(html: Column) -> Column:
     for name, sign in ENTITIES:
         bare = F.replace(bare, F.lit(name), F.lit(sign))
     return collapse(bare)
+
+
+def unread_pages(pages: DataFrame) -> DataFrame:
+    """Breakages of pages without text: doc_id, page, table_id, reason."""
+    empty = pages.where(F.col("text").isNull() | (strip(F.col("text")) == ""))
+    return empty.select("doc_id", "page", F.lit(None).cast("string").alias("table_id"), F.lit("no text: likely a scanned page").alias("reason"))
+

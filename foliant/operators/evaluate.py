@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import matches_needle
+from foliant.operators.order import running
 
 TOLERANCE = 0.005
 
@@ -32,28 +33,54 @@ def citation_ok(wanted: Column, cited: Column) -> Column:
 
 
 def accuracy_by_type(rows: DataFrame) -> DataFrame:
-    """n, correct and accuracy per type, and over all types as OVERALL."""
-    out = rows.rollup("type").agg(F.grouping("type").alias("g"), F.count("*").alias("n"), F.count_if("correct").alias("n_correct"))
+    """n, correct and accuracy per type, and over all types as OVERALL; citations too where rows have `citation_ok`."""
+    cited = [F.count_if("citation_ok").alias("n_cited")] if "citation_ok" in rows.columns else []
+    out = rows.rollup("type").agg(F.grouping("type").alias("g"), F.count("*").alias("n"), F.count_if("correct").alias("n_correct"), *cited)
     kind = F.when(F.col("g") == 1, "OVERALL").otherwise(F.col("type"))
-    return out.select(kind.alias("type"), "n", "n_correct", F.round(F.try_divide("n_correct", "n"), 3).alias("accuracy"))
+    rate = ["n_cited", F.round(F.try_divide("n_cited", "n"), 3).alias("citation_rate")] if cited else []
+    return out.select(kind.alias("type"), "n", "n_correct", F.round(F.try_divide("n_correct", "n"), 3).alias("accuracy"), *rate)
 
 
 def run_summary(rows: DataFrame) -> DataFrame:
-    """One row of counts, exact interpolated latency percentiles, mean and sum."""
-    p = lambda q: F.round(F.percentile("latency_s", F.lit(q)), 6)
-    return rows.agg(
+    """One row of counts, rates, exact interpolated latency percentiles, mean and sum, most memory and swap."""
+    measured = rows.agg(
         F.count("*").alias("n"),
         F.count_if("correct").alias("n_correct"),
-        p(0.5).alias("p50"),
-        p(0.95).alias("p95"),
+        F.round(F.try_divide(F.count_if("citation_ok"), F.count("*")), 3).alias("citation_rate"),
         F.round(F.avg("latency_s"), 6).alias("mean_s"),
         F.round(F.sum("latency_s"), 4).alias("wall_s"),
+        F.round(F.max("memory_gb"), 3).alias("memory_gb"),
+        F.round(F.max("swap_mb"), 1).alias("swap_mb"),
     )
+    cuts = percentiles(rows.withColumn("__all", F.lit(1)), "__all", "latency_s", {"p50": 0.5, "p95": 0.95})
+    return measured.crossJoin(F.broadcast(cuts.drop("__all")))
+
+
+def percentiles(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact percentiles of each key by linear interpolation between ranks, a column for each of `shares`; nulls count not.
+
+    Equal values are counted first and counts added up in ranges, so that no task holds the values of a key.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("__c"))
+    summed = running(counts, [key], [value], {"__c": "__upto"})
+    total = counts.groupBy(key).agg(F.sum("__c").alias("__n"))
+    placed = summed.join(total, summed[key].eqNullSafe(total[key])).select(summed[key], value, "__c", "__upto", "__n")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank < F.col("__upto")) & (rank >= F.col("__upto") - F.col("__c")), F.col(value)))
+
+    out = []
+    for name, share in shares.items():
+        place = (F.col("__n") - 1) * F.lit(share)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        out.append(F.round(low + (high - low) * F.max(place - F.floor(place)), 6).alias(name))
+    return placed.groupBy(key).agg(*out)
 
 
 def percentiles_by(rows: DataFrame, key: str, value: str) -> DataFrame:
-    p = lambda q: F.round(F.percentile(value, F.lit(q)), 6)
-    return rows.groupBy(key).agg(F.count("*").alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"), F.round(F.avg(value), 6).alias("mean"), F.round(F.max(value), 6).alias("max"))
+    plain = rows.groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.max(value), 6).alias("max"))
+    cuts = percentiles(rows, key, value, {"p50": 0.5, "p95": 0.95})
+    return plain.join(cuts, plain[key].eqNullSafe(cuts[key]), "left").select(plain[key], "n", "p50", "p95", "mean", "max")
 
 
 def resume(questions: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
@@ -61,6 +88,11 @@ def resume(questions: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     return questions.join(done.select(key).distinct(), key, "left_anti")
 
 
+def resumed(done: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """All rows of a resumed run: those that were there, and new ones of other questions."""
+    return done.unionByName(resume(new, done, key), allowMissingColumns=True)
+
+
 def keep_last(rows: DataFrame, key: str, *order: str) -> DataFrame:
     ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(o) for o in order])))
     return ranked.where("__rank = 1").drop("__rank")
@@ -68,12 +100,40 @@ def keep_last(rows: DataFrame, key: str, *order: str) -> DataFrame:
 
 def arm_breakdown(rows: DataFrame) -> DataFrame:
     """Correct, n and mean partial credit per arm: in all, by operation, and by cross-document or control."""
-    rows.createOrReplaceTempView("__arm_rows")
-    return rows.sparkSession.sql("""
-        SELECT arm, CASE WHEN grouping(operation) = 1 THEN '*' ELSE operation END AS operation,
-               CASE WHEN grouping(xdoc) = 1 THEN '*' WHEN xdoc THEN 'cross' ELSE 'control' END AS kind,
-               count(*) AS n, count_if(correct) AS n_correct, round(avg(partial), 6) AS mean_partial
-        FROM __arm_rows GROUP BY GROUPING SETS ((arm), (arm, operation), (arm, xdoc))""")
+    sets = [["arm"], ["arm", "operation"], ["arm", "xdoc"]]
+    by = rows.groupingSets(sets, "arm", "operation", "xdoc").agg(
+        F.grouping("operation").alias("g_operation"),
+        F.grouping("xdoc").alias("g_xdoc"),
+        F.count("*").alias("n"),
+        F.count_if("correct").alias("n_correct"),
+        F.round(F.avg("partial"), 6).alias("mean_partial"),
+    )
+    kind = F.when(F.col("g_xdoc") == 1, "*").when(F.col("xdoc"), "cross").otherwise("control")
+    return by.select("arm", F.when(F.col("g_operation") == 1, "*").otherwise(F.col("operation")).alias("operation"), kind.alias("kind"), "n", "n_correct", "mean_partial")
+
+
+def arm_verdict(rows: DataFrame, tuned: str = "tuned", prompted: str = "prompted") -> DataFrame:
+    """One row: accuracy of the two arms, and which is better."""
+    share = lambda a: F.try_divide(F.count_if((F.col("arm") == a) & F.col("correct")), F.count_if(F.col("arm") == a))
+    both = rows.agg(share(tuned).alias("t"), share(prompted).alias("p"))
+    verdict = F.when(F.col("p") > F.col("t"), "prompted beats tuned").when(F.col("p") == F.col("t"), "prompted matches tuned").when(F.col("p") < F.col("t"), "tuned beats prompted")
+    return both.select(F.round("t", 6).alias("tuned_accuracy"), F.round("p", 6).alias("prompted_accuracy"), verdict.alias("verdict"))
+
+
+def composition(questions: DataFrame) -> DataFrame:
+    """Questions (operation, docs array) per operation and in all as OVERALL: cross-document ones, controls, documents used."""
+    each = questions.select("operation", F.array_distinct("docs").alias("docs")).withColumn("cross", F.size("docs") > 1)
+    counted = each.rollup("operation").agg(F.grouping("operation").alias("g"), F.count("*").alias("n"), F.count_if("cross").alias("n_cross"))
+    used = each.select("operation", F.explode("docs").alias("doc")).rollup("operation").agg(F.grouping("operation").alias("g"), F.countDistinct("doc").alias("n_docs"))
+    name = lambda t: t.withColumn("operation", F.when(F.col("g") == 1, "OVERALL").otherwise(F.col("operation"))).drop("g")
+    joined = name(counted).join(name(used), "operation", "left")
+    return joined.select("operation", "n", "n_cross", (F.col("n") - F.col("n_cross")).alias("n_control"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+
+
+def reason_histogram(checked: DataFrame, codes: str = "reasons", first: bool = True) -> DataFrame:
+    """How often examples were rejected for each reason (comma-separated `codes`), their first one or all of them."""
+    listed = F.filter(F.split(codes, ","), lambda c: c != "")
+    return checked.select(F.explode(F.slice(listed, 1, 1) if first else listed).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def regression_delta(rows: DataFrame, before: str, after: str) -> DataFrame:
@@ -134,5 +194,7 @@ def evidence_checks(cited: DataFrame) -> DataFrame:
 
 
 def running_accuracy(rows: DataFrame, key: str, order: str) -> DataFrame:
-    so_far = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(key, order, F.round(F.avg(F.col("correct").cast("double")).over(so_far), 6).alias("running"))
+    """Share of correct rows so far, per key by `order`, whose values name a row."""
+    each = rows.select(key, order, F.col("correct").cast("long").alias("__ok"), F.lit(1).cast("long").alias("__one"))
+    summed = running(each, [key], [order], {"__ok": "__oks", "__one": "__ones"})
+    return summed.select(key, order, F.round(F.col("__oks") / F.col("__ones"), 6).alias("running"))

@@ -8,9 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import TOPIC_STOP, digit_ratio, gram_tokens, grams
+from foliant.functions.text import TOPIC_STOP, collapse, digit_ratio, excerpt_body, excerpts, gram_tokens, grams, is_year, matches_needle
+from foliant.operators.order import positions, running
+from foliant.session import stored
 
+# Thresholds, sizes around a figure, and what counts as one.
 CONTAMINATED, REPEATED, LABEL_DIGITS = 0.6, 0.85, 0.4
+EXCERPT, SENTENCE, FACT = (340, 360), 140, (150, 1200)
 BUDGET_TOKENS, CHARS_PER_TOKEN = 2048, 1.33
 FIGURE = r"(?<![0-9.])([0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+\.[0-9]+|[0-9]{3,})(?![0-9.])"
 
@@ -19,11 +23,10 @@ def draw(seed: str, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys]))
 
 
-def first_figure(text: Column) -> Column:
-    """First distinctive figure of a text that is not a year; null without one."""
-    figures = F.regexp_extract_all(text, F.lit(FIGURE), 1)
-    good = F.filter(figures, lambda f: ~f.rlike(r"^(19|20)[0-9]{2}$") & (F.length(F.regexp_replace(f, "[^0-9]", "")) >= 3))
-    return F.try_element_at(good, F.lit(1))
+def figures(text: Column) -> Column:
+    """Distinctive figures of a text in order: numbers of three digits at least that are not years."""
+    found = F.regexp_extract_all(text, F.lit(FIGURE), 1)
+    return F.filter(found, lambda f: ~is_year(f) & (F.length(F.regexp_replace(f, "[^0-9]", "")) >= 3))
 
 
 def topic(sentence: Column, figure: Column) -> Column:
@@ -37,32 +40,121 @@ def topic(sentence: Column, figure: Column) -> Column:
     return F.when((F.size(kept) >= 2) & F.length(phrase).between(10, 70), phrase)
 
 
-def facts(chunks: DataFrame, least: int = 8) -> DataFrame:
-    """Chunks (doc_id, chunk_id, text) with a distinctive figure, from documents that have `least` of them."""
-    text = F.trim(F.regexp_replace("text", r"\s+", " "))
-    rows = chunks.select("doc_id", "chunk_id", text.alias("text")).where(F.length("text").between(150, 1200) & F.col("text").rlike("[a-z]{4,}"))
-    rows = rows.withColumn("figure", first_figure(F.col("text"))).where("figure is not null")
-    rows = rows.where(~F.contains(F.col("doc_id"), F.col("figure")))
-    return rows.withColumn("n_facts", F.count("*").over(Window.partitionBy("doc_id"))).where(F.col("n_facts") >= least)
+def facts(chunks: DataFrame, least: int = 8, banned_figures: DataFrame | None = None, banned_chunks: DataFrame | None = None) -> DataFrame:
+    """Facts of chunks (doc_id, page, chunk_id, text): the first distinctive figure, an excerpt and a sentence around it, a topic.
 
-
-def pair_examples(found: DataFrame, per_doc: int, seed: str = "pairs") -> DataFrame:
-    """Questions that need two documents, from one fact each of `per_doc` drawn facts and the next document's.
-
-    Kinds come in the ratio 3:3:2 of first, second and negative by the draw. A negative has neither fact in context.
+    Figures (figure) and chunks (chunk_id) of evaluation sets are left out, as are figures of the document's own id,
+    figures without a topic, and documents with fewer than `least` facts.
     """
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(draw(seed, "chunk_id")))
-    chosen = found.withColumn("n", rank).where(F.col("n") <= per_doc)
-    docs = found.select("doc_id").distinct().withColumn("next_doc", F.lead("doc_id").over(Window.partitionBy().orderBy("doc_id")))
-    first_doc = found.agg(F.min("doc_id").alias("first_doc"))
-    ring = docs.crossJoin(F.broadcast(first_doc)).select("doc_id", F.coalesce("next_doc", "first_doc").alias("next_doc")).where("doc_id <> next_doc")
-    other = chosen.select(F.col("doc_id").alias("next_doc"), "n", F.col("chunk_id").alias("other_chunk"), F.col("figure").alias("other_figure"))
-    pairs = chosen.join(ring, "doc_id").join(other, ["next_doc", "n"])
-    slot = F.conv(F.substring(draw(seed + ":kind", "chunk_id"), 1, 4), 16, 10).cast("int") % 8
+    rows = chunks.select("doc_id", "page", "chunk_id", collapse(F.col("text")).alias("text")).where(F.length("text").between(*FACT))
+    if banned_chunks is not None:
+        rows = rows.join(banned_chunks.select("chunk_id").distinct(), "chunk_id", "left_anti")
+    rows = rows.withColumn("figures", figures(F.col("text"))).where(F.size("figures") > 0)
+    if banned_figures is not None:
+        each = rows.select("chunk_id", F.posexplode_outer("figures").alias("pos", "figure")).join(banned_figures.select("figure").distinct(), "figure", "left_anti")
+        rows = rows.join(each.groupBy("chunk_id").agg(F.min_by("figure", "pos").alias("figure")), "chunk_id")
+    else:
+        rows = rows.withColumn("figure", F.col("figures")[0])
+    pattern = F.concat(F.lit("(?<![0-9.])"), F.regexp_replace("figure", r"\.", r"\\."), F.lit("(?![0-9.])"))
+    rows = rows.withColumn("at", F.regexp_instr("text", pattern) - 1).drop("figures")
+
+    def around(before: int, after: Column) -> Column:
+        start = F.greatest(F.lit(0), F.col("at") - before)
+        return F.trim(F.substring(F.col("text"), start + 1, after - start))
+
+    rows = rows.withColumn("excerpt", around(EXCERPT[0], F.col("at") + EXCERPT[1]))
+    rows = rows.withColumn("sentence", around(SENTENCE, F.col("at") + F.length("figure") + SENTENCE)).where(F.col("sentence").rlike("[a-z]{4,}"))
+    rows = rows.withColumn("topic", topic(F.col("sentence"), F.col("figure"))).where("topic is not null")
+    rows = rows.where(~F.contains(F.col("doc_id"), F.col("figure"))).drop("at")
+    counts = rows.groupBy("doc_id").agg(F.count("*").alias("n_facts")).where(F.col("n_facts") >= least)
+    return rows.join(counts, "doc_id")
+
+
+#: Skeletons of questions by operation, and of answers.
+TEMPLATES = {
+    "comparison": ["Compare {qa} in {a} with {qb} in {b}.", "How does {qa} in {a} stand against {qb} in {b}?"],
+    "aggregation": ["What do {a} and {b} say in all about {qa} and {qb}?", "List {qa} from {a} and {qb} from {b}."],
+    "contradiction": ["Do {a} on {qa} and {b} on {qb} agree?", "Is {qa} in {a} consistent with {qb} in {b}?"],
+    "lookup_then_combine": ["Find {qa} in {a}, then put it beside {qb} of {b}.", "Which figures do {a} and {b} give for {qa} and {qb}?"],
+}
+ANSWER = "{doc} (page {page}) gives {figure} for {topic}; the excerpts say nothing of the other document."
+
+
+def fill(template: Column, **values: Column) -> Column:
+    """A template with its {names} replaced, one after the other."""
+    for name, value in values.items():
+        template = F.replace(template, F.lit("{" + name + "}"), value)
+    return template
+
+
+def hashed(seed: str, *keys: str) -> Column:
+    """A number of 28 bits drawn from the keys."""
+    return F.conv(F.substring(draw(seed, *keys), 1, 7), 16, 10).cast("long")
+
+
+def pair_examples(found: DataFrame, seed: str = "pairs", most: int = 4) -> DataFrame:
+    """Questions about two documents, one per fact: with the fact's document, the drawn partner's, or a third one in context.
+
+    Kinds come in the ratio 3:3:2 of first, second and negative. Context holds the supporting fact's excerpt, if any, and
+    up to `most` other excerpts of its document without that figure; a negative's has neither figure. Rejected at
+    once: pairs without a partner, and negatives without two excerpts.
+    """
+    docs = stored(positions(found.groupBy("doc_id").agg(F.count("*").alias("n_facts")), ["doc_id"], "i"), "fact-docs")
+    n = docs.count()
+    place = running(found.select("doc_id", "page", "chunk_id", "figure", "topic", "excerpt").withColumn("d", draw(seed, "chunk_id")).withColumn("one", F.lit(1).cast("long")), ["doc_id"], ["d", "chunk_id"], {"one": "place"})
+    placed = stored(place.withColumn("place", F.col("place") - 1).drop("one", "d"), "facts")
+    if n < 2:
+        n = 2  # no partner is found below
+    drawn = placed.join(docs.select("doc_id", "i"), "doc_id").withColumn("j", (F.col("i") + 1 + hashed(seed + ":partner", "chunk_id") % (n - 1)) % n)
+    slot = hashed(seed + ":kind", "chunk_id") % 8
     kind = F.when(slot < 3, "first").when(slot < 6, "second").otherwise("negative")
-    question = F.concat(F.lit("Compare the figures of "), "doc_id", F.lit(" and "), "next_doc", F.lit("."))
-    answer = F.when(kind == "first", F.col("figure")).when(kind == "second", F.col("other_figure")).otherwise("NOT_IN_CONTEXT")
-    return pairs.select("doc_id", "next_doc", "chunk_id", "other_chunk", kind.alias("kind"), question.alias("question"), answer.alias("answer"))
+    # the third document is drawn from the rest: the two places in use are stepped over
+    free = hashed(seed + ":third", "chunk_id") % max(1, n - 2)
+    low, high = F.least("i", "j"), F.greatest("i", "j")
+    free = free + F.when(free >= low, 1).otherwise(0)
+    drawn = drawn.withColumn("kind", kind).withColumn("third", free + F.when(free >= high, 1).otherwise(0))
+    to = lambda name, p: [docs.select(F.col("doc_id").alias(name), F.col("n_facts").alias(f"{name}_facts"), F.col("i").alias(p)), p]
+    pairs = drawn.join(*to("other_doc", "j")).where("other_doc <> doc_id")
+    pairs = pairs.withColumn("other_place", hashed(seed + ":fact", "chunk_id") % F.col("other_doc_facts"))
+    other = placed.select(F.col("doc_id").alias("other_doc"), F.col("place").alias("other_place"), *[F.col(c).alias(f"other_{c}") for c in ("page", "chunk_id", "figure", "topic", "excerpt")])
+    pairs = pairs.join(other, ["other_doc", "other_place"]).join(*to("third_doc", "third"), "left")
+    first, negative = F.col("kind") == "first", F.col("kind") == "negative"
+    by = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+    context_doc = F.when(negative, F.col("third_doc")).otherwise(by("doc_id", "other_doc"))
+    pairs = pairs.where(~negative | (F.lit(n > 2) & F.col("third_doc").isNotNull())).withColumn("context_doc", context_doc)
+
+    # other excerpts of the context's document: those that follow the support in its order, or a drawn place
+    ctx = placed.select(F.col("doc_id").alias("context_doc"), F.col("place").alias("ctx_place"), F.col("page").alias("ctx_page"), F.col("chunk_id").alias("ctx_chunk"), F.col("excerpt").alias("ctx_excerpt"))
+    sizes = docs.select(F.col("doc_id").alias("context_doc"), F.col("n_facts").alias("ctx_facts"))
+    start = F.when(negative, hashed(seed + ":context", "chunk_id") % F.col("ctx_facts")).otherwise(by("place", "other_place"))
+    around = pairs.join(sizes, "context_doc").withColumn("start", start)
+    around = around.withColumn("ctx_place", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(most), F.col("ctx_facts") - 1)), lambda k: (F.col("start") + k) % F.col("ctx_facts"))))
+    joined = around.join(ctx, ["context_doc", "ctx_place"])
+    support = ~negative & (F.col("ctx_chunk") == by("chunk_id", "other_chunk_id"))
+    lacks = lambda f: ~matches_needle(F.col("ctx_excerpt"), F.col(f))
+    fine = support | (negative & lacks("figure") & lacks("other_figure")) | (~negative & F.when(first, lacks("figure")).otherwise(lacks("other_figure")))
+    line = F.concat(F.lit("["), "context_doc", F.lit(" p"), F.col("ctx_page").cast("string"), F.lit("] "), "ctx_excerpt")
+    parts = F.array_sort(F.collect_list(F.struct(draw(seed + ":order", "chunk_id", "ctx_chunk").alias("o"), line.alias("line"), support.alias("support"))))
+    keys = ["chunk_id", "doc_id", "other_doc", "other_chunk_id", "context_doc", "kind", "figure", "other_figure", "topic", "other_topic", "page", "other_page"]
+    made = joined.where(fine).groupBy(*keys).agg(parts.alias("parts")).where(~negative | (F.size("parts") >= 2))
+
+    names = list(TEMPLATES)
+    op = F.element_at(F.array(*[F.lit(o) for o in names]), (hashed(seed + ":operation", "chunk_id") % len(names) + 1).cast("int"))
+    which = hashed(seed + ":template", "chunk_id") % 2
+    made = made.withColumn("operation", op).withColumn("template_id", F.concat("operation", F.lit("#"), which.cast("string")))
+    skeleton = F.coalesce(*[F.when(F.col("template_id") == f"{o}#{i}", F.lit(t)) for o, ts in TEMPLATES.items() for i, t in enumerate(ts)])
+    question = fill(skeleton, qa=F.col("topic"), qb=F.col("other_topic"), a=F.col("doc_id"), b=F.col("other_doc"))
+    answer = fill(F.lit(ANSWER), doc=F.col("context_doc"), page=by("page", "other_page").cast("string"), figure=by("figure", "other_figure"), topic=by("topic", "other_topic"))
+    return made.select(
+        "chunk_id", "doc_id", "other_doc", "context_doc", "kind", "operation", "template_id",
+        question.alias("question"),
+        F.array_join(F.transform("parts", lambda p: p["line"]), "\n\n").alias("context"),
+        F.when(negative, "NOT_IN_CONTEXT").otherwise(answer).alias("answer"),
+        F.when(negative, F.col("figure")).otherwise(by("figure", "other_figure")).alias("figure"),
+        F.when(negative, F.col("other_figure")).otherwise(by("other_figure", "figure")).alias("other_figure"),
+        F.size("parts").alias("n_excerpts"),
+        F.nullif(F.array_position(F.transform("parts", lambda p: p["support"]), F.lit(True)), F.lit(0)).alias("support_position"),
+    )
 
 
 def distractors(cells: DataFrame, targets: DataFrame, regime: str, k: int, seed: str = "distract") -> DataFrame:
@@ -75,7 +167,11 @@ def distractors(cells: DataFrame, targets: DataFrame, regime: str, k: int, seed:
 
 
 def check_cells(examples: DataFrame) -> DataFrame:
-    """Rejection reasons of cell-selection examples (id, question, operation, label, value, has_target, twins, in_eval)."""
+    """Rejection reasons of cell-selection examples (id, question, operation, label, value, has_target, twins, in_eval).
+
+    With a column `eval_jaccard`, its closest evaluation question's, examples near to one are rejected too.
+    """
+    near = F.when(F.col("eval_jaccard") >= CONTAMINATED, "contaminated_question") if "eval_jaccard" in examples.columns else F.lit(None).cast("string")
     q = F.col("question")
     reasons = F.array_compact(
         F.array(
@@ -87,6 +183,7 @@ def check_cells(examples: DataFrame) -> DataFrame:
             F.when(F.col("twins") > 0, "ambiguous"),
             F.when(F.col("operation").isin("max", "min") & ~F.lower(q).rlike("column|for |under |among"), "superlative_without_column"),
             F.when(F.col("in_eval"), "contaminated_cell"),
+            near,
         )
     )
     return examples.select("id", F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) == 0).alias("passed"))
@@ -95,13 +192,14 @@ def check_cells(examples: DataFrame) -> DataFrame:
 def check_pairs(examples: DataFrame) -> DataFrame:
     """Rejection codes of multi-document examples (id, kind, context, question, answer, figure, other_figure, eval_figures).
 
+    With a column `eval_jaccard`, its closest evaluation question's, examples near to one are rejected as contaminated.
+
     Context is excerpts between blank lines, each after a [label]; labels do not count as text. Token budgets use a
     fixed number of characters per token, as a stand-in for a model's tokenizer.
     """
-    from foliant.functions.text import matches_needle as has
-
-    excerpts = F.transform(F.split("context", r"\n\n(?=\[)"), lambda e: F.regexp_replace(F.trim(e), r"^\[[^\]]*\]\s*", ""))
-    body = F.array_join(excerpts, "\n\n")
+    has = matches_needle
+    bodies = F.transform(excerpts(F.col("context")), excerpt_body)
+    body = F.array_join(bodies, "\n\n")
     negative, fig = F.col("kind") == "negative", F.col("figure")
     prompt = F.length(F.concat_ws(" ", "context", "question")) / CHARS_PER_TOKEN
     full = prompt + F.length("answer") / CHARS_PER_TOKEN
@@ -113,8 +211,9 @@ def check_pairs(examples: DataFrame) -> DataFrame:
             F.when(negative & (has(body, fig) | has(body, F.col("other_figure"))), "negative_is_false"),
             F.when(~negative & ~has(body, fig), "ungrounded_figure"),
             F.when(~negative & ~has(F.col("answer"), fig), "answer_lost_figure"),
-            F.when(~negative & (F.size(F.filter(excerpts, lambda e: has(e, fig))) > 1), "ambiguous_figure"),
+            F.when(~negative & (F.size(F.filter(bodies, lambda e: has(e, fig))) > 1), "ambiguous_figure"),
             F.when(~negative & has(body, F.col("other_figure")), "leaked_other_half"),
+            F.when(F.col("eval_jaccard") >= CONTAMINATED, "contaminated_text") if "eval_jaccard" in examples.columns else F.lit(None).cast("string"),
             F.when(~negative & F.array_contains("eval_figures", fig), "contaminated_figure"),
         )
     )
@@ -147,9 +246,43 @@ def contamination(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     return best.select("a", "b", "jaccard", (F.col("jaccard") >= CONTAMINATED).alias("contaminated"))
 
 
+def most_contaminated(train: DataFrame, evaluation: DataFrame) -> DataFrame:
+    """One row: the closest pair of a training and an evaluation row (ties: the smallest ids)."""
+    best = F.min(F.struct((-F.col("jaccard")).alias("j"), "a", "b")).alias("best")
+    return gram_pairs(train, evaluation).agg(best).select("best.a", "best.b", (-F.col("best.j")).alias("jaccard"))
+
+
+def close_pairs(rows: DataFrame, threshold: float, n: int = 5) -> DataFrame:
+    """Pairs of rows (id, text) whose n-gram sets have a Jaccard similarity of `threshold`: a, b, jaccard, a < b.
+
+    Rows of equal sets stand for each other: pairs are of the first row of each set, plus each further row with that
+    first one. A row looks for partners by its rarest grams alone, so many that a close row must have one of them.
+    """
+    # each step is written: an expression over whole texts is made once and not once for each use
+    tokens = stored(rows.select("id", gram_tokens(F.col("text")).alias("t")), "tokens")
+    made = stored(tokens.select("id", F.array_sort(grams(F.col("t"), n)).alias("g")), "grams")
+    sets = made.select("id", F.size("g").alias("n"), "g", F.sha2(F.array_join("g", "\n"), 256).alias("key")).where("n > 0")
+    firsts = sets.groupBy("key").agg(F.min("id").alias("id"))
+    again = sets.join(firsts.withColumnRenamed("id", "a"), "key").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    kept = stored(sets.join(firsts, ["key", "id"], "left_semi").select("id", "n", "g"), "first-sets")
+    grams_ = kept.select("id", "n", F.explode("g").alias("gram"))
+    often = grams_.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "gram"))
+    # grams that no other row has come first and find nobody
+    shared = grams_.join(often, "gram").withColumn("rank", rank).withColumn("common", F.count("*").over(Window.partitionBy("id")))
+    prefix = shared.where(F.col("rank") + F.col("n") - F.col("common") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
+    x = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "gram")
+    y = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "gram")
+    met = x.join(y, "gram").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
+    both = met.join(kept.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(kept.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
+    shared_ = F.size(F.array_intersect("ga", "gb"))
+    jaccard = F.round(shared_ / (F.size("ga") + F.size("gb") - shared_), 6)
+    return both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold).unionByName(again)
+
+
 def repeated(rows: DataFrame, threshold: float = REPEATED) -> DataFrame:
     """Rows that are close to an earlier one (smaller id): id, of, jaccard, by the closest earlier row."""
-    near = gram_pairs(rows).where(F.col("jaccard") >= threshold)
+    near = close_pairs(rows, threshold)
     return near.groupBy(F.col("b").alias("id")).agg(F.min_by("a", F.struct((-F.col("jaccard")).alias("j"), "a")).alias("of"), F.max("jaccard").alias("jaccard"))
 
 
@@ -157,9 +290,9 @@ def axes(rows: DataFrame, names: list[str], most: int = 4) -> DataFrame:
     """Distinct values of each axis and its most frequent ones (ties by value)."""
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(n).alias("axis"), F.col(n).cast("string").alias("value")) for n in names])).alias("x")).select("x.*")
     counts = long.groupBy("axis", "value").agg(F.count("*").alias("n"))
-    by_axis = Window.partitionBy("axis")
-    ranked = counts.withColumn("n_distinct", F.count("*").over(by_axis)).withColumn("rank", F.row_number().over(by_axis.orderBy(F.desc("n"), "value")))
-    return ranked.where(F.col("rank") <= most)
+    distinct = counts.groupBy("axis").agg(F.count("*").alias("n_distinct"))
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("axis").orderBy(F.desc("n"), "value"))).where(F.col("rank") <= most)
+    return ranked.join(distinct, "axis").select("axis", "value", "n", "n_distinct", "rank")
 
 
 def type_token_ratio(rows: DataFrame) -> DataFrame:
@@ -169,13 +302,24 @@ def type_token_ratio(rows: DataFrame) -> DataFrame:
 
 
 def split(rows: DataFrame, key: str, least: int = 40, share: float = 0.1, seed: str = "split") -> DataFrame:
-    """Marks max(least, share of all) rows as validation, the first by the draw."""
-    n = rows.agg(F.count("*").alias("__n"))
-    # the cut is the draw of the last validation row, found by a top-k, so no task sees all rows
-    wanted = int(max(least, (n.first()["__n"] or 0) * share))
-    cut = rows.select(draw(seed, key).alias("d"), key).orderBy("d", key).limit(wanted).agg(F.max(F.struct("d", key)).alias("cut"))
-    marked = rows.crossJoin(F.broadcast(cut)).withColumn("valid", F.coalesce(F.struct(draw(seed, key).alias("d"), key) <= F.col("cut"), F.lit(False)))
-    return marked.select(key, F.when(F.col("valid"), "valid").otherwise("train").alias("part"))
+    """Marks max(least, share of all) rows as validation, the first by the draw.
+
+    Draws are counted by their first four digits; only the rows of the one count that the cut falls into are ordered.
+    """
+    drawn = rows.select(key, draw(seed, key).alias("d")).withColumn("cell", F.substring("d", 1, 4))
+    counts = {r["cell"]: r["n"] for r in drawn.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # 65,536 at most
+    wanted = int(max(least, sum(counts.values()) * share))
+    before, at = 0, "~"
+    for cell in sorted(counts):
+        if before + counts[cell] >= wanted:
+            at = cell
+            break
+        before += counts[cell]
+    place = F.row_number().over(Window.orderBy("d", key))
+    edge = drawn.where(F.col("cell") == at).withColumn("place", place).where(F.col("place") <= wanted - before)
+    cut = edge.agg(F.max(F.struct("d", key)).alias("cut"))
+    valid = (F.col("cell") < at) | F.coalesce(F.struct("d", key) <= F.col("cut"), F.lit(False))
+    return drawn.crossJoin(F.broadcast(cut)).select(key, F.when(valid, "valid").otherwise("train").alias("part"))
 
 
 def chat_records(turns: DataFrame) -> DataFrame:

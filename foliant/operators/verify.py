@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.text import CLAIM_STOP, claim_numbers, numbers_agree, overlap, terms, without_years
+from foliant.functions.text import CLAIM_STOP, claim_numbers, number, numbers_agree, overlap, terms, without_years
 
 LEAST_TERMS, MARGIN, FLOOR = 3, 1, 0.35
 
 
-def match_cells(claims: DataFrame, cells: DataFrame) -> DataFrame:
+def match_cells(claims: DataFrame, cells: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     """The cell that each claim (claim_id, text) is about, by labels alone: claim_id, score and the cell.
 
-    Claims meet cells over the five-letter starts of their terms, so only cells that agree in one are compared. The
+    Cells may be each claim's own evidence, `by` claim_id.
+
+    Claims meet cells over the four-letter starts of their terms, which any two terms that agree share, so only cells
+    that agree in one are compared. The
     best cell needs three agreeing terms and a lead of one over cells of other rows; ties go by (doc, table, row, col).
     """
     start = lambda c: F.explode(F.array_distinct(F.transform(c, lambda t: F.substring(t, 1, 4))))
     asked = claims.select("claim_id", terms(F.col("text"), CLAIM_STOP).alias("wanted")).withColumn("start", start(F.col("wanted")))
     there = cells.withColumn("there", terms(F.concat_ws(" ", "row_label", "header", "section"), CLAIM_STOP)).withColumn("start", start(F.col("there")))
     key = ["doc_id", "table_id", "row", "col"]
-    pairs = asked.join(there, "start").dropDuplicates(["claim_id", *key])
-    scored = pairs.withColumn("score", overlap(F.col("wanted"), F.col("there")))
+    pairs = asked.join(there, ["start", *by]).dropDuplicates(["claim_id", *key])
+    scored = pairs.withColumn("score", overlap(F.col("wanted"), F.col("there"))).where("score > 0")
     order = F.struct((-F.col("score")).alias("s"), *key)
     best = scored.groupBy("claim_id").agg(F.min_by(F.struct("score", *key, "value", "unit", "row_label", "section"), order).alias("best"))
     rival = (
@@ -60,3 +63,17 @@ def verdicts(claims: DataFrame) -> DataFrame:
         .otherwise(F.col("score"))
     )
     return claims.select("claim_id", verdict.alias("verdict"), F.round(sure, 6).alias("confidence"), (~weak & recomputed).alias("recomputed"))
+
+
+def recheck(claims: DataFrame, cells: DataFrame, judged: DataFrame | None = None) -> DataFrame:
+    """Verdicts of claims (claim_id, text, n_evidence, best_score) against their evidence's cells (claim_id and the cell).
+
+    A claim that one cell is clearly about is recomputed; the rest go by what a reader judged (claim_id, judged), if any.
+    Returns claim_id, verdict, confidence, recomputed and the place of the cell.
+    """
+    matched = match_cells(claims.select("claim_id", "text"), cells, ["claim_id"])
+    found = matched.select("claim_id", number(F.col("value")).alias("cell"), "doc_id", "table_id", "row", "col")
+    readers = claims.select("claim_id").withColumn("judged", F.lit(None).cast("string")) if judged is None else judged
+    rows = claims.join(found, "claim_id", "left").join(readers, "claim_id", "left").withColumn("score", F.col("best_score"))
+    places = rows.select("claim_id", "row", "col")
+    return verdicts(rows).join(places, "claim_id")

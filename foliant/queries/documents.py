@@ -11,18 +11,23 @@ from foliant.queries.fixtures import (
     CHUNKS,
     FILLED,
     NUMERIC_CELLS,
-    PREFIX,
     PAGES_SQL,
+    PREFIX,
+    RAW_CELLS,
+    REBUILT_CELLS,
     STORE_SQL,
+    WINDOWS,
     chunk_pages,
     line_cells,
     literal,
     norm_sql,
+    over_tables,
     page_text,
     store,
     table,
     values,
 )
+from foliant.session import stored
 
 QUERIES, ORACLE = {}, {}
 
@@ -37,21 +42,55 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"with {CHUNKS} select doc_id, page, chunk_id, text from chunks")
+@query(f"with {WINDOWS} select doc_id, page, chunk_id, text from windows")
 def chunk_windows(spark, sf_dir):
+    return chunking.chunks(chunk_pages(spark, sf_dir), paragraphs=False)
+
+
+@query(f"with {CHUNKS} select doc_id, page, chunk_id, text from chunks")
+def chunk_pages_packed(spark, sf_dir):
     return chunking.chunks(chunk_pages(spark, sf_dir))
 
 
+@query(r"""
+with recursive paras as (
+  select doc_id, row_number() over (partition by doc_id order by k) as k, p from (
+    select doc_id, generate_subscripts(ps, 1) as k, unnest(ps) as p from (
+      select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as ps from documents))),
+steps(doc_id, k, cur, done) as (
+  select distinct doc_id, 0::bigint, '', []::varchar[] from paras
+  union all
+  select s.doc_id, p.k,
+    case when length(p.p) > 800 then '' when s.cur <> '' and length(s.cur) + length(p.p) + 2 <= 800 then s.cur || chr(10) || chr(10) || p.p else p.p end,
+    case when length(p.p) > 800 then list_concat(case when s.cur = '' then []::varchar[] else [s.cur] end, list_transform(generate_series(0, greatest(0, ceil((length(p.p) - 800) / 700.0))::int), lambda i: substr(p.p, i * 700 + 1, 800)))
+      when s.cur <> '' and length(s.cur) + length(p.p) + 2 > 800 then [s.cur] else []::varchar[] end
+  from steps s join paras p on p.doc_id = s.doc_id and p.k = s.k + 1),
+every as (
+  select doc_id, k, unnest(done) as text, generate_subscripts(done, 1) as j from steps
+  union all select doc_id, 1000000000, cur, 0 from (select *, row_number() over (partition by doc_id order by k desc) as r from steps) where r = 1 and cur <> '')
+select source as doc_id, d.doc_id as page, source || '_p' || d.doc_id || '_c' || (row_number() over (partition by d.doc_id order by k, j) - 1) as chunk_id, e.text
+from every e join documents d on d.doc_id = e.doc_id""")
+def chunk_pack(spark, sf_dir):
+    """Every line of the documents taken for a paragraph, packed into chunks."""
+    pages = chunk_pages(spark, sf_dir)
+    return chunking.chunks(pages.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))))
+
+
 _PARAS = "('p', 1, repeat('a', 300) || chr(10) || chr(10) || repeat('b', 300) || chr(10) || ' ' || chr(10) || repeat('c', 300)), ('p', 2, repeat('x', 1700) || chr(10) || chr(10) || 'tail'), ('p', 3, 'one'), ('p', 4, chr(10) || chr(10))"
 
 
 @query("""
 with want(doc_id, page, chunk_id, text) as (values
-  ('p', 1, 'p_p1_c0', repeat('a', 300) || chr(10) || chr(10) || repeat('b', 300)), ('p', 1, 'p_p1_c1', repeat('c', 300)),
+  ('p', 1, 'p_p1_c0', repeat('a', 300)), ('p', 1, 'p_p1_c1', repeat('b', 300) || chr(10) || ' ' || chr(10) || repeat('c', 300)),
   ('p', 2, 'p_p2_c0', repeat('x', 800)), ('p', 2, 'p_p2_c1', repeat('x', 800)), ('p', 2, 'p_p2_c2', repeat('x', 300)), ('p', 2, 'p_p2_c3', 'tail'), ('p', 3, 'p_p3_c0', 'one'))
 select * from want""")
 def chunk_pack_literal(spark, sf_dir):
-    return chunking.chunks(literal(spark, _PARAS, "doc_id, page, text"), paragraphs=True)
+    return chunking.chunks(literal(spark, _PARAS, "doc_id, page, text"))
+
+
+@query("select 'p' as doc_id, 4 as page, null::varchar as table_id, 'no text: likely a scanned page' as reason")
+def unread_pages(spark, sf_dir):
+    return chunking.unread_pages(literal(spark, _PARAS, "doc_id, page, text"))
 
 
 @query(r"""
@@ -79,7 +118,8 @@ def doc_id_slug(spark, sf_dir):
 
 _CELLS = """('106.2 *', '106.2', null), ('45.1 **', '45.1', null), ('1,234 r', '1234', null), ('56.7 p', '56.7', null), ('45%', '45', '%'),
 ('$1,234', '1234', 'USD'), ('$(5)', '-5', 'USD'), ('($5)', '($5)', null), ('(1,234.5)', '-1234.5', null), ('n/a', null, null), ('—', null, null),
-('', null, null), ('18.', '18.', null), ('-$5', '-$5', null), ('(5%)', '(5%)', null), ('(5)%', '-5', '%'), ('  Total  ', 'Total', null), ('€7.50', '7.5', 'EUR'), ('-3', '-3', null), ('.5', '0.5', null), (null, null, null), ('None', null, null)"""
+('', null, null), ('18.', '18.', null), ('-$5', '-$5', null), ('(5%)', '(5%)', null), ('(5)%', '-5', '%'), ('  Total  ', 'Total', null), ('€7.50', '7.5', 'EUR'), ('-3', '-3', null), ('.5', '0.5', null), (null, null, null), ('None', null, null),
+('12,345,678.5', '12345678.5', null), ('0.0001', '0.0001', null), ('0.00001', '1e-05', null), ('-0.0000120', '-1.2e-05', null), ('00012.50', '12.5', null), ('-0', '0', null), ('(0.00)', '0', null), ('123456789012345', '123456789012345', null)"""
 
 
 @query(f"select cast(raw as varchar) as raw, cast(value as varchar) as value, cast(unit as varchar) as unit from {values(_CELLS, 'raw, value, unit')}")
@@ -88,6 +128,21 @@ def parse_cell(spark, sf_dir):
     return rows.select("raw", "p.value", "p.unit")
 
 
+_FORMATS = """select l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  case l_orderkey % 8 when 0 then {0} when 1 then '$' || {0} when 2 then '(' || {0} || ')' when 3 then {0} || '%' when 4 then {0} || ' r' when 5 then '€' || {1} when 6 then '(' || {1} || ')%' else '0.0000' || cast(l_partkey as {2}) end as raw
+  from lineitem"""
+
+
+@query(f"""with r as ({_FORMATS.format("format('{:,.2f}', l_extendedprice)", "format('{:,.2f}', l_extendedprice * 1000)", "varchar")}),
+n as (select *, regexp_replace(cast(cast(regexp_replace(raw, '[^0-9.]', '', 'g') as double) as varchar), '\\.0$', '') as size from r)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, raw, case when l_orderkey % 8 in (2, 6) and size <> '0' then '-' || size else size end as value,
+  case l_orderkey % 8 when 1 then 'USD' when 3 then '%' when 5 then 'EUR' when 6 then '%' end as unit from n""")
+def parse_cell_prices(spark, sf_dir):
+    """Prices of all lines in the forms that tables print them in."""
+    rows = over_tables(spark, sf_dir, _FORMATS.format("format_number(l_extendedprice, 2)", "format_number(l_extendedprice * 1000, 2)", "string"), "lineitem")
+    return rows.withColumn("p", ft.parse_cell(F.col("raw"))).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "raw", "p.value", "p.unit")
+
+
 _TOKENS = "('1,250'), ('$45.00'), ('(45.0)'), ('-7'), ('(-7)'), ('007'), ('0.50'), ('-0'), ('12%'), ('-$5'), ('($5)'), ('abc'), ('224647411220468213'), ('224647411220468214'), ('3rd'), ('106.2*')"
 
 
@@ -142,15 +197,17 @@ def retrievable_tables(spark, sf_dir):
     return oc.retrievable(line_cells(spark, sf_dir))
 
 
+_WORDS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda t: length(t) > 2))"
+
+
 @query(f"""
 with c as ({NUMERIC_CELLS.replace('string', 'varchar')}),
-s as (select *, (case when section = 'R' then 2 else 0 end) + (case when header = 'l_tax' then 1 else 0 end) as score from c),
-k as (select *, row_number() over (partition by doc_id, table_id order by score desc, row, col) as rank from s)
-select doc_id, table_id, row, col, score, (row_number() over (partition by doc_id, table_id order by row, col))::int as cell_id from k where rank <= 5""")
+s as (select *, len(list_intersect({_WORDS.format("'Tax on green parts of the R lines: l_tax'")}, {_WORDS.format("row_label || ' ' || header || ' ' || section")})) as relevance from c),
+k as (select *, row_number() over (partition by doc_id, table_id order by relevance desc, row, col) as rank from s)
+select doc_id, table_id, row, col, relevance, (row_number() over (partition by doc_id, table_id order by row, col))::int as cell_id from k where rank <= 5""")
 def cell_relevance_cap(spark, sf_dir):
-    cells = line_cells(spark, sf_dir).where(oc.is_number())
-    score = F.when(F.col("section") == "R", 2).otherwise(0) + F.when(F.col("header") == "l_tax", 1).otherwise(0)
-    return oc.most_relevant(cells.withColumn("score", score), "score", 5).select("doc_id", "table_id", "row", "col", "score", "cell_id")
+    cells = line_cells(spark, sf_dir, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return oc.relevant(cells, F.lit("Tax on green parts of the R lines: l_tax"), 5).select("doc_id", "table_id", "row", "col", "relevance", "cell_id")
 
 
 _FURNITURE = r"^(quarterly|volume|number *[0-9]*|[0-9]{4} +volume|table +[ivx]+-?[a-z]?\b.*|[a-z]+ +[0-9]{1,2}, +[0-9]{4}|page *[0-9]+|[0-9]+)$"
@@ -281,3 +338,127 @@ def upsert_documents(spark, sf_dir):
 @query("select distinct 'd' || (l_orderkey % 7) as doc_id, 't' || l_orderkey as table_id, l_orderkey % 50 + 1 as page from lineitem")
 def distinct_tables(spark, sf_dir):
     return line_cells(spark, sf_dir).select("doc_id", "table_id", "page").distinct()
+
+
+# --- raw tables of an extractor, over all lines ---
+
+
+def _raw(spark, sf_dir, sql=RAW_CELLS):
+    return stored(over_tables(spark, sf_dir, sql, "lineitem", "part").drop("k"), "raw")
+
+
+def _parsed(spark, sf_dir, sql=RAW_CELLS):
+    return stored(oc.parsed(_raw(spark, sf_dir, sql)), "parsed")
+
+
+def _plain(sql):
+    """Filled raw cells with the number each one is, in SQL of its own."""
+    return f"""raw as ({sql.replace('string', 'varchar')}),
+filled as (select *, regexp_matches(trim(raw), '^[$]?[0-9.]+%?$') as numeric from raw where trim(raw) <> ''),
+counts as (select doc_id, table_id, row, count(*) filter (numeric) as n, count(*) filter (not numeric and col in (0, 1)) as labels from filled group by all),
+zone as (select doc_id, table_id, min(row) as zone_end from counts where n >= 3 group by all),
+heads as (select f.doc_id, f.table_id, f.col, string_agg(trim(regexp_replace(f.raw, '\\s+', ' ', 'g')), ' ' order by f.row) as header from filled f join zone z using (doc_id, table_id) where f.row < z.zone_end group by all)"""
+
+
+@query(f"with {_plain(RAW_CELLS)} select * from heads")
+def header_concatenation(spark, sf_dir):
+    return oc.zone_headers(_parsed(spark, sf_dir).drop("header"))
+
+
+@query(f"""with {_plain(RAW_CELLS)} select r.doc_id, r.page, r.table_id, r.row, r.col, h.header,
+  case when trim(r.raw) <> '' then regexp_replace(regexp_replace(regexp_replace(trim(r.raw), '^[$]|%$', '', 'g'), '^([0-9]+[.][0-9]*?)0+$', '\\1'), '[.]$', '') end as value,
+  case when regexp_matches(r.raw, '^[$][0-9]') then 'USD' when regexp_matches(r.raw, '[0-9]%$') then '%' end as unit
+from raw r left join heads h using (doc_id, table_id, col)""")
+def parsed_tables(spark, sf_dir):
+    return _parsed(spark, sf_dir).select("doc_id", "page", "table_id", "row", "col", "header", "value", "unit")
+
+
+_VACANT = "vacant{0} as (select doc_id, table_id, count(*) as n{0} from counts{0} join zone{0} using (doc_id, table_id) where row >= zone_end and n > 0 and labels = 0 group by all)"
+_BOTH = f"""with {_plain(RAW_CELLS)}, {_VACANT.format('')},
+""" + _plain(REBUILT_CELLS).replace("raw as", "raw2 as").replace("from raw where", "from raw2 where").replace("filled as", "filled2 as").replace("from filled ", "from filled2 ").replace("from filled f", "from filled2 f").replace("counts as", "counts2 as").replace("from counts ", "from counts2 ").replace("zone as", "zone2 as").replace("join zone z", "join zone2 z").replace("heads as (select f", "heads2 as (select f") + """,
+vacant2 as (select doc_id, table_id, count(*) as n2 from counts2 join zone2 using (doc_id, table_id) where row >= zone_end and n > 0 and labels = 0 group by all),
+judged as (select doc_id, table_id, v.n, coalesce(n2, 0) as n2 from vacant v left join vacant2 using (doc_id, table_id) where v.n >= 2)"""
+
+
+@query(f"""{_BOTH}, better as (select doc_id, table_id from judged where n2 < n)
+select doc_id, table_id, count(*) as n_cells, count(*) filter (col = 0 and trim(raw) <> '') as n_labels from (
+  select * from raw r where not exists (select 1 from better b where b.doc_id = r.doc_id and b.table_id = r.table_id) union all
+  select r.* from raw2 r join better b on b.doc_id = r.doc_id and b.table_id = r.table_id) group by all""")
+def label_repair(spark, sf_dir):
+    """Cells and labels of each table once those without row labels have been replaced by rebuilt ones that are better."""
+    done = oc.repaired(_parsed(spark, sf_dir), _parsed(spark, sf_dir, REBUILT_CELLS))
+    return done.groupBy("doc_id", "table_id").agg(F.count("*").alias("n_cells"), F.count_if(F.expr("col = 0 and value <> ''")).alias("n_labels"))
+
+
+@query(f"""{_BOTH} select doc_id, table_id, 'REPAIRED: ' || n || ' rows without a label, now ' || n2 as reason from judged where n2 < n
+union all select doc_id, table_id, 'INCOMPLETE: ' || (case when n2 < n then n2 else n end) || ' rows without a label' from judged where (case when n2 < n then n2 else n end) > 0""")
+def label_repair_log(spark, sf_dir):
+    return oc.repair_log(_parsed(spark, sf_dir), _parsed(spark, sf_dir, REBUILT_CELLS))
+
+
+@query("""with p as (select source as doc_id, doc_id as page, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: regexp_matches(w, '[0-9]')))::int as n_numeric from documents)
+select p.* from p where n_numeric >= 3 and not exists (select 1 from lineitem l where 'src' || (l_orderkey % 7) = p.doc_id and l_orderkey % 50 + 1 = p.page)""")
+def fallback_trigger(spark, sf_dir):
+    """Pages that read as numeric and have no stored table (three numbers are enough here)."""
+    cells = line_cells(spark, sf_dir, ["l_tax"]).withColumn("doc_id", F.regexp_replace("doc_id", "^d", "src"))
+    return oc.fallback_pages(chunk_pages(spark, sf_dir), cells, least=3)
+
+
+@query("select distinct source as doc_id, 't' || (doc_id % 50) as table_id from documents d where not exists (select 1 from documents e where e.source = d.source and e.doc_id % 50 = d.doc_id % 50 and e.doc_id % 3 <> 0)")
+def blank_tables(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.concat(F.lit("t"), (F.col("doc_id") % 50).cast("string")).alias("table_id"), F.when(F.col("doc_id") % 3 == 0, " ").otherwise("x").alias("value"))
+    return oc.blank_tables(rows)
+
+
+_TITLES = "select distinct source as doc_id, case when length(source) % 2 = 0 then 'Report ' || source end as title from documents"
+
+
+@query(f"with {CHUNKS}, t as ({_TITLES}) select chunk_id, doc_id, coalesce(title, doc_id) as title from chunks left join t using (doc_id)")
+def document_titles(spark, sf_dir):
+    titles = over_tables(spark, sf_dir, _TITLES, "documents")
+    return oc.with_titles(chunking.chunks(chunk_pages(spark, sf_dir)), titles).select("chunk_id", "doc_id", "title")
+
+
+@query(f"""with c as ({NUMERIC_CELLS.replace('string', 'varchar')}),
+k as (select *, row_number() over (partition by doc_id, table_id order by row, col) as place from c where length(row_label) >= 4 and header <> '' and not (regexp_full_match(num::bigint::varchar, '(19|20)[0-9]{{2}}') and unit is null and num = floor(num)) and table_id not like '%7')
+select doc_id, table_id, row, col, place::int as place from k where place <= 6""")
+def gold_candidates(spark, sf_dir):
+    """Cells worth asking about, of tables that no report marks incomplete (here: those whose id ends in 7)."""
+    cells = line_cells(spark, sf_dir, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    incomplete = cells.where("table_id like '%7'")
+    return oc.gold_candidates(cells, incomplete).select("doc_id", "table_id", "row", "col", "place")
+
+
+@query(f"""with c as ({NUMERIC_CELLS.replace('string', 'varchar')}), g as (select *, count(*) over (partition by doc_id, table_id) as n_good from c where length(row_label) > 9 and (header <> '' or section <> ''))
+select doc_id, table_id, row, col, n_good from g where n_good >= 12""")
+def training_cells(spark, sf_dir):
+    cells = line_cells(spark, sf_dir, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return oc.training_cells(cells, longer=9, least=12).select("doc_id", "table_id", "row", "col", "n_good")
+
+
+@query("select distinct 'd' || (l_orderkey % 7) as doc_id, 't' || l_orderkey as table_id from lineitem order by doc_id, table_id limit 40")
+def first_tables(spark, sf_dir):
+    """The feature is the limit: a report lists the first tables."""
+    return line_cells(spark, sf_dir, ["l_tax"]).select("doc_id", "table_id").distinct().orderBy("doc_id", "table_id").limit(40)
+
+
+@query("select doc_id, (row_number() over (partition by doc_id order by table_id))::int as table_no, table_id from (select distinct 'd' || (l_orderkey % 7) as doc_id, 't' || l_orderkey as table_id from lineitem)")
+def numbered_tables(spark, sf_dir):
+    return oc.numbered_tables(line_cells(spark, sf_dir, ["l_tax"])).select("doc_id", "table_no", "table_id")
+
+
+@query("select d.doc_id, case when d.doc_id % 4 = 0 then 'new' else d.source end as source from documents d union all select doc_id + 1000000000, 'new' from documents where doc_id % 4 = 1")
+def upsert_by_key(spark, sf_dir):
+    """New rows replace those of their key and are added otherwise."""
+    from foliant.sources import store as st
+
+    old = table(spark, sf_dir, "documents").select("doc_id", "source")
+    new = old.where("doc_id % 4 = 0").unionByName(old.where("doc_id % 4 = 1").withColumn("doc_id", F.col("doc_id") + 1000000000)).withColumn("source", F.lit("new"))
+    return st.upserted(old, new, ["doc_id"])
+
+
+@query("select '| ' || doc_id || ' | ' || coalesce(replace(lang, '|', '\\|'), '') || ' | ' || source || ' |' as line from documents")
+def report_lines(spark, sf_dir):
+    from foliant.sources import store as st
+
+    return st.pipe_table(table(spark, sf_dir, "documents"), ["doc_id", "lang", "source"])

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as ft
 from foliant.operators import chunking, evaluate, reports, traindata
-from foliant.queries.fixtures import CHUNKS, chunk_pages, literal, table, values
+from foliant.operators.evaluate import reason_histogram
+from foliant.queries.fixtures import CHUNKS, chunk_pages, literal, over_tables, table, values
+from foliant.session import stored
 
 QUERIES, ORACLE = {}, {}
 
@@ -33,6 +35,18 @@ def matches_needle(spark, sf_dir):
     return rows.withColumn("found", ft.matches_needle(F.col("text"), F.col("needle")))
 
 
+_NUMBERS = ["8", "252", "8.2", "1.36", "555", "token", "1.5", "and", ""]
+
+
+@query(f"""with n as (select unnest([{', '.join(repr(n) for n in _NUMBERS)}]) as needle), t as (select doc_id, replace(text, ',', '') as t from documents)
+select doc_id, needle, case when needle = '' then false when regexp_full_match(needle, '-?[0-9]+([.][0-9]+)?')
+  then regexp_matches(t, '(^|[^0-9.]|(^|[^0-9])[.])' || replace(needle, '.', '[.]') || '($|[^0-9.]|[.]($|[^0-9]))') else contains(t, needle) end as found from t, n""")
+def needles_in_documents(spark, sf_dir):
+    """Numbers as complete numbers and words as parts, in all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array(*[F.lit(n) for n in _NUMBERS])).alias("needle"))
+    return docs.select("doc_id", "needle", ft.matches_needle(F.col("text"), F.col("needle")).alias("found"))
+
+
 @query(r"""with n as (select item_id, regexp_extract_all(text, '[A-Za-z]{6,}') as words from benchmark), c as (select d.doc_id, n.item_id, list_filter(n.words, lambda w: not contains(replace(d.text, ',', ''), w)) as gone, len(n.words) as n from documents d join n on d.doc_id % 40 = n.item_id)
 select doc_id, item_id, case when n = 0 then 0.0 else round((n - len(gone)) / n, 6) end as credit from c""")
 def partial_credit(spark, sf_dir):
@@ -59,12 +73,21 @@ def citation_ok(spark, sf_dir):
 
 
 def _bench(spark, sf_dir):
-    """Bench rows from events: type, latency and whether the answer was right."""
+    """Bench rows from events: type, latency, memory, and whether the answer and its citation were right."""
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("event_id").alias("id"), F.col("event_type").alias("type"), F.col("value").alias("latency_s"), (F.col("value") < 100).alias("correct"))
-
-
-@query("select case when grouping(event_type) = 1 then 'OVERALL' else event_type end as type, count(*) as n, count(*) filter (value < 100) as n_correct, round(count(*) filter (value < 100) / count(*), 3) as accuracy from events group by rollup (event_type)")
+    n = F.col("event_id")
+    return e.select(
+        n.alias("id"),
+        F.col("event_type").alias("type"),
+        F.col("value").alias("latency_s"),
+        (F.col("value") < 100).alias("correct"),
+        (n % 3 != 0).alias("citation_ok"),
+        (n % 61 / 10).alias("memory_gb"),
+        (n % 301).cast("double").alias("swap_mb"),
+    )
+
+
+@query("select case when grouping(event_type) = 1 then 'OVERALL' else event_type end as type, count(*) as n, count(*) filter (value < 100) as n_correct, round(count(*) filter (value < 100) / count(*), 3) as accuracy, count(*) filter (event_id % 3 <> 0) as n_cited, round(count(*) filter (event_id % 3 <> 0) / count(*), 3) as citation_rate from events group by rollup (event_type)")
 def accuracy_by_type(spark, sf_dir):
     return evaluate.accuracy_by_type(_bench(spark, sf_dir))
 
@@ -74,17 +97,25 @@ def latency_percentiles(spark, sf_dir):
     return evaluate.percentiles_by(_bench(spark, sf_dir), "type", "latency_s")
 
 
-@query("select count(*) as n, count(*) filter (value < 100) as n_correct, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(avg(value), 6) as mean_s, round(sum(value), 4) as wall_s from events")
+@query("select count(*) as n, count(*) filter (value < 100) as n_correct, round(count(*) filter (event_id % 3 <> 0) / count(*), 3) as citation_rate, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(avg(value), 6) as mean_s, round(sum(value), 4) as wall_s, round(max(event_id % 61 / 10), 3) as memory_gb, max(event_id % 301)::double as swap_mb from events")
 def run_summary(spark, sf_dir):
     return evaluate.run_summary(_bench(spark, sf_dir))
 
 
 @query("select event_id as id, event_type as type, value as latency_s, value < 100 as correct from events where event_id % 3 <> 0")
 def resume_antijoin(spark, sf_dir):
-    rows = _bench(spark, sf_dir)
+    rows = _bench(spark, sf_dir).select("id", "type", "latency_s", "correct")
     return evaluate.resume(rows, rows.where("id % 3 = 0"))
 
 
+@query("select event_id as id, event_id % 3 <> 0 as is_new, case when event_id % 3 <> 0 then value end as latency_s from events")
+def resume_union(spark, sf_dir):
+    """All rows of a resumed run: old ones stay, answered questions are not asked again."""
+    rows = _bench(spark, sf_dir).select("id", "latency_s")
+    old = rows.where("id % 3 = 0").select("id", F.lit(False).alias("is_new"))
+    return evaluate.resumed(old, rows.withColumn("is_new", F.lit(True)))
+
+
 @query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k = 1")
 def keep_last_per_id(spark, sf_dir):
     return evaluate.keep_last(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts"), "user_id", "ts", "event_id").drop("ts")
@@ -116,6 +147,21 @@ def regression_delta(spark, sf_dir):
     return evaluate.regression_delta(rows, "base", "tuned")
 
 
+@query(f"with r as ({_ARMS}), v as (select count(*) filter (arm = 'tuned' and correct) / count(*) filter (arm = 'tuned') as t, count(*) filter (arm = 'prompted' and correct) / count(*) filter (arm = 'prompted') as p from r) select round(t, 6) as tuned_accuracy, round(p, 6) as prompted_accuracy, case when p > t then 'prompted beats tuned' when p = t then 'prompted matches tuned' else 'tuned beats prompted' end as verdict from v")
+def arm_verdict(spark, sf_dir):
+    return evaluate.arm_verdict(over_tables(spark, sf_dir, _ARMS.replace("::double", ""), "events"))
+
+
+_SET = "select event_id, event_type as operation, case when event_id % 4 = 0 then {0}('d' || {1}, 'd' || {2}, 'd' || {1}) else {0}('d' || {1}) end as docs from events"
+
+
+@query(f"""with q as ({_SET.format('list_value', 'event_id % 13', '(event_id // 4) % 11')}), e as (select operation, list_distinct(docs) as docs from q), u as (select operation, unnest(docs) as doc from e),
+c as (select coalesce(operation, 'OVERALL') as operation, count(*) as n, count(*) filter (len(docs) > 1) as n_cross from e group by rollup (operation)), d as (select coalesce(operation, 'OVERALL') as operation, count(distinct doc) as n_docs from u group by rollup (operation))
+select operation, n, n_cross, n - n_cross as n_control, n_docs from c join d using (operation)""")
+def eval_composition(spark, sf_dir):
+    return evaluate.composition(over_tables(spark, sf_dir, _SET.format("array", "cast(event_id % 13 as string)", "cast((event_id div 4) % 11 as string)"), "events"))
+
+
 def _judged(spark, sf_dir):
     """Claims from labels: planted where quality is 0, predicted by the length of the text."""
     lab, docs = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").select("doc_id", "n_chars")
@@ -167,23 +213,40 @@ def extract_choice(spark, sf_dir):
 # --- training sets ---
 
 
-@query(r"""with c as (select doc_id, chunk_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as text from (select source as doc_id, doc_id::varchar as chunk_id, text from documents)),
-f as (select doc_id, chunk_id, text, list_filter(regexp_extract_all(text, '(?:^|[^0-9.])([0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+\.[0-9]+|[0-9]{3,})', 1), lambda x: not regexp_full_match(x, '(19|20)[0-9]{2}') and length(regexp_replace(x, '[^0-9]', '', 'g')) >= 3) as figures from c
-  where length(text) between 150 and 1200 and regexp_matches(text, '[a-z]{4,}'))
-select doc_id, chunk_id, len(figures) > 0 as has_figure from f""")
+_TOPIC_STOP = "', '".join(ft.TOPIC_STOP)
+# A figure is read off each run of digits, points and commas: both engines see the same ones, as runs of several figures do not occur.
+_FIGURES = r"""c as (select source as doc_id, doc_id as page, doc_id::varchar as chunk_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as text from documents),
+f as (select *, list_filter(list_transform(regexp_extract_all(text, '[0-9.,]+'), lambda r: regexp_extract(r, '^,*([0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+\.[0-9]+|[0-9]{3,})(?:,|$)', 1)),
+  lambda x: x <> '' and not regexp_full_match(x, '(19|20)[0-9]{2}') and length(regexp_replace(x, '[^0-9]', '', 'g')) >= 3) as figures from c where length(text) between 150 and 1200)"""
+_FACTS = _FIGURES + rf""",
+banned as (select figures[1] as figure from f where page % 7 = 0 and len(figures) > 0),
+b as (select coalesce(list(figure), []) as bs from banned),
+g as (select f.*, list_filter(figures, lambda x: not list_contains(bs, x))[1] as figure from f, b where page % 10 <> 0),
+p as (select *, length(regexp_extract(text, '^((?:.*?[^0-9.])??)' || replace(figure, '.', '\.') || '(?:[^0-9.]|$)', 1)) as place from g where figure is not null),
+x as (select *, trim(substr(text, greatest(0, place - 340) + 1, place + 360 - greatest(0, place - 340))) as excerpt, trim(substr(text, greatest(0, place - 140) + 1, place + length(figure) + 140 - greatest(0, place - 140))) as sentence from p),
+w as (select *, list_filter(regexp_extract_all(split_part(sentence, figure, 1), '[A-Za-z][A-Za-z\-'']{{2,}}')[-9:], lambda v: not list_contains(['{_TOPIC_STOP}'], lower(v))) as kept from x where regexp_matches(sentence, '[a-z]{{4,}}')),
+t as (select *, lower(array_to_string(kept[-4:], ' ')) as topic from w where len(kept) >= 2),
+facts as (select *, count(*) over (partition by doc_id) as n_facts from t where length(topic) between 10 and 70 and not contains(doc_id, figure))"""
+
+
+@query(f"with {_FIGURES} select chunk_id, figures from f")
 def figure_candidates(spark, sf_dir):
-    """Which chunks of fact length could hold a distinctive figure (boundaries on the left only, as both engines can)."""
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").cast("string").alias("chunk_id"), ft.collapse(F.col("text")).alias("text"))
-    rows = docs.where(F.length("text").between(150, 1200) & F.col("text").rlike("[a-z]{4,}"))
-    left = r"(?:^|[^0-9.])([0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+\.[0-9]+|[0-9]{3,})"
-    good = F.filter(F.regexp_extract_all("text", F.lit(left), 1), lambda f: ~f.rlike("^(19|20)[0-9]{2}$") & (F.length(F.regexp_replace(f, "[^0-9]", "")) >= 3))
-    return rows.select("doc_id", "chunk_id", (F.size(good) > 0).alias("has_figure"))
+    """Distinctive figures of the texts that are as long as facts."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), ft.collapse(F.col("text")).alias("text"))
+    return docs.where(F.length("text").between(*traindata.FACT)).select("chunk_id", traindata.figures(F.col("text")).alias("figures"))
 
 
-@query()
+def _facts(spark, sf_dir, least=1):
+    """Facts of whole documents; every tenth is an evaluation text, and the first figures of every seventh are."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    evaluated = docs.where(F.length(ft.collapse(F.col("text"))).between(*traindata.FACT) & (F.col("page") % 7 == 0))
+    banned = evaluated.select(F.try_element_at(traindata.figures(ft.collapse(F.col("text"))), F.lit(1)).alias("figure")).where("figure is not null")
+    return traindata.facts(docs, least, banned, docs.where("page % 10 = 0"))
+
+
+@query(f"with {_FACTS} select doc_id, page, chunk_id, figure, excerpt, sentence, topic, n_facts from facts")
 def fact_mining(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").cast("string").alias("chunk_id"), "text")
-    return traindata.facts(docs, least=1).select("doc_id", "chunk_id", "figure", "n_facts")
+    return _facts(spark, sf_dir).drop("text")
 
 
 _SENTENCES = "('Real consumer spending on durable goods rose 12.5 percent', '12.5', 'real consumer spending durable'), ('It was 12.5', '12.5', cast(null as string)), ('Total outstanding household mortgage debt balances of the nation were 880', '880', 'household mortgage debt balances')"
@@ -194,17 +257,10 @@ def topic_extract(spark, sf_dir):
     return literal(spark, _SENTENCES, "sentence, figure, t").select("sentence", traindata.topic(F.col("sentence"), F.col("figure")).alias("topic"))
 
 
-@query("""with facts as (select source as doc_id, doc_id::varchar as chunk_id, n_chars::varchar as figure from documents where n_chars between 150 and 1200),
-ranked as (select *, row_number() over (partition by doc_id order by md5('pairs|' || chunk_id)) as n from facts),
-chosen as (select * from ranked where n <= 5),
-ring as (select doc_id, coalesce(lead(doc_id) over (order by doc_id), min(doc_id) over ()) as next_doc from (select distinct doc_id from facts)),
-pairs as (select c.*, r.next_doc, o.chunk_id as other_chunk, o.figure as other_figure, ('0x' || substr(md5('pairs:kind|' || c.chunk_id), 1, 4))::int % 8 as slot from chosen c join ring r using (doc_id) join chosen o on o.doc_id = r.next_doc and o.n = c.n)
-select doc_id, next_doc, chunk_id, other_chunk, case when slot < 3 then 'first' when slot < 6 then 'second' else 'negative' end as kind, 'Compare the figures of ' || doc_id || ' and ' || next_doc || '.' as question,
-  case when slot < 3 then figure when slot < 6 then other_figure else 'NOT_IN_CONTEXT' end as answer from pairs""")
+@query()
 def gen_multidoc(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("n_chars between 150 and 1200")
-    found = docs.select(F.col("source").alias("doc_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("n_chars").cast("string").alias("figure"))
-    return traindata.pair_examples(found, 5)
+    """Questions over two documents from mined facts; each would pass the checks that qc_multidoc makes."""
+    return traindata.pair_examples(stored(_facts(spark, sf_dir), "facts"))
 
 
 @query("""with c as (select 'd' as doc_id, l_orderkey::varchar as table_id, l_returnflag as section, l_linenumber * 1000000 + l_partkey as cell_id from lineitem group by all),
@@ -237,6 +293,34 @@ def qc_multidoc(spark, sf_dir):
     return traindata.check_pairs(literal(spark, _QC, "id, kind, context, question, answer, figure, other_figure, eval_figures"))
 
 
+_LINES = """select l_orderkey * 10 + l_linenumber as id, case l_partkey % 7 when 0 then 'Short?' when 1 then 'What is the {{value}} of the row in the table?' when 2 then 'Which row holds ' || cast(l_linenumber as {0}) || ' in the whole table of prices?' when 3 then 'What is the highest entry of the whole table?' when 4 then 'What is the highest entry in the price column?' else 'What is the number of the line for this part?' end as question,
+  case when l_partkey % 7 in (3, 4) then 'max' else 'lookup' end as operation, case when l_suppkey % 5 = 0 then '8.8 8.4 7.7' else 'price of the part' end as label, cast(l_linenumber as {0}) as value, l_suppkey % 11 <> 0 as has_target, l_suppkey % 4 as twins, l_suppkey % 13 = 0 as in_eval, case when l_partkey % 17 = 0 then 0.7 else 0.1 end as eval_jaccard from lineitem"""
+_CHECKED = f"""e as ({_LINES.format('varchar')}),
+k as (select id, list_filter([case when length(question) not between 20 and 260 then 'question_length' end, case when contains(question, '{{') then 'unfilled_placeholder' end, case when not has_target then 'target_missing' end,
+  case when has_target and label <> 'price of the part' then 'label_mostly_digits' end, case when has_target and question like 'Which row holds%' then 'value_leaked' end, case when twins > 0 then 'ambiguous' end,
+  case when question = 'What is the highest entry of the whole table?' then 'superlative_without_column' end, case when in_eval then 'contaminated_cell' end, case when eval_jaccard >= 0.6 then 'contaminated_question' end], lambda x: x is not null) as r from e)"""
+
+
+def _checked(spark, sf_dir):
+    return traindata.check_cells(over_tables(spark, sf_dir, _LINES.format("string").replace("{value}", "{{value}}"), "lineitem"))
+
+
+@query(f"with {_CHECKED} select id, array_to_string(r, ',') as reasons, len(r) = 0 as passed from k")
+def qc_cells_lines(spark, sf_dir):
+    """Examples made of all lines, checked."""
+    return _checked(spark, sf_dir)
+
+
+@query(f"with {_CHECKED} select r[1] as reason, count(*) as n from k where len(r) > 0 group by 1")
+def first_reasons(spark, sf_dir):
+    return reason_histogram(_checked(spark, sf_dir))
+
+
+@query(f"with {_CHECKED}, u as (select unnest(r) as reason from k) select reason, count(*) as n from u group by 1")
+def all_reasons(spark, sf_dir):
+    return reason_histogram(_checked(spark, sf_dir), first=False)
+
+
 @query("""with r as (select unnest(list_filter([case when quality = 0 then 'low_quality' end, case when toxic = 1 then 'toxic' end], lambda x: x is not null)) as reason from labels) select reason, count(*) as n from r group by reason""")
 def rejection_histogram(spark, sf_dir):
     reasons = F.array_compact(F.array(F.when(F.col("quality") == 0, "low_quality"), F.when(F.col("toxic") == 1, "toxic")))
@@ -266,6 +350,35 @@ def ngram_contamination(spark, sf_dir):
     return traindata.contamination(docs, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"))
 
 
+@query(f"with {_gram_sql('ga', _DOCS)}, {_gram_sql('gb', _ITEMS)}, {_MET.format('')} select a, b, round(j, 6) as jaccard from met order by round(j, 6) desc, a, b limit 1")
+def most_contaminated(spark, sf_dir):
+    """The closest pair of a document and an evaluation item."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return traindata.most_contaminated(docs, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"))
+
+
+@query("select text, count(*) as n, max(item_id) as item_id, max(lang) as lang from (select text, item_id, null as lang from benchmark union all select text, null, lang from documents) group by text")
+def union_of_sets(spark, sf_dir):
+    """Two sets of texts with different columns as one."""
+    both = table(spark, sf_dir, "benchmark").unionByName(table(spark, sf_dir, "documents").select("text", "lang"), allowMissingColumns=True)
+    return both.groupBy("text").agg(F.count("*").alias("n"), F.max("item_id").alias("item_id"), F.max("lang").alias("lang"))
+
+
+@query(f"with {_FIGURES} select unnest(figures) as figure from f where page % 2 = 0 intersect select unnest(figures) from f where page % 2 = 1")
+def shared_figures(spark, sf_dir):
+    """Figures that both halves of the documents have."""
+    found = table(spark, sf_dir, "documents").select("doc_id", ft.collapse(F.col("text")).alias("text")).where(F.length("text").between(*traindata.FACT))
+    each = found.select("doc_id", F.explode(traindata.figures(F.col("text"))).alias("figure"))
+    return each.where("doc_id % 2 = 0").select("figure").intersect(each.where("doc_id % 2 = 1").select("figure"))
+
+
+@query("select event_type, user_id from events where event_id % 4 = 0 except all select event_type, user_id from events where event_id % 4 = 1")
+def difference_of_sets(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    pick = lambda k: e.where(F.col("event_id") % 4 == k).select("event_type", "user_id")
+    return pick(0).exceptAll(pick(1))
+
+
 @query(f"with {_gram_sql('ga', _DOCS)}, gb as (select * from ga), {_MET.format('where a.id < b.id')}, r as (select a, b, round(j, 6) as jaccard from met where round(j, 6) >= 0.85) select b as id, min_by(a, [-jaccard, a]) as of, max(jaccard) as jaccard from r group by b")
 def near_duplicate(spark, sf_dir):
     """Rows within 0.85 of an earlier row; order-free where the greedy rule depends on the order of rows."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,14 +35,15 @@ _NUMBERS = " union all ".join(
 NUMERIC_CELLS = f"with rows_of as ({_ROWS}) {_NUMBERS}"
 
 
-def line_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cell store over lineitem: value is text, as stored; one scan, unpivoted in place."""
+def line_cells(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    """The cell store over lineitem, or its cells under `columns`: value is text, as stored; one scan, unpivoted in place."""
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_name")
     from pyspark.sql import Window
 
     row = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDER.split(", ")))
     rows = line.withColumn("row", row).join(part, line["l_partkey"] == part["p_partkey"])
-    cells = F.posexplode(F.array(*[F.struct(F.col(c).cast("string").alias("value"), F.lit(u).cast("string").alias("unit"), F.lit(c).alias("header")) for c, u in COLUMNS]))
+    wanted = [(i + 1, c, u) for i, (c, u) in enumerate(COLUMNS) if columns is None or c in columns]
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("col"), F.col(c).cast("string").alias("value"), F.lit(u).cast("string").alias("unit"), F.lit(c).alias("header")) for i, c, u in wanted]))
     return rows.select(
         F.concat(F.lit("d"), (F.col("l_orderkey") % 7).cast("string")).alias("doc_id"),
         (F.col("l_orderkey") % 50 + 1).alias("page"),
@@ -48,8 +51,31 @@ def line_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row",
         "p_name",
         "l_returnflag",
-        cells.alias("pos", "c"),
-    ).select("doc_id", "page", "table_id", "row", (F.col("pos") + 1).alias("col"), "c.value", "c.unit", "c.header", F.col("p_name").alias("row_label"), F.col("l_returnflag").alias("section"))
+        cells.alias("c"),
+    ).select("doc_id", "page", "table_id", "row", "c.col", "c.value", "c.unit", "c.header", F.col("p_name").alias("row_label"), F.col("l_returnflag").alias("section"))
+
+
+#: Raw tables from lineitem, as an extractor would give them: two header rows, then a row per line with its part's name,
+#: price, discount and flag; every fifth table's names are lost. The rebuilt ones have them, but for each tenth table's first.
+_RAW_BASE = f"""
+  select 'd' || cast(l_orderkey % 7 as string) as doc_id, l_orderkey % 50 + 1 as page, 't' || cast(l_orderkey as string) as table_id, l_orderkey as k,
+    row_number() over (partition by l_orderkey order by {ORDER}) + 1 as row, p_name, l_extendedprice, l_quantity, l_tax
+  from lineitem join part on l_partkey = p_partkey"""
+RAW_CELLS = f"""with rows_of as ({_RAW_BASE}), heads as (select distinct doc_id, page, table_id, k from rows_of)
+select doc_id, page, table_id, 0 as row, 1 as col, 'Price' as raw, k from heads union all select doc_id, page, table_id, 0, 2, 'Number', k from heads
+union all select doc_id, page, table_id, 0, 3, 'Tax', k from heads union all select doc_id, page, table_id, 1, 1, 'in  dollars', k from heads union all select doc_id, page, table_id, 1, 3, ' ', k from heads
+union all select doc_id, page, table_id, row, 0, case when k % 5 = 0 then '' else p_name end, k from rows_of
+union all select doc_id, page, table_id, row, 1, '$' || cast(cast(l_extendedprice as decimal(18, 2)) as string), k from rows_of
+union all select doc_id, page, table_id, row, 2, cast(cast(l_quantity as int) as string), k from rows_of
+union all select doc_id, page, table_id, row, 3, cast(cast(l_tax * 100 as int) as string) || '%', k from rows_of"""
+REBUILT_CELLS = RAW_CELLS.replace("case when k % 5 = 0 then '' else p_name end", "case when k % 10 = 0 and row = 2 then '' else p_name end")
+
+
+def over_tables(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+    """SQL over the driver's tables of these names."""
+    for n in names:
+        sql = re.sub(rf"\b(from|join) {n}\b", rf"\1 {{{n}}}", sql)
+    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
 
 
 #: A small store with banners, labels, gaps, splits, truncations, orphans and near misses.
@@ -103,11 +129,17 @@ def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), "text")
 
 
-#: Windows of 800 characters, 100 shared, over every document.
-CHUNKS = """
-chunks as (
+#: Windows of 800 characters, 100 shared, over every document as it is.
+WINDOWS = """
+windows as (
   select source as doc_id, doc_id as page, i as place, source || '_p' || doc_id || '_c' || i as chunk_id, substr(text, i * 700 + 1, 800) as text
   from (select *, unnest(generate_series(0, greatest(0, ceil((length(text) - 800) / 700.0))::int)) as i from documents where trim(text) <> '') s)
 """
+#: Packed chunks of every document: no text has an empty line, so each is one paragraph, in windows where it is long.
+CHUNKS = r"""
+chunks as (
+  select source as doc_id, doc_id as page, i as place, source || '_p' || doc_id || '_c' || i as chunk_id, substr(t, i * 700 + 1, 800) as text
+  from (select *, unnest(generate_series(0, greatest(0, ceil((length(t) - 800) / 700.0))::int)) as i from (select *, regexp_replace(text, '^\s+|\s+$', '', 'g') as t from documents) where t <> '') s)
+"""
 SEARCH_STOP = "'the','a','an','and','or','of','in','on','for','to','was','were','is','are','at','by','with','from','that','this','it','as','be','been','has','have','had'"
 TOKENS = rf"list_filter(list_transform(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9.,\-]*'), lambda t: rtrim(t, '.,-')), lambda t: length(t) >= 2 and t not in ({SEARCH_STOP}))"
