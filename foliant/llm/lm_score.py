@@ -17,18 +17,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import ROW, chunks, id_in, id_out, numbered, released, remainder, written
-from foliant.llm.kernels import FOLD, joined, span_hashes, word_spans
+from foliant.llm.kernels import _PRIME, _power, BYTE, FOLD, joined, mix, span_hashes, word_spans
 from foliant.llm.packing import vocabulary_path
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Entries of the broadcast table of frequent words, whatever the corpus: 16 bytes each.
 HEAD = 1 << 17
 #: Expectation steps, mass given to the first probabilities in each, and words whose score a worker keeps.
-STEPS, PRIOR, CACHE = 3, 0.01, 400_000
+STEPS, PRIOR, CACHE = 4, 0.01, 400_000
 #: Words up to this many bytes go through the recursion together, longer ones alone, so many bytes at a time.
 LONG, SLICE = 64, 1 << 14
-#: Words that go through the recursion together.
-TOGETHER = 50_000
+#: Words that go through the recursion together; leading bits of a key that are looked at first.
+TOGETHER, COARSE = 50_000, 20
 #: Levels of a doubling by which counts are sorted to find the most frequent words.
 LEVELS = 16
 _U = np.uint64
@@ -67,22 +67,34 @@ class Lattice:
         key = span_hashes(text, end - size, end)
         order = np.argsort(key)
         self.key, self.id = key[order], order
+        self.some = np.zeros(1 << COARSE, dtype=bool)  # leading bits that some piece has
+        self.some[(self.key >> _U(64 - COARSE)).astype(np.int64)] = True
         self.lengths = np.unique(size)
         self.by_text = {p: i for i, p in enumerate(pieces[:-1])}
 
+    def _found(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are those of pieces, and the pieces' ids."""
+        hit = np.flatnonzero(self.some[(key >> _U(64 - COARSE)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.key, key[hit]), len(self.key) - 1)
+        same = self.key[at] == key[hit]
+        return hit[same], self.id[at[same]]
+
     def _arcs(self, data: np.ndarray, start: np.ndarray, size: np.ndarray):
         """Matches as (from, length, word numbers, piece ids), ascending by where they end; words longest first."""
+        up, down = _power(max(len(data), 1 << 16))
+        total = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(BYTE[data] * up[: len(data)], out=total[1:])
         for stop in range(1, int(size[0]) + 1):
             active = int(np.searchsorted(-size, -stop, side="right"))
+            end = start[:active] + stop
+            to = total[end]
             for d in self.lengths:
                 if d > stop:
                     break
-                a = start[:active] + stop - d
-                key = _keys(data, a, int(d))
-                at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-                hit = np.flatnonzero(self.key[at] == key)
+                a = end - d
+                hit, piece = self._found(mix((to - total[a]) * down[a] + _U(int(d) * int(_PRIME) % (1 << 64))))
                 if len(hit):
-                    yield stop - int(d), int(d), hit, self.id[at[hit]]
+                    yield stop - int(d), int(d), hit, piece
 
     def forward(self, words: list[bytes]) -> np.ndarray:
         """Log probability of each word, all segmentations together."""
@@ -145,12 +157,10 @@ class Lattice:
             ends, back, log = [], [], []
             for d in self.lengths:
                 end = stop[stop >= d]
-                key = _keys(data, end - d, int(d))
-                at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-                hit = np.flatnonzero(self.key[at] == key)
+                hit, piece = self._found(_keys(data, end - d, int(d)))
                 ends.append(end[hit])
                 back.append(np.full(len(hit), d))
-                log.append(self.log[self.id[at[hit]]])
+                log.append(self.log[piece])
             ends = np.concatenate(ends)
             order = np.argsort(ends, kind="stable")
             bounds = np.searchsorted(ends[order], np.append(stop, stop[-1] + 1)).tolist()
@@ -165,8 +175,6 @@ class Lattice:
 
 def _keys(data: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
     """span_hashes of data[start:start + size], for spans in any order."""
-    from foliant.llm.kernels import _PRIME, BYTE, _power, mix
-
     power = _power(1 << 10)[0]
     total = np.zeros(len(start), dtype=np.uint64)
     for k in range(size):
