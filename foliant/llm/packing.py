@@ -10,7 +10,6 @@ anew, largest first, and searched again, with more and more full bins until the
 from __future__ import annotations
 
 import contextlib
-import re
 from array import array
 
 import numpy as np
@@ -22,11 +21,11 @@ from foliant.llm.common import ROW, chunks, fresh, id_in, id_out, numbered, quot
 
 CAPACITY = 2048
 #: Pieces a task packs at a time, and full bins that are first filled anew with the underfull ones.
-BLOCK, ANEW = 8192, 64
+BLOCK, ANEW = 4096, 64
 #: Distinct words, and parts of words, of a generation whose ids a worker keeps.
-CACHE = 200_000
-#: White space to Python's str.split but perhaps not to the tokenizer.
-ODD = re.compile("[\x1c-\x1f]")
+CACHE = 250_000
+#: White space to Python's str.split but perhaps not to the tokenizer; signs that are a part of their own at a word's end.
+ODD, ENDS = "\x1c\x1d\x1e\x1f", frozenset(".,;:!?%&$#*")
 VOCABULARY = "word_bpe_49k.json"
 # The pre-tokenizer's pattern, and the signs that stand for the 256 bytes in the vocabulary.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -73,8 +72,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)", re.IGNORECASE)
+        self.whole = [*ODD, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
         self.pattern = regex.compile(PARTS)
         self.words = Cache(self._word)
         self.parts = Cache(self._part)
@@ -83,18 +81,25 @@ class WordIds:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _part(self, part: str) -> bytes:
-        tokens = self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(BYTE_SIGNS))
+        signs = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(BYTE_SIGNS)
+        tokens = self.tokenizer.model.tokenize(signs)
         return array("I", [t.id for t in tokens]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        try:
-            word.encode("latin-1")
-        except UnicodeEncodeError:
-            return self._encoded(word)
-        return b"".join(self.parts.all(self.pattern.findall(word.lower())))
+        if not word.isascii():
+            try:
+                word.encode("latin-1")
+            except UnicodeEncodeError:
+                return self._encoded(word)
+        word = word.lower()
+        if word.isalpha():
+            return self._part(word)
+        if word[-1] in ENDS and word[:-1].isalpha():
+            return b"".join(self.words.all([word[:-1]]) + self.parts.all([word[-1]]))
+        return b"".join(self.parts.all(self.pattern.findall(word)))
 
     def _text(self, text: str) -> bytes:
-        if ODD.search(text) or self.special.search(text):
+        if any(sign in text for sign in self.whole):
             return self._encoded(text)
         with contextlib.suppress(UnicodeEncodeError):
             text.encode("latin-1")
