@@ -17,9 +17,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import ROW, numbered
+from foliant.functions.text import let
+from foliant.llm.common import ROW, numbered, written
 
 ORDERS, SURE, CONFIRM = 3, 0.5, 0.5
+#: Weight beyond unknown's, for some family, that an n-gram must have to stay in the model.
+SAYING = 0.3
 #: Variants of each notice to learn from, share of them kept for calibration, passes and penalty of the fit.
 VARIANTS, HELD, PASSES, PENALTY, SEED = 40, 4, 150, 1e-3, 3
 UNKNOWN = "unknown"
@@ -148,9 +151,15 @@ def fit(seed: int = SEED) -> dict:
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
         w -= 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
-    z = x[held] @ w
-    heat = min((0.25 * 1.15**k for k in range(25)), key=lambda h: -np.log((_softmax(z / h) * y[held]).sum(axis=1)).mean())
-    w = w / heat
+    def calibrated(w):
+        z = x[held] @ w
+        return w / min((0.25 * 1.15**k for k in range(25)), key=lambda h: -np.log((_softmax(z / h) * y[held]).sum(axis=1)).mean())
+
+    w = calibrated(w)
+    # n-grams that say next to nothing go: the model is sparse, and few words of ordinary text are any of its own
+    said = np.abs(w - w[:, [classes.index(UNKNOWN)]]).max(axis=1) >= SAYING
+    w = calibrated(np.where(said[:, None] | (np.arange(len(w)) == len(w) - 1)[:, None], w, 0.0))
+    index = {g: i for g, i in index.items() if said[i]}
     return {"classes": classes, "bias": w[-1].tolist(), "weights": {g: w[i].tolist() for g, i in index.items()}}
 
 
@@ -202,25 +211,29 @@ def _judged(rows: DataFrame, model: dict | None) -> DataFrame:
     model = model or fit()
     spark = rows.sparkSession
     classes = model["classes"]
-    some = "(?i)(?<![0-9a-z])(?:" + "|".join(re.escape(w) for w in sorted({*needed_words(model), *ANCHORS})) + ")(?![0-9a-z])"
-    inside = F.split("block", "\n")
+    words_of = lambda line: F.regexp_extract_all(F.lower(line), F.lit(WORDS), 0)
+    # each line's words are made once, and a paragraph's are those of its lines; *_outer, as the filter that Spark derives
+    # from explode would make them again
+    parts = let(F.transform(F.split("block", "\n"), words_of), lambda t: F.concat(F.array(F.when(F.size(t) > 1, F.flatten(t))), t))
     lines = (
-        rows.where(F.col("text").rlike(some))
-        .select(*ROW, "doc_id", F.posexplode(F.split("text", r"\n(?:[ \t\r\f\x0B]*\n)+")).alias("paragraph", "block"))
-        .where(F.col("block").rlike(some))
-        .select(*ROW, "doc_id", "paragraph", F.posexplode(F.concat(F.array(F.when(F.size(inside) > 1, F.col("block"))), inside)).alias("line", "part"))
-        .where(F.col("part").rlike(some))
-        .withColumn("tokens", F.regexp_extract_all(F.lower("part"), F.lit(WORDS), 0))
-        .select(*ROW, "doc_id", "paragraph", "line", "tokens")
+        rows.select(*ROW, "doc_id", F.posexplode_outer(F.split("text", r"\n(?:[ \t\r\f\x0B]*\n)+")).alias("paragraph", "block"))
+        .select(*ROW, "doc_id", "paragraph", F.posexplode_outer(parts).alias("line", "tokens"))
+        .where(F.arrays_overlap("tokens", F.array(*[F.lit(w) for w in sorted({*needed_words(model), *ANCHORS})])))
     )
     # the model's tables hold one row per n-gram or word pair of the fixed notices, whatever the input
     weights = spark.createDataFrame([(g, w) for g, w in model["weights"].items()], "gram string, w array<double>")
     notices = [(f, i, p, len(pairs(words(t)))) for f, ts in NOTICES.items() for i, t in enumerate(ts) for p in sorted(pairs(words(t)))]
     known = spark.createDataFrame(notices, "family string, notice int, gram string, notice_size int")
     key = [*ROW, "doc_id", "paragraph", "line"]
-    every = F.array_distinct(F.concat(*[_grams(F.col("tokens"), n) for n in range(1, ORDERS + 1)]))
+    # n-grams are made within runs of words that some n-gram of the model has; few runs of ordinary text are longer than a word
+    own = sorted({*model["weights"], *(r[2] for r in notices)})
+    some = sorted({w for g in own for w in g.split(" ")})
+    runs = F.split(F.array_join(F.transform("tokens", lambda t: F.when(t.isin(some), t).otherwise("|")), " "), r"[ |]*\|[ |]*")
+    every = F.flatten(F.transform(F.filter(runs, lambda r: r != ""), lambda r: let(F.split(r, " "), lambda t: F.concat(*[_grams(t, n) for n in range(1, ORDERS + 1)]))))
+    kept = F.array_intersect(every, F.array(*[F.lit(g) for g in own])).alias("grams")
     cue = F.arrays_overlap("tokens", F.array(*[F.lit(w) for w in ANCHORS])).alias("cue")
-    found = lines.select(*key, cue, F.explode(every).alias("gram")).join(F.broadcast(weights), "gram", "left")
+    held = written(lines.select(*key, cue, kept), "grams")
+    found = held.select(*key, "cue", F.explode_outer("grams").alias("gram")).join(F.broadcast(weights), "gram", "left")
     z = found.groupBy(*key).agg(F.first("cue").alias("cue"), *[(F.coalesce(F.sum(F.col("w")[k]), F.lit(0.0)) + model["bias"][k]).alias(f"z{k}") for k in range(len(classes))])
     top = F.greatest(*[F.col(f"z{k}") for k in range(len(classes))])
     z = z.withColumn("top", top).withColumn("sum", sum((F.exp(F.col(f"z{k}") - F.col("top")) for k in range(len(classes))), F.lit(0.0)))
@@ -228,7 +241,7 @@ def _judged(rows: DataFrame, model: dict | None) -> DataFrame:
     judged = z.select(*key, "cue", (1 / F.col("sum")).alias("probability"), family.alias("guess"))
     judged = judged.withColumn("family", F.when((F.col("guess") != UNKNOWN) & (F.col("probability") >= SURE), F.col("guess")).otherwise(F.lit(UNKNOWN)))
     judged = judged.where(F.col("cue") | (F.col("family") != UNKNOWN))
-    mine = lines.select(*key, F.explode(F.array_distinct(_grams(F.col("tokens"), 2))).alias("gram"))
+    mine = held.select(*key, F.explode("grams").alias("gram"))
     # share of the notice's word pairs that the paragraph has: words around a notice do not count against it
     near = mine.join(F.broadcast(known), "gram").groupBy(*key, "family", "notice").agg((F.count("*") / F.max("notice_size")).alias("similarity"))
     best = near.groupBy(*key, "family").agg(F.max("similarity").alias("similarity"))
