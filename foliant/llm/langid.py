@@ -16,14 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import chunks, remainder
+from foliant.llm.common import chunks, fresh, quoted, remainder
 
 #: Training documents per language (a sample by hash, in expectation), the bound of the classifier's fit.
 SAMPLE = 1500
 ORDERS, BUCKETS, SMOOTH = 3, 1 << 16, 0.5
 #: Cost of a change of language, in nats, and least share of a language's letters for a script to count as its own.
 SWITCH, OWN_SCRIPT = 12.0, 0.01
-#: Languages a model may have; rarer ones are not learned.
+#: Languages a model may have: more of them are an error, as none may be left out.
 LANGUAGES = 200
 UNKNOWN = "und"
 
@@ -83,14 +83,15 @@ def _counts(languages: list[str]):
     index = {name: i for i, name in enumerate(languages)}
 
     def run(batches):
-        total = np.zeros((ORDERS, len(languages), BUCKETS))
+        total = np.zeros((ORDERS, len(languages), BUCKETS), dtype=np.int32)
         scripts = np.zeros((len(languages), len(NAMES)))
         for batch in batches:
             for part in chunks([batch], most=1 << 20):
                 doc, size, script, keys, word = grams(part["text"].tolist())
                 lang = part["lang"].map(index).to_numpy(dtype=np.int64)[doc]
                 for order, key in enumerate(keys):
-                    total[order] += np.bincount(lang[word] * BUCKETS + key, minlength=total[order].size).reshape(total[order].shape)
+                    cell, n = np.unique(lang[word] * BUCKETS + key, return_counts=True)
+                    total[order].reshape(-1)[cell] += n.astype(np.int32)
                 scripts += np.bincount(lang * len(NAMES) + script, size, minlength=scripts.size).reshape(scripts.shape)
         for order in range(ORDERS):
             lang, key = np.nonzero(total[order])
@@ -104,8 +105,9 @@ def _counts(languages: list[str]):
 def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """Learns from `docs` (doc_id, text, lang): about `sample` documents of each language, by a hash of the id."""
     docs = docs.where("lang is not null and text is not null")
-    frequent = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    sizes = {r["lang"]: r["n"] for r in frequent.collect()}
+    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages are marked")
     languages = sorted(sizes)
     if not languages:
         return {"languages": []}
@@ -197,13 +199,8 @@ def label(model: dict, texts: list[str | None], switch: float = SWITCH) -> list[
     return out
 
 
-def identify(docs: DataFrame, model: dict) -> DataFrame:
-    """Adds lang_pred, lang_score and lang_spans (words, lang) to `docs`, whose other columns stay.
-
-    Null texts and texts without a letter are `und` with score 0 and no spans; so are all texts under a model without
-    languages. Columns of these names are replaced. An empty table gives an empty table.
-    """
-    kept = docs.drop("lang_pred", "lang_score", "lang_spans")
+def language_column(docs: DataFrame, model: dict, spans: bool = False):
+    """The language of each text of `docs` as a column; with `spans` a struct of lang_pred, lang_score and lang_spans."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     most = max(1 << 14, (1 << 21) // max(1, len(model["languages"])))
 
@@ -211,13 +208,24 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
         model = shared.value
         for batch in batches:
             out = [x for part in chunks([pd.DataFrame({"text": batch})], most=most) for x in label(model, part["text"].tolist())]
-            spans = [[{"words": n, "lang": name} for n, name in s] for _, _, s in out]
-            yield pd.DataFrame({"lang_pred": [o[0] for o in out], "lang_score": [o[1] for o in out], "lang_spans": pd.Series(spans, dtype=object)})
+            parts = [[{"words": n, "lang": name} for n, name in s] for _, _, s in out]
+            yield pd.DataFrame({"lang_pred": [o[0] for o in out], "lang_score": [o[1] for o in out], "lang_spans": pd.Series(parts, dtype=object)})
 
     schema = "lang_pred string, lang_score double, lang_spans array<struct<words: int, lang: string>>"
     found = F.pandas_udf(run, schema)(F.col("text"))
-    named = kept.withColumn("__li", found)
-    return named.select(*[F.col(f"`{c}`") for c in kept.columns], "__li.lang_pred", "__li.lang_score", "__li.lang_spans")
+    return found if spans else found["lang_pred"]
+
+
+def identify(docs: DataFrame, model: dict) -> DataFrame:
+    """Adds lang_pred, lang_score and lang_spans (words, lang) to `docs`, whose other columns stay.
+
+    Null texts and texts without a letter are `und` with score 0 and no spans; so are all texts under a model without
+    languages. Columns of these names are replaced. An empty table gives an empty table.
+    """
+    kept = docs.drop("lang_pred", "lang_score", "lang_spans")
+    name = fresh(kept, "found")[0]
+    named = kept.withColumn(name, language_column(kept, model, spans=True))
+    return named.select(*quoted(kept), *[F.col(f"{name}.{c}") for c in ("lang_pred", "lang_score", "lang_spans")])
 
 
 def learn(docs: DataFrame, folds: int = 3, out: int = 1) -> dict:
