@@ -142,7 +142,8 @@ def _sparse(batches):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
     """Learns from `docs` (doc_id, text, n_chars) with a row in `labels` (doc_id, quality); None without two classes.
 
-    About `sample` documents of each class, by a hash of the id, weighted so that classes count as they come.
+    About `sample` documents of each class, by a hash of the id, weighted so that classes count as they come; where ids
+    repeat, no more than 4 * `sample` rows in all are learned from, the first by a hash of their text.
     """
     labels = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     sizes = {r["quality"]: r["n"] for r in labels.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -152,6 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None
     draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) / 1_000_000
     chosen = labels.where(draw < F.when(F.col("quality") == 1, rate[1]).otherwise(rate[0]))
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars"), "quality")
+    rows = rows.orderBy(F.xxhash64("doc_id", "text")).limit(4 * sample)
     found = rows.mapInPandas(_sparse, "doc_id long, quality int, feature array<int>, value array<double>").toPandas()
     if found["quality"].nunique() < 2:
         return None
