@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The rules, as (verdict, host and path).
@@ -33,6 +33,8 @@ PATTERNS = [
     ("xxx", r"\bxxx\b"),
 ]
 TOKEN = re.compile(r"[0-9A-Za-z]+")
+#: Rules that a table may have.
+MOST_RULES = 1_000_000
 
 
 class Rule(NamedTuple):
@@ -59,6 +61,23 @@ def compile_rules(rules=RULES, patterns=PATTERNS) -> dict[str, list[Rule]]:
     return dict(index)
 
 
+def candidates(index: dict[str, list[Rule]], host: str, path: str) -> Iterator[Rule]:
+    """The rules filed under a token of the URL, the only ones whose expressions run."""
+    for token in {"", *TOKEN.findall(host), *TOKEN.findall(path)}:
+        yield from index.get(token, ())
+
+
+def read_rules(spark: SparkSession, path: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """Rules and patterns of a table (verdict, rule, token, pattern): a rule is host and path, a pattern has its literal token.
+
+    A rule table is as large as people keep it, not as the pages are many: more than MOST_RULES are an error.
+    """
+    rows = spark.read.schema("verdict string, rule string, token string, pattern string").parquet(path).limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return [(r["verdict"], r["rule"]) for r in rows if r["rule"]], [(r["token"], r["pattern"]) for r in rows if r["pattern"]]
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     """Host (A-Z lower-cased) and path; both empty for null or without ://"""
     if url is None or "://" not in url:
@@ -73,11 +92,10 @@ def judge(index: dict[str, list[Rule]], url: str | None) -> tuple[str, str, str
     """(host, path, rule, verdict): the longest rule that fits; else a pattern's verdict; else allow."""
     host, path = split_url(url)
     best = None
-    for token in {"", *TOKEN.findall(host), *TOKEN.findall(path)}:
-        for rule in index.get(token, ()):
-            # a host's own characters may include none of a path's start, so host and path are matched as one text
-            if (best is None or rule.length > best.length) and rule.expression.match(host + path) if rule.name else (best is None and rule.expression.search(host + path)):
-                best = rule
+    for rule in candidates(index, host, path):
+        # a host's own characters may include none of a path's start, so host and path are matched as one text
+        if (best is None or rule.length > best.length) and rule.expression.match(host + path) if rule.name else (best is None and rule.expression.search(host + path)):
+            best = rule
     return host, path, best.name if best else None, best.verdict if best else "allow"
 
 
