@@ -372,6 +372,64 @@ def test_url_rules_equal_a_plain_scan(spark):
             assert (r["verdict"] == "block") == any(re.search(p, r["host"] + r["path"]) for _, p in url_filter.PATTERNS)
 
 
+def test_few_of_many_url_rules_run(spark, tmp_path):
+    draw = random.Random(6)
+    rules = [(draw.choice(["allow", "block"]), f"site{i}.zone{i % 97}.org/" + ("" if i % 3 else f"dir{i % 13}/")) for i in range(5000)]
+    patterns = [(f"word{i}", rf"\bword{i}\b") for i in range(300)]
+    spark.createDataFrame([(v, r, None, None) for v, r in rules] + [(None, None, t, p) for t, p in patterns], "verdict string, rule string, token string, pattern string").write.parquet(str(tmp_path / "rules"))
+    rules, patterns = url_filter.read_rules(spark, str(tmp_path / "rules"))
+    index = url_filter.compile_rules(rules, patterns)
+    ran = []
+    for n in range(1000):
+        i = draw.randrange(6000)
+        url = f"https://{draw.choice(['', 'www.'])}site{i}.zone{draw.choice([i % 97, 5])}.org/{draw.choice(['', f'dir{i % 13}/x', f'a-word{n % 400}'])}"
+        host, path, rule, verdict = url_filter.judge(index, url)
+        fits = [(r, v) for v, r in rules for h, p in [r.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        want = max(fits, key=lambda f: len(f[0]), default=(None, "block" if any(re.search(p, host + path) for _, p in patterns) else "allow"))
+        assert (rule, verdict) == want
+        ran.append(len(list(url_filter.candidates(index, host, path))))
+    assert max(ran) < 70 and sum(ran) / len(ran) < 10
+    long = "http://a.com/" + "x/" * 200_000
+    pages = spark.createDataFrame([(1, long, "own", 3, "r"), (1, long, "own", 3, "r")], "page_id int, url string, host string, verdict int, rule string")
+    got = url_filter.judge_pages(pages).collect()
+    assert len(got) == 2 and got[0]["host"] == "a.com" and got[0]["path"] == long[12:] and got[0]["rule"] == "com/"
+
+
+def test_more_languages_than_a_model_holds_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    rows = spark.createDataFrame([(i, "some words", f"l{i % 4}") for i in range(8)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.fit(rows)
+
+
+def test_word_scores_and_scripts_equal_a_plain_count(spark):
+    rows = [("the rain in the river", "en"), ("la pluie de la rivière", "fr"), ("Дом у реки", "ru"), ("река и дождь", "ru")]
+    model = langid.fit(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string"))
+    assert model["languages"] == ["en", "fr", "ru"]
+
+    def grams(text, order):
+        out = Counter()
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            marked = w if order == 1 else "\x01" + w + "\x01" * order
+            out.update(marked[i : i + order] for i in range(len(w)))
+        return out
+
+    size = [len(set().union(*(grams(t, n) for t, _ in rows))) for n in (1, 2, 3)]
+    doc, _, score = langid.word_scores(model, ["rain"])
+    assert len(doc) == 1
+    for k, lang in enumerate(["en", "fr"]):
+        want = 0
+        for n in (1, 2, 3):
+            count = sum((grams(t, n) for t, c in rows if c == lang), Counter())
+            total = sum(count.values())
+            want += sum(times * math.log((count[g] + langid.SMOOTH) / (total + langid.SMOOTH * size[n - 1])) for g, times in grams("rain", n).items())
+        assert score[0, k] == pytest.approx(want / 3, abs=1e-4)
+    assert score[0, 2] < -1000  # no Latin letters in its texts
+    assert langid.label(model, ["река", "rivière rivière"])[0][0] == "ru"
+    twins = langid.fit(spark.createDataFrame([(1, "the same words", "bb"), (2, "the same words", "aa")], "doc_id long, text string, lang string"))
+    assert langid.label(twins, ["same words"])[0][0] == "aa"  # a tie goes to the first language
+
+
 def test_packing(docs, rows):
     got = packing.pack_documents(docs, capacity=64).toPandas()
     from tokenizers import Tokenizer
@@ -475,16 +533,56 @@ def test_empty_tables(spark, empty):
     assert url_filter.judge_pages(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
-def test_pipeline_keeps_and_drops(spark):
+PIPELINE = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, `a.b` int, row_file int, mix_times string"
+
+
+def test_pipeline_equals_brute_force(spark, rng, tmp_path):
+    """All stages but the mix's draw and the packing's places, which have tests of their own, are predicted row by row."""
     import corpus_pipeline
 
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    sizes = [docs.count()]
-    from foliant.llm.common import written
+    vocab = ["".join(rng.choices("abcde", k=rng.randint(2, 7))) for _ in range(200)]
+    texts = [" ".join(rng.choices(vocab, k=rng.randint(6, 60))) for _ in range(30)]
+    near = [" ".join([*t.split()[:-1], "changed"]) for t in texts[:8]]
+    texts += near + [texts[0], texts[1].upper(), "", None, "123 !!", "x" * 30_000, "word " * 4000]
+    rows = [(i * 2, t, "en", f"s{i % 3}", 1, "own", i, 5, "m") for i, t in enumerate(texts)]
+    rows.append(rows[3])
+    (tmp_path / "sf").mkdir()
+    spark.createDataFrame(rows, PIPELINE).repartition(3).write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    stay = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    last = {}
+    for r in stay:
+        last[lower(r[1])] = max(last.get(lower(r[1]), r), r)
+    unique = sorted(last.values())
+    kept = []
+    name = list(range(len(unique)))
+    for i, r in enumerate(unique):
+        for j in range(i):
+            x, y = sets_of(r[1]), sets_of(unique[j][1])
+            if 100 * len(x & y) >= 80 * len(x | y):
+                old, new = max(name[i], name[j]), min(name[i], name[j])
+                name = [new if n == old else n for n in name]
+    kept = [r for i, r in enumerate(unique) if name[i] == i]
+    want = [stay, unique, kept]
+    for (_, stage), expected in zip(corpus_pipeline.STAGES[:3], want, strict=False):
+        docs = packing.written(stage(spark, docs, str(tmp_path / "sf")), "test")
+        assert docs.columns == [c.split()[0].strip("`") for c in PIPELINE.split(", ")]
+        assert Counter(tuple(r) for r in docs.collect()) == Counter(expected)
+    mixed = packing.written(corpus_pipeline.source_mix(spark, docs, ""), "test")
+    copies = Counter(tuple(r) for r in mixed.collect())
+    assert mixed.columns == docs.columns and set(copies) <= set(kept) and max(copies.values()) <= 3
+    packed = corpus_pipeline.run(spark, str(tmp_path / "sf")).collect()
+    assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter({i[0]: n for i, n in copies.items()})
+    per = Counter()
+    for r in packed:
+        per[r["sequence_id"]] += r["length"]
+    assert max(per.values()) <= 2048
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
 
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = written(stage(spark, docs, "/root/testdata/sf0.001"), "test")
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-        sizes.append(docs.count())
-    assert sizes[0] >= sizes[1] >= sizes[2] >= sizes[3] > 0
+    (tmp_path / "sf").mkdir()
+    spark.createDataFrame([], PIPELINE).write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "sf")).count() == 0
     assert set(queries.ORACLE) <= set(queries.QUERIES)
