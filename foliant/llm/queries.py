@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import exact_dedup, fingerprint, langid, license_scan, lm_score, mixing, ngram_join, packing, quality, url_filter
+from foliant.llm import exact_dedup, fingerprint, langid, license_scan, lm_score, mixing, ngram_join, packing, quality, retention, url_filter
 from foliant.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("families", F.array_join("families", ","))
 
 
+def op13_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retention.cells(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "clients"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,6 +78,7 @@ QUERIES = {
         op8_url_filter,
         op9_packing,
         op10_license_scan,
+        op13_retention,
         pipeline,
     )
 }
@@ -114,4 +119,4 @@ grouped as (select norm, max(doc_id) as keep_id, count(*) as group_size from doc
 select d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id as kept, sha256(d.norm) as text_sha256
 from docs d join grouped g using (norm)
 """
-ORACLE = {"op1_mix_sources": MIX, "op6_exact_dedup": DEDUP, "op8_url_filter": url_filter.ORACLE}
+ORACLE = {"op1_mix_sources": MIX, "op6_exact_dedup": DEDUP, "op8_url_filter": url_filter.ORACLE, "op13_retention": retention.ORACLE}
