@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import exact_dedup, fingerprint, langid, license_scan, lm_score, mixing, ngram_join, packing, quality, retention, url_filter
+from foliant.llm import exact_dedup, fingerprint, langid, license_scan, lm_score, mixing, ngram_join, packing, quality, retention, url_filter, whitening
 from foliant.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("families", F.array_join("families", ","))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(table(spark, sf_dir, "embeddings"))
+
+
 def op13_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retention.cells(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "clients"))
 
@@ -78,6 +82,7 @@ QUERIES = {
         op8_url_filter,
         op9_packing,
         op10_license_scan,
+        op11_whitening,
         op13_retention,
         pipeline,
     )
