@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import exact_dedup, fingerprint, langid, license_scan, lm_score, mixing, ngram_join, packing, quality, retention, url_filter, whitening
+from foliant.llm import embedding_dedup, exact_dedup, fingerprint, langid, license_scan, lm_score, mixing, ngram_join, packing, quality, retention, url_filter, whitening
 from foliant.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.by_component(table(spark, sf_dir, "embeddings"))
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.found_by_row(table(spark, sf_dir, "embeddings"))
+
+
 def op13_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retention.cells(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "clients"))
 
@@ -83,6 +87,7 @@ QUERIES = {
         op9_packing,
         op10_license_scan,
         op11_whitening,
+        op12_embedding_dedup,
         op13_retention,
         pipeline,
     )
