@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import chunks, remainder
+from foliant.llm.common import chunks, remainder, written
 from foliant.llm.kernels import FOLD, joined, span_hashes, word_spans
 
 WORDS, BINS, FACTORS = 1 << 13, 12, 6
@@ -142,16 +142,20 @@ def _sparse(batches):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
     """Learns from `docs` (doc_id, text, n_chars) with a row in `labels` (doc_id, quality); None without two classes.
 
-    About `sample` documents of each class, by a hash of the id, weighted so that classes count as they come; where ids
-    repeat, no more than 4 * `sample` rows in all are learned from, the first by a hash of their text.
+    Only labels of ids that `docs` has count, in sizes and weights too; an id whose labels disagree has none. About
+    `sample` documents of each class, by a hash of the id and no more than 4 * `sample` ids in all, weighted so that
+    classes count as they come; where ids repeat in `docs`, no more than 4 * `sample` rows are learned from, the first by
+    a hash of their text.
     """
     labels = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    labels = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
+    labels = written(labels.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi"), "labels")
     sizes = {r["quality"]: r["n"] for r in labels.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
     rate = {q: min(1.0, sample / n) for q, n in sizes.items()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) / 1_000_000
-    chosen = labels.where(draw < F.when(F.col("quality") == 1, rate[1]).otherwise(rate[0]))
+    chosen = labels.where(draw < F.when(F.col("quality") == 1, rate[1]).otherwise(rate[0])).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(4 * sample)
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars"), "quality")
     rows = rows.orderBy(F.xxhash64("doc_id", "text")).limit(4 * sample)
     found = rows.mapInPandas(_sparse, "doc_id long, quality int, feature array<int>, value array<double>").toPandas()
