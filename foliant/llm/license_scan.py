@@ -79,9 +79,10 @@ NOTICES = {
 # Words that make a paragraph without a family count as unknown, and paragraphs that use them otherwise.
 ANCHORS = [
     "licence", "licences", "licensed", "license", "licenses", "redistribute", "redistribution", "permission", "copyright",
-    "apache", "mit", "gnu", "gpl", "bsd", "mozilla", "cc", "commons",
-    "gplv2", "gplv3", "lgpl", "lgplv2", "lgplv2.1", "lgplv3", "agpl", "agplv3", "mpl", "cc0", "warranty",
+    "gpl", "bsd", "gplv2", "gplv3", "lgpl", "lgplv2", "lgplv2.1", "lgplv3", "agpl", "agplv3", "mpl", "cc0", "warranty",
 ]
+# Words of other meanings, and languages, that speak of licences only beside another word.
+BESIDE = ["apache software", "apache v2", "under apache", "under mit", "mit x11", "gnu general", "gnu lesser", "gnu affero", "gnu free", "mozilla public", "cc by", "creative commons"]
 OTHERWISE = [
     "Her driving license was renewed in May.", "All rights reserved. Copyright by the authors.", "He asked for permission to leave the room.",
     "The town council granted a fishing license to the harbour.", "Students at MIT built a small robot.", "Apache helicopters flew over the valley.",
@@ -112,7 +113,7 @@ def pairs(tokens: list[str]) -> set[str]:
 def _variants(rng: random.Random) -> list[tuple[list[str], str]]:
     """Each notice whole, with words lost or between other words; other paragraphs likewise, and notices out of order."""
     filler = words(" ".join(OTHERWISE))
-    plain = [w for w in filler if w not in ANCHORS]
+    plain = [w for w in filler if w not in {*ANCHORS, *" ".join(BESIDE).split()}]
     out = []
     for family, notices in [*NOTICES.items(), (UNKNOWN, OTHERWISE)]:
         for notice in notices:
@@ -218,7 +219,7 @@ def _judged(rows: DataFrame, model: dict | None) -> DataFrame:
     lines = (
         rows.select(*ROW, "doc_id", F.posexplode_outer(F.split("text", r"\n(?:[ \t\r\f\x0B]*\n)+")).alias("paragraph", "block"))
         .select(*ROW, "doc_id", "paragraph", F.posexplode_outer(parts).alias("line", "tokens"))
-        .where(F.arrays_overlap("tokens", F.array(*[F.lit(w) for w in sorted({*needed_words(model), *ANCHORS})])))
+        .where(F.arrays_overlap("tokens", F.array(*[F.lit(w) for w in sorted({*needed_words(model), *ANCHORS, *(b.split(" ")[0] for b in BESIDE)})])))
     )
     # the model's tables hold one row per n-gram or word pair of the fixed notices, whatever the input
     weights = spark.createDataFrame([(g, w) for g, w in model["weights"].items()], "gram string, w array<double>")
@@ -231,7 +232,8 @@ def _judged(rows: DataFrame, model: dict | None) -> DataFrame:
     runs = F.split(F.array_join(F.transform("tokens", lambda t: F.when(t.isin(some), t).otherwise("|")), " "), r"[ |]*\|[ |]*")
     every = F.flatten(F.transform(F.filter(runs, lambda r: r != ""), lambda r: let(F.split(r, " "), lambda t: F.concat(*[_grams(t, n) for n in range(1, ORDERS + 1)]))))
     kept = F.array_intersect(every, F.array(*[F.lit(g) for g in own])).alias("grams")
-    cue = F.arrays_overlap("tokens", F.array(*[F.lit(w) for w in ANCHORS])).alias("cue")
+    beside = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")).rlike(" (" + "|".join(BESIDE) + ") ")
+    cue = (F.arrays_overlap("tokens", F.array(*[F.lit(w) for w in ANCHORS])) | beside).alias("cue")
     held = written(lines.select(*key, cue, kept), "grams")
     found = held.select(*key, "cue", F.explode_outer("grams").alias("gram")).join(F.broadcast(weights), "gram", "left")
     z = found.groupBy(*key).agg(F.first("cue").alias("cue"), *[(F.coalesce(F.sum(F.col("w")[k]), F.lit(0.0)) + model["bias"][k]).alias(f"z{k}") for k in range(len(classes))])
