@@ -41,11 +41,15 @@ def parse_cell(raw: Column) -> Column:
     Blank tokens are null. A trailing footnote mark goes only where a number is left. A per cent sign or a leading
     currency sign becomes the unit, parentheses a minus, commas go; anything else stays as the stripped text.
     """
-    # each step is bound once, as the next one uses it several times
-    stripped = let(strip(raw), _unmarked)
-    blank = raw.isNull() | F.lower(strip(raw)).isin(BLANKS)
     nothing = F.lit(None).cast("string")
-    return let(stripped, lambda c: F.struct(F.when(~blank, c["value"]).otherwise(nothing).alias("value"), F.when(~blank, c["unit"]).otherwise(nothing).alias("unit")))
+    cell = lambda value, unit: F.struct(value.alias("value"), unit.alias("unit"))
+
+    # each step is bound once, as the next one uses it several times; words and short plain numbers need none of them
+    def found(text: Column) -> Column:
+        plain = text.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]{0,3}[1-9])?$") & (text != "-0")
+        return F.when(F.lower(text).isin(BLANKS), cell(nothing, nothing)).when(plain | ~text.rlike("[0-9]"), cell(text, nothing)).otherwise(_unmarked(text))
+
+    return F.when(raw.isNull(), cell(nothing, nothing)).otherwise(let(strip(raw), found))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

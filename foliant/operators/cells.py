@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import NUMBER_PREFIX, cell_terms, collapse, is_furniture, is_year, normalise_number, number, number_digits, parse_cell, strip
+from foliant.session import stored
 
 TABLE = ["doc_id", "table_id"]
 ROW = [*TABLE, "row"]
@@ -250,7 +251,7 @@ def zone_headers(cells: DataFrame, least: int = 3) -> DataFrame:
 
 def parsed(raw: DataFrame) -> DataFrame:
     """Raw cells (doc_id, page, table_id, row, col, raw) as cells: value and unit parsed, headers from the header zone."""
-    cells = raw.withColumn("p", parse_cell(F.col("raw"))).select("doc_id", "page", *ROW[1:], "col", "p.value", "p.unit")
+    cells = stored(raw.withColumn("p", parse_cell(F.col("raw"))), "parsed").select("doc_id", "page", *ROW[1:], "col", "p.value", "p.unit")
     return cells.join(zone_headers(cells), [*TABLE, "col"], "left")
 
 

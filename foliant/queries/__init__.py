@@ -1,5 +1,5 @@
 """Registered queries over the driver's tables, each module with QUERIES and ORACLE."""
 
-from foliant.queries import answers, documents, evaluation
+from foliant.queries import answers, documents, evaluation, pages
 
-MODULES: list = [documents, answers, evaluation]
+MODULES: list = [documents, pages, answers, evaluation]

@@ -344,11 +344,11 @@ def distinct_tables(spark, sf_dir):
 
 
 def _raw(spark, sf_dir, sql=RAW_CELLS):
-    return stored(over_tables(spark, sf_dir, sql, "lineitem", "part").drop("k"), "raw")
+    return over_tables(spark, sf_dir, sql, "lineitem", "part").drop("k")
 
 
 def _parsed(spark, sf_dir, sql=RAW_CELLS):
-    return stored(oc.parsed(_raw(spark, sf_dir, sql)), "parsed")
+    return oc.parsed(_raw(spark, sf_dir, sql))
 
 
 def _plain(sql):
