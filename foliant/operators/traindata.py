@@ -252,32 +252,97 @@ def most_contaminated(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     return gram_pairs(train, evaluation).agg(best).select("best.a", "best.b", (-F.col("best.j")).alias("jaccard"))
 
 
+def gram_sets(rows: DataFrame, n: int = 5) -> DataFrame:
+    """Rows (id, text) with the set of their n-grams, as sorted 64-bit hashes: id, n, g. Hashes that collide count as one gram."""
+    # each step is written: an expression over whole texts is made once and not once for each use
+    tokens = stored(rows.select("id", gram_tokens(F.col("text")).alias("t")), "tokens")
+    places = F.sequence(F.lit(1), F.size("t") - (n - 1))
+    hashed_ = F.array_sort(F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.slice("t", i, n)))))
+    return stored(tokens.select("id", F.when(F.size("t") >= n, hashed_).otherwise(F.array().cast("array<long>")).alias("g")), "grams").select("id", F.size("g").alias("n"), "g")
+
+
+def _prefixes(sets: DataFrame, often: DataFrame, threshold: float) -> DataFrame:
+    """The rarest grams of each set (id, n, gram), so many that a close set must have one of them; grams of nobody else come first."""
+    shared = sets.select("id", "n", F.explode("g").alias("gram")).join(often, "gram")
+    by_id = Window.partitionBy("id")
+    ranked = shared.withColumn("rank", F.row_number().over(by_id.orderBy("df", "gram"))).withColumn("common", F.count("*").over(by_id))
+    return ranked.where(F.col("rank") - F.col("common") <= 1 - F.ceil(F.lit(threshold) * F.col("n") - 1e-9)).select("id", "n", "gram")
+
+
+def _met(a: DataFrame, b: DataFrame, sets_a: DataFrame, sets_b: DataFrame, threshold: float, ordered: bool) -> DataFrame:
+    """Pairs of sets whose prefixes share a gram, with their similarity where it reaches `threshold`."""
+    x, y = a.select(F.col("id").alias("a"), F.col("n").alias("na"), "gram"), b.select(F.col("id").alias("b"), F.col("n").alias("nb"), "gram")
+    pairs = x.join(y, "gram").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
+    pairs = (pairs.where("a < b") if ordered else pairs).select("a", "b").distinct()
+    both = pairs.join(sets_a.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(sets_b.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
+    shared = F.size(F.array_intersect("ga", "gb"))
+    jaccard = F.round(shared / (F.size("ga") + F.size("gb") - shared), 6)
+    return both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+def _firsts(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(first row of each distinct set, further rows b with that first row a)."""
+    full = sets.where("n > 0").withColumn("key", F.sha2(F.col("g").cast("string"), 256))
+    least = full.groupBy("key").agg(F.min("id").alias("a"))
+    joined = full.join(least, "key")
+    return stored(joined.where("id = a").select("id", "n", "g"), "first-sets"), joined.where("id <> a").select("a", F.col("id").alias("b"))
+
+
 def close_pairs(rows: DataFrame, threshold: float, n: int = 5) -> DataFrame:
     """Pairs of rows (id, text) whose n-gram sets have a Jaccard similarity of `threshold`: a, b, jaccard, a < b.
 
     Rows of equal sets stand for each other: pairs are of the first row of each set, plus each further row with that
     first one. A row looks for partners by its rarest grams alone, so many that a close row must have one of them.
     """
-    # each step is written: an expression over whole texts is made once and not once for each use
-    tokens = stored(rows.select("id", gram_tokens(F.col("text")).alias("t")), "tokens")
-    made = stored(tokens.select("id", F.array_sort(grams(F.col("t"), n)).alias("g")), "grams")
-    sets = made.select("id", F.size("g").alias("n"), "g", F.sha2(F.array_join("g", "\n"), 256).alias("key")).where("n > 0")
-    firsts = sets.groupBy("key").agg(F.min("id").alias("id"))
-    again = sets.join(firsts.withColumnRenamed("id", "a"), "key").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
-    kept = stored(sets.join(firsts, ["key", "id"], "left_semi").select("id", "n", "g"), "first-sets")
-    grams_ = kept.select("id", "n", F.explode("g").alias("gram"))
-    often = grams_.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "gram"))
-    # grams that no other row has come first and find nobody
-    shared = grams_.join(often, "gram").withColumn("rank", rank).withColumn("common", F.count("*").over(Window.partitionBy("id")))
-    prefix = shared.where(F.col("rank") + F.col("n") - F.col("common") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
-    x = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "gram")
-    y = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "gram")
-    met = x.join(y, "gram").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
-    both = met.join(kept.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(kept.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
-    shared_ = F.size(F.array_intersect("ga", "gb"))
-    jaccard = F.round(shared_ / (F.size("ga") + F.size("gb") - shared_), 6)
-    return both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold).unionByName(again)
+    kept, again = _firsts(gram_sets(rows, n))
+    often = kept.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    prefix = stored(_prefixes(kept, often, threshold), "prefixes")
+    return _met(prefix, prefix, kept, kept, threshold, True).unionByName(again.withColumn("jaccard", F.lit(1.0)))
+
+
+def close_between(left: DataFrame, right: DataFrame, threshold: float, n: int = 5) -> DataFrame:
+    """Pairs of a row of `left` and one of `right` (id, text) with a Jaccard similarity of `threshold`: a, b, jaccard.
+
+    `b` is the first row of its set; each row of `left` is listed. Only grams of both sides are counted and joined.
+    """
+    kept_l, again_l = _firsts(gram_sets(left, n))
+    kept_r, _ = _firsts(gram_sets(right, n))
+    count = lambda sets, name: sets.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias(name))
+    often = stored(count(kept_l, "dl").join(count(kept_r, "dr"), "gram").select("gram", (F.col("dl") + F.col("dr")).alias("df")), "common-grams")
+    found = stored(_met(_prefixes(kept_l, often, threshold), _prefixes(kept_r, often, threshold), kept_l, kept_r, threshold, False), "close")
+    copies = again_l.withColumnRenamed("b", "copy").join(found, "a").select(F.col("copy").alias("a"), "b", "jaccard")
+    return found.unionByName(copies)
+
+
+def greedy_keep(rows: DataFrame, threshold: float = REPEATED, most_rounds: int = 200) -> DataFrame:
+    """What one pass in order of id keeps: a row stays unless a kept one before it is as close as `threshold`. id, kept, of.
+
+    `of` is the first such row. The pass is followed in rounds over the pairs: a row without an undecided or kept
+    earlier partner stays, and later partners of what stays go, until none is undecided. Further rows of an equal set
+    always go: with their first one, or with what that goes for. Rows without an n-gram are close to nothing.
+    """
+    sets = gram_sets(rows)
+    pairs = stored(close_pairs(rows, threshold).select("a", "b", "jaccard"), "close-pairs")
+    state = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().withColumn("kept", F.lit(None).cast("boolean"))
+    state = stored(state, "undecided")
+    for _ in range(most_rounds):
+        known = pairs.join(state.select(F.col("id").alias("a"), F.col("kept").alias("before")), "a")
+        seen = known.groupBy(F.col("b").alias("id")).agg(F.bool_or(F.coalesce("before", F.lit(False))).alias("close"), F.bool_or(F.col("before").isNull()).alias("open"))
+        after = state.join(seen, "id", "left")
+        stays = F.when(F.coalesce("close", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
+        state = stored(after.select("id", F.coalesce("kept", stays).alias("kept")), "undecided")
+        if not state.where("kept is null").take(1):
+            break
+    else:
+        raise RuntimeError(f"rows are undecided after {most_rounds} rounds")
+    kept = state.where("kept").select(F.col("id").alias("a"))
+    first = pairs.join(kept, "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("of"))
+    # a further row of a set whose first row went is close to what that one went for
+    of_first = pairs.where("jaccard = 1").select("a", F.col("b").alias("id")).join(first.select(F.col("id").alias("a"), F.col("of").alias("through")), "a")
+    through = of_first.groupBy("id").agg(F.min("through").alias("through"))
+    out = sets.select("id").join(state, "id", "left").join(first, "id", "left").join(through, "id", "left")
+    of = F.coalesce("of", "through")
+    return out.select("id", (F.coalesce("kept", F.lit(True)) & of.isNull()).alias("kept"), of.alias("of"))
 
 
 def repeated(rows: DataFrame, threshold: float = REPEATED) -> DataFrame:
