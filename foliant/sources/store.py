@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,17 +17,84 @@ SCHEMAS = {
     "chunks": "doc_id string, chunk_id string, page int, text string",
     "suspect_cells": "doc_id string, page int, table_id string, row int, col int, reason string, detail string",
     "breakages": "doc_id string, page int, table_id string, reason string",
+    "previews": "doc_id string, table_id string, page int, preview string",
+    "index": "id string, doc_id string, page int, text string, embedding array<float>",
 }
 KEYS = {"documents": ["doc_id"], "chunks": ["chunk_id"]}
 COLUMNS = {t: [c.split()[0] for c in s.split(", ")] for t, s in SCHEMAS.items()}
+#: Names the folders that each table consists of; all that is not named in it does not count.
+MANIFEST = "manifest.json"
+
+
+def _files(spark: SparkSession, root: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def manifest(spark: SparkSession, root: str) -> dict[str, list[str]]:
+    """The folders of each table of the store under `root`; none before the first commit."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{MANIFEST}")
+    if not _files(spark, root).exists(path):
+        return {}
+    return json.loads(spark.read.text(f"{root}/{MANIFEST}", wholetext=True).first()["value"])
+
+
+def _point(spark: SparkSession, root: str, tables: dict[str, list[str]]) -> None:
+    """Puts a new manifest in the old one's place, in one step: readers see either all of a commit or nothing of it."""
+    fs, beside = spark._jvm.org.apache.hadoop.fs, f"{root}/.{MANIFEST}-{uuid.uuid4().hex}"
+    out = _files(spark, root).create(fs.Path(beside))
+    out.write(bytearray(json.dumps(tables, indent=1, sort_keys=True).encode()))
+    out.close()
+    _swap(spark, root, beside)
+
+
+def _swap(spark: SparkSession, root: str, beside: str) -> None:
+    fs = spark._jvm.org.apache.hadoop.fs
+    how = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    how[0] = getattr(fs, "Options$Rename").OVERWRITE
+    context = fs.FileContext.getFileContext(fs.Path(root).toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.Path(beside), fs.Path(f"{root}/{MANIFEST}"), how)
+
+
+def commit(root: str, new: dict[str, DataFrame], added: dict[str, DataFrame] | None = None) -> None:
+    """Tables anew (`new`) and rows added to tables (`added`), all at once, by one writer at a time.
+
+    Each goes into a folder of its own first; then one rename of the manifest makes them the store's. Whatever fails
+    before leaves the store as it was, and folders that `vacuum` removes.
+    """
+    frames = {**new, **(added or {})}
+    if not frames:
+        return
+    spark = next(iter(frames.values())).sparkSession
+    folders = {}
+    for name, rows in frames.items():
+        folders[name] = f"{name}/{uuid.uuid4().hex}"
+        _shaped(rows, name).write.parquet(f"{root}/{folders[name]}")
+    held = manifest(spark, root)
+    _point(spark, root, held | {n: [folders[n]] for n in new} | {n: [*held.get(n, []), folders[n]] for n in added or {}})
+
+
+def vacuum(spark: SparkSession, root: str) -> int:
+    """Removes folders that no table consists of; not while a reader or writer is at work. Returns how many."""
+    files, path = _files(spark, root), spark._jvm.org.apache.hadoop.fs.Path
+    held = {f for folders in manifest(spark, root).values() for f in folders}
+    gone = 0
+    for name in SCHEMAS:
+        if not files.exists(path(f"{root}/{name}")):
+            continue
+        for status in files.listStatus(path(f"{root}/{name}")):
+            if f"{name}/{status.getPath().getName()}" not in held:
+                files.delete(status.getPath(), True)
+                gone += 1
+    return gone
 
 
 def open_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table of the store under `root`; an empty one where nothing has been written yet."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    """A table of the store under `root`, as of its last commit; an empty one where nothing has been written yet."""
+    folders = manifest(spark, root).get(name, [])
+    if not folders:
         return spark.createDataFrame([], SCHEMAS[name])
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")
+    return spark.read.schema(SCHEMAS[name]).parquet(*[f"{root}/{f}" for f in folders])
 
 
 def _shaped(rows: DataFrame, name: str) -> DataFrame:
@@ -34,11 +104,11 @@ def _shaped(rows: DataFrame, name: str) -> DataFrame:
 
 def rebuild(rows: DataFrame, root: str, name: str) -> None:
     """The table anew, without what it held."""
-    _shaped(rows, name).write.mode("overwrite").parquet(f"{root}/{name}")
+    commit(root, {name: rows})
 
 
 def append(rows: DataFrame, root: str, name: str) -> None:
-    _shaped(rows, name).write.mode("append").parquet(f"{root}/{name}")
+    commit(root, {}, {name: rows})
 
 
 def upserted(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -48,15 +118,8 @@ def upserted(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def upsert(rows: DataFrame, root: str, name: str) -> None:
-    """Adds rows to a keyed table and replaces those of the same key; written beside the old table, then swapped in."""
-    spark = rows.sparkSession
-    merged = upserted(open_table(spark, root, name), _shaped(rows, name), KEYS[name])
-    merged.write.mode("overwrite").parquet(f"{root}/{name}.next")
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    old, new = hadoop.Path(f"{root}/{name}"), hadoop.Path(f"{root}/{name}.next")
-    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(old, True)
-    files.rename(new, old)
+    """Adds rows to a keyed table and replaces those of the same key."""
+    commit(root, {name: upserted(open_table(rows.sparkSession, root, name), _shaped(rows, name), KEYS[name])})
 
 
 def flag_suspects(found: DataFrame, root: str) -> None:
