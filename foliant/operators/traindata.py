@@ -29,6 +29,14 @@ def figures(text: Column) -> Column:
     return F.filter(found, lambda f: ~is_year(f) & (F.length(F.regexp_replace(f, "[^0-9]", "")) >= 3))
 
 
+def placed_figures(text: Column) -> Column:
+    """The same figures with the number of characters before each, as the scan that finds them meets them."""
+    found, between = F.regexp_extract_all(text, F.lit(FIGURE), 1), F.split(text, FIGURE)
+    length = lambda texts: F.aggregate(texts, F.lit(0), lambda n, t: n + F.length(t))
+    placed = F.transform(found, lambda f, i: F.struct(f.alias("figure"), (length(F.slice(between, 1, i + 1)) + length(F.slice(found, F.lit(1), i))).alias("at")))
+    return F.filter(placed, lambda p: ~is_year(p["figure"]) & (F.length(F.regexp_replace(p["figure"], "[^0-9]", "")) >= 3))
+
+
 def topic(sentence: Column, figure: Column) -> Column:
     """What a figure measures: the last content words before it, as a phrase of 10 to 70 characters; else null."""
     before = F.split_part(sentence, figure, F.lit(1))
@@ -49,14 +57,13 @@ def facts(chunks: DataFrame, least: int = 8, banned_figures: DataFrame | None =
     rows = chunks.select("doc_id", "page", "chunk_id", collapse(F.col("text")).alias("text")).where(F.length("text").between(*FACT))
     if banned_chunks is not None:
         rows = rows.join(banned_chunks.select("chunk_id").distinct(), "chunk_id", "left_anti")
-    rows = rows.withColumn("figures", figures(F.col("text"))).where(F.size("figures") > 0)
+    rows = rows.withColumn("figures", placed_figures(F.col("text"))).where(F.size("figures") > 0)
     if banned_figures is not None:
-        each = rows.select("chunk_id", F.posexplode_outer("figures").alias("pos", "figure")).join(banned_figures.select("figure").distinct(), "figure", "left_anti")
-        rows = rows.join(each.groupBy("chunk_id").agg(F.min_by("figure", "pos").alias("figure")), "chunk_id")
+        each = rows.select("chunk_id", F.posexplode("figures").alias("pos", "f")).select("chunk_id", "pos", "f.figure", "f.at").join(banned_figures.select("figure").distinct(), "figure", "left_anti")
+        rows = rows.join(each.groupBy("chunk_id").agg(F.min_by(F.struct("figure", "at"), "pos").alias("f")), "chunk_id")
     else:
-        rows = rows.withColumn("figure", F.col("figures")[0])
-    pattern = F.concat(F.lit("(?<![0-9.])"), F.regexp_replace("figure", r"\.", r"\\."), F.lit("(?![0-9.])"))
-    rows = rows.withColumn("at", F.regexp_instr("text", pattern) - 1).drop("figures")
+        rows = rows.withColumn("f", F.col("figures")[0])
+    rows = rows.select("doc_id", "page", "chunk_id", "text", F.col("f.figure").alias("figure"), F.col("f.at").alias("at"))
 
     def around(before: int, after: Column) -> Column:
         start = F.greatest(F.lit(0), F.col("at") - before)
