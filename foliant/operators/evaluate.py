@@ -198,3 +198,26 @@ def running_accuracy(rows: DataFrame, key: str, order: str) -> DataFrame:
     each = rows.select(key, order, F.col("correct").cast("long").alias("__ok"), F.lit(1).cast("long").alias("__one"))
     summed = running(each, [key], [order], {"__ok": "__oks", "__one": "__ones"})
     return summed.select(key, order, F.round(F.col("__oks") / F.col("__ones"), 6).alias("running"))
+
+
+def evidence_structure(questions: DataFrame, pages: DataFrame) -> DataFrame:
+    """Structure of questions (id, cites: array of doc_id and page, needles) against the pages they cite (doc_id, page, text).
+
+    grounded: each needle is on some cited page; a page that is missing has none. Questions on two documents or more
+    (cross) are checked for two more: both_needed, that no page has all needles, and leaks, the needles that pages of
+    two citations hold. Questions without needles or citations are grounded by nothing.
+    """
+    cited = questions.select("id", F.explode_outer(F.array_distinct("cites")).alias("c")).select("id", "c.doc_id", "c.page")
+    read = cited.join(pages.select("doc_id", "page", "text"), ["doc_id", "page"], "left")
+    asked = read.join(questions.select("id", F.explode_outer(F.array_distinct("needles")).alias("needle")), "id")
+    found = asked.withColumn("found", F.coalesce(matches_needle(F.col("text"), F.col("needle")), F.lit(False)))
+    per_page = found.groupBy("id", "doc_id", "page").agg(F.bool_and("found").alias("all_here"))
+    per_needle = found.groupBy("id", "needle").agg(F.count_if("found").alias("n"))
+    a = per_page.groupBy("id").agg(F.countDistinct("doc_id").alias("n_docs"), F.bool_or("all_here").alias("one_page"))
+    missing_ = F.array_sort(F.collect_set(F.when(F.col("n") == 0, F.col("needle"))))
+    b = per_needle.groupBy("id").agg(F.bool_and(F.col("n") > 0).alias("grounded"), missing_.alias("missing"), F.array_sort(F.collect_set(F.when(F.col("n") > 1, F.col("needle")))).alias("leaks"))
+    cross = F.col("n_docs") >= 2
+    return a.join(b, "id").select(
+        "id", cross.alias("cross"), F.coalesce("grounded", F.lit(False)).alias("grounded"), "missing", F.when(cross, ~F.col("one_page")).alias("both_needed"),
+        F.when(cross, F.col("leaks")).otherwise(F.array().cast("array<string>")).alias("leaks"),
+    )

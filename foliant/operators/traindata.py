@@ -5,6 +5,8 @@ Draws are ordered by md5 of the keys and a seed, so they do not depend on partit
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,20 +198,28 @@ def check_cells(examples: DataFrame) -> DataFrame:
     return examples.select("id", F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) == 0).alias("passed"))
 
 
+def with_tokens(examples: DataFrame, count: Callable[[str], Column]) -> DataFrame:
+    """Examples with the tokens of what is prompted and of the answer, as a provider counts a column's texts."""
+    prompted = examples.withColumn("__prompt", F.concat_ws("\n\nQuestion: ", "context", "question"))
+    return prompted.withColumn("prompt_tokens", count("__prompt")).withColumn("answer_tokens", count("answer")).drop("__prompt")
+
+
 def check_pairs(examples: DataFrame) -> DataFrame:
     """Rejection codes of multi-document examples (id, kind, context, question, answer, figure, other_figure, eval_figures).
 
     With a column `eval_jaccard`, its closest evaluation question's, examples near to one are rejected as contaminated.
 
-    Context is excerpts between blank lines, each after a [label]; labels do not count as text. Token budgets use a
-    fixed number of characters per token, as a stand-in for a model's tokenizer.
+    Context is excerpts between blank lines, each after a [label]; labels do not count as text. Token budgets hold for
+    `prompt_tokens` and `answer_tokens`, a tokenizer's counts of context and question and of the answer (`with_tokens`
+    adds them); without these columns a fixed number of characters counts as a token.
     """
     has = matches_needle
     bodies = F.transform(excerpts(F.col("context")), excerpt_body)
     body = F.array_join(bodies, "\n\n")
     negative, fig = F.col("kind") == "negative", F.col("figure")
-    prompt = F.length(F.concat_ws(" ", "context", "question")) / CHARS_PER_TOKEN
-    full = prompt + F.length("answer") / CHARS_PER_TOKEN
+    counted = {"prompt_tokens", "answer_tokens"} <= set(examples.columns)
+    prompt = F.col("prompt_tokens") if counted else F.length(F.concat_ws(" ", "context", "question")) / CHARS_PER_TOKEN
+    full = prompt + (F.col("answer_tokens") if counted else F.length("answer") / CHARS_PER_TOKEN)
     codes = F.array_compact(
         F.array(
             F.when(prompt >= BUDGET_TOKENS, "target_truncated_to_zero").when(full > BUDGET_TOKENS, "target_partly_truncated"),

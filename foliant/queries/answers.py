@@ -25,26 +25,6 @@ def query(sql: str | None = None):
 
 # --- arithmetic over cells ---
 
-_LITERAL_CELLS = """('d', 1, 't', 1, 1, '10.5', 'USD'), ('d', 1, 't', 1, 2, '4', 'USD'), ('d', 2, 't', 2, 1, '0', 'USD'), ('d', 2, 't', 2, 2, '8', '%'),
-('d', 3, 't', 3, 1, cast(null as string), null), ('d', 3, 't', 3, 2, 'n.s.', null), ('d', 3, 't', 3, 3, '7', null), ('d', 3, 't', 3, 4, '1d', null), ('d', 4, 't', 4, 1, '1.80', '%'), ('d', 4, 't', 4, 2, '0.60', '%')"""
-_CELL_COLUMNS = "doc_id, page, table_id, row, col, value, unit"
-_PLANS = """('p01', 'sum', 0, 'd', 't', 1, 1), ('p01', 'sum', 1, 'd', 't', 1, 2), ('p02', 'diff', 0, 'd', 't', 4, 1), ('p02', 'diff', 1, 'd', 't', 4, 2),
-('p03', 'ratio', 0, 'd', 't', 1, 1), ('p03', 'ratio', 1, 'd', 't', 2, 1), ('p04', 'pct_change', 0, 'd', 't', 1, 2), ('p04', 'pct_change', 1, 'd', 't', 1, 1),
-('p05', 'lookup', 0, 'd', 't', 9, 9), ('p06', 'lookup', 0, 'd', 't', 3, 1), ('p07', 'lookup', 0, 'd', 't', 3, 2), ('p08', 'lookup', 0, 'd', 't', 1, 1), ('p08', 'lookup', 1, 'd', 't', 1, 2),
-('p09', 'median', 0, 'd', 't', 1, 1), ('p10', 'sum', cast(null as int), null, null, null, null), ('p11', 'mean', 0, 'd', 't', 1, 1), ('p11', 'mean', 1, 'd', 't', 2, 2),
-('p12', 'sum', 0, 'd', 't', 3, 3), ('p13', 'max', 0, 'd', 't', 3, 3), ('p14', 'ratio', 0, 'd', 't', 1, 1), ('p14', 'ratio', 1, 'd', 't', 2, 2), ('p15', 'lookup', 0, 'd', 't', 3, 4), ('p16', 'min', 0, 'd', 't', 1, 1), ('p16', 'min', 1, 'd', 't', 1, 2)"""
-_PLAN_COLUMNS = "plan_id, operation, pos, doc_id, table_id, row, col"
-_EXPECTED = """('p01', 'sum', 14.5, 'USD', null, 'd p1 t r1c1 [USD]; d p1 t r1c2 [USD]', null), ('p02', 'diff', 1.2, '%', null, 'd p4 t r4c1 [%]; d p4 t r4c2 [%]', null), ('p03', 'ratio', null, null, null, null, 'zero denominator'),
-('p04', 'pct_change', 162.5, 'USD', null, 'd p1 t r1c2 [USD]; d p1 t r1c1 [USD]', null), ('p05', 'lookup', null, null, null, null, 'missing cell'), ('p06', 'lookup', null, null, null, null, 'null cell'),
-('p07', 'lookup', null, null, null, null, 'not a number'), ('p08', 'lookup', null, null, null, null, 'wrong number of cells'), ('p09', 'median', null, null, null, null, 'unsupported operation'), ('p10', 'sum', null, null, null, null, 'no cells'),
-('p11', 'mean', 9.25, null, 'mixed units', 'd p1 t r1c1 [USD]; d p2 t r2c2 [%]', null), ('p12', 'sum', 7.0, null, 'no units', 'd p3 t r3c3', null), ('p13', 'max', 7.0, null, null, 'd p3 t r3c3', null),
-('p14', 'ratio', 1.3125, null, null, 'd p1 t r1c1 [USD]; d p2 t r2c2 [%]', null), ('p15', 'lookup', null, null, null, null, 'not a number'), ('p16', 'min', 4.0, 'USD', null, 'd p1 t r1c1 [USD]; d p1 t r1c2 [USD]', null)"""
-
-
-@query(f"select plan_id, operation, cast(value as double) as value, cast(unit as varchar) as unit, cast(unit_warning as varchar) as unit_warning, cast(citations as varchar) as citations, cast(error as varchar) as error from {values(_EXPECTED, 'plan_id, operation, value, unit, unit_warning, citations, error')}")
-def compute_errors(spark, sf_dir):
-    return compute.execute(literal(spark, _PLANS, _PLAN_COLUMNS), literal(spark, _LITERAL_CELLS, _CELL_COLUMNS))
-
 
 _RUN = f"with cells as ({NUMERIC_CELLS.replace('string', 'varchar')})"
 
@@ -356,36 +336,6 @@ def multidoc_answer(spark, sf_dir):
 
 # --- decisions ---
 
-_QUESTIONS = """('r1', 'Compare the two reports on growth', 'multi-doc', 0.85), ('r2', 'What was the total change in exports?', 'numeric', 0.85), ('r3', 'What is the average price?', 'numeric', 0.7),
-('r4', 'Why did the board state a purpose?', 'prose', 0.8), ('r5', 'Who chairs the board in 2024?', 'prose', 0.3), ('r6', 'Explain the growth in output', 'prose', 0.3), ('r7', 'Describe the total, the average and the maximum', 'numeric', 0.85),
-('r8', 'What percent of loans, and how much higher than before?', 'numeric', 0.85), ('r9', 'Do both sources AGREE?', 'multi-doc', 0.85)"""
-
-
-@query(f"select id, question, path, cast(confidence as double) as confidence from {values(_QUESTIONS, 'id, question, path, confidence')}")
-def route_rules(spark, sf_dir):
-    return decide.route(literal(spark, _QUESTIONS, "id, question, p, c").select("id", "question")).select("id", "question", "path", "confidence")
-
-
-_GATE = """('g1', 'outstanding consumer loans charged-off', 'Charge-offs', 'Outstanding', 'Consumer credit'), ('g1', 'outstanding consumer loans charged-off', 'Deposits', '2024', ''),
-('g2', 'corn production in Iowa', 'Wheat exports', '2024', 'Trade'), ('g3', 'what was the rate', 'Anything', '', ''), ('g4', 'housing vacancies', 'Vacancy', 'Housing units', '')"""
-_GATED = "('g1', 2, 3, true), ('g2', 1, 0, false), ('g3', 1, 0, true), ('g4', 1, 2, true)"
-
-
-@query(f"select question_id, n_cells::bigint as n_cells, best_hits, supported from {values(_GATED, 'question_id, n_cells, best_hits, supported')}")
-def evidence_gate(spark, sf_dir):
-    return decide.gate(literal(spark, _GATE, "question_id, question, row_label, header, section"))
-
-
-_REPLIES = """('v1', '{"table": 1, "operation": "sum", "cells": [1, 2]}'), ('v2', '{"table": "2", "operation": "lookup", "cells": [{"id": "3"}]}'), ('v3', 'no json here'), ('v4', '{"table": 9, "operation": "sum", "cells": [1]}'),
-('v5', '{"table": 1, "operation": "median", "cells": [1]}'), ('v6', '{"table": 1, "operation": "sum", "cells": []}'), ('v7', '{"table": 1, "operation": "sum", "cells": [1, 99]}'), ('v8', '{"table": 1, "operation": "diff", "cells": [{"cell": 2}, {"cell_id": 1}]}'), ('v9', '[1]')"""
-_PARSED = """('v1', 1, 'sum', '1,2', null), ('v2', 2, 'lookup', '3', null), ('v3', null, null, null, 'not JSON'), ('v4', 9, 'sum', null, 'unknown table'), ('v5', 1, 'median', null, 'unsupported operation'), ('v6', 1, 'sum', null, 'no cells'), ('v7', 1, 'sum', null, 'unknown cell'), ('v8', 1, 'diff', '2,1', null), ('v9', null, null, null, 'not JSON')"""
-
-
-@query(f"select reply_id, cast(table_no as int) as table_no, cast(operation as varchar) as operation, cast(cells as varchar) as cells, cast(error as varchar) as error from {values(_PARSED, 'reply_id, table_no, operation, cells, error')}")
-def plan_validate(spark, sf_dir):
-    shown = literal(spark, "(1, 1), (1, 2), (2, 3)", "table_no, cell_id")
-    return decide.validate_plans(literal(spark, _REPLIES, "reply_id, text"), shown, compute.OPERATIONS)
-
 
 _MADE = """select event_id, case event_id % 6 when 0 then 'Here it is: ' || body || ' as asked.' when 1 then '```json' || chr(10) || body || chr(10) || '```' when 2 then body when 3 then 'no plan' when 4 then '[' || body || ']' else 'Plan {draft} ' || body end as reply
 from (select event_id, '{"table": ' || case event_id % 4 when 0 then '1' when 1 then '"2"' when 2 then '3' else 'null' end || ', "operation": "' || case event_id % 5 when 0 then ' SUM ' when 1 then 'lookup' when 2 then 'median' else 'Mean' end || '", "cells": ' ||
@@ -403,14 +353,6 @@ def plan_replies(spark, sf_dir):
     return decide.validate_plans(made, shown, compute.OPERATIONS)
 
 
-_ARBITER = "('a1', 0.85D, 5.0D, 0.6D, 0.9D), ('a2', 0.7D, 5.0D, 0.6D, 0.9D), ('a3', 0.85D, cast(null as double), cast(null as double), 0.4D), ('a4', 0.7D, 5.0D, 0.8D, 0.5D), ('a5', 0.85D, cast(null as double), cast(null as double), 0.0D)"
-
-
-@query("select * from (values ('a1', 'numeric', 0.6::double), ('a2', 'numeric->prose', 0.9), ('a3', 'numeric->prose', 0.4), ('a4', 'numeric', 0.8), ('a5', 'numeric', 0.0)) as t(question_id, path, confidence)")
-def path_arbitration(spark, sf_dir):
-    return decide.arbitrate(literal(spark, _ARBITER, "question_id, route_conf, numeric_value, numeric_conf, prose_conf"))
-
-
 @query("""
 with c as (select event_id, (event_id % 100) / 97.0::double as score, case event_id % 3 when 0 then 'prose' when 1 then 'numeric' else 'multi-doc' end as path, event_id % 5 = 0 as warn, (event_id % 10) / 10.0::double as route from events)
 select event_id, round(greatest(0, least(1, score * case path when 'numeric' then 1.0 when 'multi-doc' then 0.9 else 0.85 end::double * case when warn then 0.7 else 1.0 end::double * case when route < 0.5 then 0.9 else 1.0 end::double)), 3) as confidence from c""")
@@ -421,14 +363,6 @@ def confidence(spark, sf_dir):
     return e.select("event_id", decide.confidence((n % 100) / 97.0, path, n % 5 == 0, (n % 10) / 10.0).alias("confidence"))
 
 
-_HITS = "('m1', 'x', 'prose', 1, 0.8D, cast(null as double)), ('m1', 'y', 'table', 1, 0.6D, 10.0D), ('m1', 'x', 'table', 2, 0.5D, 4.0D), ('m1', 'z', 'prose', 2, 0.9D, null), ('m2', 'x', 'prose', 1, 0.7D, null), ('m3', 'b', 'prose', 2, 0.4D, null), ('m3', 'a', 'prose', 1, 0.6D, 3.0D)"
-
-
-@query("select question_id, n_docs::bigint as n_docs, docs, confidence, difference, note from (values ('m1', 2, 'y,x', 0.5::double, 6.0::double, null::varchar), ('m2', 1, 'x', 0.42, null, 'single-source'), ('m3', 2, 'a,b', 0.4, null, null)) as t(question_id, n_docs, docs, confidence, difference, note)")
-def multidoc_merge(spark, sf_dir):
-    return decide.merge_documents(literal(spark, _HITS, "question_id, doc_id, kind, pos, conf, value"))
-
-
 # --- verification ---
 
 
@@ -453,24 +387,6 @@ def numbers_agree(spark, sf_dir):
     )
 
 
-_CLAIMS = "('c1', 'Household spending on housing costs by type reached 42.75'), ('c2', 'Household spending by type on food was 99'), ('c3', 'Nothing here'), ('c4', 'Household spending type'), ('c5', 'Wages income change rose 2.6 percent')"
-
-
-@query("""select claim_id, score, doc_id, table_id, row, col, value, unit::varchar as unit, row_label, section from (values
-('c1', 5, 'a', 't1', 4, 1, '40', null, 'Housing costs', 'Household spending by type'), ('c2', 4, 'a', 't1', 3, 1, '12.5', null, 'Food', 'Household spending by type'), ('c5', 3, 'a', 't1', 6, 3, '2.6', '%', 'Wages', 'Income')) as t(claim_id, score, doc_id, table_id, row, col, value, unit, row_label, section)""")
-def label_overlap_match(spark, sf_dir):
-    return verify.match_cells(literal(spark, _CLAIMS, "claim_id, text"), oc.labelled(store(spark)))
-
-
-_CASES = """('k1', 'poverty rate in 2022 was 11.5', 3, 0.7D, 11.5D, cast(null as string)), ('k2', 'rate was 12', 3, 0.7D, 11.5D, null), ('k3', 'no evidence', 0, cast(null as double), null, null), ('k4', 'weak 5', 2, 0.3D, 5.0D, null),
-('k5', 'judged', 2, 0.7D, null, 'supported'), ('k6', 'judged', 2, 0.5D, null, 'contradicted'), ('k7', 'silent', 2, 0.5D, null, null), ('k8', 'in 2022', 2, 0.5D, 2022.0D, null)"""
-
-
-@query("""select * from (values ('k1', 'supported', 0.9::double, true), ('k2', 'contradicted', 0.85, true), ('k3', 'unverifiable', 0.0, false), ('k4', 'unverifiable', 0.3, false), ('k5', 'supported', 0.85, false), ('k6', 'contradicted', 0.7, false), ('k7', 'unverifiable', 0.5, false), ('k8', 'supported', 0.9, true)) as t(claim_id, verdict, confidence, recomputed)""")
-def claim_verdict(spark, sf_dir):
-    return verify.verdicts(literal(spark, _CASES, "claim_id, text, n_evidence, score, cell, judged"))
-
-
 # Claims about orders whose key is divisible by 100: the first line's price, altered in every third; the order's cells are the evidence.
 _CLAIMED = """select l_orderkey as claim_id, 'The extendedprice of ' || p_name || ' in section ' || l_returnflag || ' was ' || cast(cast(l_extendedprice * case when l_orderkey % 300 = 0 then 2 else 1 end as decimal(18, 2)) as {0}) || ' in 2022' as text, l_orderkey % 300 = 0 as planted_error,
   case when l_orderkey % 300 = 0 then 'contradicted' else 'supported' end as verdict
@@ -587,7 +503,7 @@ def verified_claims_against_key(spark, sf_dir):
     return verified_claims(spark, sf_dir).select(expected.alias("expected"), "verdict").groupBy("expected", "verdict").agg(F.count("*").alias("n"))
 
 
-_QUESTIONS = """select l_orderkey as question_id, case cast(l_orderkey / 20 as int) % 5 when 0 then 'What is the total extendedprice of ' || p_name || ' in listing t' || cast(l_orderkey as string) || '?' when 1 then 'Compare listing t' || cast(l_orderkey as string) || ' with listing t' || cast(l_orderkey + 1 as string) || '.'
+_ASKED_OF_ALL = """select l_orderkey as question_id, case cast(l_orderkey / 20 as int) % 5 when 0 then 'What is the total extendedprice of ' || p_name || ' in listing t' || cast(l_orderkey as string) || '?' when 1 then 'Compare listing t' || cast(l_orderkey as string) || ' with listing t' || cast(l_orderkey + 1 as string) || '.'
   when 2 then 'Describe listing t' || cast(l_orderkey as string) || '.' when 3 then 'Listing t' || cast(l_orderkey as string) || ', please' else 'What is the average of zebras in listing t' || cast(l_orderkey as string) || '?' end as question
 from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as r from lineitem join part on l_partkey = p_partkey) q where r = 1 and l_orderkey % 20 = 0"""
 
@@ -595,7 +511,7 @@ from (select *, row_number() over (partition by l_orderkey order by l_linenumber
 @query()
 def answers_end_to_end(spark, sf_dir):
     """Questions of all kinds about all orders' pages and tables: routed, searched, planned, read, merged and arbitrated."""
-    asked = stored(over_tables(spark, sf_dir, _QUESTIONS, "lineitem", "part"), "questions")
+    asked = stored(over_tables(spark, sf_dir, _ASKED_OF_ALL, "lineitem", "part"), "questions")
     cells, chunks, passages, tables = _searched(spark, sf_dir)
     share = F.least(F.lit(0.99), F.round(F.col("score") / 10, 6))
     named = lambda rows: rows.withColumnsRenamed({"question_id": "query_id", "question": "text"})

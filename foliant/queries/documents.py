@@ -76,23 +76,6 @@ def chunk_pack(spark, sf_dir):
     return chunking.chunks(pages.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))))
 
 
-_PARAS = "('p', 1, repeat('a', 300) || chr(10) || chr(10) || repeat('b', 300) || chr(10) || ' ' || chr(10) || repeat('c', 300)), ('p', 2, repeat('x', 1700) || chr(10) || chr(10) || 'tail'), ('p', 3, 'one'), ('p', 4, chr(10) || chr(10))"
-
-
-@query("""
-with want(doc_id, page, chunk_id, text) as (values
-  ('p', 1, 'p_p1_c0', repeat('a', 300)), ('p', 1, 'p_p1_c1', repeat('b', 300) || chr(10) || ' ' || chr(10) || repeat('c', 300)),
-  ('p', 2, 'p_p2_c0', repeat('x', 800)), ('p', 2, 'p_p2_c1', repeat('x', 800)), ('p', 2, 'p_p2_c2', repeat('x', 300)), ('p', 2, 'p_p2_c3', 'tail'), ('p', 3, 'p_p3_c0', 'one'))
-select * from want""")
-def chunk_pack_literal(spark, sf_dir):
-    return chunking.chunks(literal(spark, _PARAS, "doc_id, page, text"))
-
-
-@query("select 'p' as doc_id, 4 as page, null::varchar as table_id, 'no text: likely a scanned page' as reason")
-def unread_pages(spark, sf_dir):
-    return chunking.unread_pages(literal(spark, _PARAS, "doc_id, page, text"))
-
-
 @query(r"""
 with s as (select page_id, regexp_replace(html, '<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'gis') as t from pages),
 b as (select page_id, regexp_replace(t, '<[^>]*>', ' ', 'gs') as t from s)
@@ -108,26 +91,6 @@ def page_looks_numeric(spark, sf_dir):
     return oc.numeric_pages(chunk_pages(spark, sf_dir), least=3)
 
 
-_STEMS = "('GDP 2024-Q1 (2nd).final'), ('__Already_ok__'), ('Ünïcode Name'), ('a--b')"
-
-
-@query(f"select stem, trim(regexp_replace(lower(stem), '[^a-z0-9_]+', '_', 'g'), '_') as doc_id from {values(_STEMS, 'stem')}")
-def doc_id_slug(spark, sf_dir):
-    return literal(spark, _STEMS, "stem").select("stem", ft.document_slug(F.col("stem")).alias("doc_id"))
-
-
-_CELLS = """('106.2 *', '106.2', null), ('45.1 **', '45.1', null), ('1,234 r', '1234', null), ('56.7 p', '56.7', null), ('45%', '45', '%'),
-('$1,234', '1234', 'USD'), ('$(5)', '-5', 'USD'), ('($5)', '($5)', null), ('(1,234.5)', '-1234.5', null), ('n/a', null, null), ('—', null, null),
-('', null, null), ('18.', '18.', null), ('-$5', '-$5', null), ('(5%)', '(5%)', null), ('(5)%', '-5', '%'), ('  Total  ', 'Total', null), ('€7.50', '7.5', 'EUR'), ('-3', '-3', null), ('.5', '0.5', null), (null, null, null), ('None', null, null),
-('12,345,678.5', '12345678.5', null), ('0.0001', '0.0001', null), ('0.00001', '1e-05', null), ('-0.0000120', '-1.2e-05', null), ('00012.50', '12.5', null), ('-0', '0', null), ('(0.00)', '0', null), ('123456789012345', '123456789012345', null)"""
-
-
-@query(f"select cast(raw as varchar) as raw, cast(value as varchar) as value, cast(unit as varchar) as unit from {values(_CELLS, 'raw, value, unit')}")
-def parse_cell(spark, sf_dir):
-    rows = literal(spark, _CELLS, "raw, value, unit").withColumn("p", ft.parse_cell(F.col("raw")))
-    return rows.select("raw", "p.value", "p.unit")
-
-
 _FORMATS = """select l_orderkey, l_linenumber, l_partkey, l_suppkey,
   case l_orderkey % 8 when 0 then {0} when 1 then '$' || {0} when 2 then '(' || {0} || ')' when 3 then {0} || '%' when 4 then {0} || ' r' when 5 then '€' || {1} when 6 then '(' || {1} || ')%' else '0.0000' || cast(l_partkey as {2}) end as raw
   from lineitem"""
@@ -143,14 +106,6 @@ def parse_cell_prices(spark, sf_dir):
     return rows.withColumn("p", ft.parse_cell(F.col("raw"))).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "raw", "p.value", "p.unit")
 
 
-_TOKENS = "('1,250'), ('$45.00'), ('(45.0)'), ('-7'), ('(-7)'), ('007'), ('0.50'), ('-0'), ('12%'), ('-$5'), ('($5)'), ('abc'), ('224647411220468213'), ('224647411220468214'), ('3rd'), ('106.2*')"
-
-
-@query(f"select token, {norm_sql('token')} as canonical from {values(_TOKENS, 'token')}")
-def normalise_number(spark, sf_dir):
-    return literal(spark, _TOKENS, "token").select("token", ft.normalise_number(F.col("token")).alias("canonical"))
-
-
 _LABEL = "labels as (select doc_id, table_id, row, coalesce(substr(min_by(value, col) filter (not numeric), 1, 60), '') as row_label from filled group by all)"
 _BANNER = """
 singles as (select doc_id, table_id, row, min(value) as value from filled group by doc_id, table_id, row having count(*) = 1 and not bool_or(numeric)),
@@ -169,17 +124,17 @@ _ALL = f"with {FILLED}, {_LABEL}, {_BANNER}, {_SECTION}, {_LABELLED}"
 
 @query(f"with {FILLED}, {_LABEL} select * from labels")
 def row_label(spark, sf_dir):
-    return oc.row_labels(store(spark))
+    return oc.row_labels(store(spark, sf_dir))
 
 
 @query(f"with {FILLED}, {_BANNER} select doc_id, table_id, row, section from banners")
 def banner_merge(spark, sf_dir):
-    return oc.banners(store(spark))
+    return oc.banners(store(spark, sf_dir))
 
 
 @query(f"{_ALL} select doc_id, table_id, row, section from sections where section <> ''")
 def section_asof(spark, sf_dir):
-    return oc.labelled(store(spark)).select("doc_id", "table_id", "row", "section").distinct().where("section <> ''")
+    return oc.labelled(store(spark, sf_dir)).select("doc_id", "table_id", "row", "section").distinct().where("section <> ''")
 
 
 ORACLE["section_asof"] = f"{_ALL} select distinct doc_id, table_id, row, section from labelled where section <> ''"
@@ -187,7 +142,7 @@ ORACLE["section_asof"] = f"{_ALL} select distinct doc_id, table_id, row, section
 
 @query(f"{_ALL} select * from labelled")
 def labelled_cells(spark, sf_dir):
-    return oc.labelled(store(spark))
+    return oc.labelled(store(spark, sf_dir))
 
 
 @query("""
@@ -225,12 +180,12 @@ select doc_id, table_id, coalesce(string_agg(text, '; ' order by rank) filter (k
   coalesce(string_agg(text, '; ' order by rank) filter (kind = 'row_label'), '') as row_label, coalesce(string_agg(text, '; ' order by rank) filter (kind = 'header'), '') as header
 from kept group by doc_id, table_id""")
 def table_previews(spark, sf_dir):
-    return oc.previews(store(spark))
+    return oc.previews(store(spark, sf_dir))
 
 
 @query(f"with {FILLED} select doc_id, table_id, row, string_agg(substr(trim(regexp_replace(value, '\\s+', ' ', 'g')), 1, 40), ' | ' order by col) as line from filled group by all")
 def grid_render(spark, sf_dir):
-    return oc.grid(store(spark))
+    return oc.grid(store(spark, sf_dir))
 
 
 _ZONE = """counts as (select doc_id, table_id, row, count(*) filter (numeric) as n, count(*) filter (not numeric and col in (0, 1)) as labels from filled group by all),
@@ -239,12 +194,12 @@ zone as (select doc_id, table_id, min(row) as zone_end from counts where n >= 3
 
 @query(f"with {FILLED}, {_ZONE} select doc_id, table_id, zone_end from zone")
 def header_zone(spark, sf_dir):
-    return oc.header_zone(store(spark))
+    return oc.header_zone(store(spark, sf_dir))
 
 
 @query(f"with {FILLED}, {_ZONE} select doc_id, table_id, row from counts join zone using (doc_id, table_id) where row >= zone_end and n > 0 and labels = 0")
 def vacant_label_rows(spark, sf_dir):
-    return oc.vacant_rows(store(spark))
+    return oc.vacant_rows(store(spark, sf_dir))
 
 
 _DIGITS = "nullif(regexp_replace(regexp_extract(trim({0}), '" + PREFIX + "'), '[,$]|%+$', '', 'g'), '')"
@@ -271,28 +226,28 @@ _DETECT = f"with {FILLED}, {_TOKEN}, {_NEXT}, {_SPLIT}"
 
 @query(f"{_DETECT} select *, 'split-number' as reason from split_cells")
 def split_number(spark, sf_dir):
-    return oc.split_numbers(store(spark), page_text(spark))
+    return oc.split_numbers(store(spark, sf_dir), page_text(spark, sf_dir))
 
 
 @query(f"{_DETECT} select *, 'split-number' as reason from trunc_cells")
 def truncated_decimal(spark, sf_dir):
-    return oc.truncated_decimals(store(spark))
+    return oc.truncated_decimals(store(spark, sf_dir))
 
 
 @query(f"{_DETECT} select *, 'orphan-number' as reason from orphans")
 def orphan_number(spark, sf_dir):
-    return oc.suspects(store(spark), page_text(spark)).where("reason = 'orphan-number'")
+    return oc.suspects(store(spark, sf_dir), page_text(spark, sf_dir)).where("reason = 'orphan-number'")
 
 
 @query(f"{_DETECT} select s.doc_id, s.page, s.table_id, s.row, s.col, s.value from store s where not exists (select 1 from flagged g where (g.doc_id, g.table_id, g.row, g.col) = (s.doc_id, s.table_id, s.row, s.col))")
 def suspect_suppression(spark, sf_dir):
-    cells = store(spark)
-    return oc.without_suspects(cells, oc.suspects(cells, page_text(spark))).select("doc_id", "page", "table_id", "row", "col", "value")
+    cells = store(spark, sf_dir)
+    return oc.without_suspects(cells, oc.suspects(cells, page_text(spark, sf_dir))).select("doc_id", "page", "table_id", "row", "col", "value")
 
 
 @query(f"{_DETECT}, every as (select doc_id, 'split-number' as reason from flagged union all select doc_id, 'orphan-number' from orphans) select doc_id, count(*) filter (reason = 'split-number') as split_number, count(*) filter (reason = 'orphan-number') as orphan_number from every group by doc_id")
 def suspect_counts(spark, sf_dir):
-    found = oc.suspects(store(spark), page_text(spark))
+    found = oc.suspects(store(spark, sf_dir), page_text(spark, sf_dir))
     counted = found.groupBy("doc_id").pivot("reason", ["split-number", "orphan-number"]).count().na.fill(0)
     return counted.withColumnsRenamed({"split-number": "split_number", "orphan-number": "orphan_number"})
 
@@ -300,13 +255,13 @@ def suspect_counts(spark, sf_dir):
 @query(f"""with w as (select doc_id, table_id, row, count(*) as width from {STORE_SQL} group by all),
 e as (select *, first_value(width) over (partition by doc_id, table_id order by row) as expected from w) select * from e where width <> expected""")
 def ragged_rows(spark, sf_dir):
-    return oc.ragged_rows(store(spark))
+    return oc.ragged_rows(store(spark, sf_dir))
 
 
 @query(f"""with {FILLED} select doc_id, table_id, count(distinct row) as n_rows, count(distinct col) as n_cols, count(*) as n_filled,
 round(count(*) filter (regexp_matches(value, '[0-9]')) / count(*), 6) as digit_share from filled group by all having n_rows >= 3 and n_cols >= 2 and n_filled >= 6 and digit_share >= 0.3""")
 def plausible_tables(spark, sf_dir):
-    return oc.plausible_tables(store(spark))
+    return oc.plausible_tables(store(spark, sf_dir))
 
 
 _BREAKS = "('src0', 'RECOVERED: fallback'), ('src0', 'REPAIRED: labels'), ('src1', 'no tables'), ('src1', 'RECOVERED: fallback'), ('src2', 'INCOMPLETE: rows')"
@@ -327,14 +282,6 @@ def ingest_summary(spark, sf_dir):
     return oc.ingest_summary(pages, cells, chunking.chunks(pages), literal(spark, _BREAKS, "doc_id, reason"))
 
 
-_RAW = "('d1', 'old', 1), ('d1', 'new', 2), ('d2', 'only', 1)"
-
-
-@query(f"select doc_id, title, version from (select *, row_number() over (partition by doc_id order by version desc) as k from {values(_RAW, 'doc_id, title, version')}) where k = 1")
-def upsert_documents(spark, sf_dir):
-    return oc.latest(literal(spark, _RAW, "doc_id, title, version"), ["doc_id"], "version")
-
-
 @query("select distinct 'd' || (l_orderkey % 7) as doc_id, 't' || l_orderkey as table_id, l_orderkey % 50 + 1 as page from lineitem")
 def distinct_tables(spark, sf_dir):
     return line_cells(spark, sf_dir).select("doc_id", "table_id", "page").distinct()
@@ -404,10 +351,13 @@ def fallback_trigger(spark, sf_dir):
     return oc.fallback_pages(chunk_pages(spark, sf_dir), cells, least=3)
 
 
-@query("select distinct source as doc_id, 't' || (doc_id % 50) as table_id from documents d where not exists (select 1 from documents e where e.source = d.source and e.doc_id % 50 = d.doc_id % 50 and e.doc_id % 3 <> 0)")
+@query("select distinct source as doc_id, 't' || doc_id as table_id from documents where doc_id % 3 = 0")
 def blank_tables(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.concat(F.lit("t"), (F.col("doc_id") % 50).cast("string")).alias("table_id"), F.when(F.col("doc_id") % 3 == 0, " ").otherwise("x").alias("value"))
-    return oc.blank_tables(rows)
+    """A table for each document: of every third its cells are white space."""
+    words = F.slice(F.split("text", " "), 1, 3)
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), "doc_id", words.alias("w")).toDF("doc_id", "k", "w")
+    cells = rows.select("doc_id", F.concat(F.lit("t"), F.col("k").cast("string")).alias("table_id"), F.explode("w").alias("value"), "k")
+    return oc.blank_tables(cells.withColumn("value", F.when(F.col("k") % 3 == 0, " ").otherwise(F.concat(F.lit("x"), "value"))).drop("k"))
 
 
 _TITLES = "select distinct source as doc_id, case when length(source) % 2 = 0 then 'Report ' || source end as title from documents"

@@ -25,15 +25,6 @@ def query(sql: str | None = None):
 
 # --- grading ---
 
-_NEEDLES = """('1.36 percent', '1.3', false), ('rose 1.3 percent', '1.3', true), ('15.2 and 45.1', '5', false), ('about 5 percent', '5', true), ('The rate was 1.3.', '1.3', true), ('text 12,419.3 here', '12419.3', true),
-('text', '', false), ('Corn rose', 'Corn', true), ('Corn rose', 'corn', false), ('12', '12', true), ('1.12', '12', false), ('12.0', '12', false)"""
-
-
-@query(f"select text, needle, found from {values(_NEEDLES, 'text, needle, found')}")
-def matches_needle(spark, sf_dir):
-    rows = literal(spark, _NEEDLES, "text, needle, f").select("text", "needle")
-    return rows.withColumn("found", ft.matches_needle(F.col("text"), F.col("needle")))
-
 
 _NUMBERS = ["8", "252", "8.2", "1.36", "555", "token", "1.5", "and", ""]
 
@@ -55,23 +46,6 @@ def partial_credit(spark, sf_dir):
     return docs.join(items, "item_id").select("doc_id", "item_id", F.round(evaluate.partial_credit("text", "needles"), 6).alias("credit"))
 
 
-_GRADES = """('n1', 'about 12', 12.05D, 12.0D, array('x')), ('n2', 'about 12', 12.07D, 12.0D, array('x')), ('n3', 'none', cast(null as double), 12.0D, array('x')), ('n4', 'zero', 0.0D, 0.0D, array('x')),
-('t1', 'GDP rose 1.3 percent in 2024', cast(null as double), cast(null as double), array('1.3', '2024')), ('t2', 'GDP rose 1.36 percent', null, null, array('1.3', 'GDP')), ('t3', 'text', null, null, cast(array() as array<string>))"""
-
-
-@query("select id, correct, partial::double as partial from (values ('n1', true, 0.0), ('n2', false, 0.0), ('n3', false, 0.0), ('n4', true, 0.0), ('t1', true, 1.0), ('t2', false, 0.5), ('t3', false, 0.0)) as t(id, correct, partial)")
-def grade_numeric(spark, sf_dir):
-    return evaluate.grade(literal(spark, _GRADES, "id, answer, got, want, needles"))
-
-
-_CITES = "('a', array('d1', 'd2'), array('d2')), ('b', array('d1'), array('d3', 'd4')), ('c', array('d1'), cast(array() as array<string>)), ('d', array('d1'), array('d1'))"
-
-
-@query("select * from (values ('a', true), ('b', false), ('c', false), ('d', true)) as t(id, ok)")
-def citation_ok(spark, sf_dir):
-    return literal(spark, _CITES, "id, wanted, cited").select("id", evaluate.citation_ok(F.col("wanted"), F.col("cited")).alias("ok"))
-
-
 def _bench(spark, sf_dir):
     """Bench rows from events: type, latency, memory, and whether the answer and its citation were right."""
     e = table(spark, sf_dir, "events")
@@ -184,45 +158,22 @@ def precision_recall_f1(spark, sf_dir):
     return evaluate.confusion(_judged(spark, sf_dir))
 
 
-_PUBLISHED = ", ".join(f"('{e}', '{p}', {str(e == 'contradicted').lower()})" for e, p, n in (("supported", "supported", 7), ("supported", "contradicted", 2), ("contradicted", "supported", 3), ("contradicted", "contradicted", 2), ("unverifiable", "unverifiable", 1)) for _ in range(n))
-
-
-@query("select 2::bigint as tp, 2::bigint as fp, 4::bigint as fn, 7::bigint as tn, 0.5::double as precision, 0.333333::double as recall, 0.4::double as f1, 0.666667::double as exact")
-def verification_golden(spark, sf_dir):
-    """The published verdicts: 15 claims, 6 planted errors; the unverifiable one was planted too."""
-    rows = literal(spark, _PUBLISHED, "expected, predicted, planted")
-    return evaluate.confusion(rows.withColumn("planted", F.col("expected") != "supported"))
-
-
-_CHECKS = "('x1', 1, '3.17', true), ('x1', 2, '3.17', false), ('x1', 1, '2.4', false), ('x1', 2, '2.4', true), ('x2', 1, '5', true), ('x2', 2, '5', true), ('x3', 1, '7', true), ('x3', 1, '8', false), ('x3', 2, '7', false), ('x3', 2, '8', false)"
-
-
-@query("select * from (values ('x1', true, true, false), ('x2', false, true, true), ('x3', true, false, false)) as t(id, both_needed, grounded, leaked)")
-def eval_checks_123(spark, sf_dir):
-    return evaluate.evidence_checks(literal(spark, _CHECKS, "id, page, needle, found"))
-
-
-_CHOICES = "('C', 'C'), ('...the object (D).', 'D'), ('A certain atom has B electrons', 'B'), ('the answer is C', 'C'), ('Answer: (E)', 'E'), ('I would pick B here', 'B'), ('According to the problem', ''), ('A', 'A'), ('A. because', 'A'), ('', ''), ('Surely 3', '3'), ('Option A', 'A')"
-
-
-@query(f"select reply, choice from {values(_CHOICES, 'reply, choice')}")
-def extract_choice(spark, sf_dir):
-    return literal(spark, _CHOICES, "reply, c").select("reply", ft.extract_choice(F.col("reply")).alias("choice"))
-
-
 # --- training sets ---
 
 
 _TOPIC_STOP = "', '".join(ft.TOPIC_STOP)
 # A figure is read off each run of digits, points and commas: both engines see the same ones, as runs of several figures do not occur.
-_FIGURES = r"""c as (select source as doc_id, doc_id as page, doc_id::varchar as chunk_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as text from documents),
-f as (select *, list_filter(list_transform(regexp_extract_all(text, '[0-9.,]+'), lambda r: regexp_extract(r, '^,*([0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+\.[0-9]+|[0-9]{3,})(?:,|$)', 1)),
-  lambda x: x <> '' and not regexp_full_match(x, '(19|20)[0-9]{2}') and length(regexp_replace(x, '[^0-9]', '', 'g')) >= 3) as figures from c where length(text) between 150 and 1200)"""
+_FIGURES = CHUNKS + r""",
+c as (select doc_id, page, chunk_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as text from chunks),
+runs_ as (select *, regexp_extract_all(text, '[0-9.,]+') as runs, list_transform(regexp_split_to_array(text, '[0-9.,]+'), lambda x: length(x)) as gaps from c where length(text) between 150 and 1200),
+f as (select * exclude (placed), placed, list_transform(placed, lambda x: x.figure) as figures from (select *, list_filter(list_transform(range(1, len(runs) + 1), lambda i: {'figure': regexp_extract(runs[i], '^,*([0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+\.[0-9]+|[0-9]{3,})(?:,|$)', 1),
+  'at': (list_sum(gaps[1:i]) + coalesce(list_sum(list_transform(runs[1:i - 1], lambda r: length(r))), 0) + length(regexp_extract(runs[i], '^,*')))::int}),
+  lambda x: x.figure <> '' and not regexp_full_match(x.figure, '(19|20)[0-9]{2}') and length(regexp_replace(x.figure, '[^0-9]', '', 'g')) >= 3) as placed from runs_))"""
 _FACTS = _FIGURES + rf""",
 banned as (select figures[1] as figure from f where page % 7 = 0 and len(figures) > 0),
 b as (select coalesce(list(figure), []) as bs from banned),
-g as (select f.*, list_filter(figures, lambda x: not list_contains(bs, x))[1] as figure from f, b where page % 10 <> 0),
-p as (select *, length(regexp_extract(text, '^((?:.*?[^0-9.])??)' || replace(figure, '.', '\.') || '(?:[^0-9.]|$)', 1)) as place from g where figure is not null),
+g as (select f.*, list_filter(placed, lambda x: not list_contains(bs, x.figure))[1] as fig from f, b where page % 10 <> 0),
+p as (select *, fig.figure as figure, fig.at as place from g where fig is not null),
 x as (select *, trim(substr(text, greatest(0, place - 340) + 1, place + 360 - greatest(0, place - 340))) as excerpt, trim(substr(text, greatest(0, place - 140) + 1, place + length(figure) + 140 - greatest(0, place - 140))) as sentence from p),
 w as (select *, list_filter(regexp_extract_all(split_part(sentence, figure, 1), '[A-Za-z][A-Za-z\-'']{{2,}}')[-9:], lambda v: not list_contains(['{_TOPIC_STOP}'], lower(v))) as kept from x where regexp_matches(sentence, '[a-z]{{4,}}')),
 t as (select *, lower(array_to_string(kept[-4:], ' ')) as topic from w where len(kept) >= 2),
@@ -232,13 +183,13 @@ facts as (select *, count(*) over (partition by doc_id) as n_facts from t where
 @query(f"with {_FIGURES} select chunk_id, figures from f")
 def figure_candidates(spark, sf_dir):
     """Distinctive figures of the texts that are as long as facts."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), ft.collapse(F.col("text")).alias("text"))
+    docs = chunking.chunks(chunk_pages(spark, sf_dir)).select("chunk_id", ft.collapse(F.col("text")).alias("text"))
     return docs.where(F.length("text").between(*traindata.FACT)).select("chunk_id", traindata.figures(F.col("text")).alias("figures"))
 
 
 def _facts(spark, sf_dir, least=1):
-    """Facts of whole documents; every tenth is an evaluation text, and the first figures of every seventh are."""
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    """Facts of all documents' chunks; every tenth document is an evaluation text, and the first figures of every seventh are."""
+    docs = stored(chunking.chunks(chunk_pages(spark, sf_dir)), "chunks")
     evaluated = docs.where(F.length(ft.collapse(F.col("text"))).between(*traindata.FACT) & (F.col("page") % 7 == 0))
     banned = evaluated.select(F.try_element_at(traindata.figures(ft.collapse(F.col("text"))), F.lit(1)).alias("figure")).where("figure is not null")
     return traindata.facts(docs, least, banned, docs.where("page % 10 = 0"))
@@ -249,14 +200,6 @@ def fact_mining(spark, sf_dir):
     return _facts(spark, sf_dir).drop("text")
 
 
-_SENTENCES = "('Real consumer spending on durable goods rose 12.5 percent', '12.5', 'real consumer spending durable'), ('It was 12.5', '12.5', cast(null as string)), ('Total outstanding household mortgage debt balances of the nation were 880', '880', 'household mortgage debt balances')"
-
-
-@query("select sentence, topic from (values ('Real consumer spending on durable goods rose 12.5 percent', 'consumer spending durable goods'), ('It was 12.5', null), ('Total outstanding household mortgage debt balances of the nation were 880', 'mortgage debt balances nation')) as t(sentence, topic)")
-def topic_extract(spark, sf_dir):
-    return literal(spark, _SENTENCES, "sentence, figure, t").select("sentence", traindata.topic(F.col("sentence"), F.col("figure")).alias("topic"))
-
-
 @query()
 def gen_multidoc(spark, sf_dir):
     """Questions over two documents from mined facts; each would pass the checks that qc_multidoc makes."""
@@ -274,25 +217,6 @@ def pick_distractors(spark, sf_dir):
     return traindata.distractors(cells, first, "section", 3)
 
 
-_EXAMPLES = """('e1', 'What is the value of wages in 2024 for the row?', 'lookup', 'Wages', '1005', true, 0, false), ('e2', 'Too short', 'lookup', 'Wages', '1005', true, 0, false), ('e3', 'What is {row} in the table of wages?', 'lookup', 'Wages', '1005', true, 0, false),
-('e4', 'Which of the cells holds 1005 in the table?', 'lookup', '8.8 8.4 7.7', '1005', true, 2, true), ('e5', 'Which entry is the highest of them all?', 'max', 'Wages', '1005', true, 0, false), ('e6', 'Which column entry is the highest of them?', 'max', 'Wages', '1005', false, 0, false)"""
-
-
-@query("""select id, reasons, reasons = '' as passed from (values ('e1', ''), ('e2', 'question_length'), ('e3', 'unfilled_placeholder'), ('e4', 'label_mostly_digits,value_leaked,ambiguous,contaminated_cell'), ('e5', 'superlative_without_column'), ('e6', 'target_missing')) as t(id, reasons)""")
-def qc_cells(spark, sf_dir):
-    return traindata.check_cells(literal(spark, _EXAMPLES, "id, question, operation, label, value, has_target, twins, in_eval"))
-
-
-_TWO = "'[a_2020 p1] Output rose 12.5 percent.' || chr(10) || chr(10) || '[b_116 p2] Prices fell.'"
-_QC = f"""('p1', 'first', {_TWO}, 'q', 'It is 12.5', '12.5', '99.9', array('7')), ('p2', 'negative', {_TWO}, 'q', 'NOT_IN_CONTEXT', '12.5', '99.9', array('7')), ('p3', 'negative', {_TWO}, 'q', 'maybe', '55', '99.9', array('7')),
-('p4', 'first', {_TWO}, 'about the reported figure', 'It is 13', '116', '12.5', array('116')), ('p5', 'second', '[a p1] 7.7 here' || chr(10) || chr(10) || '[b p2] 7.7 there', 'q', '7.7', '7.7', '1.1', array('7')), ('p6', 'first', '[a p1] 7.7 ' || repeat('x', 3000), 'q', '7.7', '7.7', '1.1', array('7'))"""
-
-
-@query("""select id, codes, codes = '' as passed from (values ('p1', ''), ('p2', 'negative_is_false'), ('p3', 'negative_bad_target'), ('p4', 'degenerate_topic,ungrounded_figure,answer_lost_figure,leaked_other_half,contaminated_figure'), ('p5', 'ambiguous_figure'), ('p6', 'target_truncated_to_zero')) as t(id, codes)""")
-def qc_multidoc(spark, sf_dir):
-    return traindata.check_pairs(literal(spark, _QC, "id, kind, context, question, answer, figure, other_figure, eval_figures"))
-
-
 _LINES = """select l_orderkey * 10 + l_linenumber as id, case l_partkey % 7 when 0 then 'Short?' when 1 then 'What is the {{value}} of the row in the table?' when 2 then 'Which row holds ' || cast(l_linenumber as {0}) || ' in the whole table of prices?' when 3 then 'What is the highest entry of the whole table?' when 4 then 'What is the highest entry in the price column?' else 'What is the number of the line for this part?' end as question,
   case when l_partkey % 7 in (3, 4) then 'max' else 'lookup' end as operation, case when l_suppkey % 5 = 0 then '8.8 8.4 7.7' else 'price of the part' end as label, cast(l_linenumber as {0}) as value, l_suppkey % 11 <> 0 as has_target, l_suppkey % 4 as twins, l_suppkey % 13 = 0 as in_eval, case when l_partkey % 17 = 0 then 0.7 else 0.1 end as eval_jaccard from lineitem"""
 _CHECKED = f"""e as ({_LINES.format('varchar')}),
@@ -367,9 +291,9 @@ def union_of_sets(spark, sf_dir):
 @query(f"with {_FIGURES} select unnest(figures) as figure from f where page % 2 = 0 intersect select unnest(figures) from f where page % 2 = 1")
 def shared_figures(spark, sf_dir):
     """Figures that both halves of the documents have."""
-    found = table(spark, sf_dir, "documents").select("doc_id", ft.collapse(F.col("text")).alias("text")).where(F.length("text").between(*traindata.FACT))
-    each = found.select("doc_id", F.explode(traindata.figures(F.col("text"))).alias("figure"))
-    return each.where("doc_id % 2 = 0").select("figure").intersect(each.where("doc_id % 2 = 1").select("figure"))
+    found = chunking.chunks(chunk_pages(spark, sf_dir)).select("page", ft.collapse(F.col("text")).alias("text")).where(F.length("text").between(*traindata.FACT))
+    each = found.select("page", F.explode(traindata.figures(F.col("text"))).alias("figure"))
+    return each.where("page % 2 = 0").select("figure").intersect(each.where("page % 2 = 1").select("figure"))
 
 
 @query("select event_type, user_id from events where event_id % 4 = 0 except all select event_type, user_id from events where event_id % 4 = 1")
@@ -412,33 +336,6 @@ def split_90_10(spark, sf_dir):
 
 # --- reports ---
 
-_CONFIGS = "('m7', 28, 28, 4, 3584, 7.6D), ('m3', 36, 16, 2, 2048, 3.1D)"
-
-
-@query("select * from (values ('m7', 57344::bigint), ('m3', 36864::bigint)) as t(model, bytes_per_token)")
-def kv_cache_table(spark, sf_dir):
-    return reports.kv_cache(literal(spark, _CONFIGS, "model, layers, heads, kv_heads, hidden, params"))
-
-
-@query("select model, precision, gb::double as gb, gb < 4.5 as fits from (values ('m7', 'FP16', 15.2), ('m7', 'INT8', 7.6), ('m7', 'INT4', 3.8), ('m3', 'FP16', 6.2), ('m3', 'INT8', 3.1), ('m3', 'INT4', 1.55)) as t(model, precision, gb)")
-def weight_footprint(spark, sf_dir):
-    models = literal(spark, _CONFIGS, "model, layers, heads, kv_heads, hidden, b").select("model", (F.col("b") * 1e9).alias("params"))
-    return reports.weight_footprint(models, 4.5)
-
-
-@query("select model, context, bytes * context as bytes_per_user, floor(0.5e9 / (bytes * context))::bigint as users from (values ('m7', 57344::bigint), ('m3', 36864::bigint)) as t(model, bytes), (values (1024), (4096)) as c(context)")
-def concurrent_users(spark, sf_dir):
-    cache = reports.kv_cache(literal(spark, _CONFIGS, "model, layers, heads, kv_heads, hidden, params"))
-    return reports.concurrent_users(cache, literal(spark, "(1024), (4096)", "context"), 4.5, 4.0)
-
-
-_LOG = "('Iter 1: Val loss 3.929, Val took 80.1s'), ('Iter 10: Train loss 1.908, Learning Rate 1.000e-04, It/sec 0.071, Tokens/sec 84.3, Trained Tokens 9000, Peak mem 4.70 GB'), ('loading model'), ('Iter 20: Train loss 0.028, Tokens/sec 90, Peak mem 4.7 GB')"
-
-
-@query("select iter, kind, loss::double as loss, tokens_per_s::double as tokens_per_s, peak_gb::double as peak_gb from (values (1, 'val', 3.929, null, null), (10, 'train', 1.908, 84.3, 4.7), (20, 'train', 0.028, 90.0, 4.7)) as t(iter, kind, loss, tokens_per_s, peak_gb)")
-def train_log_parse(spark, sf_dir):
-    return reports.train_log(literal(spark, _LOG, "line"))
-
 
 @query(f"with {CHUNKS}, c as (select distinct doc_id, page from chunks) select doc_id, count(*) as pages from c group by doc_id")
 def distinct_pages(spark, sf_dir):

@@ -78,35 +78,41 @@ def over_tables(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> Data
     return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
 
 
-#: A small store with banners, labels, gaps, splits, truncations, orphans and near misses.
-STORE = """
-('a', 1, 't1', 1, 0, 'Household', cast(null as string), 'Item'), ('a', 1, 't1', 2, 0, 'spending by type', null, 'Item'),
-('a', 1, 't1', 3, 0, 'Food', null, 'Item'), ('a', 1, 't1', 3, 1, '12.5', null, '2023'), ('a', 1, 't1', 3, 2, '13.1', null, '2024'),
-('a', 1, 't1', 3, 3, '5', '%', 'Change'), ('a', 1, 't1', 4, 0, 'Housing costs', null, 'Item'), ('a', 1, 't1', 4, 1, '40', null, '2023'),
-('a', 1, 't1', 4, 2, '42.75', null, '2024'), ('a', 1, 't1', 4, 3, '6.9', '%', 'Change'), ('a', 1, 't1', 5, 0, 'Income', null, 'Item'),
-('a', 1, 't1', 6, 0, 'Wages', null, 'Item'), ('a', 1, 't1', 6, 1, '980', 'USD', '2023'), ('a', 1, 't1', 6, 2, '1005', 'USD', '2024'),
-('a', 1, 't1', 6, 3, '2.6', '%', 'Change'), ('a', 1, 't1', 7, 1, '7', null, '2023'), ('a', 1, 't1', 7, 2, '8', null, '2024'), ('a', 1, 't1', 7, 3, '9', null, 'Change'),
-('a', 2, 't2', 1, 0, 'Corn', null, 'Crop'), ('a', 2, 't2', 1, 1, '10', null, 'Yield'), ('a', 2, 't2', 1, 2, '6.2', null, 'Yield'), ('a', 2, 't2', 1, 3, '93', null, 'Area'), ('a', 2, 't2', 1, 4, '5', null, 'Area'),
-('a', 2, 't2', 2, 0, 'Asian', null, 'Crop'), ('a', 2, 't2', 2, 1, '18.', null, 'Rate'), ('a', 2, 't2', 2, 2, '4 Asian 3', null, 'Rate'), ('a', 2, 't2', 3, 1, '1.', null, null), ('a', 2, 't2', 3, 2, 'Demand and output', null, null),
-('a', 2, 't2', 4, 0, 'Wheat', null, 'Crop'), ('a', 2, 't2', 4, 1, '55', null, 'Yield'), ('a', 2, 't2', 4, 3, '77.7', null, 'Area'), ('a', 2, 't2', 5, 0, '', null, 'Crop'), ('a', 2, 't2', 5, 1, null, null, 'Yield'),
-('b', 1, 't1', 1, 0, 'Quarterly', null, 'Volume'), ('b', 1, 't1', 1, 1, '$1,250', null, 'Amount'), ('b', 1, 't1', 2, 0, 'Deposits', null, 'page 3'), ('b', 1, 't1', 2, 1, '(45.0)', null, 'Amount')
-"""
+#: A store over all orders, a table and a page each, with banners, gaps, cut numbers, truncations, orphans and near misses: rows of
+#: label, price, quantity and discount; of every third order a price is cut in two, of every fourth a quantity ends in a point.
+_LINES_OF = f"""
+  select 'd' || cast(k % 7 as string) as doc_id, k as page, 't' || cast(k as string) as table_id, k, r, n, p_name, price, quantity, discount, part,
+    case when r > 2 then r + 4 else r + 2 end as row
+  from (select l_orderkey as k, row_number() over (partition by l_orderkey order by {ORDER}) as r, count(*) over (partition by l_orderkey) as n, p_name, cast(cast(l_extendedprice as decimal(18, 2)) as string) as price,
+    cast(cast(l_quantity as int) as string) as quantity, cast(cast(l_discount * 100 as int) as string) as discount, cast(l_partkey as string) as part from lineitem join part on l_partkey = p_partkey) q"""
+_NONE = "cast(null as string)"
+_STORE = f"""
+  select doc_id, page, table_id, 1 as row, 0 as col, 'Parts of the order' as value, {_NONE} as unit, 'Item' as header from lines_of where r = 1
+  union all select doc_id, page, table_id, 2, 0, 'by price and quantity', {_NONE}, 'Item' from lines_of where r = 1 and k % 2 = 0
+  union all select doc_id, page, table_id, 6, 0, 'Later lines', {_NONE}, 'Item' from lines_of where r = 3
+  union all select doc_id, page, table_id, row, 0, case when k % 5 = 0 and r % 2 = 1 then '' else p_name end, {_NONE}, 'Item' from lines_of
+  union all select doc_id, page, table_id, row, 1, case when k % 3 = 0 and r = 1 then substring(price, 1, 2) else price end, case when k % 3 = 0 and r = 1 then {_NONE} else 'USD' end, 'Price' from lines_of
+  union all select doc_id, page, table_id, row, 2, substring(price, 3, 20), {_NONE}, 'Price' from lines_of where k % 3 = 0 and r = 1
+  union all select doc_id, page, table_id, row, 3, case when k % 4 = 1 and r = 2 then quantity || '.' else quantity end, {_NONE}, 'Quantity' from lines_of
+  union all select doc_id, page, table_id, row, 4, discount, '%', case when k % 9 = 0 then 'page 3' else 'Discount' end from lines_of
+  union all select doc_id, page, table_id, row, 5, case when k % 6 = 1 then {_NONE} else part || '9.25' end, {_NONE}, {_NONE} from lines_of where k % 6 in (1, 2)"""
+STORE = f"select * from (with lines_of as ({_LINES_OF}) {_STORE}) stored_cells"
+_PAGE = "'Order lists ' || {0}"
+PAGE_TEXT = f"select doc_id, page, {_PAGE} as text from (select doc_id, page, r, p_name || ' ' || price || ' ' || quantity || ' ' || discount || '%' as line from ({_LINES_OF}) l) p group by doc_id, page"
 STORE_COLUMNS = "doc_id, page, table_id, row, col, value, unit, header"
-PAGE_TEXT = """
-('a', 1, 'Food 12.5 13.1 5 Housing 40 42.75 6.9 Wages $980 1,005 2.6% 7 8 9'), ('a', 2, 'Corn 106.2 93 5 Asian 18.4 Wheat 55 and 935 areas'), ('b', 1, 'Deposits 1,250 and (45) in all')
-"""
 PAGE_COLUMNS = "doc_id, page, text"
 
 
-def store(spark: SparkSession) -> DataFrame:
-    return literal(spark, STORE, STORE_COLUMNS)
+def store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return over_tables(spark, sf_dir, STORE, "lineitem", "part")
 
 
-def page_text(spark: SparkSession) -> DataFrame:
-    return literal(spark, PAGE_TEXT, PAGE_COLUMNS)
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return over_tables(spark, sf_dir, PAGE_TEXT.format("array_join(transform(array_sort(collect_list(struct(r, line))), x -> x.line), ' ')"), "lineitem", "part")
 
 
-STORE_SQL, PAGES_SQL = values(STORE, STORE_COLUMNS).replace("string", "varchar"), values(PAGE_TEXT, PAGE_COLUMNS)
+STORE_SQL = "(" + STORE.replace("string)", "varchar)") + ")"
+PAGES_SQL = "(" + PAGE_TEXT.replace("string)", "varchar)").format("string_agg(line, ' ' order by r)") + ")"
 NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 #: Views over the small store that several oracles start from.
 FILLED = f"""store as {STORE_SQL}, filled as (select *, regexp_matches(trim(value), '{NUMBER}') as numeric from store where value is not null and value <> '')"""

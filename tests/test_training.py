@@ -109,3 +109,27 @@ def test_every_reason_occurs(spark):
         "", "question_length", "unfilled_placeholder", "target_missing", "label_mostly_digits", "value_leaked", "ambiguous",
         "superlative_without_column", "contaminated_cell", "contaminated_question",
     }
+
+
+def test_token_counts_are_the_tokenizers(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from foliant.plans.providers import token_counts
+
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    texts = [(i, r["text"]) for i, r in enumerate(spark.read.parquet(f"{SF}/conversations.parquet").collect())] + [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "a <|endoftext|> 日本")]
+    got = {r["id"]: r["n"] for r in spark.createDataFrame(texts, "id long, t string").select("id", token_counts("t").alias("n")).collect()}
+    assert got == {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in texts}
+
+
+def test_budgets_hold_for_a_tokenizers_counts(spark):
+    from foliant.plans.providers import token_counts
+
+    context = "[a p1] " + "Output of 7.7 rose. " * 150  # 3,000 characters, some 1,000 tokens
+    kinds = "id string, kind string, context string, question string, answer string, figure string, other_figure string, eval_figures array<string>"
+    rows = spark.createDataFrame([("fits", "first", context, "q", "It is 7.7", "7.7", "1.1", []), ("long", "first", context * 3, "q", "It is 7.7", "7.7", "1.1", []), ("cut", "first", context, "q", "7.7 " + "and so on " * 500, "7.7", "1.1", [])], kinds)
+    codes = lambda df: {r["id"]: r["codes"] for r in traindata.check_pairs(df).collect()}
+    counted = codes(traindata.with_tokens(rows, token_counts))
+    assert counted["fits"] == "" and counted["long"] == "target_truncated_to_zero" and counted["cut"] == "target_partly_truncated"
+    assert codes(rows)["fits"] == "target_truncated_to_zero"  # by characters, which is too strict
