@@ -145,7 +145,7 @@ def orphan_numbers(cells: DataFrame, pages: DataFrame, flagged: DataFrame) -> Da
 
 
 def suspects(cells: DataFrame, pages: DataFrame) -> DataFrame:
-    cut = split_numbers(cells, pages).unionByName(truncated_decimals(cells)).distinct()
+    cut = stored(split_numbers(cells, pages).unionByName(truncated_decimals(cells)).distinct(), "cut-cells")
     return cut.unionByName(orphan_numbers(cells, pages, cut))
 
 

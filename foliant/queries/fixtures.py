@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.session import stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -104,11 +106,11 @@ PAGE_COLUMNS = "doc_id, page, text"
 
 
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return over_tables(spark, sf_dir, STORE, "lineitem", "part")
+    return stored(over_tables(spark, sf_dir, STORE, "lineitem", "part"), "store")
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return over_tables(spark, sf_dir, PAGE_TEXT.format("array_join(transform(array_sort(collect_list(struct(r, line))), x -> x.line), ' ')"), "lineitem", "part")
+    return stored(over_tables(spark, sf_dir, PAGE_TEXT.format("array_join(transform(array_sort(collect_list(struct(r, line))), x -> x.line), ' ')"), "lineitem", "part"), "page-texts")
 
 
 STORE_SQL = "(" + STORE.replace("string)", "varchar)") + ")"
