@@ -202,3 +202,14 @@ def greedy_keep_turns(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark")
     longer = items.where(F.length("text") > 60).select((F.lit(2_000_000_000) + F.col("item_id")).alias("id"), F.concat("text", F.lit(" and once more")).alias("text"))
     return traindata.greedy_keep(turns.unionByName(items.select((F.lit(1_000_000_000) + F.col("item_id")).alias("id"), "text")).unionByName(longer))
+
+
+@query()
+def qc_multidoc(spark, sf_dir):
+    """Questions over two documents, as they are generated from all chunks, against their rules and a tokenizer's budget."""
+    from foliant.operators import traindata
+    from foliant.plans.providers import token_counts
+    from foliant.queries.evaluation import gen_multidoc
+
+    made = stored(gen_multidoc(spark, sf_dir), "pairs").withColumn("id", F.col("chunk_id")).withColumn("eval_figures", F.array().cast("array<string>"))
+    return traindata.check_pairs(traindata.with_tokens(made, token_counts))
