@@ -9,6 +9,7 @@ import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ def numbered(df: DataFrame, names: list[str] = ROW) -> DataFrame:
     """`df` with two columns that name each row: a hash of its file's path, and its place in that file.
 
     These come from the stored file and not from how a scan is split, so they hold however often, and with however many
-    executors, the table is read. What is no scan of Parquet files is written to the shared folder first.
+    executors, the table is read. What is no scan of Parquet files, each once, is written to the shared folder first.
     """
     if _is_scan(df):
         try:
@@ -41,9 +42,20 @@ def numbered(df: DataFrame, names: list[str] = ROW) -> DataFrame:
 
 
 def _is_scan(df: DataFrame) -> bool:
-    """Whether the plan takes rows of one stored table as they are, each once: columns are chosen and rows filtered."""
-    steps = [line.lstrip(" :+-") for line in df._jdf.queryExecution().analyzed().toString().splitlines()]
-    return all(re.match(r"(Project|Filter|Relation|SubqueryAlias)\b", s) for s in steps if s)
+    """Whether the plan takes rows of one stored table as they are, each once: columns are chosen and rows filtered.
+
+    A filter that draws rows, and a file that is listed twice, make it no such plan.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    steps = [line.lstrip(" :+-") for line in plan.toString().splitlines()]
+    if not all(re.match(r"(Project|Filter|Relation|SubqueryAlias)\b", s) for s in steps if s) or not plan.deterministic():
+        return False
+    leaf = plan.collectLeaves().apply(0)
+    try:
+        listed = len(leaf.relation().location().inputFiles())
+    except Py4JError:  # no table of files
+        return False
+    return listed == len(df._jdf.inputFiles())
 
 
 def _named(df: DataFrame, names: list[str]) -> DataFrame:

@@ -16,6 +16,10 @@ Entries of the index travel packed by ranges of signatures, and a range is sorte
 Rows that share a signature are not paired with each other. Signatures that the same sets share fall into one cluster,
 whose sets are dealt into blocks; every two blocks meet in one group, and a group compares all its whole sets at once by
 products of membership matrices. It returns how many links each set has there, and links enough to join what is linked.
+
+Some signatures say little: short segments that lose an element are empty, and a passage of many documents can fill
+whole segments. Clusters too large for one block are therefore split first: of two sets that link, each holds the rarest
+common shingle among its own n // 5 + 1 rarest, so only sets of a cluster that share one of those stay together.
 """
 
 from __future__ import annotations
@@ -34,8 +38,9 @@ from foliant.llm.kernels import mix, shingle_sets
 
 #: Sets of at most TINY shingles use whole-set deletions; of PLAIN or more, exact segments.
 TINY, PLAIN = 14, 128
-#: Of a segment's mean size in the largest set of a plain band, and of spare segments over those needed.
-SEGMENT, SPARE = 2.8, 1.3
+#: Of a segment's mean size in the largest set of a plain band, and of spare segments over those needed: with MORE of them
+#: a set has too few that are not empty only nine standard deviations from the mean.
+SEGMENT, SPARE, MORE = 2.8, 1.3, 36
 #: Entries of one signature and part that meet those of other parts; further ones need not, and are dealt elsewhere.
 OFTEN = 8
 #: Shingles of the corpus for each bucket of signatures, tasks that buckets are dealt to, and entries packed at a time.
@@ -44,6 +49,8 @@ BUCKET, MOST_PARTS, FLUSH = 1 << 22, 100_000, 1 << 21
 SIDE, LOAD, COLUMNS = 2048, 1 << 21, 2048
 #: Pairs from which an element is counted by matrices, and pairs counted one by one at a time.
 DENSE, PAIRS = 1 << 13, 1 << 21
+#: Counters, by hash, of how often shingles come, which order them; links are the same in any order.
+COUNTERS = 1 << 16
 #: Rows of sets dealt to groups at a time.
 DEALT = 1024
 #: Sets that may share 64 bits with another one: at 1e11 sets some hundred are expected.
@@ -83,7 +90,7 @@ def used(n: int, band: int) -> int:
     m = segments(band)
     if EDGES[band] < PLAIN:
         return min(m, n // 8 + 2)
-    return min(m, int(np.ceil(SPARE * (n / 4 + 1) / -np.expm1(-n / m))) + 3)
+    return min(m, int(np.ceil(SPARE * (n / 4 + 1) / -np.expm1(-n / m))) + MORE)
 
 
 def signatures(values: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -246,7 +253,10 @@ def _index(bits: int, twins: dict, buckets: int):
 
 
 def _met(batches):
-    """Entries whose signature several nodes have, of the buckets whose rows come in succession."""
+    """Entries whose signature several nodes have, and how many have it, of the buckets whose rows come in succession.
+
+    Entries that went elsewhere as certain come with 0 uses.
+    """
 
     def shared(bucket: int, rows: list[tuple]) -> pd.DataFrame:
         node, low, seg = [], [], []
@@ -277,7 +287,7 @@ def _met(batches):
             if not len(counts):
                 sig, buckets = np.frombuffer(sigs, np.uint64), _U(batch["buckets"].iloc[0])
                 low = sig & _U(0xFFFFFFFF) | ((sig >> _U(32)) * buckets >> _U(32)) << _U(32)
-                yield pd.DataFrame({"sig": low.view(np.int64), "node": np.frombuffer(nodes, np.int64), "seg": np.frombuffer(segs, np.int32), "uses": np.int32(2 * OFTEN)})
+                yield pd.DataFrame({"sig": low.view(np.int64), "node": np.frombuffer(nodes, np.int64), "seg": np.frombuffer(segs, np.int32), "uses": np.int32(0)})
                 continue
             if bucket != now:
                 if rows:
@@ -288,6 +298,38 @@ def _met(batches):
         yield shared(now, rows)
 
 
+def slots(values: np.ndarray) -> np.ndarray:
+    return (mix(values + _U(0xC0C0)) >> _U(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
+def rarest(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first n // 5 + 1 shingles of a set by their counters: sets that link have one of these in common."""
+    return values[np.lexsort((values, counts[slots(values)]))[: len(values) // 5 + 1]]
+
+
+def _counted(batches):
+    total = np.zeros(COUNTERS, dtype=np.int64)
+    for part in chunks(batches):
+        total += np.bincount(slots(shingle_sets(part["text"].tolist())[0]), minlength=COUNTERS)
+    at = np.flatnonzero(total)
+    yield pd.DataFrame({"at": at, "c": total[at]})
+
+
+def _rare(counts: np.ndarray):
+    """(cluster, shingle, node) of the rarest shingles of each set, for each of its clusters."""
+
+    def run(batches):
+        for part in chunks(batches):
+            values, bounds = shingle_sets(part["text"].tolist())
+            rows = []
+            for a, b, node, clusters in zip(bounds[:-1], bounds[1:], part["node"], part["clusters"], strict=True):
+                some = rarest(values[a:b], counts).view(np.int64)
+                rows.append((np.repeat(clusters, len(some)), np.tile(some, len(clusters)), np.full(len(some) * len(clusters), node)))
+            yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(("cluster", "shingle", "node"), zip(*rows, strict=True), strict=True)})
+
+    return run
+
+
 def _sets(batches):
     """Each set once for every group it is dealt to; `deals` holds cluster, lo, hi and own of each in succession."""
     for part in chunks(batches):
@@ -479,6 +521,8 @@ def _clusters(docs: DataFrame, nodes: DataFrame, bits: int, twins: dict) -> Data
 
     need = F.when(F.col("n") <= TINY, 1).when(F.col("n") < PLAIN, F.expr("n div 8 + 1")).otherwise(F.expr("n div 4 + 1"))
     own = F.col("seg") >= 0
+    certain = shared.where("uses = 0").groupBy("sig").agg(F.count("*").cast("int").alias("more"))
+    shared = shared.join(certain, "sig", "left").withColumn("uses", F.col("uses") + F.coalesce("more", F.lit(0)))
     cost = F.when(own, F.sum(F.col("uses") - 1).over(Window.partitionBy("node", "seg")))
     by_node = shared.repartition("node").withColumn("cost", cost)
     by_node = by_node.withColumn("rank", F.dense_rank().over(Window.partitionBy("node").orderBy(F.col("cost").asc_nulls_last(), "seg")))
@@ -492,11 +536,41 @@ def _clusters(docs: DataFrame, nodes: DataFrame, bits: int, twins: dict) -> Data
     return written(alive.select("sig", "node").join(of_sig, "sig").select("node", "cluster").distinct(), "clusters")
 
 
-def _linked(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, side: int) -> DataFrame:
-    """Link counts of nodes, and links that join all nodes which links join: (a, null, links) and (a, b, 0)."""
+def _large(nodes: DataFrame, clusters: DataFrame, side: int) -> DataFrame:
+    """Clusters of more than one block, and how many they take."""
     sized = clusters.join(nodes.select("node", "n"), "node")
     blocks = F.greatest(F.ceil(F.count("*") / side), F.ceil(F.sum("n") / LOAD))
-    large = sized.groupBy("cluster").agg(blocks.alias("blocks")).where("blocks > 1")
+    return sized.groupBy("cluster").agg(blocks.alias("blocks")).where("blocks > 1")
+
+
+def _split(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, side: int) -> DataFrame:
+    """`clusters`, those of more than one block split into sets that share one of their rarest shingles.
+
+    Any two nodes that link still are in one cluster together. What shares none of its rarest shingles drops out.
+    """
+    large = written(_large(nodes, clusters, side).select("cluster"), "large")
+    if large.isEmpty():
+        return clusters
+    members = clusters.join(large, "cluster").groupBy("node").agg(F.collect_list("cluster").alias("clusters"))
+    members = members.join(nodes.select("node", *[f"first.{c}" for c in ROW]), "node")
+    members = written(docs.select(*ROW, "text").join(members, ROW).select("node", "clusters", "text"), "members")
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    for at, c in members.select("text").mapInPandas(released(_counted), "at long, c long").groupBy("at").agg(F.sum("c")).collect():
+        counts[at] = c
+    rare = members.mapInPandas(released(_rare(counts)), "cluster long, shingle long, node long")
+    rare = written(rare.select("cluster", "node", F.xxhash64("cluster", "shingle").alias("sig")), "rare")
+    hubs = rare.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub <> most")
+    alive = written(rare.join(hubs.select("sig", "hub"), "sig"), "sharing")
+    near = alive.groupBy("cluster", "node").agg(F.min("hub").alias("near"))
+    of_sig = alive.join(near, ["cluster", "node"]).groupBy("sig").agg(F.min("near").alias("near"))
+    parts = alive.join(of_sig, "sig").select("node", F.xxhash64("cluster", "near").alias("cluster")).distinct()
+    whole = clusters.join(large, "cluster", "left_anti").select("node", "cluster")
+    return written(whole.unionByName(parts), "split")
+
+
+def _linked(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, side: int) -> DataFrame:
+    """Link counts of nodes, and links that join all nodes which links join: (a, null, links) and (a, b, 0)."""
+    large = _large(nodes, clusters, side)
     many = clusters.join(large, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     many = many.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     deals = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.array(F.col("cluster"), F.least("own", b), F.greatest("own", b), F.col("own")))
@@ -512,7 +586,7 @@ def _joined(docs: DataFrame, bits: int = 64, side: int = SIDE) -> tuple[DataFram
     """For numbered docs: rows with their nodes, and nodes with their component, its smallest id and first row, and their links."""
     docs = docs.select(*ROW, id_in(), "text")
     keys, nodes, twins = _nodes(docs, bits)
-    linked = _linked(docs, nodes, _clusters(docs, nodes, bits, twins), side)
+    linked = _linked(docs, nodes, _split(docs, nodes, _clusters(docs, nodes, bits, twins), side), side)
     comps = connected_components(linked.where("b is not null").select("a", "b"))
     others = linked.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("others"))
     known = nodes.join(comps, "node", "left").join(others, "node", "left")
