@@ -79,14 +79,38 @@ def facts(chunks: DataFrame, least: int = 8, banned_figures: DataFrame | None =
     return rows.join(counts, "doc_id")
 
 
-#: Skeletons of questions by operation, and of answers.
+#: Skeletons of questions by operation, forms of answers, and what every example tells the model first.
 TEMPLATES = {
-    "comparison": ["Compare {qa} in {a} with {qb} in {b}.", "How does {qa} in {a} stand against {qb} in {b}?"],
-    "aggregation": ["What do {a} and {b} say in all about {qa} and {qb}?", "List {qa} from {a} and {qb} from {b}."],
-    "contradiction": ["Do {a} on {qa} and {b} on {qb} agree?", "Is {qa} in {a} consistent with {qb} in {b}?"],
-    "lookup_then_combine": ["Find {qa} in {a}, then put it beside {qb} of {b}.", "Which figures do {a} and {b} give for {qa} and {qb}?"],
+    "comparison": [
+        "Compare {qa} in {a} with {qb} in {b}.",
+        "How does {qa} in {a} stand against {qb} in {b}?",
+        "{a} speaks of {qa}, {b} of {qb}: which of the two is higher?",
+        "Put {qa}, which {a} gives, next to {qb}, which {b} gives. How far apart are they?",
+    ],
+    "aggregation": [
+        "What do {a} and {b} say in all about {qa} and {qb}?",
+        "List {qa} from {a} and {qb} from {b}.",
+        "Sum up {qa} of {a} with {qb} of {b}, and name each part.",
+    ],
+    "contradiction": [
+        "Do {a} on {qa} and {b} on {qb} agree?",
+        "Is {qa} in {a} consistent with {qb} in {b}?",
+        "Does {qb} in {b} speak against {qa} in {a}? Cite the number of each.",
+    ],
+    "lookup_then_combine": [
+        "Find {qa} in {a}, then put it beside {qb} of {b}.",
+        "Which figures do {a} and {b} give for {qa} and {qb}?",
+        "Start with {qa} from {a}; once that is known, add {qb} from {b}.",
+    ],
 }
-ANSWER = "{doc} (page {page}) gives {figure} for {topic}; the excerpts say nothing of the other document."
+ANSWERS = [
+    "{doc} (page {page}) gives {figure} for {topic}; the excerpts say nothing of {other}.",
+    "On page {page} of {doc}, {topic} is {figure}. Nothing here tells of {other}.",
+    "{figure}: so says {doc} on page {page} about {topic}. For {other} another document is needed.",
+    "Only one half can be answered: {topic} is {figure} ({doc}, page {page}). {other} is missing from these excerpts.",
+    "As for {topic}, page {page} of {doc} has {figure}. What was asked about {other} does not occur in the text.",
+]
+SYSTEM = "Answer from the excerpts alone and cite document and page. If they hold no part of the answer, reply NOT_IN_CONTEXT."
 
 
 def fill(template: Column, **values: Column) -> Column:
@@ -149,11 +173,14 @@ def pair_examples(found: DataFrame, seed: str = "pairs", most: int = 4) -> DataF
 
     names = list(TEMPLATES)
     op = F.element_at(F.array(*[F.lit(o) for o in names]), (hashed(seed + ":operation", "chunk_id") % len(names) + 1).cast("int"))
-    which = hashed(seed + ":template", "chunk_id") % 2
+    variety = F.coalesce(*[F.when(F.col("operation") == o, F.lit(len(ts))) for o, ts in TEMPLATES.items()])
+    which = hashed(seed + ":template", "chunk_id") % variety
     made = made.withColumn("operation", op).withColumn("template_id", F.concat("operation", F.lit("#"), which.cast("string")))
     skeleton = F.coalesce(*[F.when(F.col("template_id") == f"{o}#{i}", F.lit(t)) for o, ts in TEMPLATES.items() for i, t in enumerate(ts)])
     question = fill(skeleton, qa=F.col("topic"), qb=F.col("other_topic"), a=F.col("doc_id"), b=F.col("other_doc"))
-    answer = fill(F.lit(ANSWER), doc=F.col("context_doc"), page=by("page", "other_page").cast("string"), figure=by("figure", "other_figure"), topic=by("topic", "other_topic"))
+    form = F.element_at(F.array(*[F.lit(t) for t in ANSWERS]), (hashed(seed + ":answer", "chunk_id") % len(ANSWERS) + 1).cast("int"))
+    other_half = F.concat(by("other_topic", "topic"), F.lit(" in "), by("other_doc", "doc_id"))
+    answer = fill(form, other=other_half, doc=F.col("context_doc"), page=by("page", "other_page").cast("string"), figure=by("figure", "other_figure"), topic=by("topic", "other_topic"))
     return made.select(
         "chunk_id", "doc_id", "other_doc", "context_doc", "kind", "operation", "template_id",
         question.alias("question"),
@@ -166,6 +193,26 @@ def pair_examples(found: DataFrame, seed: str = "pairs", most: int = 4) -> DataF
     )
 
 
+def chat_examples(made: DataFrame) -> DataFrame:
+    """Generated examples as conversations: chunk_id, messages (role, content) of system, user and assistant, and meta.
+
+    meta tells what a check needs: kind, operation, template, the pair of documents in the order asked, the context's
+    document, how many excerpts and where the support is among them (null for a negative), the supporting figure (null
+    for a negative), and both figures in the order asked. Null texts count as empty; an empty table gives an empty one.
+    """
+    said = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    text = lambda name: F.coalesce(F.col(name), F.lit(""))
+    user = F.concat(F.lit("Excerpts:\n\n"), text("context"), F.lit("\n\nQuestion: "), text("question"))
+    messages = F.array(said("system", F.lit(SYSTEM)), said("user", user), said("assistant", text("answer")))
+    # for the second kind, figure is that of the second document
+    asked = F.when(F.col("kind") == "second", F.array("other_figure", "figure")).otherwise(F.array("figure", "other_figure"))
+    meta = F.struct(
+        "kind", "operation", F.col("template_id").alias("template"), F.array("doc_id", "other_doc").alias("pair"), "context_doc", "n_excerpts",
+        "support_position", F.when(F.col("kind") != "negative", F.col("figure")).alias("figure"), asked.alias("asked_figures"), "question",
+    )
+    return made.select("chunk_id", messages.alias("messages"), meta.alias("meta"))
+
+
 def distractors(cells: DataFrame, targets: DataFrame, regime: str, k: int, seed: str = "distract") -> DataFrame:
     """k other cells of each target's table: those that share `regime` (row, col or section) first, then by the draw."""
     t = targets.select("doc_id", "table_id", F.col("cell_id").alias("target_id"), F.col(regime).alias("wanted"))

@@ -213,3 +213,15 @@ def qc_multidoc(spark, sf_dir):
 
     made = stored(gen_multidoc(spark, sf_dir), "pairs").withColumn("id", F.col("chunk_id")).withColumn("eval_figures", F.array().cast("array<string>"))
     return traindata.check_pairs(traindata.with_tokens(made, token_counts))
+
+
+@query()
+def chat_examples(spark, sf_dir):
+    """Questions over two documents that pass their checks, as conversations with what they were made from."""
+    from foliant.operators import traindata
+    from foliant.plans.providers import token_counts
+    from foliant.queries.evaluation import gen_multidoc
+
+    made = stored(gen_multidoc(spark, sf_dir), "pairs").withColumn("id", F.col("chunk_id")).withColumn("eval_figures", F.array().cast("array<string>"))
+    passed = traindata.check_pairs(traindata.with_tokens(made, token_counts)).where("passed").select("id")
+    return traindata.chat_examples(made.join(passed, "id", "left_semi"))

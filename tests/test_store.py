@@ -1,5 +1,7 @@
 """The store on files, reports, sealed keys, and answers end to end on small tables."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from foliant.functions import text as ft
@@ -111,6 +113,20 @@ def test_generated_pairs_pass_their_checks(spark):
     checked = traindata.check_pairs(made.withColumn("id", F.col("chunk_id")).withColumn("eval_figures", F.array().cast("array<string>")))
     bad = [r for r in checked.collect() if r["codes"] not in ("", "target_truncated_to_zero", "target_partly_truncated")]
     assert not bad
+    known = {(r["doc_id"], r["figure"]) for r in facts.collect()}
+    by_id, forms = {r["chunk_id"]: r for r in got}, set()
+    for r in traindata.chat_examples(made).collect():
+        m, of = r["meta"], by_id[r["chunk_id"]]
+        assert [x["role"] for x in r["messages"]] == ["system", "user", "assistant"]
+        assert r["messages"][1]["content"] == f"Excerpts:\n\n{of['context']}\n\nQuestion: {of['question']}" and r["messages"][2]["content"] == of["answer"]
+        assert m["pair"] == [of["doc_id"], of["other_doc"]] and set(zip(m["pair"], m["asked_figures"], strict=True)) <= known
+        assert m["figure"] == (None if m["kind"] == "negative" else of["figure"])
+        if m["kind"] != "negative":
+            other = of["other_doc"] if m["kind"] == "first" else of["doc_id"]
+            assert f" in {other}" in of["answer"] and m["figure"] in of["answer"]
+            forms.add(re.split(r"\W", of["answer"])[0])
+    assert len({r["template_id"] for r in got}) >= 9 and len(forms) >= 4
+    assert traindata.chat_examples(made.limit(0)).count() == 0
 
 
 def test_cells_repaired_only_where_better(spark):
