@@ -125,9 +125,11 @@ _KINDS = "case l_orderkey % 6 when 0 then 'missing' when 1 then 'text' when 2 th
 _ERRORS = "('missing', 'missing cell'), ('text', 'not a number'), ('two', 'wrong number of cells'), ('median', 'unsupported operation'), ('zero', 'zero denominator'), ('none', 'no cells')"
 
 
-@query(f"with k as (select distinct l_orderkey, {_KINDS} as kind from lineitem) select kind, error, count(*) as n from k join (values {_ERRORS}) as e(kind, error) using (kind) group by all")
+@query(f"""with k as (select distinct l_orderkey, {_KINDS} as kind from lineitem)
+select kind || ':t' || l_orderkey as plan_id, case kind when 'median' then 'median' when 'zero' then 'ratio' when 'none' then 'sum' else 'lookup' end as operation,
+  cast(null as double) as value, cast(null as varchar) as unit, cast(null as varchar) as unit_warning, cast(null as varchar) as citations, error from k join (values {_ERRORS}) as e(kind, error) using (kind)""")
 def compute_errors(spark, sf_dir):
-    """Plans that cannot be computed, one for each order, by what is wrong with them and how they are refused."""
+    """Plans that cannot be computed, one for each order, and how each is refused."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey").distinct()
     kind = F.expr(_KINDS)
     doc, tab = F.lit("d"), F.concat(F.lit("t"), F.col("l_orderkey").cast("string"))
@@ -139,8 +141,7 @@ def compute_errors(spark, sf_dir):
     operation = F.when(kind == "median", "median").when(kind == "zero", "ratio").when(kind == "none", "sum").otherwise("lookup")
     plans = line.select(kind.alias("kind"), tab.alias("table_id"), operation.alias("operation"), F.explode(refs).alias("r"))
     plans = plans.select(F.concat_ws(":", "kind", "table_id").alias("plan_id"), "operation", "r.pos", F.when(F.col("r.row").isNotNull(), doc).alias("doc_id"), F.when(F.col("r.row").isNotNull(), F.col("table_id")).alias("table_id"), "r.row", F.when(F.col("r.row").isNotNull(), 1).alias("col"))
-    done = compute.execute(plans, cells).where("error is not null and value is null")
-    return done.groupBy(F.split_part("plan_id", F.lit(":"), F.lit(1)).alias("kind"), "error").agg(F.count("*").alias("n"))
+    return compute.execute(plans, cells)
 
 
 # --- grades ---

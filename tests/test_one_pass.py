@@ -45,3 +45,12 @@ def test_short_numbers_parse_as_all_others(spark):
     slow = ft.let(ft.strip(F.col("raw")), ft._unmarked)
     got = rows.select("raw", ft.parse_cell(F.col("raw")).alias("p"), slow.alias("s")).where(F.col("raw").rlike("[0-9]") & (F.col("raw") != "-0")).collect()
     assert len(got) > 15 and all(r["p"] == r["s"] for r in got)
+
+
+def test_each_refused_plan_is_a_row(spark):
+    """No plan is counted instead of returned, and none is left out as it has no error."""
+    from foliant.queries import derived
+
+    orders = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey").distinct().count()
+    got = derived.compute_errors(spark, SF)
+    assert got.count() == got.select("plan_id").distinct().count() == orders
