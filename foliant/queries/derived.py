@@ -77,7 +77,7 @@ def evidence_gate(spark, sf_dir):
     from foliant.operators import qa
 
     about, found = _tables(spark, sf_dir, qa.TABLES)
-    return decide.gate(qa.shown_cells(about, found, _numeric_store(spark, sf_dir), 10))
+    return decide.gate(qa.shown_cells(about, found, _numeric_store(spark, sf_dir, found), 10))
 
 
 _ROUTED = """select event_id as question_id, case event_id % 3 when 0 then 0.85 when 1 then 0.7 else 0.3 end as route_conf, case when event_id % 4 <> 1 then value end as numeric_value,
