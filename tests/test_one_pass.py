@@ -54,3 +54,37 @@ def test_each_refused_plan_is_a_row(spark):
     orders = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey").distinct().count()
     got = derived.compute_errors(spark, SF)
     assert got.count() == got.select("plan_id").distinct().count() == orders
+
+
+@pytest.mark.parametrize("name,scans", [("label_repair_log", 2), ("plausible_tables", 1), ("split_number", 2)])
+def test_each_side_is_made_once(spark, name, scans):
+    made = plan(documents.QUERIES[name](spark, SF))
+    assert made.count("lineitem.parquet") == scans and "Expand" not in made
+
+
+def test_numbers_are_read_off_pages_with_pairs_alone(spark, monkeypatch):
+    rows = [("d", 1, "t", 1, 1, "12"), ("d", 1, "t", 1, 2, "3.5"), ("d", 2, "t2", 1, 1, "9"), ("d", 2, "t2", 1, 2, "8")]
+    cells = spark.createDataFrame(rows, "doc_id string, page int, table_id string, row int, col int, value string")
+    pages = spark.createDataFrame([("d", 1, "is 123.5"), ("d", 1, "and 4"), ("d", 2, "is 98"), ("d", 3, "is 12")], "doc_id string, page int, text string")
+    asked, whole = [], oc._with_tokens
+    monkeypatch.setattr(oc, "_with_tokens", lambda p, *more: asked.append(p.select("page").distinct().count()) or whole(p, *more))
+    got = sorted((r["page"], r["row"], r["col"]) for r in oc.split_numbers(cells, pages).collect())
+    assert got == [(1, 1, 1), (1, 1, 2)] and asked == [1]
+
+
+def test_tables_without_filled_cells_count_as_rebuilt(spark):
+    kinds = "doc_id string, page int, table_id string, row int, col int, value string"
+    full = [("d", 1, t, r, c, "" if c == 0 else "1") for t in ("a", "b", "c") for r in range(3) for c in range(4)]
+    again = [("d", 1, "a", 0, 0, None), *[("d", 1, "b", r, c, "x" if c == 0 and r else "1") for r in range(3) for c in range(4)]]
+    stored_, rebuilt = spark.createDataFrame(full, kinds), spark.createDataFrame(again, kinds)
+    log = {(r["table_id"], r["reason"]) for r in oc.repair_log(stored_, rebuilt).collect()}
+    said = lambda n: f"{n} rows without a label"
+    assert log == {("a", f"REPAIRED: {said(3)}, now 0"), ("b", f"REPAIRED: {said(3)}, now 1"), ("b", f"INCOMPLETE: {said(1)}"), ("c", f"INCOMPLETE: {said(3)}")}
+    kept = {(r["table_id"], r["row"], r["col"]) for r in oc.repaired(stored_, rebuilt).where("table_id = 'c'").collect()}
+    assert len(kept) == 12
+
+
+def test_strip_takes_white_space_off_both_ends(spark):
+    texts = ["", " ", "\t a b \r\n", "\x0b\x0cx\x0b", "a", " a ", "\n", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ft.strip(F.col("t")).alias("s"), F.regexp_replace("t", r"^\s+|\s+$", "").alias("w"))
+    assert all(r["s"] == r["w"] for r in rows.collect())
