@@ -29,6 +29,8 @@ TEMPLATES = {
     "max": ["Which row has the largest entry in the column {col}?"],
     "min": ["Which row has the smallest entry in the column {col}?"],
 }
+#: Tables that a round starts with, for each example it still needs.
+AHEAD = 4
 #: Pieces that a table's cells are ranked in before the best of all pieces are.
 PIECES = 64
 TABLE = ["doc_id", "table_id"]
@@ -39,8 +41,8 @@ def usable(cells: DataFrame) -> DataFrame:
     """Numeric cells whose row has a label of more than LONGER characters, with a header or section, of tables with LEAST_CELLS of them."""
     named = F.coalesce(F.col("header") != "", F.lit(False)) | F.coalesce(F.col("section") != "", F.lit(False))
     good = cells.where((F.length("row_label") > LONGER) & named & F.col("value").try_cast("double").isNotNull()).select(*TABLE, *CELL)
-    many = good.groupBy(*TABLE).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_CELLS)
-    return good.join(many.select(*TABLE), TABLE, "left_semi").na.fill("", ["header", "section"])
+    many = good.withColumn("__n", F.count("*").over(Window.partitionBy(*TABLE))).where(F.col("__n") >= LEAST_CELLS)
+    return many.drop("__n").na.fill("", ["header", "section"])
 
 
 def _hash(what: str, seed: str, *keys: str) -> Column:
@@ -124,15 +126,31 @@ def examples(cells: DataFrame, attempt: int, seed: str = "cells") -> DataFrame:
 def generate(cells: DataFrame, target: int, seed: str = "cells", most_rounds: int = 40) -> DataFrame:
     """`target` examples, or as many as `most_rounds` rounds over all tables give: each round tries every table once more.
 
-    Of the last round those that come first by a draw are kept.
+    Of the last round those that come first by a draw are kept. The draw is known before an example is made, so a round
+    starts with AHEAD times as many tables as it needs, those first by it, and takes more only where they give too few:
+    tables after them could not come before what they gave.
     """
-    good = stored(usable(cells), "usable-cells")
+    good = usable(cells)
+    tables = stored(good.select(*TABLE).distinct(), "usable-tables")
+    n_tables, whole = tables.count(), None
     made, rounds = 0, []
     for k in range(most_rounds):
-        one = stored(examples(good, k, seed), "examples")
+        drawn = tables.withColumn("id", F.concat_ws("|", *TABLE, F.lit(str(k)))).withColumn("d", draw(f"{seed}:keep", "id"))
+        asked = AHEAD * (target - made)
+        while True:
+            if asked >= n_tables:
+                whole = some = whole or stored(good, "usable-cells")
+            else:
+                first = stored(drawn.orderBy("d", "id").limit(asked).select(*TABLE), "first-tables")
+                some = stored(good.join(first, TABLE, "left_semi"), "usable-cells")
+            one = stored(examples(some, k, seed), "examples")
+            n = one.count()
+            if made + n >= target or asked >= n_tables:
+                break
+            asked *= AHEAD
         rounds.append(one)
-        made += (n := one.count())
-        if made >= target or (not n and not k and not good.take(1)):
+        made += n
+        if made >= target or not n_tables:
             break
     if made > target:
         rank = F.struct(draw(f"{seed}:keep", "id").alias("d"), "id")

@@ -133,3 +133,18 @@ def test_budgets_hold_for_a_tokenizers_counts(spark):
     counted = codes(traindata.with_tokens(rows, token_counts))
     assert counted["fits"] == "" and counted["long"] == "target_truncated_to_zero" and counted["cut"] == "target_partly_truncated"
     assert codes(rows)["fits"] == "target_truncated_to_zero"  # by characters, which is too strict
+
+
+def test_few_tables_give_the_examples_that_all_give(spark, monkeypatch):
+    """A round over the tables first by the draw gives the same examples, and no more tables are tried than it takes."""
+    from foliant.operators import cellexamples
+    from foliant.queries.fixtures import line_cells
+
+    cells = line_cells(spark, "/root/testdata/sf0.001", ["l_quantity", "l_tax"])
+    whole, tried = cellexamples.examples, []
+    monkeypatch.setattr(cellexamples, "examples", lambda c, *rest: tried.append(c.select("doc_id", "table_id").distinct().count()) or whole(c, *rest))
+    got = {}
+    for ahead in (2, 10**6):
+        monkeypatch.setattr(cellexamples, "AHEAD", ahead)
+        got[ahead] = sorted(r["id"] for r in cellexamples.generate(cells, 12).collect())
+    assert got[2] == got[10**6] and len(got[2]) == 12 and tried[0] == 24 < tried[-1]
