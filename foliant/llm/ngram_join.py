@@ -55,6 +55,8 @@ COUNTERS = 1 << 16
 DEALT = 1024
 #: Sets that may share 64 bits with another one: at 1e11 sets some hundred are expected.
 TWINS = 100_000
+#: Bits that tell which rows a join wants: 64 to a broadcast row, so at most a few ten MB whatever the rows.
+BITS = 1 << 25
 _U = np.uint64
 
 
@@ -536,6 +538,19 @@ def _clusters(docs: DataFrame, nodes: DataFrame, bits: int, twins: dict) -> Data
     return written(alive.select("sig", "node").join(of_sig, "sig").select("node", "cluster").distinct(), "clusters")
 
 
+def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows and texts of docs without most that are not in `wanted`, a stored table with ROW: one bit of a hash tells them."""
+    bit = F.pmod(F.xxhash64(*ROW), F.lit(BITS))
+    word, place = F.shiftright(bit, 6).alias("word"), bit.bitwiseAND(63).cast("int")
+    words = wanted.select(word, place.alias("place")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, place))").alias("bits"))
+    return docs.select(*ROW, "text", word).join(F.broadcast(words), "word").where(F.getbit("bits", place) == 1).select(*ROW, "text")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of `wanted` with their texts. These are by far the most bytes, and few are wanted."""
+    return _likely(docs, wanted).join(wanted, ROW)
+
+
 def _large(nodes: DataFrame, clusters: DataFrame, side: int) -> DataFrame:
     """Clusters of more than one block, and how many they take."""
     sized = clusters.join(nodes.select("node", "n"), "node")
@@ -552,8 +567,8 @@ def _split(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, side: int) ->
     if large.isEmpty():
         return clusters
     members = clusters.join(large, "cluster").groupBy("node").agg(F.collect_list("cluster").alias("clusters"))
-    members = members.join(nodes.select("node", *[f"first.{c}" for c in ROW]), "node")
-    members = written(docs.select(*ROW, "text").join(members, ROW).select("node", "clusters", "text"), "members")
+    members = written(members.join(nodes.select("node", *[f"first.{c}" for c in ROW]), "node"), "split-rows")
+    members = written(_texts(docs, members).select("node", "clusters", "text"), "members")
     counts = np.zeros(COUNTERS, dtype=np.int64)
     for at, c in members.select("text").mapInPandas(released(_counted), "at long, c long").groupBy("at").agg(F.sum("c")).collect():
         counts[at] = c
@@ -575,8 +590,8 @@ def _linked(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, side: int) -
     many = many.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     deals = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.array(F.col("cluster"), F.least("own", b), F.greatest("own", b), F.col("own")))
     dealt = many.groupBy("node").agg(F.flatten(F.flatten(F.collect_list(deals))).alias("deals"), F.collect_list("cluster").alias("clusters"))
-    dealt = dealt.join(nodes.select("node", "copies", *[f"first.{c}" for c in ROW]), "node")
-    sets = docs.select(*ROW, "text").join(dealt, ROW).select("node", "copies", "clusters", "deals", "text")
+    dealt = written(dealt.join(nodes.select("node", "copies", *[f"first.{c}" for c in ROW]), "node"), "deals")
+    sets = _texts(docs, dealt).select("node", "copies", "clusters", "deals", "text")
     schema = "node long, copies long, clusters array<long>, cluster long, lo long, hi long, own long, values binary"
     grouped = sets.mapInPandas(released(_sets), schema).repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
     return written(grouped.mapInPandas(released(_compared(80)), "a long, b long, links long"), "linked")

@@ -87,3 +87,15 @@ def test_rows_of_a_file_listed_twice_keep_their_names(spark, tmp_path):
     assert twice.count() == 40 and twice.select(*ROW).distinct().count() == 40
     once = spark.read.parquet(path)
     assert "numbered" not in numbered(once).inputFiles()[0] and "numbered" in numbered(once.where(F.rand(3) < 2)).inputFiles()[0]
+
+
+def test_texts_that_no_cluster_wants_stay_behind(spark, monkeypatch):
+    docs = numbered(written(spark.range(5000).selectExpr("id AS doc_id", "concat('text ', id) AS text"), "docs"))
+    wanted = written(docs.where("doc_id % 100 = 0").select(*ROW, F.col("doc_id").alias("node")), "wanted")
+    want = [(k, f"text {k}") for k in range(0, 5000, 100)]
+    assert ngram_join._likely(docs, wanted).count() <= 55
+    assert sorted(map(tuple, ngram_join._texts(docs, wanted).select("node", "text").collect())) == want
+    monkeypatch.setattr(ngram_join, "BITS", 128)  # rows that share a bit with a wanted one come along and go in the join
+    assert 55 < ngram_join._likely(docs, wanted).count() < 5000
+    assert sorted(map(tuple, ngram_join._texts(docs, wanted).select("node", "text").collect())) == want
+    assert ngram_join._texts(docs, written(wanted.where("false"), "none")).count() == 0
