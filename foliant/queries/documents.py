@@ -135,7 +135,7 @@ def banner_merge(spark, sf_dir):
 
 @query(f"{_ALL} select doc_id, table_id, row, section from sections where section <> ''")
 def section_asof(spark, sf_dir):
-    return oc.labelled(store(spark, sf_dir)).select("doc_id", "table_id", "row", "section").distinct().where("section <> ''")
+    return oc.sections(store(spark, sf_dir)).where("section <> ''")
 
 
 ORACLE["section_asof"] = f"{_ALL} select distinct doc_id, table_id, row, section from labelled where section <> ''"

@@ -104,3 +104,16 @@ def test_tasks_of_lines_have_a_bound(spark, monkeypatch, by):
     name = "truncated_decimal" if by == "page" else "ragged_rows"
     made = plan(documents.QUERIES[name](spark, SF))
     assert len([x for x in made.splitlines() if "Exchange hashpartitioning" in x]) - made.count("ENSURE_REQUIREMENTS") == 1 and not [x for x in made.splitlines() if "Exchange" in x and "col#" in x]
+
+
+def test_sections_are_those_of_the_cells(spark):
+    """Repeated cells, gaps, runs of banners, banners below all numbers, numbers above all banners, and keys that are null."""
+    rows = [("t", 1, 0, "7"), ("t", 2, 0, "First"), ("t", 3, 2, " part "), ("t", 4, 0, "x"), ("t", 4, 1, "1.5"), ("t", 5, 0, "Same"), ("t", 5, 0, "Same"), ("t", 6, 0, "Next"), ("t", 7, 1, ""), ("t", 8, 0, "Other"), ("t", 9, 1, "8"), ("t", 11, 0, "9"), ("t", 12, 0, "Last")]
+    rows += [("u", 1, 1, "3"), (None, 1, 0, "Null"), (None, 2, 0, "4"), ("v", None, 0, "Nowhere"), ("v", 1, 0, "5")]
+    cells = spark.createDataFrame([("d", 1, *r, None, None) for r in rows], "doc_id string, page int, table_id string, row int, col int, value string, unit string, header string")
+    want = oc.labelled(cells).select("doc_id", "table_id", "row", "section").distinct().collect()
+    got = oc.sections(cells).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and {r["section"] for r in got} >= {"", "First part", "Other", "Null"}
+    made = plan(documents.QUERIES["section_asof"](spark, SF))
+    # cells are in no window: they are grouped by row first
+    assert not [x for x in made.splitlines() if "Window" in x and "__numeric" in x]
