@@ -11,9 +11,13 @@ from __future__ import annotations
 
 import contextlib
 from array import array
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +26,14 @@ from foliant.llm.common import ROW, chunks, fresh, id_in, id_out, numbered, quot
 CAPACITY = 2048
 #: Pieces a task packs at a time, and full bins that are first filled anew with the underfull ones.
 BLOCK, ANEW = 4096, 64
-#: Distinct words, and parts of words, of a generation whose ids a worker keeps.
+#: Distinct parts of words of a generation whose ids a worker keeps.
 CACHE = 250_000
-#: White space to Python's str.split but perhaps not to the tokenizer; signs that are a part of their own at a word's end.
-ODD, ENDS = "\x1c\x1d\x1e\x1f", frozenset(".,;:!?%&$#*")
+#: Characters of the texts whose ids are found at a time.
+TEXTS = 1 << 21
+#: White space to Python and Arrow but perhaps not to the tokenizer.
+ODD = "\x1c\x1d\x1e\x1f"
+#: Letters of Latin-1 in lower case, which are one part, and signs that are a part of their own at a word's end.
+LETTERS, ENDS = "[a-zß-öø-ÿ]+", "[.,;:!?%&$#*]"
 VOCABULARY = "word_bpe_49k.json"
 # The pre-tokenizer's pattern, and the signs that stand for the 256 bytes in the vocabulary.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -39,22 +47,35 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _runs(first: np.ndarray, size: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the items of the runs `of` in turn, where each of these ends); run i has size[i] items from first[i]."""
+    n = size[of]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return np.arange(ends[-1]) + np.repeat(first[of] - ends[:-1], n), ends
+
+
 class Cache:
-    """Values by key in two generations: what was not asked for while a generation filled up goes."""
+    """Values by key in two generations: what was not asked for while a generation filled up goes.
+
+    `make` gives the values of a list of new keys.
+    """
 
     def __init__(self, make):
         self.make, self.young, self.old = make, {}, {}
 
     def all(self, keys: list[str]) -> list[bytes]:
+        """Values of distinct keys."""
         out = list(map(self.young.get, keys))
-        if None in out:
-            for i, value in enumerate(out):
-                if value is None:
-                    key = keys[i]
-                    value = self.young.get(key) or self.old.get(key)
-                    out[i] = self.young[key] = self.make(key) if value is None else value
-            if len(self.young) > CACHE:
-                self.old, self.young = self.young, {}
+        lost = [i for i, value in enumerate(out) if value is None]
+        asked = [keys[i] for i in lost]
+        found = list(map(self.old.get, asked))
+        new = [i for i, value in enumerate(found) if value is None]
+        for i, value in zip(new, self.make([asked[i] for i in new]), strict=True):
+            found[i] = value
+        for i, value in zip(lost, found, strict=True):
+            out[i] = self.young[keys[i]] = value
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
         return out
 
 
@@ -62,9 +83,10 @@ class WordIds:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     The vocabulary's pre-tokenizer drops white space and never matches across it, so a text's ids are those of its
-    words in turn, and a word's those of its parts by the pre-tokenizer's pattern. Words and parts come from caches, and
-    only new parts reach the vocabulary's merges. Where normalisation could do more than lower-case letters (words
-    beyond Latin-1, white space on which Python differs), the tokenizer takes the word or text itself.
+    words in turn, and a word's those of its parts by the pre-tokenizer's pattern. Of the texts of a call each distinct
+    part is looked up once, in a cache, and only new parts reach the vocabulary's merges. Where normalisation could do
+    more than lower-case letters (words beyond Latin-1, white space on which Python differs), the tokenizer takes the
+    word or text itself.
     """
 
     def __init__(self, path: str):
@@ -74,40 +96,77 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.whole = [*ODD, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
         self.pattern = regex.compile(PARTS)
-        self.words = Cache(self._word)
-        self.parts = Cache(self._part)
+        self.parts = Cache(self._merged)
+        self.others = Cache(lambda words: [self._encoded(w) for w in words])
 
     def _encoded(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _part(self, part: str) -> bytes:
-        signs = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(BYTE_SIGNS)
-        tokens = self.tokenizer.model.tokenize(signs)
-        return array("I", [t.id for t in tokens]).tobytes()
+    def _merged(self, parts: list[str]) -> list[bytes]:
+        tokenize, out = self.tokenizer.model.tokenize, []
+        for part in parts:
+            signs = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(BYTE_SIGNS)
+            out.append(array("I", [t.id for t in tokenize(signs)]).tobytes())
+        return out
 
-    def _word(self, word: str) -> bytes:
-        if not word.isascii():
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words in turn, and how many each has."""
+        plain, ended = (np.flatnonzero(pc.match_substring_regex(words, f"^{p}$")) for p in (LETTERS, LETTERS + ENDS))
+        rest = np.ones(len(words), dtype=bool)
+        rest[plain] = rest[ended] = False
+        rest = np.flatnonzero(rest)
+        parts, others, count, of = [], [], np.ones(len(words), dtype=np.int64), []
+        for i, word in zip(rest.tolist(), words.take(rest).to_numpy(zero_copy_only=False).tolist(), strict=True):
             try:
                 word.encode("latin-1")
             except UnicodeEncodeError:
-                return self._encoded(word)
-        word = word.lower()
-        if word.isalpha():
-            return self._part(word)
-        if word[-1] in ENDS and word[:-1].isalpha():
-            return b"".join(self.words.all([word[:-1]]) + self.parts.all([word[-1]]))
-        return b"".join(self.parts.all(self.pattern.findall(word)))
-
-    def _text(self, text: str) -> bytes:
-        if any(sign in text for sign in self.whole):
-            return self._encoded(text)
-        with contextlib.suppress(UnicodeEncodeError):
-            text.encode("latin-1")
-            text = text.lower()
-        return b"".join(self.words.all(text.split()))
+                of.append(-1 - len(others))
+                others.append(word)
+                continue
+            found = self.pattern.findall(word.lower())
+            count[i] = len(found)
+            of += range(len(parts), len(parts) + len(found))
+            parts += found
+        count[ended] = 2
+        first = np.cumsum(count) - count
+        stems = words.take(ended)
+        coded = pa.concat_arrays([words.take(plain), pc.utf8_slice_codeunits(stems, 0, -1), pc.utf8_slice_codeunits(stems, -1), pa.array(parts, pa.large_string())]).dictionary_encode()
+        number, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = np.empty(int(count.sum()), dtype=np.int64)
+        a, b = len(plain), len(plain) + len(ended)
+        at[first[plain]], at[first[ended]], at[first[ended] + 1] = number[:a], number[a:b], number[b : b + len(ended)]
+        own = np.array(of, dtype=np.int64)
+        inside = own >= 0
+        own[inside] = number[b + len(ended) :][own[inside]]
+        own[~inside] = len(distinct) - 1 - own[~inside]
+        at[_runs(first, count, rest)[0]] = own
+        found = self.parts.all(distinct) + self.others.all(others)
+        ids, size = np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        places, ends = _runs(np.cumsum(size) - size, size, at)
+        return ids[places], ends[first + count] - ends[first]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        return [self._text(t) if t else b"" for t in texts]
+        out, split, places = [b""] * len(texts), [], []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if any(sign in text for sign in self.whole):
+                out[i] = self._encoded(text)
+                continue
+            with contextlib.suppress(UnicodeEncodeError):
+                text.encode("latin-1")
+                text = text.lower()
+            split.append(text)
+            places.append(i)
+        if split:
+            words = pc.utf8_split_whitespace(pa.array(split, pa.large_string()))
+            coded = words.values.dictionary_encode()
+            ids, size = self._words(coded.dictionary)
+            at, ends = _runs(np.cumsum(size) - size, size, coded.indices.to_numpy())
+            data = ids[at].tobytes()
+            for i, (a, b) in zip(places, pairwise((ends[words.offsets.to_numpy()] * 4).tolist()), strict=True):
+                out[i] = data[a:b]
+        return out
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -117,14 +176,13 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     ids are cut, into pieces of `capacity` of which the last may be shorter.
     """
     path = path or vocabulary_path(VOCABULARY)
-    made: list[WordIds] = []
 
     def run(batches):
-        if not made:
-            made.append(WordIds(path))
-        for part in chunks(batches, most=1 << 20):
+        # a local name, so that its caches are gone when `released` gives memory back
+        find = WordIds(path)
+        for part in chunks(batches, most=TEXTS):
             rows = []
-            for doc_id, data in zip(part["doc_id"], made[0](part["text"].tolist()), strict=True):
+            for doc_id, data in zip(part["doc_id"], find(part["text"].tolist()), strict=True):
                 data += b"\0\0\0\0"
                 for i, at in enumerate(range(0, len(data), 4 * capacity)):
                     piece = data[at : at + 4 * capacity]
@@ -217,6 +275,11 @@ def local_search(sizes: list[int], bins: list[list[int]], capacity: int) -> list
     return [b for b in bins if b]
 
 
+@lru_cache(maxsize=256)
+def _two(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
 def _step(size, at, fill, own, d, capacity, fresh):
     """(items that leave bin d, another bin, items that come back): the step that takes most out of d, else None.
 
@@ -228,7 +291,7 @@ def _step(size, at, fill, own, d, capacity, fresh):
     if not len(there):
         return None
     mine = size[own]
-    i, j = np.triu_indices(len(own), 1)
+    i, j = _two(len(own))
     sums, first = np.unique(np.concatenate([mine, mine[i] + mine[j]]), return_index=True)
     back = np.flatnonzero(open_[at])
     take = np.concatenate([np.zeros(len(there), dtype=np.int64), size[back]])

@@ -586,3 +586,30 @@ def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], PIPELINE).write.parquet(str(tmp_path / "sf" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "sf")).count() == 0
     assert set(queries.ORACLE) <= set(queries.QUERIES)
+
+
+def test_parts_of_words_are_merged_once_a_call(monkeypatch):
+    merged = []
+
+    class Counted:
+        """The tokenizer, whose merges are counted."""
+
+        def __init__(self, tokenizer):
+            self.tokenizer, self.model = tokenizer, self
+
+        def tokenize(self, part):
+            merged.append(part)
+            return self.tokenizer.model.tokenize(part)
+
+        def __getattr__(self, name):
+            return getattr(self.tokenizer, name)
+
+    monkeypatch.setattr(packing, "CACHE", 10)  # fewer than the words of a call
+    find = packing.WordIds(packing.vocabulary_path(packing.VOCABULARY))
+    find.tokenizer = plain = Counted(find.tokenizer)
+    draw = random.Random(8)
+    words = ["".join(draw.choices("abcdéñß", k=6)) for _ in range(60)]
+    texts = [" ".join(w + draw.choice(["", "", ".", ",", "-x", "7", "!?"]) for w in draw.sample(words, 40)) for _ in range(12)] + ["", None, "\x85é \xa0É　x 漢 字 ", "a\x1cb", "  "]
+    got = find(texts)
+    assert got == [np.array(plain.tokenizer.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert len(merged) == len(set(merged)) > 50
