@@ -9,6 +9,7 @@ import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,14 +103,23 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def give_back() -> None:
+    """Gives this process's free memory back to the system, for workers stay beside the next tasks' JVM and workers."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def released(run):
-    """The batch function `run`, after whose last batch the worker gives its free memory back to the system."""
+    """The batch function `run`, after whose last batch the worker gives its free memory back to the system.
+
+    What `run` holds beyond its own generator is not free then.
+    """
 
     def through(batches):
         yield from run(batches)
-        gc.collect()
-        if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)
+        give_back()
 
     return through
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import chunks, fresh, quoted, remainder
+from foliant.llm.common import chunks, fresh, give_back, quoted, released, remainder
 
 #: Training documents per language (a sample by hash, in expectation), the bound of the classifier's fit.
 SAMPLE = 1500
@@ -46,9 +46,13 @@ _tables: dict[str, np.ndarray] = {}
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """For every code point: is it a letter, and its lower case (itself where that is not one code point)."""
     if not _tables:
-        text = [chr(c) for c in range(sys.maxunicode + 1)]
-        _tables["letter"] = np.array([c.isalpha() for c in text])
-        _tables["lower"] = np.array([ord(low) if len(low := c.lower()) == 1 else ord(c) for c in text], dtype=np.uint32)
+        # a block at a time: strings of all code points at once are 150 MB in each worker
+        letter, lower = np.empty(sys.maxunicode + 1, dtype=bool), np.empty(sys.maxunicode + 1, dtype=np.uint32)
+        for at in range(0, len(letter), 1 << 14):
+            text = list(map(chr, range(at, min(at + (1 << 14), len(letter)))))
+            letter[at : at + len(text)] = [c.isalpha() for c in text]
+            lower[at : at + len(text)] = [ord(low) if len(low := c.lower()) == 1 else ord(c) for c in text]
+        _tables["letter"], _tables["lower"] = letter, lower
     return _tables["letter"], _tables["lower"]
 
 
@@ -86,7 +90,7 @@ def _counts(languages: list[str]):
         total = np.zeros((ORDERS, len(languages), BUCKETS), dtype=np.int32)
         scripts = np.zeros((len(languages), len(NAMES)))
         for batch in batches:
-            for part in chunks([batch], most=1 << 20):
+            for part in chunks([batch], most=1 << 18):
                 doc, size, script, keys, word = grams(part["text"].tolist())
                 lang = part["lang"].map(index).to_numpy(dtype=np.int64)[doc]
                 for order, key in enumerate(keys):
@@ -115,7 +119,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     for name in languages:
         rate = F.when(F.col("lang") == name, min(1.0, sample / sizes[name])).otherwise(rate)
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < rate * 1_000_000).select("text", "lang")
-    rows = chosen.mapInPandas(_counts(languages), "lang int, order int, key int, n double").groupBy("lang", "order", "key").agg(F.sum("n").alias("n")).toPandas()
+    rows = chosen.mapInPandas(released(_counts(languages)), "lang int, order int, key int, n double").groupBy("lang", "order", "key").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros((ORDERS, BUCKETS, len(languages)))
     scripts = np.zeros((len(NAMES), len(languages)))
     for (order,), part in rows.groupby(["order"]):
@@ -210,6 +214,7 @@ def language_column(docs: DataFrame, model: dict, spans: bool = False):
             out = [x for part in chunks([pd.DataFrame({"text": batch})], most=most) for x in label(model, part["text"].tolist())]
             parts = [[{"words": n, "lang": name} for n, name in s] for _, _, s in out]
             yield pd.DataFrame({"lang_pred": [o[0] for o in out], "lang_score": [o[1] for o in out], "lang_spans": pd.Series(parts, dtype=object)})
+        give_back()
 
     schema = "lang_pred string, lang_score double, lang_spans array<struct<words: int, lang: string>>"
     found = F.pandas_udf(run, schema)(F.col("text"))

@@ -613,3 +613,44 @@ def test_parts_of_words_are_merged_once_a_call(monkeypatch):
     got = find(texts)
     assert got == [np.array(plain.tokenizer.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
     assert len(merged) == len(set(merged)) > 50
+
+
+def test_a_worker_of_pieces_keeps_no_words(monkeypatch):
+    """The ids' caches are gone when the worker gives its memory back, before the next stage starts."""
+    import weakref
+
+    import pandas as pd
+
+    from foliant.llm import common
+
+    seen, left = [], []
+
+    class Watched(packing.WordIds):
+        def __init__(self, path):
+            super().__init__(path)
+            seen.append(weakref.ref(self))
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):  # noqa: N802
+            return sum(len(x) for x in run(iter([pd.DataFrame({"doc_id": [1, 2], "text": ["a b", None]})])))
+
+    monkeypatch.setattr(packing, "WordIds", Watched)
+    collect = common.gc.collect
+    monkeypatch.setattr(common.gc, "collect", lambda: (collect(), left.extend(r() is not None for r in seen)))
+    monkeypatch.setattr(packing, "id_in", lambda: None)
+    assert packing.pieces(Docs()) == 2 and left == [False]
+
+
+def test_tables_of_letters_take_little_memory_to_make(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(langid, "_tables", {})
+    tracemalloc.start()
+    letter, lower = langid._letters()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6 and letter.sum() == sum(chr(c).isalpha() for c in range(0x110000))
+    assert lower[ord("É")] == ord("é") and lower[0x110000 - 1] == 0x10FFFF
