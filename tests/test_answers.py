@@ -130,3 +130,32 @@ def test_figures_keep_their_places(spark):
     assert all([f["figure"] for f in r["f"]] == r["g"] for r in got) and got[2]["f"][0]["at"] == 0
     assert all(text[f["at"] :].startswith(f["figure"]) for f in got[0]["f"])
     assert ft.FURNITURE
+
+
+def test_cells_are_made_for_wanted_tables_alone(spark):
+    """The cells that claims and questions are checked with are those of the tables found, made from one row an order."""
+    from foliant.queries import answers
+    from foliant.queries.fixtures import line_cells
+
+    sf_dir = "/root/testdata/sf0.001"
+    cells = answers._searched(spark, sf_dir)[0]
+    wanted = spark.createDataFrame([("t1",), ("t7",), ("t7",), ("none",)], "table_id string")
+    every = line_cells(spark, sf_dir, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]).where("table_id in ('t1', 't7')")
+    got = cells(wanted)
+    assert got.columns == every.columns and sorted(map(str, got.collect())) == sorted(map(str, every.collect()))
+    assert got.count() > 0
+
+
+def test_numbers_may_come_from_the_cells_of_candidates(spark, store):
+    cells, _ = store
+    asked = spark.createDataFrame([("q", "What is the price of exports of corn?")], "question_id string, question string")
+    tables = spark.createDataFrame([("q", "d1", "t1", 1, 0.8)], "question_id string, doc_id string, table_id string, rank int, score double")
+    seen = []
+
+    def of(wanted):
+        seen.append(wanted.columns)
+        return cells.join(wanted.select("doc_id", "table_id").distinct(), ["doc_id", "table_id"], "left_semi").select(*cells.columns)
+
+    made = qa.numeric_answers(asked, tables, of, None).collect()
+    assert [tuple(r) for r in made] == [tuple(r) for r in qa.numeric_answers(asked, tables, cells, cells).collect()]
+    assert len(seen) == 1 and made[0]["value"] is not None
