@@ -19,25 +19,30 @@ READ, BESIDE, CITED = 5, 2, 3
 def match_cells(claims: DataFrame, cells: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     """The cell that each claim (claim_id, text) is about, by labels alone: claim_id, score and the cell.
 
-    Cells may be each claim's own evidence, `by` claim_id.
-
-    Claims meet cells over the four-letter starts of their terms, which any two terms that agree share, so only cells
-    that agree in one are compared. The
-    best cell needs three agreeing terms and a lead of one over cells of other rows; ties go by (doc, table, row, col).
+    Cells may be each claim's own evidence, `by` claim_id, and are all compared with it then. Else claims meet cells over
+    the four-letter starts of their terms, which any two terms that agree share, so only cells that agree in one are
+    compared. The best cell needs three agreeing terms and a lead of one over cells of other rows; ties go by (doc, table, row, col).
     """
     start = lambda c: F.explode(F.array_distinct(F.transform(c, lambda t: F.substring(t, 1, 4))))
-    asked = claims.select("claim_id", terms(F.col("text"), CLAIM_STOP).alias("wanted")).withColumn("start", start(F.col("wanted")))
-    there = cells.withColumn("there", terms(F.concat_ws(" ", "row_label", "header", "section"), CLAIM_STOP)).withColumn("start", start(F.col("there")))
+    asked = claims.select("claim_id", terms(F.col("text"), CLAIM_STOP).alias("wanted"))
+    there = cells.withColumn("there", terms(F.concat_ws(" ", "row_label", "header", "section"), CLAIM_STOP))
     key = ["doc_id", "table_id", "row", "col"]
-    pairs = asked.join(there, ["start", *by]).dropDuplicates(["claim_id", *key])
+    if by:
+        pairs = asked.join(there, by)
+    else:
+        pairs = asked.withColumn("start", start(F.col("wanted"))).join(there.withColumn("start", start(F.col("there"))), "start").dropDuplicates(["claim_id", *key])
     scored = pairs.withColumn("score", overlap(F.col("wanted"), F.col("there"))).where("score > 0")
     order = F.struct((-F.col("score")).alias("s"), *key)
-    best = scored.groupBy("claim_id").agg(F.min_by(F.struct("score", *key, "value", "unit", "row_label", "section"), order).alias("best"))
+    kept = ["score", *key, "value", "unit", "row_label", "section", *(["page"] if "page" in cells.columns else [])]
+    # the best of each row and section; a claim's rival is the best of another one
+    rows = scored.groupBy("claim_id", "row_label", "section").agg(F.min_by(F.struct(*kept), order).alias("first"), F.min(order).alias("order"))
+    rows = stored(rows, "matched-rows")
+    best = rows.groupBy("claim_id").agg(F.min_by("first", "order").alias("best"))
     rival = (
-        scored.join(best, "claim_id")
+        rows.join(best, "claim_id")
         .where((F.col("row_label") != F.col("best.row_label")) | (F.col("section") != F.col("best.section")))
         .groupBy("claim_id")
-        .agg(F.max("score").alias("rival"))
+        .agg(F.max("first.score").alias("rival"))
     )
     sure = (F.col("best.score") >= LEAST_TERMS) & (F.coalesce(F.col("best.score") - F.col("rival"), F.lit(MARGIN)) >= MARGIN)
     return best.join(rival, "claim_id", "left").where(sure).select("claim_id", "best.*")
@@ -105,13 +110,13 @@ def verify_claims(claims: DataFrame, hits: DataFrame, chunks: DataFrame, tables:
     """
     asked = claims.select(F.col("claim_id").alias("question_id"), F.col("text").alias("question"))
     named = lambda rows: rows.withColumnRenamed("claim_id", "question_id")
-    gathered = stored(qa.evidence(named(hits), chunks, named(tables), asked, labelled).withColumnRenamed("question_id", "claim_id"), "evidence")
+    gathered = hits.join(chunks.select(F.col("chunk_id").alias("id"), "doc_id", "page", F.col("text").alias("content")), "id").withColumnRenamed("id", "place")
     line = F.concat(F.lit("["), "doc_id", F.lit(" p"), F.col("page").cast("string"), F.lit("] "), "content")
     place = F.concat("doc_id", F.lit(" p"), F.col("page").cast("string"))
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), F.col("place").alias("id"), line.alias("line"), place.alias("place"))))
-    passages = gathered.where("kind = 'passage'").groupBy("claim_id").agg(F.slice(ranked, 1, READ).alias("read"), F.max("score").alias("best"))
+    passages = gathered.groupBy("claim_id").agg(F.slice(ranked, 1, READ).alias("read"), F.max("score").alias("best"))
     shown = qa.shown_cells(asked, named(tables), labelled).withColumnRenamed("question_id", "claim_id").drop("question", "score", "rank", "relevance")
-    matched = match_cells(claims, shown, ["claim_id"]).join(labelled.select("doc_id", "table_id", "row", "col", "page"), ["doc_id", "table_id", "row", "col"])
+    matched = match_cells(claims, shown, ["claim_id"])
     cell = matched.select("claim_id", number(F.col("value")).alias("cell"), citation(F.col("doc_id"), F.col("page"), F.col("table_id"), F.col("row"), F.col("col"), F.col("unit")).alias("cite"))
     rows = claims.select("claim_id", "text").join(passages, "claim_id", "left").join(cell.where("cell is not null"), "claim_id", "left")
     rows = rows.withColumn("numbers", claimed(F.col("text"))).withColumn("weak", F.coalesce(F.col("best") < FLOOR, F.lit(True)))
