@@ -117,3 +117,27 @@ def test_sections_are_those_of_the_cells(spark):
     made = plan(documents.QUERIES["section_asof"](spark, SF))
     # cells are in no window: they are grouped by row first
     assert not [x for x in made.splitlines() if "Window" in x and "__numeric" in x]
+
+
+def test_better_tables_are_found_once(spark):
+    """Repair reads the judgement of tables back; only the two reads of cells are left in its plan."""
+    vacant = [("d", t, r, c, v) for t in ("a", "b") for r in range(3) for c, v in ((2, "1"), (3, "2"), (4, "3"))]
+    named = [("d", "a", r, 0, "Corn") for r in range(3)]
+    kinds = "doc_id string, table_id string, row int, col int, value string"
+    raw, rebuilt = spark.createDataFrame(vacant, kinds), spark.createDataFrame([x for x in vacant if x[1] == "a"] + named, kinds)
+    made = oc.repaired(raw, rebuilt)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+    assert sorted(map(tuple, made.collect())) == sorted([x for x in vacant if x[1] == "b"] + [x for x in vacant if x[1] == "a"] + named)
+
+
+def test_numbers_are_told_with_white_space_around_them(spark):
+    """Short forms are only taken of texts without a line's end after them."""
+    from foliant.functions.text import normalise_number, parse_cell
+
+    cells = ["5\n", "5%\n", " $7.50", "12.50", "€3", "-0", "-4", "N/A ", " Corn \t", "0.0", "(5)", "1,200", None, "", "1e5", "7.00%"]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, raw string")
+    got = {r["i"]: (r["v"], r["u"], r["t"]) for r in rows.select("i", parse_cell(F.col("raw")).alias("p"), normalise_number(F.col("raw")).alias("t")).select("i", F.col("p.value").alias("v"), F.col("p.unit").alias("u"), "t").collect()}
+    assert [got[i] for i in range(len(cells))] == [
+        ("5", None, "5"), ("5", "%", "5"), ("7.5", "USD", "7.5"), ("12.5", None, "12.5"), ("3", "EUR", None), ("0", None, "0"), ("-4", None, "-4"), (None, None, None), ("Corn", None, None),
+        ("0", None, "0"), ("-5", None, "-5"), ("1200", None, "1200"), (None, None, None), (None, None, None), ("1e5", None, "1"), ("7", "%", "7"),
+    ]
