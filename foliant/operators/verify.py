@@ -16,8 +16,8 @@ LEAST_TERMS, MARGIN, FLOOR = 3, 1, 0.35
 READ, BESIDE, CITED = 5, 2, 3
 
 
-def match_cells(claims: DataFrame, cells: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
-    """The cell that each claim (claim_id, text) is about, by labels alone: claim_id, score and the cell.
+def match_cells(claims: DataFrame, cells: DataFrame, by: list[str] = [], more: list[str] = []) -> DataFrame:  # noqa: B006
+    """The cell that each claim (claim_id, text) is about, by labels alone: claim_id, score and the cell, with its columns `more`.
 
     Cells may be each claim's own evidence, `by` claim_id, and are all compared with it then. Else claims meet cells over
     the four-letter starts of their terms, which any two terms that agree share, so only cells that agree in one are
@@ -33,7 +33,7 @@ def match_cells(claims: DataFrame, cells: DataFrame, by: list[str] = []) -> Data
         pairs = asked.withColumn("start", start(F.col("wanted"))).join(there.withColumn("start", start(F.col("there"))), "start").dropDuplicates(["claim_id", *key])
     scored = pairs.withColumn("score", overlap(F.col("wanted"), F.col("there"))).where("score > 0")
     order = F.struct((-F.col("score")).alias("s"), *key)
-    kept = ["score", *key, "value", "unit", "row_label", "section", *(["page"] if "page" in cells.columns else [])]
+    kept = ["score", *key, "value", "unit", "row_label", "section", *more]
     # the best of each row and section; a claim's rival is the best of another one
     rows = scored.groupBy("claim_id", "row_label", "section").agg(F.min_by(F.struct(*kept), order).alias("first"), F.min(order).alias("order"))
     rows = stored(rows, "matched-rows")
@@ -116,7 +116,7 @@ def verify_claims(claims: DataFrame, hits: DataFrame, chunks: DataFrame, tables:
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), F.col("place").alias("id"), line.alias("line"), place.alias("place"))))
     passages = gathered.groupBy("claim_id").agg(F.slice(ranked, 1, READ).alias("read"), F.max("score").alias("best"))
     shown = qa.shown_cells(asked, named(tables), labelled).withColumnRenamed("question_id", "claim_id").drop("question", "score", "rank", "relevance")
-    matched = match_cells(claims, shown, ["claim_id"])
+    matched = match_cells(claims, shown, ["claim_id"], ["page"])
     cell = matched.select("claim_id", number(F.col("value")).alias("cell"), citation(F.col("doc_id"), F.col("page"), F.col("table_id"), F.col("row"), F.col("col"), F.col("unit")).alias("cite"))
     rows = claims.select("claim_id", "text").join(passages, "claim_id", "left").join(cell.where("cell is not null"), "claim_id", "left")
     rows = rows.withColumn("numbers", claimed(F.col("text"))).withColumn("weak", F.coalesce(F.col("best") < FLOOR, F.lit(True)))
